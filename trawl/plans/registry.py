@@ -34,4 +34,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from trawl.plans import (  # noqa: F401
         q_eval,
+        q_sources,
     )
