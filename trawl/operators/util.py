@@ -41,3 +41,9 @@ def dense_index(df: DataFrame, order_col: str, index_col: str = "idx", partition
     return (ranged.join(F.broadcast(offsets), "_pid")
             .withColumn(index_col, (F.col("_off") + local).cast("long"))
             .drop("_pid", "_mono", "_off"))
+
+
+def join_scalar(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row frame ``right`` to every row of ``left``
+    (equi-join on a constant key against a broadcast single row)."""
+    return left.withColumn("_one", F.lit(1)).join(F.broadcast(right.withColumn("_one", F.lit(1))), "_one").drop("_one")

@@ -39,13 +39,16 @@ def write_qrels_text(spark: SparkSession, sf_dir: str) -> str:
                                       F.concat_ws(" ", s("qid"), F.lit("0")).alias("l")))
             .unionByName(items.select("qid", (F.col("qid") + OFFSET).alias("docid"), F.lit(3).alias("seq"),
                                       F.concat_ws(" ", s("qid"), F.lit("0"), (F.col("qid") + OFFSET).cast("string"),
-                                                  F.lit("2"), F.lit("x")).alias("l"))))
+                                                  F.lit("2"), F.lit("x")).alias("l")))
+            .unionByName(items.select("qid", (F.col("qid") + 2 * OFFSET).alias("docid"), F.lit(4).alias("seq"),
+                                      F.concat_ws(" ", s("qid"), F.lit("0"), (F.col("qid") + 2 * OFFSET).cast("string"),
+                                                  F.lit("0")).alias("l"))))
     return write_lines(rows, F.col("l"), ["qid", "docid", "seq"], scratch_dir(spark, "qrels"))
 
 
-def v_id_triples(spark: SparkSession, sf_dir: str, k: int = 100) -> DataFrame:
+def v_id_triples(spark: SparkSession, sf_dir: str, k: int = 100, lab: DataFrame | None = None) -> DataFrame:
     """Per V query: first same-label and first other-label neighbour in its top k."""
-    lab = E.v_labelled_run(spark, sf_dir, k)
+    lab = lab if lab is not None else E.v_labelled_run(spark, sf_dir, k)
     t = lab.groupBy("qid").agg(
         F.min_by(F.when(F.col("is_pos"), F.col("docid")), F.when(F.col("is_pos"), F.col("rank"))).alias("pos"),
         F.min_by(F.when(~F.col("is_pos"), F.col("docid")), F.when(~F.col("is_pos"), F.col("rank"))).alias("neg"))

@@ -25,12 +25,15 @@ def containment_qrels(spark, sf_dir):
 
 @register("scan_qrels_graded", f"""WITH {X.SQL_T_QRELS}
 SELECT qid, docid, rel FROM tq
-UNION ALL SELECT item_id AS qid, item_id + {X.OFFSET} AS docid, 2 AS rel FROM benchmark""")
+UNION ALL SELECT item_id AS qid, item_id + {X.OFFSET} AS docid, 2 AS rel FROM benchmark
+UNION ALL SELECT item_id AS qid, item_id + 2 * {X.OFFSET} AS docid, 0 AS rel FROM benchmark""")
 def scan_qrels_graded(spark, sf_dir):
     return TF.scan_qrels_graded(spark, X.write_qrels_text(spark, sf_dir))
 
 
-@register("scan_qrels_positive", f"WITH {X.SQL_T_QRELS} SELECT DISTINCT qid, docid FROM tq")
+@register("scan_qrels_positive", f"""WITH {X.SQL_T_QRELS}
+SELECT DISTINCT qid, docid FROM tq
+UNION SELECT item_id AS qid, item_id + 2 * {X.OFFSET} AS docid FROM benchmark""")
 def scan_qrels_positive(spark, sf_dir):
     return TF.scan_qrels_positive(spark, X.write_qrels_text(spark, sf_dir))
 

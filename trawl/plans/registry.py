@@ -35,4 +35,5 @@ def load_all() -> None:
     from trawl.plans import (  # noqa: F401
         q_eval,
         q_sources,
+        q_mining,
     )
