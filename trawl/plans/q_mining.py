@@ -331,13 +331,18 @@ def resume_remaining(spark, sf_dir):
 _HR = sql_hash_key(CFG.seed, "qid", "docid")
 
 
-@register("pair_systems", f"""WITH {E.sql_v_knn(100)}, {E.SQL_V_LABELLED},
+def two_stage_sql_pair() -> str:
+    """SQL of the two V systems' per-query MRR@10: CTE ``pr(qid, a, b)``."""
+    return f"""WITH {E.sql_v_knn(100)}, {E.SQL_V_LABELLED},
 ra AS (SELECT qid, coalesce(1.0 / min(CASE WHEN is_pos AND rank <= 10 THEN rank END), 0.0)::DOUBLE AS m
        FROM lab GROUP BY qid),
 rb0 AS (SELECT qid, is_pos, row_number() OVER (PARTITION BY qid ORDER BY {_HR} DESC, docid) AS r FROM lab),
 rb AS (SELECT qid, coalesce(1.0 / min(CASE WHEN is_pos AND r <= 10 THEN r END), 0.0)::DOUBLE AS m
-       FROM rb0 GROUP BY qid)
-SELECT ra.qid, round(ra.m, 6) AS a, round(rb.m, 6) AS b FROM ra JOIN rb ON ra.qid = rb.qid""")
+       FROM rb0 GROUP BY qid),
+pr AS (SELECT ra.qid, round(ra.m, 6) AS a, round(rb.m, 6) AS b FROM ra JOIN rb ON ra.qid = rb.qid)"""
+
+
+@register("pair_systems", two_stage_sql_pair() + "\nSELECT qid, a, b FROM pr")
 def pair_systems(spark, sf_dir):
     a, b = two_systems(spark, sf_dir)
     return J.pair_systems(a, b, "mrr_at_10")

@@ -68,22 +68,27 @@ def slice_shards(spark, sf_dir):
             .select(F.col("doc_id").alias("id"), "text"))
 
 
-SQL_BM25 = r"""dt AS (SELECT doc_id AS docid, regexp_extract_all(lower(text), '([\p{L}\p{N}]+)', 1) AS toks
-       FROM documents),
-dstat AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM dt),
-qt AS (SELECT qid, term, count(*) AS qtf FROM (
-         SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}]+)', 1)) AS term
-         FROM benchmark) GROUP BY qid, term),
-hits AS (SELECT docid, len(toks) AS dl, unnest(toks) AS term FROM dt),
-tf AS (SELECT docid, term, dl, count(*) AS tf FROM hits WHERE term IN (SELECT term FROM qt) GROUP BY docid, term, dl),
-dfreq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-w AS (SELECT qt.qid, qt.term, qt.qtf * ln(1.0 + (dstat.n - dfreq.df + 0.5) / (dfreq.df + 0.5)) AS w
-      FROM qt JOIN dfreq ON qt.term = dfreq.term, dstat),
-sc AS (SELECT w.qid, tf.docid,
-              round(sum(w.w * tf.tf * (0.9 + 1.0) / (tf.tf + 0.9 * (1.0 - 0.4 + 0.4 * tf.dl / dstat.avgdl))), 6) AS score
-       FROM w JOIN tf ON w.term = tf.term, dstat GROUP BY w.qid, tf.docid),
-bm AS (SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank
-       FROM sc QUALIFY rank <= 1000)"""
+def sql_bm25(qsrc: str = "SELECT item_id AS qid, text FROM benchmark", k: int = 1000, name: str = "bm") -> str:
+    """DuckDB BM25 over ``documents`` for the queries of ``qsrc`` (``qid, text``); CTE ``name``."""
+    tok = r"regexp_extract_all(lower({}), '([\p{{L}}\p{{N}}]+)', 1)"
+    return f"""{name}_dt AS (SELECT doc_id AS docid, {tok.format('text')} AS toks FROM documents),
+{name}_ds AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM {name}_dt),
+{name}_qt AS (SELECT qid, term, count(*) AS qtf FROM (
+         SELECT qid, unnest({tok.format('text')}) AS term FROM ({qsrc})) GROUP BY qid, term),
+{name}_hits AS (SELECT docid, len(toks) AS dl, unnest(toks) AS term FROM {name}_dt),
+{name}_tf AS (SELECT docid, term, dl, count(*) AS tf FROM {name}_hits
+              WHERE term IN (SELECT term FROM {name}_qt) GROUP BY docid, term, dl),
+{name}_df AS (SELECT term, count(*) AS df FROM {name}_tf GROUP BY term),
+{name}_w AS (SELECT q.qid, q.term, q.qtf * ln(1.0 + (s.n - d.df + 0.5) / (d.df + 0.5)) AS w
+      FROM {name}_qt q JOIN {name}_df d ON q.term = d.term, {name}_ds s),
+{name}_sc AS (SELECT w.qid, tf.docid,
+              round(sum(w.w * tf.tf * (0.9 + 1.0) / (tf.tf + 0.9 * (1.0 - 0.4 + 0.4 * tf.dl / s.avgdl))), 6) AS score
+       FROM {name}_w w JOIN {name}_tf tf ON w.term = tf.term, {name}_ds s GROUP BY w.qid, tf.docid),
+{name} AS (SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank
+       FROM {name}_sc QUALIFY rank <= {k})"""
+
+
+SQL_BM25 = sql_bm25()
 
 
 @register("bm25_first_stage", f"WITH {SQL_BM25} SELECT qid, docid, score, rank FROM bm")

@@ -36,4 +36,5 @@ def load_all() -> None:
         q_eval,
         q_sources,
         q_mining,
+        q_quality,
     )
