@@ -37,4 +37,5 @@ def load_all() -> None:
         q_sources,
         q_mining,
         q_quality,
+        q_ranking,
     )
