@@ -6,6 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give a narrow scan enough tasks for the cluster.
+
+    A table stored as one parquet row group scans as one task, and every row-wise step
+    before the first shuffle (tokenising, exploding, scoring) then runs on one core. When
+    the scan has fewer splits than the default parallelism, rows are spread round-robin
+    (one shuffle of the table). Large inputs already have more splits than cores and
+    pass through untouched.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
 

@@ -15,21 +15,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.operators.util import spread
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """Read a driver table; prune to ``columns`` before spreading it over the cluster."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if columns:
+        df = df.select(*columns)
+    return spread(df)
 
 
 # ---- V binding -------------------------------------------------------------------------
 def v_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``qid, qvec, qlabel``."""
-    return table(spark, sf_dir, "embeddings").select(
+    return table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]).select(
         F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("qlabel"))
 
 
 def v_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``docid, dvec, dlabel``."""
-    return table(spark, sf_dir, "embeddings").select(
+    return table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]).select(
         F.col("vec_id").alias("docid"), F.col("embedding").alias("dvec"), F.col("label").alias("dlabel"))
 
 
@@ -44,19 +50,19 @@ def v_doc_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- T binding -------------------------------------------------------------------------
 def t_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, text`` of benchmark items."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return table(spark, sf_dir, "benchmark", ["item_id", "text"]).select(F.col("item_id").alias("id"), "text")
 
 
 def t_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, text`` of documents."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return table(spark, sf_dir, "documents", ["doc_id", "text"]).select(F.col("doc_id").alias("id"), "text")
 
 
 # ---- C binding -------------------------------------------------------------------------
 def c_labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, score, is_pos``: length-based score in [0, 1] against ``labels.quality``."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    docs = table(spark, sf_dir, "documents", ["doc_id", "n_chars"])
+    lab = table(spark, sf_dir, "labels", ["doc_id", "quality"])
     return lab.join(docs, "doc_id").select(
         "doc_id",
         F.least(F.col("n_chars") / F.lit(5000.0), F.lit(1.0)).cast("double").alias("score"),
@@ -66,8 +72,8 @@ def c_labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- U binding -------------------------------------------------------------------------
 def u_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conv_id, turn, text`` of user turns."""
-    return (table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-            .select("conv_id", "turn", "text"))
+    return (table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+            .where(F.col("role") == "user").select("conv_id", "turn", "text"))
 
 
 # ---- SQL text of the same bindings (DuckDB oracle) -------------------------------------
