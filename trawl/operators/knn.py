@@ -74,25 +74,33 @@ def blocked_topk(queries: DataFrame, passages: DataFrame, k: int, *, keys: list[
         raise ValueError("k must be positive")
     keys = list(keys or [])
     if not keys:
-        queries = queries.withColumn("_key", F.lit(0))
-        passages = passages.withColumn("_key", F.lit(0))
+        # one group: block counts are two driver scalars (row counts), used as literals
+        qb = max(1, math.ceil(queries.count() / max_query_rows))
+        pb = max(1, math.ceil(passages.count() / max_passage_rows))
         keys = ["_key"]
-    qcount = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq"))
-    pcount = passages.groupBy(*keys).agg(F.count(F.lit(1)).alias("_np"))
-    # one row per key: how many blocks each side of that key is cut into
-    sizes = qcount.join(pcount, keys).select(
-        *keys,
-        F.ceil(F.col("_nq") / F.lit(max_query_rows)).cast("int").alias("_qb"),
-        F.ceil(F.col("_np") / F.lit(max_passage_rows)).cast("int").alias("_pb"),
-    )
-    q = (queries.join(sizes, keys)
-         .withColumn("_qs", F.pmod(F.xxhash64("qid"), F.col("_qb")).cast("int"))
-         .withColumn("_ps", F.explode(F.sequence(F.lit(0), F.col("_pb") - 1)))
-         .select(*keys, "_qs", "_ps", "qid", "qvec"))
-    p = (passages.join(sizes, keys)
-         .withColumn("_ps", F.pmod(F.xxhash64("docid"), F.col("_pb")).cast("int"))
-         .withColumn("_qs", F.explode(F.sequence(F.lit(0), F.col("_qb") - 1)))
-         .select(*keys, "_qs", "_ps", "docid", "dvec"))
+        q = (queries.select(F.lit(0).alias("_key"), "qid", "qvec")
+             .withColumn("_qs", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int"))
+             .withColumn("_ps", F.explode(F.sequence(F.lit(0), F.lit(pb - 1)))))
+        p = (passages.select(F.lit(0).alias("_key"), "docid", "dvec")
+             .withColumn("_ps", F.pmod(F.xxhash64("docid"), F.lit(pb)).cast("int"))
+             .withColumn("_qs", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
+    else:
+        qcount = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq"))
+        pcount = passages.groupBy(*keys).agg(F.count(F.lit(1)).alias("_np"))
+        # one row per key: how many blocks each side of that key is cut into
+        sizes = qcount.join(pcount, keys).select(
+            *keys,
+            F.ceil(F.col("_nq") / F.lit(max_query_rows)).cast("int").alias("_qb"),
+            F.ceil(F.col("_np") / F.lit(max_passage_rows)).cast("int").alias("_pb"),
+        )
+        q = (queries.join(sizes, keys)
+             .withColumn("_qs", F.pmod(F.xxhash64("qid"), F.col("_qb")).cast("int"))
+             .withColumn("_ps", F.explode(F.sequence(F.lit(0), F.col("_pb") - 1))))
+        p = (passages.join(sizes, keys)
+             .withColumn("_ps", F.pmod(F.xxhash64("docid"), F.col("_pb")).cast("int"))
+             .withColumn("_qs", F.explode(F.sequence(F.lit(0), F.col("_qb") - 1))))
+    q = q.select(*keys, "_qs", "_ps", "qid", "qvec")
+    p = p.select(*keys, "_qs", "_ps", "docid", "dvec")
     group = [*keys, "_qs", "_ps"]
     local = q.groupBy(*group).cogroup(p.groupBy(*group)).applyInPandas(
         _local_topk(k, exclude_self), _SCORED_SCHEMA)
