@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.operators.util import join_scalar
+from trawl.operators.util import scalars
 
 _DIGITS = 6
 METRIC_COLUMNS = ["map", "ndcg_at_10", "mrr_at_10", "recall_at_100", "recall_at_1000"]
@@ -125,10 +125,9 @@ def metrics_by_stratum(per_query: DataFrame, strata: DataFrame, stratum: str = "
 
 def compare_systems(aggregates: DataFrame, base_system: str, metric: str = "mrr_at_10") -> DataFrame:
     """One row per system with its metric and the delta to ``base_system``."""
-    base = aggregates.where(F.col("system") == base_system).select(F.col(metric).alias("_base"))
-    return join_scalar(aggregates, base).select(
-        "system", F.col(metric).alias(metric),
-        F.round(F.col(metric) - F.col("_base"), _DIGITS).alias("delta"))
+    base = scalars(aggregates.where(F.col("system") == base_system).select(F.col(metric).alias("b")))["b"]
+    return aggregates.select("system", F.col(metric).alias(metric),
+                             F.round(F.col(metric) - F.lit(base), _DIGITS).alias("delta"))
 
 
 def variant_gap(per_query_a: DataFrame, per_query_b: DataFrame, metric: str = "mrr_at_10",

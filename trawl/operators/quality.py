@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.hashing import hash_key
-from trawl.operators.util import join_scalar
+from trawl.operators.util import literal_row, scalars
 
 _DIGITS = 6
 
@@ -66,11 +66,14 @@ def ece_brier(pairs: DataFrame, n_bins: int = 10) -> DataFrame:
     per = (pairs.select(bin_index(F.col("score"), n_bins).alias("bin"), "score", "is_pos")
            .where(F.col("bin").isNotNull())
            .groupBy("bin").agg(F.count(F.lit(1)).alias("nb"), F.abs(F.avg("score") - F.avg(F.col("is_pos").cast("double"))).alias("g")))
-    tot = pairs.agg(F.count(F.lit(1)).alias("n"),
-                    F.avg(F.pow(F.col("score") - F.col("is_pos").cast("double"), 2)).alias("brier"))
-    e = join_scalar(per, tot).agg(F.sum(F.col("nb") / F.col("n") * F.col("g")).alias("ece"))
-    return join_scalar(tot, e).select(F.round(F.coalesce("ece", F.lit(0.0)), _DIGITS).alias("ece"),
-                                      F.round("brier", _DIGITS).alias("brier"), "n")
+    tot = scalars(pairs.agg(F.count(F.lit(1)).alias("n"),
+                            F.round(F.avg(F.pow(F.col("score") - F.col("is_pos").cast("double"), 2)), _DIGITS)
+                            .alias("brier")))
+    n = tot["n"]
+    e = scalars(per.agg(F.round(F.coalesce(F.sum(F.col("nb") / F.lit(max(n, 1)) * F.col("g")), F.lit(0.0)),
+                                _DIGITS).alias("ece")))
+    return literal_row(pairs.sparkSession, {"ece": e["ece"], "brier": tot["brier"], "n": n},
+                       {"ece": "double", "brier": "double", "n": "long"})
 
 
 def class_score_gap(pairs: DataFrame) -> DataFrame:
@@ -83,11 +86,10 @@ def class_score_gap(pairs: DataFrame) -> DataFrame:
 
 def separation_p90(pairs: DataFrame, q: float = 0.9) -> DataFrame:
     """Share of positives scoring above the negatives' ``q`` quantile (linear interpolation)."""
-    thr = pairs.where(~F.col("is_pos")).agg(F.percentile("score", q).alias("thr"))
+    thr = scalars(pairs.where(~F.col("is_pos")).agg(F.percentile("score", q).alias("thr")))["thr"]
     pos = pairs.where(F.col("is_pos")).select("score")
-    r = join_scalar(pos, thr).agg(F.avg((F.col("score") > F.col("thr")).cast("double")).alias("share"),
-                                  F.first("thr").alias("thr"))
-    return r.select(F.round("thr", _DIGITS).alias("neg_p90"), F.round("share", _DIGITS).alias("pos_above_p90"))
+    return pos.agg(F.round(F.lit(thr), _DIGITS).alias("neg_p90"),
+                   F.round(F.avg((F.col("score") > F.lit(thr)).cast("double")), _DIGITS).alias("pos_above_p90"))
 
 
 def score_histogram(pairs: DataFrame, n_buckets: int = 20, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
@@ -152,11 +154,10 @@ def release_gate(metrics: DataFrame) -> DataFrame:
 
     Every threshold must hold; a metric that is missing (or null) fails.
     """
-    spark = metrics.sparkSession
-    thr = spark.createDataFrame(RELEASE_THRESHOLDS, "metric string, threshold double, kind string")
-    systems = metrics.select("system").distinct()
-    # every (system, threshold) pair: systems x 6 fixed rows, joined on a constant key
-    need = join_scalar_all(systems, thr)
+    thr = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(t).alias("threshold"), F.lit(k).alias("kind"))
+                    for m, t, k in RELEASE_THRESHOLDS])
+    # every (system, threshold) pair: each system row expanded by the fixed threshold list
+    need = metrics.select("system").distinct().select("system", F.inline(thr))
     j = need.join(metrics, ["system", "metric"], "left")
     ok = (F.when(F.col("value").isNull(), F.lit(False))
           .when(F.col("kind") == "min", F.col("value") >= F.col("threshold"))
@@ -166,11 +167,6 @@ def release_gate(metrics: DataFrame) -> DataFrame:
                  F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("metric")))).alias("failures")))
 
 
-def join_scalar_all(left: DataFrame, small_fixed: DataFrame) -> DataFrame:
-    """Pair every row of ``left`` with each row of a small fixed table (6 thresholds)."""
-    return left.withColumn("_one", F.lit(1)).join(F.broadcast(small_fixed.withColumn("_one", F.lit(1))), "_one").drop("_one")
-
-
 def sample_queries(top1: DataFrame, queries: DataFrame, passages: DataFrame, n: int = 50, seed: int = 42) -> DataFrame:
     """C11: ``n`` seeded random queries with their top-1 passage; rows lacking text dropped.
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.hashing import draw_index
-from trawl.operators.util import broadcast_if_small, dense_index, join_scalar
+from trawl.operators.util import broadcast_if_small, dense_index, literal_row, scalars
 
 _DIGITS = 6
 
@@ -39,12 +39,12 @@ def bootstrap_ci(per_query: DataFrame, value: str, *, metric_fn: Callable[[Colum
     resampled = (_draws(spark, n, n_resamples, seed).join(broadcast_if_small(indexed, max_broadcast_rows), "idx")
                  .groupBy("b").agg(metric_fn(F.col("v")).alias("m")))
     alpha = (1.0 - confidence) / 2.0
-    ci = resampled.agg(F.percentile("m", alpha).alias("lo"), F.percentile("m", 1.0 - alpha).alias("hi"))
-    mean = vals.agg(metric_fn(F.col("v")).alias("mean"))
-    return join_scalar(mean, ci).select(
-        F.round("mean", _DIGITS).alias("mean"), F.round("lo", _DIGITS).alias("ci_low"),
-        F.round("hi", _DIGITS).alias("ci_high"), F.lit(n_resamples).alias("n_resamples"),
-        F.lit(confidence).alias("confidence"))
+    ci = scalars(resampled.agg(F.round(F.percentile("m", alpha), _DIGITS).alias("ci_low"),
+                               F.round(F.percentile("m", 1.0 - alpha), _DIGITS).alias("ci_high")))
+    mean = scalars(vals.agg(F.round(metric_fn(F.col("v")), _DIGITS).alias("mean")))
+    return literal_row(spark, {"mean": mean["mean"], "ci_low": ci["ci_low"], "ci_high": ci["ci_high"],
+                               "n_resamples": n_resamples, "confidence": float(confidence)},
+                       {"mean": "double", "ci_low": "double", "ci_high": "double", "n_resamples": "int"})
 
 
 def paired_bootstrap(paired: DataFrame, *, n_resamples: int = 1000, seed: int = 42,
@@ -60,13 +60,16 @@ def paired_bootstrap(paired: DataFrame, *, n_resamples: int = 1000, seed: int =
     n = d.count()
     if n == 0:
         raise ValueError("no paired values")
-    observed = d.agg(F.avg("d").alias("obs"))
-    indexed = dense_index(d, "qid", "idx").select("idx", "d")
-    centred = join_scalar(indexed, observed).select("idx", (F.col("d") - F.col("obs")).alias("c"))
-    means = (_draws(spark, n, n_resamples, seed).join(broadcast_if_small(centred, max_broadcast_rows), "idx")
-             .groupBy("b").agg(F.avg("c").alias("m")))
-    counted = join_scalar(means, observed).agg(F.count_if(F.col("m") >= F.col("obs")).alias("c"))
-    res = join_scalar(observed, counted)
-    p = F.when(F.col("obs") <= 0, F.lit(1.0)).otherwise((F.col("c") + 1) / F.lit(float(n_resamples + 1)))
-    return res.select(F.round("obs", _DIGITS).alias("observed_diff"), F.round(p, _DIGITS).alias("p_value"),
-                      F.lit(n_resamples).alias("n_resamples"), F.lit(n).cast("long").alias("num_queries"))
+    obs = scalars(d.agg(F.avg("d").alias("obs")))["obs"]
+    if obs <= 0:
+        p = 1.0
+    else:
+        indexed = dense_index(d, "qid", "idx").select("idx", "d")
+        centred = indexed.select("idx", (F.col("d") - F.lit(obs)).alias("c"))
+        means = (_draws(spark, n, n_resamples, seed).join(broadcast_if_small(centred, max_broadcast_rows), "idx")
+                 .groupBy("b").agg(F.avg("c").alias("m")))
+        c = scalars(means.agg(F.count_if(F.col("m") >= F.lit(obs)).alias("c")))["c"]
+        p = (c + 1) / float(n_resamples + 1)
+    return literal_row(spark, {"observed_diff": round(obs, _DIGITS), "p_value": round(p, _DIGITS),
+                               "n_resamples": n_resamples, "num_queries": n},
+                       {"observed_diff": "double", "p_value": "double", "n_resamples": "int", "num_queries": "long"})

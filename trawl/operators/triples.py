@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawl.operators.util import dense_index, join_scalar
+from trawl.operators.util import dense_index, literal_row
 
 
 def explode_mined(mined: DataFrame) -> DataFrame:
@@ -79,10 +79,9 @@ def resolve_drop_count(triples: DataFrame, queries: DataFrame, collection: DataF
     """J4 report: ``total, kept, dropped_unknown_ids`` (kept = 0 is an error upstream)."""
     kept = resolve_triples(triples.select("query_id", "positive_id", "negative_id").withColumn("_k", F.lit(1)),
                            queries, collection)
-    t = triples.agg(F.count(F.lit(1)).alias("total"))
-    k = kept.agg(F.count(F.lit(1)).alias("kept"))
-    return join_scalar(t, k).select(
-        "total", "kept", (F.col("total") - F.col("kept")).alias("dropped_unknown_ids"))
+    total, k = triples.count(), kept.count()
+    return literal_row(triples.sparkSession, {"total": total, "kept": k, "dropped_unknown_ids": total - k},
+                       {"total": "long", "kept": "long", "dropped_unknown_ids": "long"})
 
 
 def triples_to_pairs(text_triples: DataFrame) -> DataFrame:

@@ -56,7 +56,14 @@ def dense_index(df: DataFrame, order_col: str, index_col: str = "idx", partition
             .drop("_pid", "_mono", "_off"))
 
 
-def join_scalar(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row frame ``right`` to every row of ``left``
-    (equi-join on a constant key against a broadcast single row)."""
-    return left.withColumn("_one", F.lit(1)).join(F.broadcast(right.withColumn("_one", F.lit(1))), "_one").drop("_one")
+def scalars(df: DataFrame) -> dict:
+    """The single row of a global aggregate, as driver values (a handful of numbers)."""
+    row = df.first()
+    return row.asDict() if row is not None else {}
+
+
+def literal_row(spark, values: dict, types: dict | None = None) -> DataFrame:
+    """One-row frame of computed scalars (the shape of a global aggregate result)."""
+    types = types or {}
+    cols = [(F.lit(v).cast(types[k]) if k in types else F.lit(v)).alias(k) for k, v in values.items()]
+    return spark.range(1).select(*cols)

@@ -21,6 +21,7 @@ from trawl.plans import sqlgen as G
 from trawl.plans.q_mining import two_stage_sql_pair, two_systems
 from trawl.plans.q_quality import SEED, SQL_DROPS, _drop_inputs
 from trawl.plans.q_sources import sql_bm25
+from trawl.operators.util import scalars
 from trawl.plans.registry import register
 from trawl.session import scratch_dir
 from trawl.sources import sinks as SK
@@ -220,22 +221,20 @@ def metric_drop(spark, sf_dir):
     run = bm25_first_stage(vq, c, 10)
     run = run.select((F.floor(F.col("qid") / 8)).cast("long").alias("base_qid"), F.pmod("qid", F.lit(8)).alias("k"),
                      "docid", "rank")
-    kinds = spark.createDataFrame([(0, "original")] + [(i + 1, k) for i, k in enumerate(_PERT_NAMES)],
-                                  "k long, perturbation string")
+    names = ["original"] + _PERT_NAMES
     judged = qrels.select(F.col("qid").alias("base_qid")).distinct()
-    grid = Q.join_scalar_all(judged, kinds)
+    # every judged query under every variant k (a query with no hit scores 0)
+    grid = judged.select("base_qid", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1)).cast("array<long>")).alias("k"))
     rel = qrels.select(F.col("qid").alias("base_qid"), "docid", F.lit(True).alias("_rel"))
     lab = (grid.join(run, ["base_qid", "k"], "left").join(rel, ["base_qid", "docid"], "left"))
     per = lab.groupBy("base_qid", "k").agg(
         F.round(F.coalesce(F.lit(1.0) / F.min(F.when(F.col("_rel"), F.col("rank"))), F.lit(0.0)), 6).alias("m"))
     means = per.groupBy("k").agg(F.avg("m").alias("mm"))
-    orig = means.where(F.col("k") == 0).select(F.col("mm").alias("o"))
-    from trawl.operators.util import join_scalar
-
-    out = join_scalar(means.where(F.col("k") > 0), orig).join(kinds, "k")
-    return out.select("perturbation", F.round("o", 6).alias("mrr_original"), F.round("mm", 6).alias("mrr_perturbed"),
-                      F.round(F.when(F.col("o") > 0, (F.col("o") - F.col("mm")) / F.col("o")).otherwise(F.lit(0.0)),
-                              6).alias("rel_drop"))
+    o = scalars(means.where(F.col("k") == 0).select(F.col("mm").alias("o")))["o"]
+    name = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("k") + 1).cast("int"))
+    return means.where(F.col("k") > 0).select(
+        name.alias("perturbation"), F.round(F.lit(o), 6).alias("mrr_original"), F.round("mm", 6).alias("mrr_perturbed"),
+        F.round(F.when(F.lit(o) > 0, (F.lit(o) - F.col("mm")) / F.lit(o)).otherwise(F.lit(0.0)), 6).alias("rel_drop"))
 
 
 # ---- C10 release gate --------------------------------------------------------------------
@@ -252,13 +251,10 @@ def gate_metrics(spark, sf_dir):
         ece = Q.ece_brier(lab).select(F.col("ece").alias("v"))
         rows += [pr.select(F.lit(sysname).alias("system"), F.lit("qualitative_pass_rate").alias("metric"), "v"),
                  ece.select(F.lit(sysname).alias("system"), F.lit("ece").alias("metric"), "v")]
-    base = mrr["bm25"].select(F.col("v").alias("b"))
+    base = scalars(mrr["bm25"])["v"]
     for sysname in ("bm25", "overlap"):
-        from trawl.operators.util import join_scalar
-
-        g = join_scalar(mrr[sysname], base).select(F.lit(sysname).alias("system"),
-                                                   F.lit("mrr10_gain_over_baseline").alias("metric"),
-                                                   (F.col("v") - F.col("b")).alias("v"))
+        g = mrr[sysname].select(F.lit(sysname).alias("system"), F.lit("mrr10_gain_over_baseline").alias("metric"),
+                                (F.col("v") - F.lit(base)).alias("v"))
         rows.append(g)
     orig, pert = _drop_inputs(spark, sf_dir)
     drops = Q.score_drop(orig, pert, ["conv_id", "turn"], TX.SCORE_DROP_THRESHOLD)
