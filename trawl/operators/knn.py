@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 _SCORED_SCHEMA = "qid long, docid long, score double"
 # rows scored per BLAS call inside a task: 512 x block passages x 8 bytes
 _QUERY_CHUNK = 512
+_MIN_QUERY_BLOCK = 64
 _ROUND = 9
 
 
@@ -74,9 +75,14 @@ def blocked_topk(queries: DataFrame, passages: DataFrame, k: int, *, keys: list[
         raise ValueError("k must be positive")
     keys = list(keys or [])
     if not keys:
-        # one group: block counts are two driver scalars (row counts), used as literals
-        qb = max(1, math.ceil(queries.count() / max_query_rows))
-        pb = max(1, math.ceil(passages.count() / max_passage_rows))
+        # one group: block counts are two driver scalars (row counts), used as literals.
+        # Blocks are bounded by the row limits, and queries are cut further (down to
+        # _MIN_QUERY_BLOCK rows) until there are about two blocks per core, so small
+        # inputs still use the whole cluster.
+        nq, npass = queries.count(), passages.count()
+        target = 2 * queries.sparkSession.sparkContext.defaultParallelism
+        qb = max(1, math.ceil(nq / max_query_rows), min(target, math.ceil(nq / _MIN_QUERY_BLOCK)))
+        pb = max(1, math.ceil(npass / max_passage_rows))
         keys = ["_key"]
         q = (queries.select(F.lit(0).alias("_key"), "qid", "qvec")
              .withColumn("_qs", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int"))

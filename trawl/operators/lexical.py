@@ -63,8 +63,12 @@ def bm25_first_stage(queries: DataFrame, docs: DataFrame, top_k: int = 1000, *,
     hits = dtok.select("docid", "dl", F.explode("toks").alias("term")).join(vocab, "term")
     # postings of the query vocabulary, materialised once (shared checkpoint folder):
     # both df and scoring read it, and lineage to the corpus scan is cut
-    tf = hits.groupBy("docid", "term", "dl").agg(F.count(F.lit(1)).alias("tf")).checkpoint(eager=True)
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    postings = hits.groupBy("docid", "term", "dl").agg(F.count(F.lit(1)).alias("tf")).checkpoint(eager=True)
+    # scoring reads the postings partitioned by docid: the per-(query, doc) sum then
+    # aggregates in place (docid partitioning clusters (qid, docid)), so the fan-out of
+    # each posting to the queries that contain its term is never shuffled
+    tf = postings.repartition("docid")
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(n_docs) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     weights = qterms.join(df, "term").select("qid", "term", (F.col("qtf") * idf).alias("w"))
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))

@@ -31,7 +31,8 @@ def bootstrap_ci(per_query: DataFrame, value: str, *, metric_fn: Callable[[Colum
                  max_broadcast_rows: int = 5_000_000) -> DataFrame:
     """``mean, ci_low, ci_high, n_resamples, confidence`` (percentile CI)."""
     spark = per_query.sparkSession
-    vals = per_query.select("qid", F.col(value).cast("double").alias("v"))
+    # one row per query: materialise once, every later step (count, index, mean) reads it
+    vals = per_query.select("qid", F.col(value).cast("double").alias("v")).checkpoint(eager=True)
     n = vals.count()
     if n == 0:
         raise ValueError("per_query_scores is empty")
@@ -56,7 +57,7 @@ def paired_bootstrap(paired: DataFrame, *, n_resamples: int = 1000, seed: int =
     Returns ``observed_diff, p_value, n_resamples, num_queries``.
     """
     spark = paired.sparkSession
-    d = paired.select("qid", (F.col("a").cast("double") - F.col("b").cast("double")).alias("d"))
+    d = paired.select("qid", (F.col("a").cast("double") - F.col("b").cast("double")).alias("d")).checkpoint(eager=True)
     n = d.count()
     if n == 0:
         raise ValueError("no paired values")

@@ -45,8 +45,14 @@ def t_graded(spark, sf_dir):
     return TF.scan_qrels_graded(spark, X.write_qrels_text(spark, sf_dir))
 
 
-def t_inputs(spark, sf_dir):
-    cands = bm25_first_stage(B.t_queries(spark, sf_dir), B.t_collection(spark, sf_dir), CFG.top_k)
+def t_run(spark, sf_dir, k=1000):
+    """BM25 run of the T binding, materialised once for queries that read it several times."""
+    return bm25_first_stage(B.t_queries(spark, sf_dir), B.t_collection(spark, sf_dir), k).checkpoint(eager=True)
+
+
+def t_inputs(spark, sf_dir, run=None):
+    cands = (run.where(F.col("rank") <= CFG.top_k) if run is not None
+             else bm25_first_stage(B.t_queries(spark, sf_dir), B.t_collection(spark, sf_dir), CFG.top_k))
     pos = MN.positives_by_query(qrels=TR.filter_relevant(t_graded(spark, sf_dir)))
     coll = B.t_collection(spark, sf_dir).select(F.col("id").alias("docid"))
     return cands, pos, coll
@@ -57,15 +63,15 @@ def v_mined(spark, sf_dir):
     return MN.mine_hard_negatives(cands, pos, coll, CFG)
 
 
-def t_mined(spark, sf_dir):
-    cands, pos, coll = t_inputs(spark, sf_dir)
+def t_mined(spark, sf_dir, run=None):
+    cands, pos, coll = t_inputs(spark, sf_dir, run)
     return MN.mine_hard_negatives(cands, pos, coll, CFG)
 
 
-def t_official(spark, sf_dir):
+def t_official(spark, sf_dir, run=None):
     """Official-style T id triples: each judged pair with the query's best BM25 non-positive,
     plus one row per item whose positive id is unknown (dropped when resolving)."""
-    run = bm25_first_stage(B.t_queries(spark, sf_dir), B.t_collection(spark, sf_dir), 1000)
+    run = run if run is not None else bm25_first_stage(B.t_queries(spark, sf_dir), B.t_collection(spark, sf_dir), 1000)
     q = X.t_qrels(spark, sf_dir).select("qid", "docid")
     negs = (MN.exclude_positives(run, q).groupBy("qid")
             .agg(F.min_by("docid", "rank").alias("negative_id")))
@@ -77,15 +83,17 @@ def t_official(spark, sf_dir):
 
 
 def t_mixed(spark, sf_dir):
-    mined = TR.explode_mined(t_mined(spark, sf_dir))
-    return TR.mix_sources(t_official(spark, sf_dir), mined, MIX_RATIO,
+    run = t_run(spark, sf_dir)
+    mined = TR.explode_mined(t_mined(spark, sf_dir, run))
+    return TR.mix_sources(t_official(spark, sf_dir, run), mined, MIX_RATIO,
                           official_order=F.struct("query_id", "positive_id"),
                           mined_order=F.struct("query_id", "positive_id", "neg_pos"))
 
 
 def t_built(spark, sf_dir, cap=MAX_TRIPLES):
-    mined = TR.explode_mined(t_mined(spark, sf_dir))
-    return TR.build_triples(t_official(spark, sf_dir), mined, B.t_queries(spark, sf_dir),
+    run = t_run(spark, sf_dir)
+    mined = TR.explode_mined(t_mined(spark, sf_dir, run))
+    return TR.build_triples(t_official(spark, sf_dir, run), mined, B.t_queries(spark, sf_dir),
                             B.t_collection(spark, sf_dir), ratio_official=MIX_RATIO, max_triples=cap,
                             official_order=F.struct("query_id", "positive_id"),
                             mined_order=F.struct("query_id", "positive_id", "neg_pos"))
