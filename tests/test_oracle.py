@@ -55,3 +55,4 @@ def test_every_query_is_registered_with_sql_or_rows_only():
     qs = ENTRY.queries()
     rows_only = set(qs) - set(_SQL)
     assert rows_only == {"calibrate_scores", "knn_join_ivf", "knn_recall"}
+    assert len(qs) >= 90

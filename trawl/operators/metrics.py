@@ -140,3 +140,37 @@ def variant_gap(per_query_a: DataFrame, per_query_b: DataFrame, metric: str = "m
                  F.round(F.abs(F.avg("_a") - F.avg("_b")), _DIGITS).alias("gap"),
                  F.count(F.lit(1)).alias("num_pairs")).withColumn(
         "passed", F.col("gap") < F.lit(threshold))
+
+
+def _joined(ranked: DataFrame, ideal: DataFrame) -> DataFrame:
+    return ranked.join(ideal, "qid")
+
+
+def ndcg_at_k(ranked: DataFrame, ideal: DataFrame, k: int = 10) -> DataFrame:
+    """E2 alone: ``qid, ndcg_at_10`` — DCG of the top k over the ideal DCG of all judged docs
+    (``ideal.idcg_10`` holds the ideal for k = 10)."""
+    if k != 10:
+        raise ValueError("ideal tables carry idcg_10; build them with cutoff=k for other k")
+    per = ranked.groupBy("qid").agg(
+        F.sum(F.when(F.col("rank") <= k, F.col("gain") / _discount(F.col("rank")))).alias("_dcg"))
+    return per.join(ideal, "qid").select(
+        "qid", F.round(F.coalesce(F.col("_dcg") / F.col("idcg_10"), F.lit(0.0)), _DIGITS).alias("ndcg_at_10"))
+
+
+def average_precision(ranked: DataFrame, ideal: DataFrame) -> DataFrame:
+    """E3 alone: ``qid, map`` — sum of precision at each relevant rank over the judged relevant count."""
+    w = (Window.partitionBy("qid").orderBy("rank")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rel = F.col("gain") > 0
+    x = ranked.withColumn("_cum", F.sum(rel.cast("int")).over(w))
+    per = x.groupBy("qid").agg(F.sum(F.when(rel, F.col("_cum") / F.col("rank"))).alias("_ap"))
+    return per.join(ideal, "qid").select(
+        "qid", F.round(F.coalesce(F.col("_ap") / F.col("num_rel"), F.lit(0.0)), _DIGITS).alias("map"))
+
+
+def recall_at_k(ranked: DataFrame, ideal: DataFrame, ks: tuple[int, ...] = (100, 1000)) -> DataFrame:
+    """E4 alone: ``qid, recall_at_<k>...`` — relevant retrieved in the top k over judged relevant."""
+    rel = F.col("gain") > 0
+    per = ranked.groupBy("qid").agg(*[F.count_if(rel & (F.col("rank") <= k)).alias(f"_h{k}") for k in ks])
+    return per.join(ideal, "qid").select(
+        "qid", *[F.round(F.col(f"_h{k}") / F.col("num_rel"), _DIGITS).alias(f"recall_at_{k}") for k in ks])

@@ -177,3 +177,14 @@ def sample_queries(top1: DataFrame, queries: DataFrame, passages: DataFrame, n:
     p = passages.select(F.col("id").alias("docid"), F.col("text").alias("passage"))
     return (picked.join(q, "qid").join(p, "docid")
             .select("qid", "docid", "query", "passage", F.col("score").alias("score_saved")))
+
+
+def ece(pairs: DataFrame, n_bins: int = 10) -> DataFrame:
+    """C2 alone: ``ece, n``."""
+    return ece_brier(pairs, n_bins).select("ece", "n")
+
+
+def brier(pairs: DataFrame) -> DataFrame:
+    """C3 alone: ``brier`` = mean squared difference between score and label."""
+    return pairs.agg(F.round(F.avg(F.pow(F.col("score") - F.col("is_pos").cast("double"), 2)), _DIGITS)
+                     .alias("brier"))

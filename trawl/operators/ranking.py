@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from trawl.operators.joins import candidate_pairs
 from trawl.operators.knn import rank_topk
@@ -38,7 +39,7 @@ def score_pairs(pairs: DataFrame, scorer: Callable | None = None, *, batch: bool
     scorer = scorer or token_overlap
     if not batch:
         return pairs.withColumn("score", scorer(F.col(query_col), F.col(passage_col)).cast("double"))
-    out_schema = pairs.schema.add("score", "double")
+    out_schema = StructType([*pairs.schema.fields, StructField("score", DoubleType())])
 
     def run(it):
         for pdf in it:
@@ -110,3 +111,18 @@ def worst_cases(drops: DataFrame, n: int = 3, col: str = "drop") -> DataFrame:
 
 
 _ = pd
+
+
+def jaccard_batch_scorer(pairs: list[tuple[str, str]]) -> list[float]:
+    """Example batch scorer (the shape of a cross-encoder's ``predict``): token-set Jaccard
+    similarity of query and passage, computed in Python for one Arrow batch of pairs."""
+    import regex
+
+    tok = regex.compile(r"[\p{L}\p{N}]+")
+    out = []
+    for q, p in pairs:
+        a = set(tok.findall((q or "").lower()))
+        b = set(tok.findall((p or "").lower()))
+        u = a | b
+        out.append(len(a & b) / len(u) if u else 0.0)
+    return out

@@ -47,3 +47,21 @@ SELECT qid, mrr_at_10 FROM pq""")
 def mrr_at_k(spark, sf_dir):
     run = E.v_labelled_run(spark, sf_dir, K)
     return M.mrr_at_k(run, 10).join(E.v_ideal(spark, sf_dir).select("qid"), "qid")
+
+
+@register("ndcg_at_10", f"""{E.sql_v_per_query_ctes(K)}
+SELECT qid, ndcg_at_10 FROM pq""")
+def ndcg_at_10(spark, sf_dir):
+    return M.ndcg_at_k(E.v_labelled_run(spark, sf_dir, K), E.v_ideal(spark, sf_dir), 10)
+
+
+@register("average_precision", f"""{E.sql_v_per_query_ctes(K)}
+SELECT qid, map FROM pq""")
+def average_precision(spark, sf_dir):
+    return M.average_precision(E.v_labelled_run(spark, sf_dir, K), E.v_ideal(spark, sf_dir))
+
+
+@register("recall_at_k", f"""{E.sql_v_per_query_ctes(K)}
+SELECT qid, recall_at_100, recall_at_1000 FROM pq""")
+def recall_at_k(spark, sf_dir):
+    return M.recall_at_k(E.v_labelled_run(spark, sf_dir, K), E.v_ideal(spark, sf_dir), (100, 1000))

@@ -94,6 +94,21 @@ def ece_brier(spark, sf_dir):
     return Q.ece_brier(B.c_labelled_docs(spark, sf_dir))
 
 
+@register("ece", f"""WITH {SQL_CB},
+per AS (SELECT bin, count(*) AS nb, abs(avg(score) - avg(is_pos::INTEGER::DOUBLE)) AS g FROM cb
+        WHERE bin IS NOT NULL GROUP BY bin),
+tot AS (SELECT count(*) AS n FROM cdocs)
+SELECT round(coalesce((SELECT sum(nb / n * g) FROM per, tot), 0.0), 6) AS ece, n FROM tot""")
+def ece(spark, sf_dir):
+    return Q.ece(B.c_labelled_docs(spark, sf_dir))
+
+
+@register("brier", f"""WITH {B.SQL_C}
+SELECT round(avg(pow(score - is_pos::INTEGER::DOUBLE, 2)), 6) AS brier FROM cdocs""")
+def brier(spark, sf_dir):
+    return Q.brier(B.c_labelled_docs(spark, sf_dir))
+
+
 @register("class_score_gap", f"""WITH {B.SQL_C}
 SELECT round(avg(score) FILTER (WHERE is_pos), 6) AS pos_mean, round(avg(score) FILTER (WHERE NOT is_pos), 6) AS neg_mean,
        round(avg(score) FILTER (WHERE is_pos) - avg(score) FILTER (WHERE NOT is_pos), 6) AS gap FROM cdocs""")
@@ -208,6 +223,33 @@ def score_pairs_q(spark, sf_dir):
     return score_pairs(u_pairs(spark, sf_dir)).select("conv_id", "turn", "score")
 
 
+@register("score_pairs_batch", f"""WITH {G.SQL_U_PAIRS},
+t AS (SELECT conv_id, turn, list_distinct({G.tok('query')}) AS a, list_distinct({G.tok('passage')}) AS b FROM up)
+SELECT conv_id, turn,
+       round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0
+                  ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6)::DOUBLE AS score
+FROM t""")
+def score_pairs_batch(spark, sf_dir):
+    from trawl.operators.ranking import jaccard_batch_scorer
+
+    scored = score_pairs(u_pairs(spark, sf_dir), jaccard_batch_scorer, batch=True)
+    return scored.select("conv_id", "turn", F.round("score", 6).alias("score"))
+
+
+@register("bootstrap_ci_median", f"""{E.sql_v_per_query_ctes(E.EVAL_TOP_K)},
+ix AS (SELECT ndcg_at_10 AS v, row_number() OVER (ORDER BY qid) - 1 AS idx FROM pq),
+nn AS (SELECT count(*) AS n FROM ix),
+{_sql_draws('nn')},
+res AS (SELECT b, median(v) AS m FROM dr JOIN ix ON dr.idx = ix.idx GROUP BY b)
+SELECT round((SELECT median(v) FROM ix), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_low,
+       round(quantile_cont(m, 0.975), 6) AS ci_high, {B_RESAMPLES} AS n_resamples, 0.95::DOUBLE AS confidence
+FROM res""")
+def bootstrap_ci_median(spark, sf_dir):
+    """T1 with a pluggable statistic: the median nDCG@10 (``metric_fn`` = any aggregate Column)."""
+    return S.bootstrap_ci(E.v_per_query(spark, sf_dir), "ndcg_at_10", metric_fn=F.median,
+                          n_resamples=B_RESAMPLES, seed=SEED)
+
+
 _UPP = G.perturbations("query", SEED, ["conv_id", "turn"])
 SQL_DROPS = f"""{G.SQL_U_PAIRS},
 orig AS (SELECT conv_id, turn, {G.overlap('query', 'passage')} AS orig_score FROM up),

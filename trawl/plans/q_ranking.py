@@ -363,3 +363,19 @@ def check_row_counts(spark, sf_dir):
 
 
 _ = (SQL_DROPS, Q)
+
+
+# ---- streaming: resumable scoring of candidate files ----------------------------------------
+@register("stream_score_pairs", f"""WITH {sql_bm25()}
+SELECT t.qid, t.docid, round({G.overlap('b.text', 'd.text')}, 6)::DOUBLE AS score
+FROM bm t JOIN benchmark b ON t.qid = b.item_id JOIN documents d ON t.docid = d.doc_id WHERE t.rank <= 100""")
+def stream_score_pairs(spark, sf_dir):
+    from trawl.streaming.incremental import stream_score
+
+    q, c = B.t_queries(spark, sf_dir), B.t_collection(spark, sf_dir)
+    cands = J.candidate_pairs(bm25_first_stage(q, c, 100).select("qid", "docid"), q, c)
+    base = scratch_dir(spark, "stream")
+    # candidate files land in chunks (by query hash), as a long scoring job would receive them
+    cands.repartition(4, "qid").write.mode("overwrite").parquet(f"{base}/candidates")
+    return stream_score(spark, f"{base}/candidates", f"{base}/scores", f"{base}/checkpoint",
+                        cands.schema, max_files_per_trigger=1)
