@@ -147,7 +147,12 @@ def train_centroids(passages: DataFrame, nlist: int, *, seed: int = 42,
 
     n = passages.count()
     frac = min(1.0, max_train / max(n, 1))
-    sample = passages if frac >= 1.0 else passages.sample(False, frac, seed)
+    # deterministic sample and partition contents (a seeded hash of the id, range
+    # partitions by id), so the seeded KMeans gives the same centroids on every run
+    sample = passages if frac >= 1.0 else passages.where(
+        F.pmod(F.xxhash64(F.col("docid"), F.lit(seed)), F.lit(1_000_000)) < F.lit(int(frac * 1_000_000)))
+    parts = max(passages.sparkSession.sparkContext.defaultParallelism, math.ceil(n * frac / 100_000))
+    sample = sample.repartitionByRange(parts, "docid").sortWithinPartitions("docid")
     feats = sample.select(array_to_vector(F.col("dvec")).alias("features"))
     km = KMeans(k=min(nlist, n), seed=seed, maxIter=20, initMode="k-means||")
     model = km.fit(feats)
