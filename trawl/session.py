@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -39,17 +40,48 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``trawl`` importable in the Python workers (pandas UDFs, cogroup kernels).
+
+    The package is zipped once per SparkContext and handed to ``addPyFile``, which
+    distributes it to every executor (the driver-side zip is only the upload source).
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    ckpt = sc.getCheckpointDir() or ""
+    local_ckpt = ckpt[len("file:"):] if ckpt.startswith("file:") else ("" if "://" in ckpt else ckpt)
+    base = local_ckpt if local_ckpt and os.path.isdir(local_ckpt) else tempfile.mkdtemp(prefix="trawl-py-")
+    path = os.path.join(base, f"trawl-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only if none is configured."""
+    """Return the shared checkpoint folder (create a local one only if none is configured)
+    and make sure the workers can import this package."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
+        ship_package(spark)
         return current
     configured = spark.conf.get(_CHECKPOINT_KEY, None) or sc.getConf().get(_CHECKPOINT_KEY, None)
     if not configured:
         # unset: this is a local test session, so a fresh temp folder is the shared folder
         configured = tempfile.mkdtemp(prefix="trawl-ckpt-")
     sc.setCheckpointDir(configured)
+    ship_package(spark)
     return sc.getCheckpointDir() or configured
 
 
