@@ -240,23 +240,33 @@ def metric_drop(spark, sf_dir):
 
 # ---- C10 release gate --------------------------------------------------------------------
 def gate_metrics(spark, sf_dir):
+    """Long ``system, metric, value`` table for the release gate, computed per system with
+    grouped aggregates over the union of the systems' runs (no per-system plans)."""
     ranked = _t_ranked_by_system(spark, sf_dir).checkpoint(eager=True)
     qrels = X.t_qrels(spark, sf_dir)
-    rows = []
-    mrr = {}
-    for sysname in ("bm25", "overlap"):
-        run = ranked.where(F.col("system") == sysname).drop("system")
-        mrr[sysname] = _t_mrr_judged(run, qrels).agg(F.avg("mrr_at_10").alias("v"))
-        pr = R.pass_rate_top3(run, qrels).select(F.col("pass_rate").alias("v"))
-        lab = M.label_pairs(run, qrels).select("score", "is_pos")
-        ece = Q.ece_brier(lab).select(F.col("ece").alias("v"))
-        rows += [pr.select(F.lit(sysname).alias("system"), F.lit("qualitative_pass_rate").alias("metric"), "v"),
-                 ece.select(F.lit(sysname).alias("system"), F.lit("ece").alias("metric"), "v")]
-    base = scalars(mrr["bm25"])["v"]
-    for sysname in ("bm25", "overlap"):
-        g = mrr[sysname].select(F.lit(sysname).alias("system"), F.lit("mrr10_gain_over_baseline").alias("metric"),
-                                (F.col("v") - F.lit(base)).alias("v"))
-        rows.append(g)
+    lab = M.label_pairs(ranked, qrels)
+    judged = qrels.select("qid").distinct()
+    systems = ["bm25", "overlap"]
+    # every judged query under every system (a query without candidates scores 0)
+    grid = judged.select("qid", F.explode(F.array(*[F.lit(x) for x in systems])).alias("system"))
+    per_q = (grid.join(lab, ["system", "qid"], "left").groupBy("system", "qid").agg(
+        F.round(F.coalesce(F.lit(1.0) / F.min(F.when(F.col("is_pos") & (F.col("rank") <= 10), F.col("rank"))),
+                           F.lit(0.0)), 6).alias("mrr"),
+        F.coalesce(F.max(F.when(F.col("is_pos") & (F.col("rank") <= 3), F.lit(1))), F.lit(0)).alias("hit3")))
+    by_sys = per_q.groupBy("system").agg(F.avg("mrr").alias("mrr"),
+                                         F.round(F.avg(F.col("hit3").cast("double")), 6).alias("pass_rate"))
+    base = scalars(by_sys.where(F.col("system") == "bm25").select("mrr"))["mrr"]
+    n_sys = lab.groupBy("system").agg(F.count(F.lit(1)).alias("n"))
+    bins = (lab.select("system", Q.bin_index(F.col("score")).alias("bin"), "score", "is_pos")
+            .where(F.col("bin").isNotNull()).groupBy("system", "bin")
+            .agg(F.count(F.lit(1)).alias("nb"),
+                 F.abs(F.avg("score") - F.avg(F.col("is_pos").cast("double"))).alias("g")))
+    ece = (n_sys.join(bins, "system", "left").groupBy("system")
+           .agg(F.round(F.coalesce(F.sum(F.col("nb") / F.col("n") * F.col("g")), F.lit(0.0)), 6).alias("v")))
+    rows = [by_sys.select("system", F.lit("qualitative_pass_rate").alias("metric"), F.col("pass_rate").alias("v")),
+            ece.select("system", F.lit("ece").alias("metric"), "v"),
+            by_sys.select("system", F.lit("mrr10_gain_over_baseline").alias("metric"),
+                          (F.col("mrr") - F.lit(base)).alias("v"))]
     orig, pert = _drop_inputs(spark, sf_dir)
     drops = Q.score_drop(orig, pert, ["conv_id", "turn"], TX.SCORE_DROP_THRESHOLD)
     rob = drops.select(
