@@ -30,9 +30,14 @@ _ROUND = 9
 
 
 def _local_topk(k: int, exclude_self: bool):
-    """cogroup body: score one (query block, passage block) pair, keep local top-k."""
+    """Group body: score one (query block, passage block) pair, keep local top-k.
 
-    def run(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+    The group holds both sides, tagged by ``_isq`` (True = query row)."""
+
+    def run(both: pd.DataFrame) -> pd.DataFrame:
+        isq = both["_isq"].to_numpy(bool)
+        qdf = both.loc[isq, ["_id", "_vec"]].rename(columns={"_id": "qid", "_vec": "qvec"})
+        pdf = both.loc[~isq, ["_id", "_vec"]].rename(columns={"_id": "docid", "_vec": "dvec"})
         if qdf.empty or pdf.empty:
             return pd.DataFrame({"qid": pd.Series([], "int64"), "docid": pd.Series([], "int64"),
                                  "score": pd.Series([], "float64")})
@@ -107,9 +112,21 @@ def blocked_topk(queries: DataFrame, passages: DataFrame, k: int, *, keys: list[
              .withColumn("_qs", F.explode(F.sequence(F.lit(0), F.col("_qb") - 1))))
     q = q.select(*keys, "_qs", "_ps", "qid", "qvec")
     p = p.select(*keys, "_qs", "_ps", "docid", "dvec")
+    # both sides in one frame, tagged, so one grouped kernel sees a (query block,
+    # passage block) pair per group
+    both = (q.select(*keys, "_qs", "_ps", F.col("qid").alias("_id"), F.col("qvec").alias("_vec"),
+                     F.lit(True).alias("_isq"))
+            .unionByName(p.select(*keys, "_qs", "_ps", F.col("docid").alias("_id"), F.col("dvec").alias("_vec"),
+                                  F.lit(False).alias("_isq"))))
+    if keys == ["_key"]:
+        # Partition by query block only; that already clusters (key, query block,
+        # passage block), so the grouping adds no exchange. One task then streams every
+        # passage block of its query blocks group by group, and the partial
+        # WindowGroupLimit after the kernel merges them: only k rows per query leave
+        # the task instead of k per (query, passage block).
+        both = both.repartition(max(qb, 1), "_qs")
     group = [*keys, "_qs", "_ps"]
-    local = q.groupBy(*group).cogroup(p.groupBy(*group)).applyInPandas(
-        _local_topk(k, exclude_self), _SCORED_SCHEMA)
+    local = both.groupBy(*group).applyInPandas(_local_topk(k, exclude_self), _SCORED_SCHEMA)
     return rank_topk(local.withColumn("score", F.round("score", _ROUND)), k)
 
 
