@@ -22,8 +22,12 @@ OFFSET = 1_000_000_000  # docid offset of the extra 5-field qrels line per item
 
 
 def t_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T binding judgments: ``qid, docid, rel`` (document contains item text)."""
-    return containment_qrels(B.t_queries(spark, sf_dir), B.t_collection(spark, sf_dir))
+    """T binding judgments: ``qid, docid, rel`` (document contains item text).
+
+    Judgments are few next to the corpus they are derived from, and queries read them in
+    several branches (labels, ideal DCG, judged-query sets), so they are materialised
+    once instead of re-scanning the collection per branch."""
+    return containment_qrels(B.t_queries(spark, sf_dir), B.t_collection(spark, sf_dir)).checkpoint(eager=True)
 
 
 def write_qrels_text(spark: SparkSession, sf_dir: str) -> str:
