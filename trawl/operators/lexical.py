@@ -41,7 +41,8 @@ def bm25_first_stage(queries: DataFrame, docs: DataFrame, top_k: int = 1000, *,
                      b: float = BM25_B, digits: int = 6, max_broadcast_terms: int = 2_000_000) -> DataFrame:
     """``qid, docid, score, rank`` — BM25 top-k per query over ``docs(id, text)``.
 
-    Plan: the collection statistics (N, avgdl) are one global aggregate. Term hits are
+    Queries with the same token multiset are scored once and their ranked list is
+    shared. Plan: the collection statistics (N, avgdl) are one global aggregate. Term hits are
     restricted to the query vocabulary by a broadcast hash join before any shuffle, tf is
     aggregated per (doc, term) with map-side partial aggregation and checkpointed (the
     query-vocabulary postings), df is aggregated from it per term, and the per-(query,
@@ -53,7 +54,13 @@ def bm25_first_stage(queries: DataFrame, docs: DataFrame, top_k: int = 1000, *,
     # collection statistics: one global aggregate, two scalars to the driver
     st = dtok.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     n_docs, avgdl = float(st["n"]), float(st["avgdl"] or 1.0)
-    qterms = (queries.select(F.col("id").alias("qid"), F.explode(tokens(F.col("text"))).alias("term"))
+    # identical queries (same token multiset) are scored once: each distinct bag gets a
+    # representative id ("qid" below), results fan back out to every query id at the end
+    qtok = queries.select(F.col("id").alias("orig_qid"), tokens(F.col("text")).alias("toks"))
+    qtok = qtok.withColumn("bag", F.array_join(F.array_sort("toks"), " "))
+    reps = qtok.groupBy("bag").agg(F.min("orig_qid").alias("qid"), F.first("toks").alias("toks"))
+    members = qtok.select("orig_qid", "bag").join(reps.select("bag", "qid"), "bag").select("orig_qid", "qid")
+    qterms = (reps.select("qid", F.explode("toks").alias("term"))
               .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
     # weights and vocabulary have at most as many rows as (query, term) pairs: one cheap
     # check on the query side bounds both broadcasts
@@ -76,7 +83,10 @@ def bm25_first_stage(queries: DataFrame, docs: DataFrame, top_k: int = 1000, *,
                .select("qid", "docid", (F.col("w") * F.col("tf") * F.lit(k1 + 1.0)
                                         / (F.col("tf") + norm)).alias("s")))
     scored = contrib.groupBy("qid", "docid").agg(F.round(F.sum("s"), digits).alias("score"))
-    return rank_topk(scored, top_k)
+    top = rank_topk(scored, top_k)
+    # fan out: every query id receives its bag's ranked list (k rows per query id)
+    return (broadcast_if_small(members, max_broadcast_terms).join(top, "qid")
+            .select(F.col("orig_qid").alias("qid"), "docid", "score", "rank"))
 
 
 def containment_qrels(items: DataFrame, docs: DataFrame, *, max_fallback_items: int = 100_000) -> DataFrame:
