@@ -1,7 +1,5 @@
 """Hand-checked cases (FIXTURES.md §3) on tiny DataFrames."""
 
-import math
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,11 +72,6 @@ def test_format_ci(spark):
     assert "0.523" in r and "0.412" in r and "0.636" in r and "CI 95%" in r
 
 
-def _manifest(spark, tmp_tables):
-    path = scratch_dir(spark, "test-manifest")
-    return path
-
-
 def test_snapshot_manifest_keeps_history_and_row_counts(spark, sf0001):
     tables = {"region": f"{sf0001}/region.parquet", "nation": f"{sf0001}/nation.parquet"}
     path = scratch_dir(spark, "test-manifest")
@@ -228,5 +221,3 @@ def test_synthetic_qrels_one_per_query_in_first_ids(spark):
     r = MN.synthetic_qrels(q, c, first_n=1000).collect()
     assert len(r) == 20 and all(0 <= x.docid < 1000 for x in r)
 
-
-_ = math

@@ -14,8 +14,6 @@ terms, never a nested loop over (query, document):
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,5 +125,3 @@ def idf_table(docs: DataFrame) -> DataFrame:
     return df.withColumn("idf", F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + F.lit(0.5))
                                       / (F.col("df") + F.lit(0.5))))
 
-
-_ = math

@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -110,8 +109,6 @@ def worst_cases(drops: DataFrame, n: int = 3, col: str = "drop") -> DataFrame:
     return drops.orderBy(F.col(col).desc(), F.col("qid").asc()).limit(n)
 
 
-_ = pd
-
 
 def jaccard_batch_scorer(pairs: list[tuple[str, str]]) -> list[float]:
     """Example batch scorer (the shape of a cross-encoder's ``predict``): token-set Jaccard

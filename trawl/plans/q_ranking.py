@@ -372,8 +372,6 @@ def check_row_counts(spark, sf_dir):
     return SK.check_row_counts(spark, path, expected)
 
 
-_ = (SQL_DROPS, Q)
-
 
 # ---- streaming: resumable scoring of candidate files ----------------------------------------
 @register("stream_score_pairs", f"""WITH {sql_bm25()}
