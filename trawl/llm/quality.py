@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from trawl.llm.arrays import mix, row_sums, word_rows
 from trawl.llm.labelled import labelled_sample
+from trawl.session import scratch_dir
 
 BITS = 18
-#: Most labelled documents that the model is fitted on, and the shards that fit in parallel.
-SAMPLE, SHARDS, EPOCHS = 24_000, 8, 3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.2, 0.5
+#: Most labelled documents that the model is fitted on; shards that fit in parallel, and
+#: rounds after which their states are averaged.
+SAMPLE, SHARDS, ROUNDS = 16_000, 4, 4
+ALPHA, BETA, L1, L2 = 10.0, 0.2, 0.01, 0.01
 
 
 def features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -58,24 +60,51 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(sample: DataFrame) -> np.ndarray:
-    """Weights (float32, 2^BITS + 1) fitted on (doc_id, text, label): each shard runs FTRL
-    over its rows, and the shards' weights are averaged. No rows: all zero."""
+def _round(state, turn: int):
+    """One shard's pass: from the broadcast state over its rows, in an order drawn by turn."""
     def shard(table: pa.Table) -> pa.Table:
-        model = Ftrl()
+        own = Ftrl()
+        own.z, own.n = state.value[0].copy(), state.value[1].copy()
         table = table.sort_by("doc_id")
-        texts, labels = table.column("text").combine_chunks(), table.column("label").to_pylist()
-        rows = [(at[ptr[i]:ptr[i + 1]], labels[lo + i]) for lo, hi, at, ptr in features(texts) for i in range(hi - lo)]
-        rng = np.random.default_rng(7)
-        for _ in range(EPOCHS):
-            for k in rng.permutation(len(rows)):
-                model.update(*rows[k])
-        return pa.table({"rows": pa.array([len(rows)], pa.int64()), "w": pa.array([model.weights().astype("<f4").tobytes()], pa.binary())})
-
-    found = (sample.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARDS)))
-             .groupBy("shard").applyInArrow(lambda t: shard(t.drop_columns("shard")), "rows long, w binary").collect())  # SHARDS rows
-    total = sum(r.rows for r in found)
-    return sum((np.frombuffer(r.w, "<f4") * (r.rows / total) for r in found), np.zeros((1 << BITS) + 1, np.float32)).astype(np.float32)
+        at = [np.frombuffer(x, "<i4") for x in table.column("at").to_pylist()]
+        labels = table.column("label").to_pylist()
+        for k in np.random.default_rng(turn).permutation(len(at)):
+            own.update(at[k], labels[k])
+        return pa.table({"rows": pa.array([len(at)], pa.int64()), "z": pa.array([own.z.tobytes()], pa.binary()),
+                         "n": pa.array([own.n.tobytes()], pa.binary())})
+
+    return shard
+
+
+def fit(sample: DataFrame) -> np.ndarray:
+    """Weights (float32, 2^BITS + 1) fitted on (doc_id, text, label).
+
+    In each round every shard runs FTRL over its rows from the common state, and the
+    shards' states are averaged by their row counts. No rows: all zero.
+    """
+    spark = sample.sparkSession
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [at[ptr[i]:ptr[i + 1]].astype("<i4").tobytes() for lo, hi, at, ptr in features(batch.column(2)) for i in range(hi - lo)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "label", "at"])
+
+    path = scratch_dir(spark, "features")
+    sample.select(F.col("doc_id").cast("long"), F.col("label").cast("int"), "text").mapInArrow(
+        featured, "doc_id long, label int, at binary").write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARDS)))
+    model = Ftrl()
+    for turn in range(ROUNDS):
+        state = spark.sparkContext.broadcast((model.z, model.n))  # 4 MB
+
+        found = rows.groupBy("shard").applyInArrow(_round(state, turn), "rows long, z binary, n binary").collect()  # SHARDS rows of 4 MB
+        total = sum(r.rows for r in found)
+        if not total:
+            break
+        model.z = sum(np.frombuffer(r.z) * (r.rows / total) for r in found)
+        model.n = sum(np.frombuffer(r.n) * (r.rows / total) for r in found)
+        state.unpersist()
+    return model.weights().astype(np.float32)
 
 
 def quality_scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:

@@ -9,9 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import byte_bpe, pii, quality, toxicity
+from trawl.llm import byte_bpe, huffman, near_dedup, packing, pii, quality, tokens, toxicity
 from trawl.llm import exact_dedup as exact
 from trawl.llm.labelled import id_remainder
+from trawl.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,6 +49,38 @@ def quality_scores(spark, sf_dir):
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op5_minmax_dedup")
+def near_groups(spark, sf_dir):
+    return near_dedup.near_groups(table(spark, sf_dir, "documents")).drop("row_id")
+
+
+@query("op6_packing")
+def packed(spark, sf_dir):
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """Tokenise, close each document with id 1, pack; one row per piece."""
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    ids = tokens.encode(exact.with_rows(docs), vocabulary, end_id=1, keep=("doc_id", "row_id"))
+    with open(vocabulary, encoding="utf-8") as f:
+        dtype = tokens.id_type(f.read())
+    return packing.pack(ids, packing.groups_for(docs), dtype).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op8_huffman_ids")
+def huffman_ids(spark, sf_dir):
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    path = scratch_dir(spark, "ids")
+    ids = tokens.encode(exact.with_rows(table(spark, sf_dir, "documents")), vocabulary, end_id=2, keep=("doc_id", "row_id"))
+    ids.write.option("compression", "zstd").parquet(f"{path}/encoded")
+    with open(vocabulary, encoding="utf-8") as f:
+        dtype = tokens.id_type(f.read())
+    huffman.write_files(spark.read.parquet(f"{path}/encoded"), f"{path}/files", dtype)
+    return huffman.read_files(spark, f"{path}/files").select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query("op7_exact_dedup", r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
 g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)

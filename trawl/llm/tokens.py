@@ -32,8 +32,17 @@ def byte_characters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
-def encoder(vocabulary: str) -> Callable[[bytes], bytes]:
-    """A function from UTF-8 text to its ids as little-endian unsigned 32-bit integers.
+def id_type(vocabulary: str) -> str:
+    """The narrowest little-endian type that holds every id of a tokenizers JSON file."""
+    import json
+
+    content = json.loads(vocabulary)
+    last = max([*content["model"]["vocab"].values(), *(t["id"] for t in content["added_tokens"])])
+    return "<u2" if last < 1 << 16 else "<u4"
+
+
+def encoder(vocabulary: str, dtype: str = "<u4") -> Callable[[bytes], bytes]:
+    """A function from UTF-8 text to the bytes of its ids, each of type ``dtype``.
 
     ``vocabulary``: content of a tokenizers JSON file. Special tokens' strings in a text
     are ordinary text.
@@ -55,14 +64,14 @@ def encoder(vocabulary: str) -> Callable[[bytes], bytes]:
         if ids is None:
             if len(pieces) >= CACHE:
                 pieces.clear()
-            ids = pieces[p] = np.array([t.id for t in model.tokenize(p.translate(table))], "<u4").tobytes()
+            ids = pieces[p] = np.array([t.id for t in model.tokenize(p.translate(table))], dtype).tobytes()
         return ids
 
     def word(w: str) -> bytes:
         if _SIMPLE.fullmatch(w):
             found = _PIECES.findall(w.lower())
             return piece(found[0]) if len(found) == 1 else b"".join(map(piece, found))
-        return np.array(whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(whole.encode(w, add_special_tokens=False).ids, dtype).tobytes()
 
     def encode(text: bytes) -> bytes:
         chunks = text.split()
@@ -84,24 +93,26 @@ def encoder(vocabulary: str) -> Callable[[bytes], bytes]:
 def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", end_id: int | None = None,
            keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per row of ``docs``: the ``keep`` columns, ``ids`` (binary, little-endian
-    unsigned 32-bit) and ``n_tokens``; ``end_id`` is appended to every row.
+    unsigned integers of ``id_type``) and ``n_tokens``; ``end_id`` is appended to every row.
 
     Null texts count as empty; repeated rows stay; other columns are not read.
     ``vocabulary`` is the path of a tokenizers JSON file; its content (a few MB, of fixed
     size) is broadcast, so executors need no such file.
     """
     with open(vocabulary, encoding="utf-8") as f:
-        content = docs.sparkSession.sparkContext.broadcast(f.read())
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        raw = f.read()
+    content, dtype = docs.sparkSession.sparkContext.broadcast(raw), id_type(raw)
+    width = np.dtype(dtype).itemsize
+    tail = b"" if end_id is None else np.array([end_id], dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn = encoder(content.value)
+        fn = encoder(content.value, dtype)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):  # ids take more room than texts
                 part = batch.slice(lo, 1000)
                 ids = [fn(t or b"") + tail for t in part.column(len(keep)).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:len(keep)], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())],
+                    [*part.columns[:len(keep)], pa.array(ids, pa.binary()), pa.array([len(x) // width for x in ids], pa.int64())],
                     names=[*keep, "ids", "n_tokens"])
 
     source = docs.select(*keep, text_col)
