@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,12 @@ from trawl.llm.tokens import byte_characters
 CACHE = 500_000
 
 
-def read_ranks(content: bytes) -> list[bytes]:
+def read_ranks(content: bytes) -> tuple[bytes, ...]:
     """The byte strings of a rank file, by id; ids must run from 0 without gaps."""
     found = {int(rank): base64.b64decode(token) for token, rank in (line.split() for line in content.splitlines() if line.strip())}
     if sorted(found) != list(range(len(found))):
         raise ValueError("ranks must run from 0 without gaps")
-    return [found[k] for k in range(len(found))]
+    return tuple(found[k] for k in range(len(found)))
 
 
 def _varint(n: int) -> bytes:
@@ -48,7 +49,7 @@ def _field(number: int, value) -> bytes:
     return _varint(number << 3) + _varint(int(value))
 
 
-def serialise(tokens: list[bytes]) -> bytes:
+def serialise(tokens: tuple[bytes, ...]) -> bytes:
     """A sentencepiece BPE model of the tokens; an unknown piece follows the last token."""
     chars = byte_characters()
     pieces = [_field(1, _field(1, "".join(chars[b] for b in t).encode()) + _field(2, -float(rank)) + _field(3, 1))
@@ -59,7 +60,8 @@ def serialise(tokens: list[bytes]) -> bytes:
     return b"".join([*pieces, _field(2, trainer), _field(3, normaliser)])
 
 
-def encoder(model: bytes, tokens: list[bytes], pattern: str) -> Callable[[str], bytes]:
+@lru_cache(maxsize=2)  # a Python worker keeps it from task to task
+def encoder(model: bytes, tokens: tuple[bytes, ...], pattern: str) -> Callable[[str], bytes]:
     """A function from text to ids (little-endian unsigned 32-bit).
 
     A text of words with single blanks between them is encoded chunk by chunk (blank and

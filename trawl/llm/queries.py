@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import byte_bpe, huffman, near_dedup, packing, pii, quality, tokens, toxicity
+from trawl.llm import byte_bpe, huffman, near_dedup, neighbours, packing, pii, quality, tokens, toxicity
 from trawl.llm import exact_dedup as exact
 from trawl.llm.labelled import id_remainder
 from trawl.session import scratch_dir
@@ -32,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_prefix_forest")
+def nearest_vectors(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
 @query("op3_byte_bpe")
 def byte_bpe_digests(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -9,7 +9,10 @@ library's BPE model; any other chunk goes through the library's whole chain.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,7 @@ def id_type(vocabulary: str) -> str:
     return "<u2" if last < 1 << 16 else "<u4"
 
 
+@lru_cache(maxsize=2)  # a Python worker keeps it from task to task
 def encoder(vocabulary: str, dtype: str = "<u4") -> Callable[[bytes], bytes]:
     """A function from UTF-8 text to the bytes of its ids, each of type ``dtype``.
 
@@ -59,18 +63,29 @@ def encoder(vocabulary: str, dtype: str = "<u4") -> Callable[[bytes], bytes]:
     pieces: dict[str, bytes] = {}
     words: dict[bytes, bytes] = {}
 
+    code = "H" if dtype == "<u2" else "I"
+
+    def ids_of(p: str) -> bytes:
+        # printable ASCII stands for itself
+        ids = array(code, [t.id for t in model.tokenize(p if p.isascii() and p.isprintable() else p.translate(table))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def piece(p: str) -> bytes:
         ids = pieces.get(p)
         if ids is None:
             if len(pieces) >= CACHE:
                 pieces.clear()
-            ids = pieces[p] = np.array([t.id for t in model.tokenize(p.translate(table))], dtype).tobytes()
+            ids = pieces[p] = ids_of(p)
         return ids
 
     def word(w: str) -> bytes:
+        if w.isascii() and w.isalpha():
+            return ids_of(w.lower())
         if _SIMPLE.fullmatch(w):
             found = _PIECES.findall(w.lower())
-            return piece(found[0]) if len(found) == 1 else b"".join(map(piece, found))
+            return ids_of(found[0]) if len(found) == 1 else b"".join(map(piece, found))
         return np.array(whole.encode(w, add_special_tokens=False).ids, dtype).tobytes()
 
     def encode(text: bytes) -> bytes:
