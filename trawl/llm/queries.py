@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import byte_bpe, huffman, near_dedup, neighbours, packing, pii, quality, tokens, toxicity
+from trawl.llm import byte_bpe, huffman, maxent, near_dedup, neighbours, packing, pii, quality, tokens, toxicity
 from trawl.llm import exact_dedup as exact
 from trawl.llm.labelled import id_remainder
 from trawl.session import scratch_dir
@@ -38,6 +38,11 @@ def nearest_vectors(spark, sf_dir):
     return neighbours.nearest(rows, rows.where("vec_id % 50 = 0"), k=5)
 
 
+@query("op2_maxent")
+def language_scores(spark, sf_dir):
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 @query("op3_byte_bpe")
 def byte_bpe_digests(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
