@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from trawl.llm.arrays import binary_lists, chunks, hashed_words, mix, row_sums, text_buffer
 from trawl.llm.exact_dedup import with_rows
 from trawl.llm.labelled import id_remainder
-from trawl.session import scratch_dir
+from trawl.session import remove_dir, scratch_dir
 
 #: Text bytes of a block of rows; classes in all, and of single frequent tokens.
 BLOCK_BYTES, CLASSES, SINGLES = 12 << 20, 32, 15
@@ -268,10 +268,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
      .withColumn("turn", F.pmod(F.xxhash64("row"), F.lit(ROUNDS)))
      .write.option("compression", "zstd").parquet(f"{path}/coded"))
     coded = spark.read.parquet(f"{path}/coded")
+    remove_dir(spark, f"{path}/blocks")  # only `coded` is read from here on
+    remove_dir(spark, f"{path}/counts")
 
     for turn in range(ROUNDS):
+        # one sum of gradients (9 MB) per core, however many files there are
         slices = (coded.where((F.col("turn") == turn) & ~F.col("held_out")).select("codes", "kinds")
-                  .mapInArrow(_gradients(shared), "slice int, grad binary").withColumn("lot", F.spark_partition_id() % 16))
+                  .coalesce(spark.sparkContext.defaultParallelism).mapInArrow(_gradients(shared), "slice int, grad binary").withColumn("lot", F.spark_partition_id() % 16))
         slices = slices.groupBy("slice", "lot").applyInArrow(_added, "slice int, grad binary")
         found = slices.groupBy("slice").applyInArrow(_added, "slice int, grad binary").orderBy("slice").collect()  # 64 rows, 9 MB
         if found:
