@@ -2,9 +2,11 @@
 
 Under each permutation both the least and the greatest shingle value are kept, so half
 the hash evaluations give a signature of the same length. Bands of two permutations (four
-values) name buckets. Documents of a bucket are compared with pivots on their full
-shingle sets; what a confirmed link has joined is not compared again, and every pair of a
-bucket that no link has joined is compared in the end.
+values) name buckets. The documents of a bucket are first compared with its pivot, the
+document that shares the most buckets with others (in a group of near copies mostly their
+original), on full shingle sets. Where links have not joined all of a bucket, what is left
+over is compared with everything that shares a bucket with it, in blocks of bounded size
+that return links only.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from trawl.session import scratch_dir
 
 #: Words of a shingle, least similarity in hundredths, permutations, and permutations of a band.
 WORDS, SIMILARITY, PERMUTATIONS, BAND = 5, 75, 80, 2
-#: Rounds in which buckets are compared with one pivot each, before all pairs left are.
-PIVOT_ROUNDS = 3
+#: Documents of a block in the comparison of what pivots have not joined.
+CHUNK = 512
 _RNG = np.random.default_rng(977)
 _PLACE = _RNG.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 _A = (_RNG.integers(1, 2**31, PERMUTATIONS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -106,29 +108,70 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-class _Links:
-    """Candidate pairs compared so far and the links found, as tables in the shared folder."""
-
-    def __init__(self, spark, sets: DataFrame):
-        self.spark, self.sets, self.path, self.turns = spark, sets, scratch_dir(spark, "pairs"), 0
-
-    def tested(self) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path}/pairs-{k}" for k in range(self.turns)])
-
-    def links(self) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path}/links-{k}" for k in range(self.turns)])
-
-    def compare(self, pairs: DataFrame) -> None:
-        """Compare the pairs (u, v) not yet compared."""
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        if self.turns:
-            pairs = pairs.join(self.tested(), ["u", "v"], "left_anti")
-        pairs.write.parquet(f"{self.path}/pairs-{self.turns}")
-        pairs = self.spark.read.parquet(f"{self.path}/pairs-{self.turns}")
-        full = (pairs.join(self.sets.select(F.col("row").alias("u"), F.col("shingles").alias("a")), "u")
-                .join(self.sets.select(F.col("row").alias("v"), F.col("shingles").alias("b")), "v"))
-        full.select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long").write.parquet(f"{self.path}/links-{self.turns}")
-        self.turns += 1
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between the left-over rows of one chunk (part 0) and the rows of another
+    (part 1), or among themselves where there is no other."""
+    part, comp, row = (table.column(c).to_numpy() for c in ("part", "comp", "row"))
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+    n = np.array([len(x) for x in sets])
+    ours = np.flatnonzero(part == 0)
+    theirs = np.flatnonzero(part == 1) if table.column("same")[0].as_py() is False else ours
+    theirs = theirs[np.argsort(n[theirs], kind="stable")]
+    sizes = n[theirs]
+    ptr = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.concatenate([sets[t] for t in theirs]) if len(theirs) else np.zeros(0, np.uint64)
+    u, v = [], []
+    for x in ours:
+        lo = int(np.searchsorted(sizes * 100, SIMILARITY * n[x]))  # smaller sets can't be similar enough
+        hi = int(np.searchsorted(sizes * SIMILARITY, 100 * n[x], "right"))
+        if lo >= hi:
+            continue
+        near = flat[ptr[lo]:ptr[hi]]
+        hit = sets[x][np.minimum(np.searchsorted(sets[x], near), n[x] - 1)] == near
+        common = np.add.reduceat(hit.astype(np.int64), ptr[lo:hi] - ptr[lo])
+        for t in theirs[lo:hi][100 * common >= SIMILARITY * (n[x] + sizes[lo:hi] - common)]:
+            if comp[t] != comp[x]:
+                u.append(row[x])
+                v.append(row[t])
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _left_over(members: DataFrame, joined: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) among the rows of buckets that ``joined`` has not made one component.
+
+    Rows outside the component of their bucket's pivot are put together with all rows of
+    the buckets of that component; each of them is compared with all these.
+    """
+    state = members.join(joined, F.col("row") == F.col("node"), "left").select(
+        "key", "row", "n", "degree", F.coalesce("component", "row").alias("comp"))
+    buckets = state.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.min("comp").alias("a"), F.max("comp").alias("b"),
+        F.max_by("comp", F.struct("degree", "row")).alias("home"))
+    # a bucket of two was compared as pivot and other
+    open_buckets = buckets.where("a < b and size > 2").select("key", "home")
+    rows = state.join(open_buckets, "key").select("home", "row", "comp", (F.col("comp") != F.col("home")).alias("out")).distinct()
+    path = scratch_dir(members.sparkSession, "left")
+    rows.write.parquet(f"{path}/rows")
+    rows = members.sparkSession.read.parquet(f"{path}/rows")
+    size = rows.groupBy("home").agg(
+        F.ceil(F.sum(F.col("out").cast("long")) / CHUNK).cast("int").alias("outs"),
+        F.ceil(F.sum((~F.col("out")).cast("long")) / CHUNK).cast("int").alias("ins"))
+    placed = rows.join(size, "home").withColumn("own", F.pmod(F.xxhash64("row"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins"))).cast("int"))
+
+    def steps(n: str):
+        return F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+
+    # left-over chunk i against left-over chunk j >= i (side 0) and against chunk j of the others (side 1)
+    among = F.transform(steps("outs"), lambda j: F.struct(
+        F.least(F.col("own"), j).alias("i"), F.lit(0).alias("side"), F.greatest(F.col("own"), j).alias("j"),
+        F.when(F.col("own") <= j, 0).otherwise(1).alias("part"), (F.col("own") == j).alias("same")))
+    against = F.transform(steps("ins"), lambda j: F.struct(
+        F.col("own").alias("i"), F.lit(1).alias("side"), j.alias("j"), F.lit(0).alias("part"), F.lit(False).alias("same")))
+    joined_by = F.transform(steps("outs"), lambda i: F.struct(
+        i.alias("i"), F.lit(1).alias("side"), F.col("own").alias("j"), F.lit(1).alias("part"), F.lit(False).alias("same")))
+    work = placed.select("home", "row", "comp", F.explode(F.when(F.col("out"), F.concat(among, against)).otherwise(joined_by)).alias("w"))
+    work = work.select("home", "row", "comp", "w.*").join(sets, "row")
+    return work.groupBy("home", "i", "side", "j").applyInArrow(_block_links, "u long, v long")
 
 
 def _alike(n: str, m: str):
@@ -143,8 +186,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     enough; component_id is the smallest id that links reach. Null and empty texts have
     no shingles and are linked with nothing (component_id is their own id). Null ids come
     last in the order of ids; of repeated ids the first row is kept. Other columns are
-    not read. Buckets are joined through pivots, so a group of copies costs comparisons
-    in proportion to its size, not to its square.
+    not read.
     """
     spark = docs.sparkSession
     path = scratch_dir(spark, "near")
@@ -157,36 +199,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes.select(*prints, "first.row", "first.keys").write.parquet(f"{path}/nodes")
     nodes = spark.read.parquet(f"{path}/nodes")
 
-    keyed = nodes.select("row", "n", F.posexplode("keys").alias("band", "key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    keyed.join(shared, "key").write.parquet(f"{path}/members")
+    keyed = nodes.select("row", "n", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    keyed.join(shared, "key").write.parquet(f"{path}/shared")
+    members = spark.read.parquet(f"{path}/shared")
+    degree = members.groupBy("row").agg(F.sum(F.col("size") - 1).alias("degree"))
+    members.drop("size").join(degree, "row").write.parquet(f"{path}/members")
     members = spark.read.parquet(f"{path}/members")
     wanted = members.select("row").distinct()
     rows.select(F.col("row_id").alias("row"), "text").join(wanted, "row", "left_semi").mapInArrow(
         _full_sets, "row long, shingles binary").write.parquet(f"{path}/sets")
-    found = _Links(spark, spark.read.parquet(f"{path}/sets"))
-
-    joined = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        state = members.withColumn("comp", F.col("row")) if joined is None else (
-            members.join(joined, F.col("row") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "row")).drop("node", "component"))
-        if turn:
-            open_keys = state.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
-            state = state.join(open_keys, "key")
-        if turn < PIVOT_ROUNDS:
-            # four orders of pivots, so that the buckets of one group name a few pivots, not one and not all
-            rank = F.xxhash64("row", F.col("band") % 4, F.lit(turn))
-            pivots = state.groupBy("key").agg(F.min_by(F.struct("row", "comp", "n"), rank).alias("p"))
-            pairs = state.join(pivots, "key").where((F.col("comp") != F.col("p.comp")) & _alike("n", "p.n")).select(
-                F.col("row").alias("u"), F.col("p.row").alias("v"))
-        else:
-            other = state.select("key", F.col("row").alias("v"), F.col("comp").alias("comp2"), F.col("n").alias("m"))
-            pairs = state.join(other, "key").where((F.col("row") < F.col("v")) & (F.col("comp") != F.col("comp2")) & _alike("n", "m")).select(
-                F.col("row").alias("u"), "v")
-        found.compare(pairs)
-        linked = components(found.links())
-        linked.write.parquet(f"{path}/joined-{turn}")
-        joined = spark.read.parquet(f"{path}/joined-{turn}")
+    sets = spark.read.parquet(f"{path}/sets")
+
+    pivots = members.groupBy("key").agg(F.max_by(F.struct("row", "n"), F.struct("degree", "row")).alias("p"))
+    pairs = members.join(pivots, "key").where((F.col("row") != F.col("p.row")) & _alike("n", "p.n")).select(
+        F.least("row", "p.row").alias("u"), F.greatest("row", "p.row").alias("v")).distinct()
+    full = pairs.join(sets.select(F.col("row").alias("u"), F.col("shingles").alias("a")), "u").join(
+        sets.select(F.col("row").alias("v"), F.col("shingles").alias("b")), "v")
+    full.select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long").write.parquet(f"{path}/links/0")
+    first = components(spark.read.parquet(f"{path}/links/0"))
+    _left_over(members, first, sets).write.parquet(f"{path}/links/1")
+    components(spark.read.parquet(f"{path}/links/0", f"{path}/links/1")).write.parquet(f"{path}/joined")
+    joined = spark.read.parquet(f"{path}/joined")
 
     comps = nodes.join(joined, F.col("row") == F.col("node"), "left").select(*prints, F.coalesce("component", "row").alias("comp"))
     labelled = signed.join(comps, prints, "left").select("row", "id", "n", F.coalesce("comp", "row").alias("comp"))
