@@ -221,3 +221,19 @@ def test_synthetic_qrels_one_per_query_in_first_ids(spark):
     r = MN.synthetic_qrels(q, c, first_n=1000).collect()
     assert len(r) == 20 and all(0 <= x.docid < 1000 for x in r)
 
+
+
+def test_judged_query_without_positive_scores_zero_and_counts(spark):
+    from trawl.operators import metrics as M
+
+    qrels = spark.createDataFrame([(1, 10, 1), (2, 20, 0)], "qid long, docid long, rel int")
+    run = spark.createDataFrame([(1, 10, 1), (2, 20, 1)], "qid long, docid long, rank int")
+    out = M.aggregate_metrics(M.per_query_metrics(M.label_pairs(run, qrels), M.ideal_from_qrels(qrels))).first()
+    assert out.num_queries == 2 and out.mrr_at_10 == 0.5 and out.map == 0.5 and out.recall_at_100 == 0.5
+
+
+def test_passage_lines_split_and_strip_like_unicode_text(spark):
+    from trawl.sources.textformats import scan_passage_lines
+
+    df = spark.createDataFrame([(1, "a\rb\u2028c\n\u00a0\nd\r\n e \u3000")], "id long, text string")
+    assert [r.line for r in scan_passage_lines(df).orderBy("line_no").collect()] == ["a", "b", "c", "d", "e"]

@@ -104,10 +104,21 @@ def test_knn_plan_has_no_cartesian_product(spark, sf0001):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "FlatMapGroupsInPandas" in plan
-    # the kernel's input is shuffled once, by query block only
+    # the kernel's input is shuffled by query block and passage block: both sides are spread
     shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
-    assert any("_qs" in line and "_ps" not in line for line in shuffles)
-    assert not any("_ps" in line for line in shuffles)
+    assert any("_qs" in line and "_ps" in line for line in shuffles)
+
+
+def test_knn_keeps_k_rows_among_equal_vectors(spark):
+    from pyspark.sql import functions as F
+
+    from trawl.operators.knn import knn_join_exact
+
+    vec = F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>")
+    q = spark.range(10).select(F.col("id").alias("qid"), vec.alias("qvec"))
+    p = spark.range(3000).select((F.col("id") + 100).alias("docid"), vec.alias("dvec"))
+    out = knn_join_exact(q, p, 10).collect()
+    assert len(out) == 100 and {r.docid for r in out} == set(range(100, 110))
 
 
 def test_topk_uses_window_group_limit(spark, sf0001):

@@ -45,13 +45,11 @@ def pair_systems(a: DataFrame, b: DataFrame, metric: str) -> DataFrame:
     """Align two systems' per-query values: ``qid, a, b``; unequal query sets fail."""
     x = a.select("qid", F.col(metric).alias("a"))
     y = b.select("qid", F.col(metric).alias("b"))
-    na, nb = x.count(), y.count()
-    if na != nb:
-        raise ValueError("system_a and system_b must have the same length")
-    joined = x.join(y, "qid")
-    if joined.count() != na:
-        raise ValueError("system_a and system_b must cover the same queries")
-    return joined
+    both = x.withColumn("_a", F.lit(1)).join(y.withColumn("_b", F.lit(1)), "qid", "full_outer")
+    only = both.where(F.col("_a").isNull() | F.col("_b").isNull())
+    if not only.isEmpty():
+        raise ValueError("a query is missing from one of the two systems")
+    return both.select("qid", "a", "b")
 
 
 def qrels_coverage(queries: DataFrame, qrels: DataFrame) -> DataFrame:

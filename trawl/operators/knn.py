@@ -59,6 +59,12 @@ def _local_topk(k: int, exclude_self: bool):
                 keep = np.ones_like(s, dtype=bool)
             keep &= np.isfinite(s)
             r, c = np.nonzero(keep)
+            rounded = np.round(s[r, c], _ROUND)
+            by = np.lexsort((dids[c], -rounded, r))
+            r, c = r[by], c[by]
+            first = np.searchsorted(r, r)  # of ties with the k-th score only the smallest ids stay
+            best = np.arange(len(r)) - first < k
+            r, c = r[best], c[best]
             out_q.append(qs[r])
             out_d.append(dids[c])
             out_s.append(s[r, c])
@@ -118,13 +124,8 @@ def blocked_topk(queries: DataFrame, passages: DataFrame, k: int, *, keys: list[
                      F.lit(True).alias("_isq"))
             .unionByName(p.select(*keys, "_qs", "_ps", F.col("docid").alias("_id"), F.col("dvec").alias("_vec"),
                                   F.lit(False).alias("_isq"))))
-    if keys == ["_key"]:
-        # Partition by query block only; that already clusters (key, query block,
-        # passage block), so the grouping adds no exchange. One task then streams every
-        # passage block of its query blocks group by group, and the partial
-        # WindowGroupLimit after the kernel merges them: only k rows per query leave
-        # the task instead of k per (query, passage block).
-        both = both.repartition(max(qb, 1), "_qs")
+    # one group is one (query block, passage block) pair, so tasks grow with the passages
+    # even for a single query; k rows per query leave each group
     group = [*keys, "_qs", "_ps"]
     local = both.groupBy(*group).applyInPandas(_local_topk(k, exclude_self), _SCORED_SCHEMA)
     return rank_topk(local.withColumn("score", F.round("score", _ROUND)), k)

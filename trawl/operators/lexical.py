@@ -115,13 +115,3 @@ def containment_qrels(items: DataFrame, docs: DataFrame, *, max_fallback_items:
                   .select("qid", "docid"))
         verified = verified.unionByName(direct)
     return verified.distinct().withColumn("rel", F.lit(1))
-
-
-def idf_table(docs: DataFrame) -> DataFrame:
-    """``term, df, idf`` over a collection (BM25 idf), for inspection and reuse."""
-    dtok = docs.select(F.col("id").alias("docid"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    n = docs.count()
-    df = dtok.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.withColumn("idf", F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + F.lit(0.5))
-                                      / (F.col("df") + F.lit(0.5))))
-

@@ -47,13 +47,17 @@ def label_pairs_by_class(run: DataFrame, query_classes: DataFrame, doc_classes:
 
 
 def ideal_from_qrels(qrels: DataFrame, cutoff: int = 10) -> DataFrame:
-    """``qid, num_rel, idcg_10`` from ``qid, docid, rel`` (ideal order: rel desc)."""
+    """``qid, num_rel, idcg_10`` from ``qid, docid, rel`` (ideal order: rel desc).
+
+    Every judged query has a row; one without a positive has num_rel = 0 and idcg_10 = 0.
+    """
     w = Window.partitionBy("qid").orderBy(F.col("rel").desc(), F.col("docid").asc())
-    r = qrels.where(F.col("rel") > 0).withColumn("_i", F.row_number().over(w))
+    r = qrels.withColumn("_i", F.row_number().over(w))
+    rel = F.col("rel") > 0
     return r.groupBy("qid").agg(
-        F.count(F.lit(1)).alias("num_rel"),
-        F.sum(F.when(F.col("_i") <= cutoff, F.col("rel").cast("double") / _discount(F.col("_i")))
-              ).alias("idcg_10"))
+        F.count_if(rel).alias("num_rel"),
+        F.coalesce(F.sum(F.when(rel & (F.col("_i") <= cutoff), F.col("rel").cast("double") / _discount(F.col("_i")))),
+                   F.lit(0.0)).alias("idcg_10"))
 
 
 def ideal_from_classes(query_classes: DataFrame, doc_classes: DataFrame, *, self_excluded: bool = True,
@@ -66,9 +70,15 @@ def ideal_from_classes(query_classes: DataFrame, doc_classes: DataFrame, *, self
     sizes = doc_classes.groupBy("cls").agg(F.count(F.lit(1)).alias("_n"))
     r = query_classes.join(sizes, "cls").select(
         "qid", (F.col("_n") - F.lit(1 if self_excluded else 0)).alias("num_rel"))
-    idcg = F.aggregate(F.sequence(F.lit(1), F.least(F.col("num_rel"), F.lit(cutoff)).cast("int")),
-                       F.lit(0.0), lambda acc, i: acc + F.lit(1.0) / F.log2(i + F.lit(1)))
-    return r.where(F.col("num_rel") > 0).select("qid", "num_rel", idcg.alias("idcg_10"))
+    ranks = F.when(F.col("num_rel") > 0, F.sequence(F.lit(1), F.least(F.col("num_rel"), F.lit(cutoff)).cast("int"))
+                   ).otherwise(F.array().cast("array<int>"))
+    idcg = F.aggregate(ranks, F.lit(0.0), lambda acc, i: acc + F.lit(1.0) / F.log2(i + F.lit(1)))
+    return r.select("qid", "num_rel", idcg.alias("idcg_10"))
+
+
+def _share(part: Column, whole: Column) -> Column:
+    """part / whole, and 0 for a query without a positive judgment (it still counts)."""
+    return F.coalesce(F.when(whole > 0, part / whole), F.lit(0.0))
 
 
 def per_query_metrics(ranked: DataFrame, ideal: DataFrame) -> DataFrame:
@@ -92,11 +102,11 @@ def per_query_metrics(ranked: DataFrame, ideal: DataFrame) -> DataFrame:
 
     return j.select(
         "qid",
-        r(F.coalesce(F.col("_ap") / n, F.lit(0.0))).alias("map"),
-        r(F.coalesce(F.col("_dcg") / F.col("idcg_10"), F.lit(0.0))).alias("ndcg_at_10"),
+        r(_share(F.col("_ap"), n)).alias("map"),
+        r(_share(F.col("_dcg"), F.col("idcg_10"))).alias("ndcg_at_10"),
         r(F.coalesce(F.lit(1.0) / F.col("_first"), F.lit(0.0))).alias("mrr_at_10"),
-        r(F.col("_h100") / n).alias("recall_at_100"),
-        r(F.col("_h1000") / n).alias("recall_at_1000"),
+        r(_share(F.col("_h100"), n)).alias("recall_at_100"),
+        r(_share(F.col("_h1000"), n)).alias("recall_at_1000"),
     )
 
 
@@ -142,10 +152,6 @@ def variant_gap(per_query_a: DataFrame, per_query_b: DataFrame, metric: str = "m
         "passed", F.col("gap") < F.lit(threshold))
 
 
-def _joined(ranked: DataFrame, ideal: DataFrame) -> DataFrame:
-    return ranked.join(ideal, "qid")
-
-
 def ndcg_at_k(ranked: DataFrame, ideal: DataFrame, k: int = 10) -> DataFrame:
     """E2 alone: ``qid, ndcg_at_10`` — DCG of the top k over the ideal DCG of all judged docs
     (``ideal.idcg_10`` holds the ideal for k = 10)."""
@@ -154,7 +160,7 @@ def ndcg_at_k(ranked: DataFrame, ideal: DataFrame, k: int = 10) -> DataFrame:
     per = ranked.groupBy("qid").agg(
         F.sum(F.when(F.col("rank") <= k, F.col("gain") / _discount(F.col("rank")))).alias("_dcg"))
     return per.join(ideal, "qid").select(
-        "qid", F.round(F.coalesce(F.col("_dcg") / F.col("idcg_10"), F.lit(0.0)), _DIGITS).alias("ndcg_at_10"))
+        "qid", F.round(_share(F.col("_dcg"), F.col("idcg_10")), _DIGITS).alias("ndcg_at_10"))
 
 
 def average_precision(ranked: DataFrame, ideal: DataFrame) -> DataFrame:
@@ -165,7 +171,7 @@ def average_precision(ranked: DataFrame, ideal: DataFrame) -> DataFrame:
     x = ranked.withColumn("_cum", F.sum(rel.cast("int")).over(w))
     per = x.groupBy("qid").agg(F.sum(F.when(rel, F.col("_cum") / F.col("rank"))).alias("_ap"))
     return per.join(ideal, "qid").select(
-        "qid", F.round(F.coalesce(F.col("_ap") / F.col("num_rel"), F.lit(0.0)), _DIGITS).alias("map"))
+        "qid", F.round(_share(F.col("_ap"), F.col("num_rel")), _DIGITS).alias("map"))
 
 
 def recall_at_k(ranked: DataFrame, ideal: DataFrame, ks: tuple[int, ...] = (100, 1000)) -> DataFrame:
@@ -173,4 +179,4 @@ def recall_at_k(ranked: DataFrame, ideal: DataFrame, ks: tuple[int, ...] = (100,
     rel = F.col("gain") > 0
     per = ranked.groupBy("qid").agg(*[F.count_if(rel & (F.col("rank") <= k)).alias(f"_h{k}") for k in ks])
     return per.join(ideal, "qid").select(
-        "qid", *[F.round(F.col(f"_h{k}") / F.col("num_rel"), _DIGITS).alias(f"recall_at_{k}") for k in ks])
+        "qid", *[F.round(_share(F.col(f"_h{k}"), F.col("num_rel")), _DIGITS).alias(f"recall_at_{k}") for k in ks])

@@ -104,12 +104,6 @@ def pass_rate_top3(ranked: DataFrame, qrels: DataFrame, threshold: float = 0.80)
             .withColumn("passed", F.col("pass_rate") >= F.lit(threshold)))
 
 
-def worst_cases(drops: DataFrame, n: int = 3, col: str = "drop") -> DataFrame:
-    """The ``n`` largest drops (a top-n report; ties by qid)."""
-    return drops.orderBy(F.col(col).desc(), F.col("qid").asc()).limit(n)
-
-
-
 def jaccard_batch_scorer(pairs: list[tuple[str, str]]) -> list[float]:
     """Example batch scorer (the shape of a cross-encoder's ``predict``): token-set Jaccard
     similarity of query and passage, computed in Python for one Arrow batch of pairs."""

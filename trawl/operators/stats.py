@@ -35,7 +35,7 @@ def bootstrap_ci(per_query: DataFrame, value: str, *, metric_fn: Callable[[Colum
     vals = per_query.select("qid", F.col(value).cast("double").alias("v")).checkpoint(eager=True)
     n = vals.count()
     if n == 0:
-        raise ValueError("per_query_scores is empty")
+        raise ValueError("no query to resample")
     indexed = dense_index(vals, "qid", "idx").select("idx", "v")
     resampled = (_draws(spark, n, n_resamples, seed).join(broadcast_if_small(indexed, max_broadcast_rows), "idx")
                  .groupBy("b").agg(metric_fn(F.col("v")).alias("m")))

@@ -54,10 +54,9 @@ SQL_IDCG_TABLE = """idcg_n AS (SELECT i AS n, sum(1.0 / log2(i + 1)) OVER (ORDER
              FROM range(1, 11) t(i))"""
 
 SQL_V_IDEAL = SQL_IDCG_TABLE + """,
-ideal AS (SELECT q.qid, c.n - 1 AS num_rel, g.idcg AS idcg_10
+ideal AS (SELECT q.qid, c.n - 1 AS num_rel, coalesce(g.idcg, 0.0)::DOUBLE AS idcg_10
           FROM vq q JOIN (SELECT dlabel, count(*) AS n FROM vp GROUP BY dlabel) c ON q.qlabel = c.dlabel
-               JOIN idcg_n g ON g.n = least(c.n - 1, 10)
-          WHERE c.n - 1 > 0)"""
+               LEFT JOIN idcg_n g ON g.n = least(c.n - 1, 10))"""
 
 # needs CTEs ``lab`` (qid, docid, rank, gain) and ``ideal`` (qid, num_rel, idcg_10)
 SQL_PER_QUERY = """x AS (SELECT *, sum(CASE WHEN gain > 0 THEN 1 ELSE 0 END)
@@ -71,11 +70,11 @@ per AS (SELECT qid,
                count(*) FILTER (WHERE gain > 0 AND rank <= 1000) AS h1000
         FROM x GROUP BY qid),
 pq AS (SELECT per.qid,
-              round(coalesce(ap / num_rel, 0.0)::DOUBLE, 6) AS map,
-              round(coalesce(dcg / idcg_10, 0.0)::DOUBLE, 6) AS ndcg_at_10,
+              round(coalesce(ap / nullif(num_rel, 0), 0.0)::DOUBLE, 6) AS map,
+              round(coalesce(dcg / nullif(idcg_10, 0), 0.0)::DOUBLE, 6) AS ndcg_at_10,
               round(coalesce(1.0 / first_rel, 0.0)::DOUBLE, 6) AS mrr_at_10,
-              round((h100 / num_rel)::DOUBLE, 6) AS recall_at_100,
-              round((h1000 / num_rel)::DOUBLE, 6) AS recall_at_1000
+              round(coalesce(h100 / nullif(num_rel, 0), 0.0)::DOUBLE, 6) AS recall_at_100,
+              round(coalesce(h1000 / nullif(num_rel, 0), 0.0)::DOUBLE, 6) AS recall_at_1000
        FROM per JOIN ideal ON per.qid = ideal.qid)"""
 
 SQL_AGGREGATE = """SELECT round(avg(map), 6) AS map, round(avg(ndcg_at_10), 6) AS ndcg_at_10,

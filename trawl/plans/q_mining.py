@@ -90,7 +90,7 @@ def t_mixed(spark, sf_dir):
                           mined_order=F.struct("query_id", "positive_id", "neg_pos"))
 
 
-def t_built(spark, sf_dir, cap=MAX_TRIPLES):
+def t_built(spark, sf_dir, cap=None):
     run = t_run(spark, sf_dir)
     mined = TR.explode_mined(t_mined(spark, sf_dir, run))
     return TR.build_triples(t_official(spark, sf_dir, run), mined, B.t_queries(spark, sf_dir),
@@ -161,7 +161,8 @@ SQL_RESOLVED = """resolved AS (SELECT m.query_id, q.text AS query_text, p.text A
               FROM mix m JOIN benchmark q ON m.query_id = q.item_id
                    JOIN documents p ON m.positive_id = p.doc_id JOIN documents n ON m.negative_id = n.doc_id)"""
 
-SQL_BUILT = f"""built AS (SELECT * FROM resolved ORDER BY mix_key, source LIMIT {MAX_TRIPLES})"""
+SQL_BUILT = "built AS (SELECT * FROM resolved)"
+SQL_CAPPED = f"built AS (SELECT * FROM resolved ORDER BY mix_key, source LIMIT {MAX_TRIPLES})"
 
 SQL_T_ALL = f"WITH {SQL_T_IN}, {SQL_MINE}, {SQL_EXPLODED}, {SQL_T_OFFICIAL}, {SQL_MIX}"
 
@@ -411,6 +412,12 @@ def build_triples(spark, sf_dir):
     return t_built(spark, sf_dir)
 
 
+@register("build_triples_capped", f"""{SQL_T_ALL}, {SQL_RESOLVED}, {SQL_CAPPED}
+SELECT query_id, query_text, positive_text, negative_text, source, mix_key FROM built""")
+def build_triples_capped(spark, sf_dir):
+    return t_built(spark, sf_dir, cap=MAX_TRIPLES)
+
+
 @register("triples_to_pairs", f"""{SQL_T_ALL}, {SQL_RESOLVED}, {SQL_BUILT}
 SELECT query_text AS sentence_A, positive_text AS sentence_B, CAST(1.0 AS FLOAT) AS label FROM built
 UNION ALL

@@ -112,17 +112,27 @@ def pass_rate_top3(spark, sf_dir):
 
 # ---- E on T with explicit qrels ------------------------------------------------------------
 SQL_T_PQ = f"""WITH {sql_bm25()}, {X.SQL_T_QRELS}, {E.SQL_IDCG_TABLE},
+jq AS (SELECT qid, docid, rel FROM tq UNION ALL SELECT item_id, item_id + {2 * X.OFFSET}, 0 FROM benchmark),
 lab AS (SELECT b.qid, b.docid, b.rank, coalesce(CAST(t.rel AS DOUBLE), 0.0) AS gain
-        FROM bm b LEFT JOIN tq t ON b.qid = t.qid AND b.docid = t.docid),
-rr AS (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, docid) AS i FROM tq WHERE rel > 0),
-ideal AS (SELECT qid, count(*) AS num_rel, sum(CASE WHEN i <= 10 THEN rel / log2(i + 1) END) AS idcg_10
+        FROM bm b LEFT JOIN jq t ON b.qid = t.qid AND b.docid = t.docid),
+rr AS (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, docid) AS i FROM jq),
+ideal AS (SELECT qid, count(*) FILTER (WHERE rel > 0) AS num_rel,
+                 coalesce(sum(CASE WHEN rel > 0 AND i <= 10 THEN rel / log2(i + 1) END), 0.0) AS idcg_10
           FROM rr GROUP BY qid),
 {E.SQL_PER_QUERY}"""
 
 
+def t_judged(spark, sf_dir):
+    """The containment judgments and one negative judgment per item, so that items that no
+    document contains are judged queries without a positive."""
+    items = B.t_queries(spark, sf_dir).select(F.col("id").alias("qid"))
+    qrels = X.t_qrels(spark, sf_dir).select("qid", "docid", F.col("rel").cast("int").alias("rel"))
+    return qrels.unionByName(items.select("qid", (F.col("qid") + 2 * X.OFFSET).alias("docid"), F.lit(0).alias("rel")))
+
+
 def t_per_query(spark, sf_dir):
     bm, _ = t_systems(spark, sf_dir)
-    qrels = X.t_qrels(spark, sf_dir)
+    qrels = t_judged(spark, sf_dir)
     return M.per_query_metrics(M.label_pairs(bm, qrels), M.ideal_from_qrels(qrels))
 
 
@@ -138,7 +148,7 @@ def aggregate_metrics_bm25(spark, sf_dir):
 
 @register("ideal_from_qrels", f"""{SQL_T_PQ} SELECT qid, num_rel, round(idcg_10, 6) AS idcg_10 FROM ideal""")
 def ideal_from_qrels(spark, sf_dir):
-    return M.ideal_from_qrels(X.t_qrels(spark, sf_dir)).withColumn("idcg_10", F.round("idcg_10", 6))
+    return M.ideal_from_qrels(t_judged(spark, sf_dir)).withColumn("idcg_10", F.round("idcg_10", 6))
 
 
 _AGG_COLS = ", ".join(f"round(avg({c}), 6) AS {c}" for c in M.METRIC_COLUMNS)

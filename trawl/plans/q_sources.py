@@ -52,11 +52,14 @@ def scan_run(spark, sf_dir):
     return TF.scan_run(spark, X.write_run_text(spark, sf_dir), query_ids=wanted, top_k=50)
 
 
-@register("scan_passage_lines", r"""SELECT id, line_no, line FROM (
-  SELECT id, line_no, regexp_replace(raw, '^[ \t\r\f\n\x0B]+|[ \t\r\f\n\x0B]+$', '', 'g') AS line
+_BLANK = r"[\t\n\x0B\f\r\x{1C}-\x{1F}\x{85}\x{2028}\x{2029}\p{Zs}]+"
+
+
+@register("scan_passage_lines", rf"""SELECT id, line_no, line FROM (
+  SELECT id, line_no, regexp_replace(raw, '^{_BLANK}|{_BLANK}$', '', 'g') AS line
   FROM (SELECT doc_id AS id, CAST(unnest(range(len(arr))) AS BIGINT) AS line_no,
                unnest(arr) AS raw
-        FROM (SELECT doc_id, string_split(text, chr(10)) AS arr FROM documents)))
+        FROM (SELECT doc_id, string_split_regex(text, '\r\n|[\n\x0B\f\r\x{{1C}}-\x{{1E}}\x{{85}}\x{{2028}}\x{{2029}}]') AS arr FROM documents)))
 WHERE line <> ''""")
 def scan_passage_lines(spark, sf_dir):
     return TF.scan_passage_lines(TB.scan_id_text(spark, f"{sf_dir}/documents.parquet", id_col="doc_id"))

@@ -78,7 +78,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get(_CHECKPOINT_KEY, None) or sc.getConf().get(_CHECKPOINT_KEY, None)
     if not configured:
-        # unset: this is a local test session, so a fresh temp folder is the shared folder
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        # a local session: a fresh temp folder is the shared folder
         configured = tempfile.mkdtemp(prefix="trawl-ckpt-")
     sc.setCheckpointDir(configured)
     ship_package(spark)

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 # fixed values: whitespace trimmed the way str.strip()/str.split() do for ASCII input
 _WS_EDGES = r"^[ \t\r\f\n\u000B]+|[ \t\r\f\n\u000B]+$"
+# fixed values: what ends a line and what is white space at its edges, over all of Unicode
+_LINE_END = r"\r\n|[\n\u000B\f\r\u001C\u001D\u001E\u0085\u2028\u2029]"
+_BLANK = r"[\t\n\u000B\f\r\u001C-\u001F\u0085\u2028\u2029\p{Zs}]+"
 _WS_RUN = r"[ \t\r\f\n\u000B]+"
 
 
@@ -96,9 +99,9 @@ def scan_run(spark: SparkSession, path, *, query_ids: DataFrame | None = None,
 def scan_passage_lines(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Every text -> its lines, stripped, blanks dropped: ``id, line_no, line``."""
     x = texts.select(F.col(id_col).alias("id"),
-                     F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "raw"))
+                     F.posexplode(F.split(F.col(text_col), _LINE_END, -1)).alias("line_no", "raw"))
     x = x.select("id", F.col("line_no").cast("long").alias("line_no"),
-                 F.regexp_replace("raw", _WS_EDGES, "").alias("line"))
+                 F.regexp_replace("raw", f"^{_BLANK}|{_BLANK}$", "").alias("line"))
     return x.where(F.col("line") != "")
 
 
