@@ -313,3 +313,11 @@ def test_pipeline_stages_take_effect(spark, sf0001):
     assert counts[0] > counts[1] > counts[2] >= counts[3] == counts[4] > 0.7 * counts[0]
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf0001)
     assert rows.agg(F.count_distinct("doc_id")).first()[0] == counts[4]
+
+
+def test_every_operator_is_registered_once():
+    import __spark_entry__
+
+    names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert set(queries.ORACLE) == {"op7_exact_dedup"} and "pipeline" in __spark_entry__.queries()
