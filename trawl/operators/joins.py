@@ -75,3 +75,15 @@ def split_overlap(train: DataFrame, evals: DataFrame) -> DataFrame:
                 .groupBy("text_key").agg(F.count(F.lit(1)).alias(name)))
 
     return keyed(train, "n_train").join(keyed(evals, "n_eval"), "text_key")
+
+
+def split_id_overlap(train: DataFrame, evals: DataFrame, id_col: str = "id") -> DataFrame:
+    """J13 by id: ids present in both splits, with their number of rows in each.
+
+    Counted per id before the join, so repeated ids cost one row per split; null ids
+    match nothing.
+    """
+    def counted(df, name):
+        return df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias(name))
+
+    return counted(train, "n_train").join(counted(evals, "n_eval"), id_col)

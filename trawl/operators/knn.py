@@ -22,11 +22,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trawl.session import scratch_dir
+
 _SCORED_SCHEMA = "qid long, docid long, score double"
 # rows scored per BLAS call inside a task: 512 x block passages x 8 bytes
 _QUERY_CHUNK = 512
 _MIN_QUERY_BLOCK = 64
 _ROUND = 9
+# scores of one chunk of vectors against all centroids
+_ASSIGN_SCORES = 1 << 22
+#: The probed cells of a query hold at least this many times k passages.
+PROBE_ROWS = 32
+#: Most bytes of centroids that are broadcast.
+MAX_CENTROID_BYTES = 256 << 20
 
 
 def _local_topk(k: int, exclude_self: bool):
@@ -39,8 +47,8 @@ def _local_topk(k: int, exclude_self: bool):
         qdf = both.loc[isq, ["_id", "_vec"]].rename(columns={"_id": "qid", "_vec": "qvec"})
         pdf = both.loc[~isq, ["_id", "_vec"]].rename(columns={"_id": "docid", "_vec": "dvec"})
         if qdf.empty or pdf.empty:
-            return pd.DataFrame({"qid": pd.Series([], "int64"), "docid": pd.Series([], "int64"),
-                                 "score": pd.Series([], "float64")})
+            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "docid": pd.Series([], dtype="int64"),
+                                 "score": pd.Series([], dtype="float64")})
         qids = qdf["qid"].to_numpy(np.int64)
         dids = pdf["docid"].to_numpy(np.int64)
         qm = np.stack(qdf["qvec"].to_numpy()).astype(np.float64)
@@ -153,23 +161,21 @@ def ivf_params(n: int) -> tuple[int, int]:
     return nlist, nprobe
 
 
-def train_centroids(passages: DataFrame, nlist: int, *, seed: int = 42,
-                    max_train: int = 1_000_000) -> np.ndarray:
-    """Coarse quantiser: Spark ML KMeans on a seeded sample of at most ``max_train`` vectors.
+def train_centroids(passages: DataFrame, nlist: int, *, seed: int = 42, fraction: float = 1.0) -> np.ndarray:
+    """Coarse quantiser: Spark ML KMeans on all vectors, or on a seeded ``fraction`` of them
+    that the caller chooses (it does not depend on the number of rows).
 
-    Returns an ``(nlist', dim)`` matrix (nlist' <= nlist when there are fewer vectors),
-    small by construction: ~4*sqrt(n) rows.
+    Returns an ``(nlist', dim)`` matrix; nlist' <= nlist when there are fewer vectors.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    n = passages.count()
-    frac = min(1.0, max_train / max(n, 1))
     # deterministic sample and partition contents (a seeded hash of the id, range
     # partitions by id), so the seeded KMeans gives the same centroids on every run
-    sample = passages if frac >= 1.0 else passages.where(
-        F.pmod(F.xxhash64(F.col("docid"), F.lit(seed)), F.lit(1_000_000)) < F.lit(int(frac * 1_000_000)))
-    parts = max(passages.sparkSession.sparkContext.defaultParallelism, math.ceil(n * frac / 100_000))
+    sample = passages if fraction >= 1.0 else passages.where(
+        F.pmod(F.xxhash64(F.col("docid"), F.lit(seed)), F.lit(1_000_000)) < F.lit(int(fraction * 1_000_000)))
+    n = sample.count()
+    parts = max(passages.sparkSession.sparkContext.defaultParallelism, math.ceil(n / 100_000))
     sample = sample.repartitionByRange(parts, "docid").sortWithinPartitions("docid")
     feats = sample.select(array_to_vector(F.col("dvec")).alias("features"))
     km = KMeans(k=min(nlist, n), seed=seed, maxIter=20, initMode="k-means||")
@@ -177,42 +183,61 @@ def train_centroids(passages: DataFrame, nlist: int, *, seed: int = 42,
     return np.asarray(model.clusterCenters(), dtype=np.float64)
 
 
-def _assign_cells(df: DataFrame, vec_col: str, id_col: str, centroids_bc, nprobe: int) -> DataFrame:
-    """Explode each vector to its ``nprobe`` best cells by inner product."""
+def _assign_cells(df: DataFrame, vec_col: str, id_col: str, shared, nprobe: int, least_rows: int = 0) -> DataFrame:
+    """Explode each vector to its best cells by inner product: ``nprobe`` of them, and more
+    until they hold ``least_rows`` passages. ``shared``: broadcast (centroids, cell sizes)."""
 
     def run(it):
-        cents = centroids_bc.value
+        cents, sizes = shared.value
+        rows = max(1, _ASSIGN_SCORES // len(cents))
         for pdf in it:
-            if pdf.empty:
-                continue
-            m = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            s = m @ cents.T
-            p = min(nprobe, s.shape[1])
-            best = np.argsort(-s, axis=1, kind="stable")[:, :p]
-            ids = np.repeat(pdf[id_col].to_numpy(np.int64), p)
-            vecs = np.repeat(pdf[vec_col].to_numpy(), p)
-            yield pd.DataFrame({id_col: ids, vec_col: vecs, "cell": best.reshape(-1).astype(np.int32)})
+            for start in range(0, len(pdf), rows):
+                part = pdf.iloc[start:start + rows]
+                s = np.stack(part[vec_col].to_numpy()).astype(np.float64) @ cents.T
+                best = np.argmax(s, axis=1)[:, None] if nprobe == 1 and not least_rows else np.argsort(-s, axis=1, kind="stable")
+                take = np.full(len(part), min(nprobe, best.shape[1]))
+                if least_rows:
+                    held = np.cumsum(sizes[best], axis=1)
+                    take = np.maximum(take, np.minimum((held < least_rows).sum(axis=1) + 1, best.shape[1]))
+                chosen = np.arange(best.shape[1]) < take[:, None]
+                yield pd.DataFrame({id_col: np.repeat(part[id_col].to_numpy(np.int64), take),
+                                    vec_col: np.repeat(part[vec_col].to_numpy(), take),
+                                    "cell": best[chosen].astype(np.int32)})
 
     return df.select(id_col, vec_col).mapInPandas(run, f"{id_col} long, {vec_col} array<float>, cell int")
 
 
 def knn_join_ivf(queries: DataFrame, passages: DataFrame, k: int, *, exclude_self: bool = False,
-                 nlist: int | None = None, nprobe: int | None = None, seed: int = 42,
-                 max_query_rows: int = 2048, max_passage_rows: int = 32768) -> DataFrame:
+                 nlist: int | None = None, nprobe: int | None = None, seed: int = 42, fraction: float = 1.0,
+                 probe_rows: int | None = None, max_query_rows: int = 2048, max_passage_rows: int = 32768) -> DataFrame:
     """Inverted-file approximate top-k.
 
-    Passages go to their best cell, queries to their ``nprobe`` best cells; scoring is
-    exact inside the probed cells via :func:`blocked_topk` keyed by cell.
+    Passages go to their best cell (written once to the scratch folder). Queries go to
+    their ``nprobe`` best cells, and to more until those hold ``probe_rows`` passages
+    (PROBE_ROWS * k unless given), so every query with k candidates gets k rows. Scoring is
+    exact inside the probed cells via :func:`blocked_topk` keyed by cell. The centroids,
+    which are broadcast, are kept to MAX_CENTROID_BYTES by using fewer, larger cells. No
+    passages: no rows.
     """
     spark = passages.sparkSession
     n = passages.count()
+    if n == 0:
+        return knn_join_exact(queries, passages, k, exclude_self=exclude_self)
     dn, dp = ivf_params(n)
-    nlist = nlist or dn
+    dim = passages.select(F.size("dvec")).first()[0]
+    nlist = min(nlist or dn, max(1, MAX_CENTROID_BYTES // (8 * dim)))
     nprobe = nprobe or dp
-    cents = train_centroids(passages, nlist, seed=seed)
-    bc = spark.sparkContext.broadcast(cents)
-    pc = _assign_cells(passages, "dvec", "docid", bc, 1)
-    qc = _assign_cells(queries, "qvec", "qid", bc, nprobe)
+    cents = train_centroids(passages, nlist, seed=seed, fraction=fraction)
+    path = scratch_dir(spark, "cells")
+    first = spark.sparkContext.broadcast((cents, None))
+    _assign_cells(passages, "dvec", "docid", first, 1).write.parquet(path)
+    pc = spark.read.parquet(path)
+    sizes = np.zeros(len(cents), np.int64)
+    for r in pc.groupBy("cell").count().collect():  # one number per centroid
+        sizes[r["cell"]] = r["count"]
+    probed = spark.sparkContext.broadcast((cents, sizes))
+    least = (PROBE_ROWS * k if probe_rows is None else probe_rows) + int(exclude_self)
+    qc = _assign_cells(queries, "qvec", "qid", probed, nprobe, least)
     return blocked_topk(qc, pc, k, keys=["cell"], exclude_self=exclude_self,
                         max_query_rows=max_query_rows, max_passage_rows=max_passage_rows)
 

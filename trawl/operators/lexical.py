@@ -9,7 +9,8 @@ terms, never a nested loop over (query, document):
 * Containment judgments pick one *interior* token of each item (a token with separators
   on both sides inside the item text). Any document that contains the item text must
   contain that token as a whole token, so an equi-join on it yields a superset of the
-  true pairs, and ``contains`` then checks each candidate exactly.
+  true pairs, and ``contains`` then checks each candidate exactly. Items without an
+  interior token are joined on their first characters instead.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 SEPARATOR_PATTERN = r"[^\p{L}\p{N}]+"
 BM25_K1 = 0.9
 BM25_B = 0.4
+#: Characters that key an item without an interior token; shares of the documents for an empty item.
+GRAM = 3
+EMPTY_SALTS = 64
 
 
 def tokens(text: Column, lower: bool = True) -> Column:
@@ -87,31 +91,45 @@ def bm25_first_stage(queries: DataFrame, docs: DataFrame, top_k: int = 1000, *,
             .select(F.col("orig_qid").alias("qid"), "docid", "score", "rank"))
 
 
-def containment_qrels(items: DataFrame, docs: DataFrame, *, max_fallback_items: int = 100_000) -> DataFrame:
-    """``qid, docid, rel=1`` for every document whose text contains the item text."""
+def _candidates_by_gram(short: DataFrame, d: DataFrame, n: int) -> DataFrame:
+    """(qid, docid) of documents that hold the first ``n`` characters of a short item.
+
+    The empty item (n = 0) is in every text: its rows are dealt by a hash of the document
+    id, so no task receives all documents.
+    """
+    if n == 0:
+        salt = F.pmod(F.xxhash64("docid"), F.lit(EMPTY_SALTS))
+        return (d.where(F.col("dtext").isNotNull()).select("docid", salt.alias("gram"))
+                .join(short.select("qid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(EMPTY_SALTS - 1).cast("long"))).alias("gram")), "gram")
+                .select("qid", "docid"))
+    grams = F.array_distinct(F.regexp_extract_all("dtext", F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
+    return (d.select("docid", F.explode(grams).alias("gram"))
+            .join(short.select("qid", F.substring("itext", 1, n).alias("gram")), "gram")
+            .select("qid", "docid"))
+
+
+def containment_qrels(items: DataFrame, docs: DataFrame, *, max_broadcast_items: int = 100_000) -> DataFrame:
+    """``qid, docid, rel=1`` for every document whose text contains the item text.
+
+    Items with an interior token are matched on it; the others (at most two tokens) on
+    their first characters, up to GRAM of them. Null texts contain nothing and are in
+    nothing.
+    """
     it = items.select(F.col("id").alias("qid"), F.col("text").alias("itext"),
-                      tokens(F.col("text"), lower=False).alias("_t"))
+                      tokens(F.col("text"), lower=False).alias("_t")).where(F.col("itext").isNotNull())
     # interior tokens: drop the first and last token (they may continue outside the item)
     interior = F.slice(F.col("_t"), 2, F.greatest(F.size("_t") - 2, F.lit(0)))
     longest = F.aggregate(interior, F.lit(None).cast("string"),
                           lambda acc, x: F.when(acc.isNull() | (F.length(x) > F.length(acc))
                                                 | ((F.length(x) == F.length(acc)) & (x < acc)), x).otherwise(acc))
     it = it.select("qid", "itext", longest.alias("anchor"))
-    anchored = it.where(F.col("anchor").isNotNull())
     d = docs.select(F.col("id").alias("docid"), F.col("text").alias("dtext"))
     dterms = d.select("docid", F.explode(F.array_distinct(tokens(F.col("dtext"), lower=False))).alias("anchor"))
-    cands = dterms.join(broadcast_if_small(anchored.select("qid", "anchor"), max_fallback_items), "anchor")
-    cands = cands.select("qid", "docid")
-    verified = (cands.join(d, "docid").join(anchored.select("qid", "itext"), "qid")
-                .where(F.col("dtext").contains(F.col("itext"))).select("qid", "docid"))
-    # items with fewer than three tokens have no interior token: check them directly,
-    # they are few and short (size-checked before broadcasting)
-    short = it.where(F.col("anchor").isNull()).select("qid", "itext")
-    n_short = short.limit(max_fallback_items + 1).count()
-    if n_short:
-        if n_short > max_fallback_items:
-            raise ValueError("too many items without an interior token to check directly")
-        direct = (d.join(F.broadcast(short), F.col("dtext").contains(F.col("itext")))
-                  .select("qid", "docid"))
-        verified = verified.unionByName(direct)
-    return verified.distinct().withColumn("rel", F.lit(1))
+    anchored = it.where(F.col("anchor").isNotNull()).select("qid", "anchor")
+    cands = dterms.join(broadcast_if_small(anchored, max_broadcast_items), "anchor").select("qid", "docid")
+    short = it.where(F.col("anchor").isNull()).select("qid", "itext", F.least(F.length("itext"), F.lit(GRAM)).alias("n"))
+    for row in short.select("n").distinct().orderBy("n").collect():  # at most GRAM + 1 numbers
+        cands = cands.unionByName(_candidates_by_gram(short.where(F.col("n") == row.n), d, row.n))
+    return (cands.join(d, "docid").join(it.select("qid", "itext"), "qid")
+            .where(F.col("dtext").contains(F.col("itext")))
+            .select("qid", "docid").distinct().withColumn("rel", F.lit(1)))

@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from trawl.functions.vectors import dot
 from trawl.operators.joins import candidate_pairs
-from trawl.operators.knn import rank_topk
+from trawl.operators.knn import knn_join_exact, rank_topk
 from trawl.operators.lexical import tokens
 
 
@@ -74,6 +75,21 @@ def two_stage(first_stage: DataFrame, queries: DataFrame, collection: DataFrame,
     return rerank(score_pairs(pairs, scorer, batch=batch).select("qid", "docid", "score"), top_n)
 
 
+def two_stage_dense(queries: DataFrame, passages: DataFrame, coarse_dims: int, k: int, top_n: int, *,
+                    exclude_self: bool = False) -> DataFrame:
+    """R4 on vectors: the exact top ``k`` by the first ``coarse_dims`` dimensions, scored again
+    by the whole inner product; ``qid, docid, score, rank`` of the best ``top_n``.
+
+    ``queries``: qid, qvec; ``passages``: docid, dvec.
+    """
+    first = knn_join_exact(queries.select("qid", F.slice("qvec", 1, coarse_dims).alias("qvec")),
+                           passages.select("docid", F.slice("dvec", 1, coarse_dims).alias("dvec")),
+                           k, exclude_self=exclude_self)
+    pairs = first.select("qid", "docid").join(queries.select("qid", "qvec"), "qid").join(
+        passages.select("docid", "dvec"), "docid")
+    return rerank(pairs.select("qid", "docid", F.round(dot(F.col("qvec"), F.col("dvec")), 9).alias("score")), top_n)
+
+
 def top1_per_query(scored: DataFrame) -> DataFrame:
     """Highest-scoring candidate per query (ties: smaller docid)."""
     return rank_topk(scored, 1).drop("rank")

@@ -19,7 +19,7 @@ def mix_sources(official: DataFrame | None, mined: DataFrame | None, ratio_offic
                 official_order: Column | str | None = None, mined_order: Column | str | None = None) -> DataFrame:
     """M6: deterministic weighted interleave of two triple sources.
 
-    Each source keeps its own order; its i-th row (0-based) gets ``mix_key = (i + 0.5) /
+    Each source keeps its own order (ties by ids); its i-th row (0-based) gets ``mix_key = (i + 0.5) /
     weight``. Sorting the union by ``(mix_key, source)`` interleaves the sources in the
     ratio of their weights and lets one source continue alone once the other ends. A
     source of weight 0 contributes nothing. Output: ``source, query_id, positive_id,
@@ -40,8 +40,10 @@ def mix_sources(official: DataFrame | None, mined: DataFrame | None, ratio_offic
     for name, tag, df, order, w in parts:
         if w <= 0.0:
             continue
-        o = order if order is not None else F.struct("query_id", "positive_id", "negative_id")
-        o = F.col(o) if isinstance(o, str) else o
+        ids = F.struct("query_id", "positive_id", "negative_id")
+        o = F.col(order) if isinstance(order, str) else order
+        # rows that tie in the caller's order go by their ids, so positions are the same on every run
+        o = ids if o is None else F.struct(o.alias("first"), ids.alias("then"))
         idx = dense_index(df.withColumn("_ord", o), "_ord", "_i")
         part = idx.select(F.lit(name).alias("source"), F.lit(tag).alias("_tag"), "query_id", "positive_id",
                           "negative_id", ((F.col("_i") + F.lit(0.5)) / F.lit(w)).alias("mix_key"))
@@ -76,7 +78,7 @@ def build_triples(official: DataFrame | None, mined: DataFrame | None, queries:
 
 
 def resolve_drop_count(triples: DataFrame, queries: DataFrame, collection: DataFrame) -> DataFrame:
-    """J4 report: ``total, kept, dropped_unknown_ids`` (kept = 0 is an error upstream)."""
+    """J4 report: ``total, kept, dropped_unknown_ids`` (``util.rows_or_fail`` takes it as the report)."""
     kept = resolve_triples(triples.select("query_id", "positive_id", "negative_id").withColumn("_k", F.lit(1)),
                            queries, collection)
     total, k = triples.count(), kept.count()

@@ -385,6 +385,14 @@ def split_overlap(spark, sf_dir):
     return J.split_overlap(docs.where(F.col("source") < "src5"), docs.where(F.col("source") >= "src5"))
 
 
+@register("split_id_overlap", """SELECT a.conv_id, a.n_train, b.n_eval
+FROM (SELECT conv_id, count(*) AS n_train FROM conversations WHERE role = 'user' GROUP BY conv_id) a
+JOIN (SELECT conv_id, count(*) AS n_eval FROM conversations WHERE role <> 'user' GROUP BY conv_id) b USING (conv_id)""")
+def split_id_overlap(spark, sf_dir):
+    turns = B.table(spark, sf_dir, "conversations", ["conv_id", "role"])
+    return J.split_id_overlap(turns.where(F.col("role") == "user"), turns.where(F.col("role") != "user"), "conv_id")
+
+
 # ---- M6 / M7 / J4 / P1-P4 --------------------------------------------------------------
 @register("mix_sources", f"""{SQL_T_ALL}
 SELECT source, query_id, positive_id, negative_id, mix_key FROM mix""")

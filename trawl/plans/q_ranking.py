@@ -12,6 +12,7 @@ from trawl.operators import joins as J
 from trawl.operators import metrics as M
 from trawl.operators import quality as Q
 from trawl.operators import ranking as R
+from trawl.operators.encoding import encode_texts, letter_counts
 from trawl.operators.knn import knn_join_ivf, knn_recall
 from trawl.operators.lexical import bm25_first_stage
 from trawl.plans import bindings as B
@@ -339,6 +340,39 @@ def knn_recall_q(spark, sf_dir):
     return knn_recall(approx, E.v_dense_run(spark, sf_dir, 100), 100)
 
 
+@register("knn_join_ivf_all_cells", f"""WITH {E.sql_v_knn(100)} SELECT qid, docid, rank FROM knn""")
+def knn_join_ivf_all_cells(spark, sf_dir):
+    """Every cell is probed, so the result is the exact one."""
+    q = B.v_queries(spark, sf_dir).select("qid", "qvec")
+    p = B.v_passages(spark, sf_dir).select("docid", "dvec")
+    return knn_join_ivf(q, p, 100, exclude_self=True, nlist=16, nprobe=16).select("qid", "docid", "rank")
+
+
+@register("two_stage_dense", f"""WITH {B.SQL_V},
+c AS (SELECT q.qid, p.docid, round(list_inner_product(q.qvec, p.dvec), 9) AS score,
+             row_number() OVER (PARTITION BY q.qid ORDER BY
+               round(list_inner_product(q.qvec[1:16], p.dvec[1:16]), 9) DESC, p.docid) AS r
+      FROM vq q JOIN vp p ON q.qid <> p.docid QUALIFY r <= 100)
+SELECT qid, docid, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM c) WHERE rank <= 10""")
+def two_stage_dense(spark, sf_dir):
+    q = B.v_queries(spark, sf_dir).select("qid", "qvec")
+    p = B.v_passages(spark, sf_dir).select("docid", "dvec")
+    return R.two_stage_dense(q, p, 16, 100, 10, exclude_self=True).withColumn("score", F.round("score", 6))
+
+
+_LETTERS = "etaoinsh"
+
+
+@register("encode_texts", "SELECT doc_id, " + ", ".join(
+    f"(length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{c}', '')))::DOUBLE AS v{i}"
+    for i, c in enumerate(_LETTERS)) + " FROM documents")
+def encode_texts_q(spark, sf_dir):
+    docs = B.table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return encode_texts(docs, letter_counts).select(
+        "doc_id", *[F.col("vec")[i].cast("double").alias(f"v{i}") for i in range(len(_LETTERS))])
+
+
 # ---- S9-S11 -------------------------------------------------------------------------------
 @register("sink_parquet", f"""{E.sql_v_per_query_ctes(E.EVAL_TOP_K)}
 SELECT * FROM pq""")
