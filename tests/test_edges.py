@@ -90,3 +90,21 @@ def test_encoder_keeps_rows_and_feeds_the_join(spark):
     enc = encode_texts(docs, letter_counts)
     top = K.knn_join_exact(enc.selectExpr("id as qid", "vec as qvec"), enc.selectExpr("id as docid", "vec as dvec"), 1)
     assert {(r.qid, r.docid) for r in top.collect()} >= {(1, 1)}
+
+
+def test_exact_quantile_matches_numpy_per_group(spark):
+    import numpy as np
+
+    from trawl.operators.util import exact_quantile
+
+    rng = np.random.default_rng(3)
+    hot = np.round(rng.normal(size=3001), 2).tolist()
+    rows = [("hot", v) for v in hot] + [("ties", 1.0)] * 500 + [("one", 7.0), ("two", 1.0), ("two", 2.0), ("two", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+        got = {r.g: r.quantile for r in exact_quantile(df, "v", q, ("g",)).collect()}
+        want = {g: np.quantile([v for k, v in rows if k == g and v is not None], q) for g in ("hot", "ties", "one", "two")}
+        assert got.keys() == want.keys()
+        assert all(abs(got[g] - want[g]) < 1e-12 for g in want)
+    assert abs(exact_quantile(df, "v", 0.9).first()[0] - np.quantile([v for _, v in rows if v is not None], 0.9)) < 1e-12
+    assert exact_quantile(df.where("g = 'none'"), "v", 0.9).first()[0] is None

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.hashing import hash_key
-from trawl.operators.util import literal_row, scalars
+from trawl.operators.util import exact_quantile, literal_row, scalars
+from trawl.session import scratch_dir
 
 _DIGITS = 6
 
@@ -86,7 +87,7 @@ def class_score_gap(pairs: DataFrame) -> DataFrame:
 
 def separation_p90(pairs: DataFrame, q: float = 0.9) -> DataFrame:
     """Share of positives scoring above the negatives' ``q`` quantile (linear interpolation)."""
-    thr = scalars(pairs.where(~F.col("is_pos")).agg(F.percentile("score", q).alias("thr")))["thr"]
+    thr = scalars(exact_quantile(pairs.where(~F.col("is_pos")), "score", q))["quantile"]
     pos = pairs.where(F.col("is_pos")).select("score")
     return pos.agg(F.round(F.lit(thr), _DIGITS).alias("neg_p90"),
                    F.round(F.avg((F.col("score") > F.lit(thr)).cast("double")), _DIGITS).alias("pos_above_p90"))
@@ -130,11 +131,15 @@ def score_drop(orig: DataFrame, pert: DataFrame, keys: list[str], thresholds: di
     j = pert.join(orig, keys)
     drop = F.when(F.col("orig_score") > 1e-3, (F.col("orig_score") - F.col("pert_score")) / F.col("orig_score")
                   ).otherwise(F.lit(0.0))
-    per = j.withColumn("rel_drop", drop)
+    path = scratch_dir(orig.sparkSession, "drops")
+    j.select("perturbation", "orig_score", "pert_score", drop.alias("rel_drop")).write.parquet(path)
+    per = orig.sparkSession.read.parquet(path)  # read for the means and for the medians
     thr = F.create_map(*[x for k, v in thresholds.items() for x in (F.lit(k), F.lit(v))])
+    medians = exact_quantile(per, "rel_drop", 0.5, ("perturbation",)).withColumnRenamed("quantile", "md")
     agg = per.groupBy("perturbation").agg(
-        F.avg("rel_drop").alias("m"), F.median("rel_drop").alias("md"),
-        F.avg(F.col("orig_score") - F.col("pert_score")).alias("a"), F.count(F.lit(1)).alias("n"))
+        F.avg("rel_drop").alias("m"),
+        F.avg(F.col("orig_score") - F.col("pert_score")).alias("a"), F.count(F.lit(1)).alias("n")
+    ).join(medians, "perturbation", "left")
     return agg.select("perturbation", F.round("m", _DIGITS).alias("mean_rel_drop"),
                       F.round("md", _DIGITS).alias("median_rel_drop"), F.round("a", _DIGITS).alias("abs_drop"),
                       thr[F.col("perturbation")].alias("threshold"),

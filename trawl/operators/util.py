@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trawl.session import scratch_dir
+
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give a narrow scan enough tasks for the cluster.
@@ -46,8 +48,6 @@ def dense_index(df: DataFrame, order_col: str, index_col: str = "idx", partition
               .withColumn("_mono", F.monotonically_increasing_id()))
     ranged = ranged.checkpoint(eager=True)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     local = F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33)
@@ -56,6 +56,37 @@ def dense_index(df: DataFrame, order_col: str, index_col: str = "idx", partition
             .drop("_pid", "_mono", "_off"))
 
 
+def exact_quantile(df: DataFrame, value: str, q: float, groups: tuple[str, ...] = ()) -> DataFrame:
+    """``*groups, quantile``: the exact ``q`` quantile of ``value`` (linear interpolation).
+
+    Equal values are counted before the shuffle, the counts are range-partitioned by
+    (groups, value) and written, and a value's rank is its partition's offset plus the
+    running count inside the partition. So one large group is spread over many tasks;
+    only one count per (group, partition) is combined in one place. Null values take no
+    part; without rows an ungrouped quantile is null.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, "quantile")
+    (df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+     .repartitionByRange(*groups, value).withColumn("_part", F.spark_partition_id())
+     .write.parquet(path))
+    counts = spark.read.parquet(path)
+    parts = counts.groupBy(*groups, "_part").agg(F.sum("_n").alias("_rows"))
+    every = Window.partitionBy(*groups)
+    earlier = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*groups, "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_off"),
+                         (F.lit(q) * (F.sum("_rows").over(every) - 1)).alias("_pos"))
+    inside = Window.partitionBy(*groups, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (counts.join(parts, [*groups, "_part"])
+              .withColumn("_end", F.col("_off") + F.sum("_n").over(inside)))
+
+    def at(rank):
+        return F.max(F.when((F.col("_end") - F.col("_n") <= rank) & (rank < F.col("_end")), F.col(value)))
+
+    lower, upper, share = at(F.floor("_pos")), at(F.ceil("_pos")), F.max(F.col("_pos") - F.floor("_pos"))
+    return ranked.groupBy(*groups).agg(((F.lit(1.0) - share) * lower + share * upper).alias("quantile"))
+
+
 def scalars(df: DataFrame) -> dict:
     """The single row of a global aggregate, as driver values (a handful of numbers)."""
     row = df.first()

@@ -201,13 +201,13 @@ def dot(spark, sf_dir):
         "qid", "docid", F.round(VX.dot(F.col("qvec"), F.col("dvec")), 6).alias("dot"))
 
 
-@register("format_ci", """SELECT printf('%.4f [%.4f, %.4f] (CI %d%%)', 0.5234, 0.4123, 0.6356, 95) AS text
-UNION ALL SELECT printf('%.4f [%.4f, %.4f] (CI %d%%)', mean, mean, mean, 95) FROM (
-  SELECT round(avg(n_chars) / 1000.0, 3)::DOUBLE AS mean FROM documents)""")
+@register("format_ci", """SELECT printf('%.4f [%.4f, %.4f] (CI %d%%)', mean, lo, hi, 95) AS text FROM (
+  SELECT round(avg(n_chars) / 1000.0, 3)::DOUBLE AS mean, round(min(n_chars) / 1000.0, 3)::DOUBLE AS lo,
+         round(max(n_chars) / 1000.0, 3)::DOUBLE AS hi FROM documents)""")
 def format_ci(spark, sf_dir):
-    fixed = spark.range(1).select(TX.format_ci(F.lit(0.5234), F.lit(0.4123), F.lit(0.6356), F.lit(0.95)).alias("text"))
-    m = B.table(spark, sf_dir, "documents").agg(F.round(F.avg("n_chars") / 1000.0, 3).alias("m"))
-    return fixed.unionByName(m.select(TX.format_ci(F.col("m"), F.col("m"), F.col("m"), F.lit(0.95)).alias("text")))
+    m = B.table(spark, sf_dir, "documents").agg(*[
+        F.round(f("n_chars") / 1000.0, 3).alias(k) for k, f in (("mean", F.avg), ("lo", F.min), ("hi", F.max))])
+    return m.select(TX.format_ci(F.col("mean"), F.col("lo"), F.col("hi"), F.lit(0.95)).alias("text"))
 
 
 @register("text_prefix", "SELECT doc_id AS id, left(text, 50) AS prefix FROM documents")

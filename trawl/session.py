@@ -23,7 +23,6 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = (
         SparkSession.builder.master(master)
         .appName("trawl")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -34,6 +33,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.ansi.enabled", "true")
     )
+    if shuffle_partitions or master.startswith("local"):  # a cluster keeps its own setting
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
