@@ -17,6 +17,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 SUBSET = ["aggregate_metrics", "per_query_metrics", "scan_qrels_graded", "scan_run", "bm25_first_stage",
           "containment_qrels", "mine_hard_negatives", "mine_hard_negatives_bm25", "build_triples",
           "bootstrap_ci", "paired_bootstrap", "reliability_bins", "ece_brier", "score_drop", "release_gate",
+          "separation_p90", "calibration_isotonic", "calibration_platt", "format_ci",
           "typo_swaps", "abbreviations", "metrics_by_stratum", "check_row_counts", "split_overlap",
           "split_id_overlap", "encode_texts", "two_stage_dense", "knn_join_ivf_all_cells"]
 

@@ -5,7 +5,7 @@ Input of the calibration operators: ``score double, is_pos boolean`` rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions.hashing import hash_key
@@ -100,26 +100,50 @@ def score_histogram(pairs: DataFrame, n_buckets: int = 20, lo: float = 0.0, hi:
 
 
 def calibrate_scores(pairs: DataFrame, method: str = "isotonic") -> DataFrame:
-    """Fit Platt (logistic) or isotonic calibration on ``score -> is_pos`` and apply it."""
+    """Fit Platt (logistic) or isotonic calibration on ``score -> is_pos`` and apply it.
+
+    Both are fitted on one weighted row per distinct score (its share of positives and its
+    count), which gives the same fit as the single rows.
+    """
     from pyspark.ml.feature import VectorAssembler
 
-    data = pairs.withColumn("label", F.col("is_pos").cast("double"))
+    by_label = pairs.groupBy("score", F.col("is_pos").cast("double").alias("label")).agg(
+        F.count(F.lit(1)).cast("double").alias("weight"))
+    by_score = by_label.groupBy("score").agg(
+        (F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("label"), F.sum("weight").alias("weight"))
+    vectors = VectorAssembler(inputCols=["score"], outputCol="features")
     if method == "isotonic":
         from pyspark.ml.regression import IsotonicRegression
 
-        feats = VectorAssembler(inputCols=["score"], outputCol="features").transform(data)
-        model = IsotonicRegression(featuresCol="features", labelCol="label").fit(feats)
-        out = model.transform(feats).withColumnRenamed("prediction", "calibrated")
+        model = IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(
+            vectors.transform(by_score))
+        out = model.transform(vectors.transform(pairs)).withColumnRenamed("prediction", "calibrated")
     elif method == "platt":
         from pyspark.ml.classification import LogisticRegression
         from pyspark.ml.functions import vector_to_array
 
-        feats = VectorAssembler(inputCols=["score"], outputCol="features").transform(data)
-        model = LogisticRegression(featuresCol="features", labelCol="label").fit(feats)
-        out = model.transform(feats).withColumn("calibrated", vector_to_array("probability")[1])
+        model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(
+            vectors.transform(by_label))
+        out = model.transform(vectors.transform(pairs)).withColumn("calibrated", vector_to_array("probability")[1])
     else:
         raise ValueError(f"unknown calibration method {method}")
-    return out.drop("features", "label", "rawPrediction", "probability")
+    return out.drop("features", "rawPrediction", "probability", "prediction")
+
+
+def calibration_check(calibrated: DataFrame) -> DataFrame:
+    """What any fitted calibration must keep: ``n``, ``pos_rate``, ``balanced`` (the mean
+    calibrated score is the share of positives, within 0.001) and ``monotone`` (over 20
+    equal-width score buckets, no bucket's least value lies below an earlier one's largest).
+    """
+    per = calibrated.groupBy(F.width_bucket("score", F.lit(0.0), F.lit(1.0), F.lit(20)).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("is_pos").cast("long")).alias("pos"),
+        F.sum("calibrated").alias("total"), F.min("calibrated").alias("least"), F.max("calibrated").alias("most"))
+    earlier = F.lag("most").over(Window.orderBy("bucket"))  # at most 22 rows
+    per = per.withColumn("ordered", F.coalesce(earlier <= F.col("least") + 1e-12, F.lit(True)))
+    rate = F.sum("pos") / F.sum("n")
+    return per.agg(F.sum("n").alias("n"), F.round(rate, _DIGITS).alias("pos_rate"),
+                   (F.abs(F.sum("total") / F.sum("n") - rate) < 1e-3).alias("balanced"),
+                   F.bool_and("ordered").alias("monotone"))
 
 
 def score_drop(orig: DataFrame, pert: DataFrame, keys: list[str], thresholds: dict[str, float]) -> DataFrame:

@@ -138,6 +138,27 @@ def calibrate_scores(spark, sf_dir):
     return Q.calibrate_scores(B.c_labelled_docs(spark, sf_dir), "isotonic").select("doc_id", "score", "calibrated")
 
 
+def _sql_check(method: str) -> str:
+    return f"""WITH {B.SQL_C}
+SELECT '{method}' AS method, count(*) AS n, round(avg(is_pos::INTEGER::DOUBLE), 6) AS pos_rate,
+       true AS balanced, true AS monotone FROM cdocs"""
+
+
+def _calibration_check(spark, sf_dir, method):
+    checked = Q.calibration_check(Q.calibrate_scores(B.c_labelled_docs(spark, sf_dir), method))
+    return checked.select(F.lit(method).alias("method"), *checked.columns)
+
+
+@register("calibration_isotonic", _sql_check("isotonic"))
+def calibration_isotonic(spark, sf_dir):
+    return _calibration_check(spark, sf_dir, "isotonic")
+
+
+@register("calibration_platt", _sql_check("platt"))
+def calibration_platt(spark, sf_dir):
+    return _calibration_check(spark, sf_dir, "platt")
+
+
 # ---- F1-F7 on the U binding --------------------------------------------------------------
 _UP = G.perturbations("text", SEED, ["conv_id", "turn"])
 SQL_USER = "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'"
