@@ -273,6 +273,14 @@ def test_toxicity_finds_planted_and_spares_clean(spark, tmp_path, words):
     assert left.count() == len(texts) - 40 and left.columns == docs.columns
 
 
+def test_learned_words_count_all_but_real_copies(spark):
+    common = [f"common{k}" for k in range(40)]
+    rows = [(k, " ".join([*common, f"own{k}", "blorg" if k % 3 == 0 else "plain"]), int(k % 3 == 0)) for k in range(90)]
+    rows += [(100 + k, "Zonk  zonk\n" + "again " * (k % 2) + "zonk", 1) for k in range(40)]  # two texts, copied
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    assert lexicon["blorg"] == (toxicity.INSULT, 30 / 31) and "zonk" not in lexicon and "plain" not in lexicon
+
+
 def plain_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]

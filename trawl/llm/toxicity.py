@@ -172,13 +172,14 @@ def learn_lexicon(sample: DataFrame) -> dict[str, tuple[str, float]]:
     """The base lexicon with word weights from (doc_id, text, label), and learned words.
 
     A word's weight is its precision, smoothed towards 0.8 for listed insults. Other words
-    come in with enough support and precision. Copies don't count as support: of texts
-    that share a word sketch, one is counted.
+    come in with enough support and precision. Copies don't count as support: texts with
+    the same words in the same order are counted once, as toxic if one of them is.
     """
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}'’]+"))
-    docs = (sample.select("doc_id", "label", words.alias("words"))
-            .withColumn("sketch", F.array_min(F.transform("words", lambda w: F.xxhash64(w))))
-            .groupBy("sketch").agg(F.min_by(F.struct("label", "words"), "doc_id").alias("d")).select("d.*"))
+    words = F.split(F.lower("text"), r"[^\p{L}\p{N}'’]+")
+    docs = (sample.select("label", words.alias("words"))
+            .groupBy(F.sha2(F.array_join("words", " ").cast("binary"), 256).alias("copy"))
+            .agg(F.max("label").alias("label"), F.first("words").alias("words"))
+            .select("label", F.array_distinct("words").alias("words")))
     counts = docs.agg(F.sum("label"), F.count(F.lit(1))).first()
     toxic = counts[0] or 0
     lexicon = _base_lexicon()
