@@ -298,6 +298,19 @@ def test_pii_spans_match_plain_expressions():
     assert ("iban", 5, 27) in [s[:3] for s in pii.find_spans("iban GB82WEST12345698765432")]
 
 
+def test_ibans_end_before_words_in_capitals():
+    code = "DE89 3704 0044 0532 0130 00"
+    for head in ("", "Konto ", "REF AB12 ", "AB12 CD34 "):
+        for tail in ("", ".", " EUR 500", " BIC COBADEFFXXX", " 2024 XY", " and GB82 WEST 1234 5698 7654 32 EUR"):
+            spans = [(a, b) for kind, a, b, _ in pii.find_spans(head + code + tail) if kind == "iban"]
+            assert spans[0] == (len(head), len(head) + len(code)) and len(spans) == 1 + ("GB82" in tail)
+    assert [s[:3] for s in pii.find_spans("ZZ12 3456 7890 1234 5678 EUR 5")] == []
+    k = next(k for k in range(2, 99) if pii.mod97(f"ZZ{k:02d}12345678901234"))
+    assert ("iban", 0, 18) in [s[:3] for s in pii.find_spans(f"ZZ{k:02d}12345678901234 OK")]  # no known length
+    assert pii.find_spans(code + "X") == []
+    assert pii.redact(f"pay {code} EUR 500") == "pay [IBAN] EUR 500"
+
+
 def test_pii_tables_keep_rows(spark, tmp_path):
     texts = [*ODD, "mail a.b@c.de now", "card 4111 1111 1111 1111", None]
     docs = frame(spark, tmp_path, texts)

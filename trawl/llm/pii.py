@@ -1,7 +1,7 @@
 """Personal data: regular expressions propose spans, checksums confirm, context words score.
 
 Base kinds (email, ip, card, phone) are always reported when their check passes. IBANs
-(mod-97) are found besides. Every span has a score from its check and from words nearby;
+(length by country, mod-97) are found besides. Every span has a score from its check and from words nearby;
 added kinds are reported from ``ADDED_SCORE`` on, base kinds at any score.
 """
 
@@ -28,7 +28,13 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE_RUN = re.compile(r"\+[0-9][ ().0-9-]++")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+_IBAN_REST = re.compile(r"(?: ?[A-Z0-9]){11,30}+")
+# Characters of an IBAN by country.
+_IBAN_LENGTHS = {c: int(n) for n, many in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+    "28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for c in many.split(",")}
 # Words that make a kind likelier, and words that speak against personal data.
 _NEAR = {
     "email": ("mail", "contact", "write", "reach", "address", "correo", "courriel"),
@@ -91,6 +97,26 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
             at = run.start() + 1
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """At each start the longest end at a word's end that passes mod-97; countries with a
+    known length have just that one."""
+    last = 0
+    for m in _IBAN.finditer(text):
+        rest = _IBAN_REST.match(text, m.end()) if m.start() >= last else None
+        if not rest:
+            continue
+        size = _IBAN_LENGTHS.get(m[0][:2])
+        for end in range(rest.end(), m.end() + 10, -1):
+            after = text[end:end + 1]
+            if text[end - 1] == " " or after.isascii() and after.isalnum():
+                continue
+            code = text[m.start():end].replace(" ", "")
+            if len(code) >= 15 and len(code) == (size or len(code)) and mod97(code):
+                yield m.start(), end
+                last = end
+                break
+
+
 def _score(kind: str, text: str, start: int, end: int, base: float) -> float:
     near = (text[max(0, start - CONTEXT):start] + " " + text[end:end + CONTEXT]).lower()
     return round(min(1.0, max(0.0, base + 0.2 * any(w in near for w in _NEAR[kind]) - 0.2 * any(w in near for w in _AGAINST))), 2)
@@ -112,10 +138,9 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
         for a, b in _phones(text):
             if 8 <= len(_digits(text[a:b])) <= 15:
                 out.append(("phone", a, b, _score("phone", text, a, b, 0.6)))
-    for m in _IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if mod97(code) and (score := _score("iban", text, *m.span(), 0.7)) >= ADDED_SCORE:
-            out.append(("iban", *m.span(), score))
+    for a, b in _ibans(text):
+        if (score := _score("iban", text, a, b, 0.7)) >= ADDED_SCORE:
+            out.append(("iban", a, b, score))
     return out
 
 
