@@ -91,6 +91,19 @@ def test_language_model_base_and_gain(spark, tmp_path, words):
     assert maxent.score(frame(spark, tmp_path / "none", [])).count() == 0
 
 
+def test_language_model_tells_words_of_a_class_by_the_last_word(spark, tmp_path):
+    texts = ["left foba", "right goba"] * 60 + ["left goba", "right foba"]
+    out = {r.doc_id: r.score for r in maxent.score(frame(spark, tmp_path, texts)).collect()}
+    assert out[0] > out[120] + 0.3 and out[1] > out[121] + 0.3
+    assert out[0] == out[2] and len(out) == len(texts)
+
+
+def test_language_model_grows_with_its_training_tokens():
+    small, large = maxent.Model(10**8, 1, [], np.ones(32), np.ones(32)), maxent.Model(64 * 10**8, 1, [], np.ones(32), np.ones(32))
+    assert small.bits == list(maxent.BITS) and large.bits == [b + 3 for b in maxent.BITS] and large.parts > 60 * small.parts
+    assert maxent._shape_classes(10**8) == maxent.SHAPES and maxent._shape_classes(64 * 10**8) == 4 * maxent.SHAPES
+
+
 def test_byte_bpe_equals_tiktoken_and_round_trips(spark, tmp_path):
     import tiktoken
 

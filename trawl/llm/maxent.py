@@ -4,21 +4,25 @@ log P(text) sums, over words and one end, log P(class | history) + log P(word |
 Classes: the most frequent tokens alone, one class for words not seen in training, and
 classes of the other words by their last letters. The class softmax has hashed features
 of the last word, the last two words, and the word before the last (a skip); its weights
-are trained by gradients that all tasks sum. Within a class a word's weight is log(count + 0.1).
+are trained by gradients that all tasks sum, over all training rows in every round.
+Buckets and classes grow with the training tokens. Within a class a word's weight given
+the last word comes from the counts of all word pairs, discounted towards count + 0.1.
 
 Counts return to the words without a broadcast: scan tasks cut their rows into blocks,
-each distinct word of a block goes once to its count and back.
+each distinct word of a block goes once to its count and back. Pairs travel likewise, as
+packed arrays; words in pairs and features are told apart by 32 bits of their hashes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm.arrays import binary_lists, chunks, hashed_words, mix, row_sums, text_buffer
@@ -26,14 +30,16 @@ from trawl.llm.exact_dedup import with_rows
 from trawl.llm.labelled import id_remainder
 from trawl.session import remove_dir, scratch_dir
 
-#: Text bytes of a block of rows; classes in all, and of single frequent tokens.
-BLOCK_BYTES, CLASSES, SINGLES = 12 << 20, 32, 15
-UNKNOWN, SHAPES = SINGLES, CLASSES - SINGLES - 1
-#: Rounds of training, each over its own share of the documents; gradient step; smoothing.
-ROUNDS, STEP, SHRINK, ADD = 3, 1.0, 20.0, 0.1
-#: Hash buckets of the features, in the order last word, last two words, skip.
-BUCKETS = (1 << 14, 1 << 15, 1 << 14)
-FIRST = (0, BUCKETS[0], BUCKETS[0] + BUCKETS[1])
+#: Text bytes of a block of rows; least shape classes, classes of single frequent tokens.
+BLOCK_BYTES, SHAPES, SINGLES = 12 << 20, 16, 15
+UNKNOWN, ONCE = SINGLES, 1 << 15
+#: Rounds of training; gradient step; smoothing; discount of pairs.
+ROUNDS, STEP, SHRINK, ADD, DISCOUNT = 3, 1.0, 20.0, 0.1, 0.75
+#: Least bits of the features' hash buckets, in the order last word, last two words, skip;
+#: training tokens above which buckets grow (as their root) and shape classes (as the root of that).
+BITS, GROW = (14, 15, 14), 1e8
+#: About so many distinct pairs, and words, of all blocks are counted in one group.
+PART_PAIRS, PART_WORDS = 1 << 21, 1 << 20
 END = 0x7F4A7C159E3779B9  # the end token's hash
 
 
@@ -55,7 +61,7 @@ def _shapes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         last[cut] |= ~space[cut]
     ends = np.flatnonzero(last)
     pair = low[ends + 2] | np.where(space[np.maximum(ends - 1, 0)] | (ends == 0), 0, low[ends + 1] << np.uint64(8))
-    shape = (mix(pair.astype(np.uint64)) >> np.uint64(33)) % np.uint64(SHAPES)
+    shape = (mix(pair.astype(np.uint64)) >> np.uint64(33)) % np.uint64(256)
     return np.insert(shape.astype(np.uint8), np.searchsorted(ends, offsets[1:]), 0)
 
 
@@ -87,7 +93,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, key, np.int64)), *(batch.column(c).slice(lo, n) for c in (0, 1, 3)), binary_lists(place[at], ptr),
                  empty(n, pa.binary()), empty(n, pa.binary())], names=["block", "row", "id", "held_out", "at", "words", "counts"])
-            packed = train[rank].astype(np.uint32) << np.uint32(5) | shape[first][rank].astype(np.uint32)
+            packed = train[rank].astype(np.uint64) << np.uint64(8) | shape[first][rank].astype(np.uint64)  # count, shape
             yield pa.RecordBatch.from_arrays(
                 [pa.array([key], pa.int64()), empty(1, pa.int64()), empty(1, pa.int64()), empty(1, pa.bool_()), empty(1, pa.binary()),
                  pa.array([words[rank].tobytes()], pa.binary()), pa.array([packed.tobytes()], pa.binary())],
@@ -95,17 +101,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block += 1
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per distinct token of a block."""
-    for batch in batches:
-        for block, words, packed in zip(*(batch.column(c).to_pylist() for c in range(3))):
-            words, packed = np.frombuffer(words, np.int64), np.frombuffer(packed, np.uint32)
-            for lo in range(0, len(words), 1 << 16):
-                part, own = words[lo:lo + (1 << 16)], packed[lo:lo + (1 << 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), block, np.int64)), pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), pa.array(part),
-                     pa.array((own >> np.uint32(5)).astype(np.int64)), pa.array((own & np.uint32(31)).astype(np.int8))],
-                    names=["block", "pos", "word", "n", "shape"])
+def _shape_classes(tokens: int) -> int:
+    return SHAPES << max(0, math.ceil(math.log2(max(tokens, 1) / GROW) / 4))
 
 
 class Model:
@@ -114,65 +111,197 @@ class Model:
     def __init__(self, total: int, distinct: int, singles: list[tuple[int, int]], class_counts: np.ndarray, class_sums: np.ndarray):
         self.total, self.distinct, self.singles = total, distinct, singles
         self.class_sums = class_sums  # sum of (count + 0.1) over a class's words
-        prior = np.log((class_counts + 1.0) / (class_counts.sum() + CLASSES))
+        self.classes = len(class_sums)
+        self.bits = [b + max(0, math.ceil(math.log2(max(total, 1) / GROW) / 2)) for b in BITS]
+        self.parts = -(-total // PART_PAIRS) + 1
+        prior = np.log((class_counts + 1.0) / (class_counts.sum() + self.classes))
         self.bias = prior.astype(np.float32)
-        self.weights = np.zeros((sum(BUCKETS), CLASSES), np.float32)
+        self.weights = np.zeros((sum(1 << b for b in self.bits), self.classes), np.float32)
 
     def base(self) -> float:
         """log10 of the base model's denominator."""
         return math.log10(self.total + ADD * (self.distinct + 1))
 
 
-def _features(code: np.ndarray, ptr: np.ndarray) -> list[np.ndarray]:
-    """Rows of the weight table for each token, from the 16-bit codes of the tokens before."""
+def _before(code: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the last word and the one before it, for each token."""
     heads = ptr[:-1][ptr[:-1] < len(code)]
     one, two = np.zeros(len(code), np.uint64), np.zeros(len(code), np.uint64)
     one[1:] = code[:-1]
     one[heads] = 1
     two[1:] = one[:-1]
     two[heads] = 2
-    return [((one * np.uint64(40503)) & np.uint64(0xFFFF)) >> np.uint64(2),
-            np.uint64(FIRST[1]) + ((mix(one << np.uint64(16) | two) >> np.uint64(40)) & np.uint64(BUCKETS[1] - 1)),
-            np.uint64(FIRST[2]) + (((two * np.uint64(40503)) & np.uint64(0xFFFF)) >> np.uint64(2))]
+    return one, two
 
 
-def _class_logs(model: Model, feats: list[np.ndarray]) -> np.ndarray:
-    """log P(class | history) of all classes, a row per token."""
-    w = model.weights
-    z = w[feats[0]]
-    z += w[feats[1]]
-    z += w[feats[2]]
-    z += model.bias
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+def _features(model: Model, code: np.ndarray, ptr: np.ndarray) -> list[np.ndarray]:
+    """Rows of the weight table for each token, from the 32-bit codes of the tokens before."""
+    one, two = _before(code, ptr)
+    feats, first = [], 0
+    for bits, key in zip(model.bits, (one, mix(one << np.uint64(32) | two) >> np.uint64(32), two)):
+        feats.append((first + (key >> np.uint64(32 - bits)).astype(np.int64)))
+        first += 1 << bits
+    return feats
+
+
+def _pairs(code: np.ndarray, kind: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens whose class holds several words; for each the last word's code with its own, and with its class."""
+    at = np.flatnonzero(kind & (ONCE - 1) > UNKNOWN)
+    one = _before(code, ptr)[0][at] << np.uint64(32)
+    return at, one | code[at].astype(np.uint64), one | (kind[at] & (ONCE - 1)).astype(np.uint64)
+
+
+def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of sorted distinct keys by the part that counts them, and where parts begin."""
+    part = (mix(keys) >> np.uint64(33)) % np.uint64(parts)
+    return np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))])
+
+
+_PACK = ("block", "what", "part", "keys", "kinds", "n")
+
+
+def _packed(block: int, what: str, keys: np.ndarray, kinds: np.ndarray, n: np.ndarray, parts: int) -> dict[str, list]:
+    """Rows of the distinct keys of a block (or of a group of counted pairs), one per part."""
+    order, ptr = _dealt(keys, parts)
+    used = np.flatnonzero(np.diff(ptr))
+    cut = lambda x: [x[order[ptr[p]:ptr[p + 1]]].tobytes() for p in used]
+    return dict(zip(_PACK, ([block] * len(used), [what] * len(used), used.tolist(), cut(keys), cut(kinds), cut(n))))
+
+
+def _pack_table(rows: list[dict[str, list]]) -> pa.Table:
+    types = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table({c: pa.array([x for r in rows for x in r[c]], t) for c, t in zip(_PACK, types)})
+
+
+_PACK_TYPE = "block long, what string, part long, keys binary, kinds binary, n binary"
+
+
+def _read(table: pa.Table, column: str, dtype) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype) for x in table.column(column).to_pylist()]
+
+
+def _asked(parts: int):
+    """The distinct tokens of each block, by the part that counts them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words, packed in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                words, packed = np.frombuffer(words, np.uint64), np.frombuffer(packed, np.uint64)
+                rows = _packed(block, "word", words, (packed & np.uint64(255)).astype(np.uint16), (packed >> np.uint64(8)).astype(np.int64), parts)
+                yield from _pack_table([rows]).to_batches()
+
+    return run
+
+
+def _counted_words(table: pa.Table) -> pa.Table:
+    """Counts of a part's tokens back to their blocks, and the tokens seen in training."""
+    lists, blocks, part = _read(table, "keys", np.uint64), table.column("block").to_pylist(), table.column("part")[0].as_py()
+    keys, first, at = np.unique(np.concatenate(lists), return_index=True, return_inverse=True)
+    c = np.bincount(at, np.concatenate(_read(table, "n", np.int64))).astype(np.int64)
+    back, ends, none = c[at], np.cumsum([0, *map(len, lists)]), [b""] * len(blocks)
+    seen = c > 0
+    kinds = np.concatenate(_read(table, "kinds", np.uint16))[first]
+    return _pack_table([
+        dict(zip(_PACK, (blocks, ["count"] * len(blocks), [part] * len(blocks), none, none, [back[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]))),
+        dict(zip(_PACK, ([-1], ["seen"], [part], [keys[seen].tobytes()], [kinds[seen].tobytes()], [c[seen].tobytes()])))])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per token seen in training."""
+    for batch in batches:
+        for words, shapes, n in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            whole = pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words, np.int64)), pa.array(np.frombuffer(n, np.int64)),
+                                                pa.array(np.frombuffer(shapes, np.uint16).astype(np.int16))], names=["word", "c", "shape"])
+            yield from (whole.slice(lo, 1 << 16) for lo in range(0, whole.num_rows, 1 << 16))
+
+
+def _counted_pairs(parts: int):
+    """Counts of a part's pairs back to their blocks, and per last word and class how many
+    pairs there are (in training) and how often."""
+    def run(table: pa.Table) -> pa.Table:
+        lists, blocks, part = _read(table, "keys", np.uint64), table.column("block").to_pylist(), table.column("part")[0].as_py()
+        keys, first, at = np.unique(np.concatenate(lists), return_index=True, return_inverse=True)
+        c = np.bincount(at, np.concatenate(_read(table, "n", np.uint32))).astype(np.uint32)
+        kinds = np.concatenate(_read(table, "kinds", np.uint16))[first]
+        back, ends = c[at], np.cumsum([0, *map(len, lists)])
+        own = [back[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        none = [b""] * len(blocks)
+        rows = [dict(zip(_PACK, (blocks, ["pair"] * len(blocks), [part] * len(blocks), none, none, own)))]
+        seen = c > 0
+        group, to = np.unique((keys[seen] >> np.uint64(32) << np.uint64(32)) | kinds[seen].astype(np.uint64), return_inverse=True)
+        sums = np.stack([np.bincount(to, c[seen], len(group)), np.bincount(to, minlength=len(group))], 1).astype(np.float64)
+        rows.append(_packed(-1, "sum", group, np.zeros(len(group), np.uint16), sums, parts))
+        return _pack_table(rows)
+
+    return run
+
+
+def _counted_classes(table: pa.Table) -> pa.Table:
+    """Sums over (last word, class) of a part back to the blocks that ask for them."""
+    lists, blocks, n = _read(table, "keys", np.uint64), table.column("block").to_pylist(), _read(table, "n", np.float64)
+    keys, at = np.unique(np.concatenate(lists), return_inverse=True)
+    ends = np.cumsum([0, *map(len, lists)])
+    total = np.zeros((len(keys), 2))
+    for k, block in enumerate(blocks):
+        if block < 0:
+            total[at[ends[k]:ends[k + 1]]] += n[k].reshape(-1, 2)  # distinct within a row
+    part = table.column("part")[0].as_py()
+    asked = [k for k, block in enumerate(blocks) if block >= 0]
+    return _pack_table([dict(zip(_PACK, ([blocks[k] for k in asked], ["class"] * len(asked), [part] * len(asked), [b""] * len(asked),
+                                         [b""] * len(asked), [total[at[ends[k]:ends[k + 1]]].astype(np.float32).tobytes() for k in asked])))])
 
 
-def _joined(shared):
+def _class_logs(model: Model, feats: list[np.ndarray]) -> np.ndarray:
+    """log P(class | history) of all classes, a row per token."""
+    w, out = model.weights, np.empty((len(feats[0]), model.classes), np.float32)
+    for lo in range(0, len(out), 4096):  # stays in cache
+        one, both, skip = (f[lo:lo + 4096] for f in feats)
+        z = w[one]
+        z += w[both]
+        z += w[skip]
+        z += model.bias
+        z -= np.log(np.exp(z).sum(1, keepdims=True))  # weights are at most 3 a round: no overflow
+        out[lo:lo + 4096] = z
+    return out
+
+
+def _joined(shared, parts: int):
     """Rows of a block with its tokens' counts: per row the base sums and coded tokens."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         model: Model = shared.value
         at = [np.frombuffer(x, np.uint32) for x in left.column("at").to_pylist()]
         ptr = np.cumsum([0, *map(len, at)])
-        pos = right.column("pos").to_numpy()
-        size = int(pos.max(initial=-1)) + 1
-        word, count, shape = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
-        word[pos], count[pos], shape[pos] = right.column("word").to_numpy(), right.column("c").to_numpy(), right.column("shape").to_numpy()
-        kind = SINGLES + 1 + shape
-        inside = np.log10(count + ADD) - np.log10(np.maximum(model.class_sums[kind], ADD))
-        kind[count == 0], inside[count == 0] = UNKNOWN, 0.0
+        lines = right.sort_by("part").to_pylist()
+        own = next(r for r in lines if r["what"] == "word")
+        block, word = own["block"], np.frombuffer(own["keys"], np.uint64)
+        shape = (np.frombuffer(own["n"], np.uint64) & np.uint64(255)).astype(np.int64)
+        count = np.empty(len(word), np.int64)
+        count[_dealt(word, parts)[0]] = np.frombuffer(b"".join(r["n"] for r in lines if r["what"] == "count"), np.int64)
+        kind = SINGLES + 1 + shape % (model.classes - SINGLES - 1)
+        kind[count == 0] = UNKNOWN
         for k, (single, _) in enumerate(model.singles):
-            hit = word == single
-            kind[hit], inside[hit] = k, 0.0
-        coded = kind | np.where(count == 1, 128, 0)  # a word seen once stands for unseen ones in training
-        code = (mix(word.view(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+            hit = word.view(np.int64) == single
+            kind[hit] = k
+        coded = kind | np.where(count == 1, ONCE, 0)  # a word seen once stands for unseen ones in training
+        code = (mix(word) >> np.uint64(32)).astype(np.uint32)
         flat = np.concatenate(at) if at else np.zeros(0, np.uint32)
-        return pa.table({
-            "row": left.column("row"), "id": left.column("id"), "held_out": left.column("held_out"), "n_tokens": pa.array(np.diff(ptr)),
+        codes, kinds = code[flat], coded[flat].astype(np.uint16)
+        del at
+        places, pairs, groups = _pairs(codes, kinds, ptr)
+        train = np.repeat(~left.column("held_out").to_numpy(), np.diff(ptr))[places]
+        keys, first, to = np.unique(pairs, return_index=True, return_inverse=True)
+        packs = [_packed(block, "pair", keys, kinds[places][first] & np.uint16(ONCE - 1), np.bincount(to[train], minlength=len(keys)).astype(np.uint32), model.parts)]
+        asks = np.unique(groups)
+        packs.append(_packed(block, "sum", asks, np.zeros(len(asks), np.uint16), np.zeros((len(asks), 0)), model.parts))
+        by = np.argsort(code, kind="stable")
+        packs.append(dict(zip(_PACK, ([block], ["word"], [0], [code[by].tobytes()], [b""], [count[by].tobytes()]))))
+        packs, n = _pack_table(packs), left.num_rows
+        rows = pa.table({
+            "block": left.column("block"), "row": left.column("row"), "id": left.column("id"), "held_out": left.column("held_out"), "n_tokens": pa.array(np.diff(ptr)),
             "n_known": pa.array(row_sums((count > 0)[flat], ptr).astype(np.int64)),
             "base": pa.array(row_sums((np.log10(count + ADD) - model.base())[flat], ptr)),
-            "inside": pa.array(row_sums(inside[flat], ptr)),
-            "codes": binary_lists(code[flat], ptr), "kinds": binary_lists(coded[flat].astype(np.uint8), ptr)})
+            "codes": binary_lists(codes, ptr), "what": pa.array(["row"] * n, pa.string()), "part": pa.nulls(n, pa.int64()), "keys": pa.nulls(n, pa.binary()),
+            "kinds": binary_lists(kinds, ptr), "n": pa.nulls(n, pa.binary())})
+        return pa.concat_tables([rows, packs], promote_options="default").select(rows.column_names)
 
     return run
 
@@ -181,29 +310,32 @@ def _tokens(batch: pa.RecordBatch, most: int = 1 << 16) -> Iterator[tuple[int, i
     """Runs of rows of about ``most`` tokens: (first, end, codes, kinds, offsets)."""
     codes = batch.column(batch.schema.get_field_index("codes")).to_pylist()
     kinds = batch.column(batch.schema.get_field_index("kinds")).to_pylist()
-    for lo, hi in chunks(np.cumsum([0, *map(len, kinds)]), most):
-        yield (lo, hi, np.frombuffer(b"".join(codes[lo:hi]), np.uint16), np.frombuffer(b"".join(kinds[lo:hi]), np.uint8),
-               np.cumsum([0, *map(len, kinds[lo:hi])]))
+    for lo, hi in chunks(np.cumsum([0, *(len(k) // 2 for k in kinds)]), most):
+        yield (lo, hi, np.frombuffer(b"".join(codes[lo:hi]), np.uint32), np.frombuffer(b"".join(kinds[lo:hi]), np.uint16),
+               np.cumsum([0, *(len(k) // 2 for k in kinds[lo:hi])]))
 
 
 def _gradients(shared):
     """Summed gradients of all rows of a task, cut into slices of the weight table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        grad = np.zeros((sum(BUCKETS) + 1, CLASSES + 1), np.float32)  # last row: bias; last column: how often
+        grad = np.zeros((model.classes + 1, len(model.weights) + 1), np.float32)  # last column: bias; last row: how often
         for batch in batches:
-            for _, _, code, kind, ptr in _tokens(batch):
-                feats = _features(code, ptr)
-                step = -np.exp(_class_logs(model, feats))
-                target = np.where(kind >= 128, UNKNOWN, kind & 127).astype(np.int64)
-                step[np.arange(len(step)), target] += 1.0
-                grad[-1, :-1] += step.sum(0)
-                grad[-1, -1] += len(step)
-                for f in feats:
-                    by = np.argsort(f, kind="stable")
-                    rows, starts, often = np.unique(f[by], return_index=True, return_counts=True)
-                    grad[rows, :-1] += np.add.reduceat(step[by], starts, axis=0)
-                    grad[rows, -1] += often
+            for _, _, code, kind, ptr in _tokens(batch, 2 << max(model.bits)):
+                feats = _features(model, code, ptr)
+                step = np.ascontiguousarray(-np.exp(_class_logs(model, feats)).T)
+                target = np.where(kind >= ONCE, UNKNOWN, kind).astype(np.int64)
+                step[target, np.arange(len(target))] += 1.0
+                grad[:-1, -1] += step.sum(1)
+                grad[-1, -1] += len(target)
+                first = 0
+                for f, bits in zip(feats, model.bits):
+                    end = first + (1 << bits)
+                    place = f - first
+                    for k, by in enumerate([*step, None]):
+                        grad[k, first:end] += np.bincount(place, by, 1 << bits)
+                    first = end
+        grad = np.ascontiguousarray(grad.T)
         for k, part in enumerate(np.array_split(grad, 64)):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "grad"])
 
@@ -216,43 +348,74 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def _scored(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores of a block's rows, from the trained classes and the counts of its pairs."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         model: Model = shared.value
-        for batch in batches:
-            out = np.array(batch.column(5).to_numpy(), np.float64)
-            for lo, hi, code, kind, ptr in _tokens(batch):
-                logs = _class_logs(model, _features(code, ptr))
-                out[lo:hi] += row_sums(logs[np.arange(len(logs)), kind & 127], ptr) / math.log(10)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out)], names=["id", "held_out", "n_tokens", "n_known", "base", "score"])
+        lines = right.sort_by("part").to_pylist()
+
+        def values(what: str, column: str, dtype) -> np.ndarray:
+            return np.frombuffer(b"".join(r[column] for r in lines if r["what"] == what), dtype)
+
+        words, often = values("word", "keys", np.uint32), values("word", "n", np.int64)
+        batch = left.combine_chunks().to_batches()[0]  # every block has rows
+        _, _, code, kind, ptr = next(_tokens(batch, 1 << 62))
+        places, pairs, groups = _pairs(code, kind, ptr)
+        keys, to = np.unique(pairs, return_inverse=True)
+        c = np.empty(len(keys))
+        c[_dealt(keys, model.parts)[0]] = values("pair", "n", np.uint32)
+        asks, group = np.unique(groups, return_inverse=True)
+        sums = np.empty((len(asks), 2))
+        sums[_dealt(asks, model.parts)[0]] = values("class", "n", np.float32).reshape(-1, 2)
+        low = (often[np.searchsorted(words, code[places])] + ADD) / model.class_sums[kind[places] & (ONCE - 1)]
+        seen, distinct = sums[group].T
+        given = (np.maximum(c[to] - DISCOUNT, 0) + DISCOUNT * distinct * low) / np.maximum(seen, 1)
+        inside = np.zeros(len(code))
+        inside[places] = np.log10(np.where(seen > 0, given, low))
+        out = row_sums(inside, ptr)
+        for lo, hi, part_code, part_kind, own in _tokens(batch):
+            logs = _class_logs(model, _features(model, part_code, own))
+            out[lo:hi] += row_sums(logs[np.arange(len(logs)), part_kind & (ONCE - 1)], own) / math.log(10)
+        return pa.table({**{k: left.column(k) for k in ("id", "held_out", "n_tokens", "n_known", "base")}, "score": pa.array(out)})
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 10, held_out: int = 0) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs planned inside go when their job ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
-    The model learns from rows whose crc32(id as text) mod ``mod`` is not ``held_out``
-    (null ids count as held out). Null and empty texts have one token, the end. Repeated
-    rows are all counted and all scored; other columns are not read; an empty table gives
-    no rows. Words are told apart by 64-bit hashes.
-    """
+
+def _written(df: DataFrame, path: str, *by: str) -> DataFrame:
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _trained(docs: DataFrame, id_col: str, text_col: str, mod: int, held_out: int):
+    """The model and its broadcast, the coded rows, and what blocks need to score their pairs."""
     spark = docs.sparkSession
     path = scratch_dir(spark, "maxent")
     rows = with_rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     rows = rows.select("row_id", "id", "text", (id_remainder("id", mod) == held_out).alias("held_out"))
-    rows.mapInArrow(_blocks, "block long, row long, id long, held_out boolean, at binary, words binary, counts binary").write.option(
-        "compression", "zstd").parquet(f"{path}/blocks")
-    blocks = spark.read.parquet(f"{path}/blocks")
-    listed = blocks.where("words is not null").select("block", "words", "counts").mapInArrow(
-        _listed, "block long, pos int, word long, n long, shape byte")
-    listed.groupBy("word").agg(F.sum("n").alias("c"), F.first("shape").alias("shape")).where("c > 0").write.parquet(f"{path}/counts")
-    counts = spark.read.parquet(f"{path}/counts")
+    blocks = _written(rows.mapInArrow(_blocks, "block long, row long, id long, held_out boolean, at binary, words binary, counts binary"), f"{path}/blocks")
+    words = blocks.where("words is not null").select("block", "words", "counts")
+    parts = (words.agg(F.sum(F.length("words"))).first()[0] or 0) // (8 * PART_WORDS) + 16
+    counted = _written(words.mapInArrow(_asked(parts), _PACK_TYPE).groupBy("part").applyInArrow(_counted_words, _PACK_TYPE), f"{path}/counts", "what")
+    counts = counted.where("what = 'seen'").select("keys", "kinds", "n").mapInArrow(_listed, "word long, c long, shape short")
 
     top = counts.orderBy(F.desc("c"), "word").limit(SINGLES).collect()
     singles = [(r.word, r.c) for r in top]
+    tokens = counts.agg(F.sum("c")).first()[0] or 0
+    classes = SINGLES + 1 + _shape_classes(tokens)
     rest = counts.where(~F.col("word").isin([w for w, _ in singles])) if singles else counts
-    sums = rest.groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once")).collect()
-    n, sizes = np.zeros(CLASSES), np.zeros(CLASSES)
+    sums = rest.groupBy((F.col("shape") % (classes - SINGLES - 1)).alias("shape")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once")).collect()
+    n, sizes = np.zeros(classes), np.zeros(classes)
     for k, (_, c) in enumerate(singles):
         n[k], sizes[k] = c, c + ADD
     for r in sums:
@@ -261,24 +424,29 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
     model = Model(sum(c for _, c in singles) + sum(r.c for r in sums), len(singles) + sum(r.v for r in sums), singles, n, sizes)
 
     shared = spark.sparkContext.broadcast(model)
-    back = listed.join(counts.select("word", "c"), "word", "left").select("block", "pos", "word", F.coalesce("c", F.lit(0)).alias("c"), "shape")
+    own = words.select("block", F.lit("word").alias("what"), F.lit(0).cast("long").alias("part"), F.col("words").alias("keys"), F.col("counts").alias("n"))
+    back = own.unionByName(counted.where("what = 'count'").select(own.columns))
     texts = blocks.where("at is not null").select("block", "row", "id", "held_out", "at")
-    (texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
-        _joined(shared), "row long, id long, held_out boolean, n_tokens long, n_known long, base double, inside double, codes binary, kinds binary")
-     .withColumn("turn", F.pmod(F.xxhash64("row"), F.lit(ROUNDS)))
-     .write.option("compression", "zstd").parquet(f"{path}/coded"))
-    coded = spark.read.parquet(f"{path}/coded")
+    pack = _PACK_TYPE.split(", ", 1)[1]
+    written = _written(texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
+        _joined(shared, parts), f"block long, row long, id long, held_out boolean, n_tokens long, n_known long, base double, codes binary, {pack}"), f"{path}/coded", "what")
+    coded, packs = written.where("what = 'row'"), written.select(*_PACK)
     remove_dir(spark, f"{path}/blocks")  # only `coded` is read from here on
     remove_dir(spark, f"{path}/counts")
-
-    for turn in range(ROUNDS):
-        # one sum of gradients (9 MB) per core, however many files there are
-        slices = (coded.where((F.col("turn") == turn) & ~F.col("held_out")).select("codes", "kinds")
+    pairs = _written(packs.where("what = 'pair'").groupBy("part").applyInArrow(_counted_pairs(model.parts), _PACK_TYPE), f"{path}/pairs", "what")
+    sums = packs.where("what = 'sum'").unionByName(pairs.where("what = 'sum'")).groupBy("part").applyInArrow(_counted_classes, _PACK_TYPE)
+    sums = _written(sums, f"{path}/sums")
+    for done in ("coded/what=pair", "coded/what=sum", "pairs/what=sum"):
+        remove_dir(spark, f"{path}/{done}")
+
+    for _ in range(ROUNDS):
+        # one sum of gradients (9 MB, more above GROW tokens) per core, however many files there are
+        slices = (coded.where(~F.col("held_out")).select("codes", "kinds")
                   .coalesce(spark.sparkContext.defaultParallelism).mapInArrow(_gradients(shared), "slice int, grad binary").withColumn("lot", F.spark_partition_id() % 16))
         slices = slices.groupBy("slice", "lot").applyInArrow(_added, "slice int, grad binary")
         found = slices.groupBy("slice").applyInArrow(_added, "slice int, grad binary").orderBy("slice").collect()  # 64 rows, 9 MB
         if found:
-            grad = np.concatenate([np.frombuffer(r.grad, np.float32) for r in found]).reshape(-1, CLASSES + 1)
+            grad = np.concatenate([np.frombuffer(r.grad, np.float32) for r in found]).reshape(-1, model.classes + 1)
             step = STEP * grad[:, :-1] / (grad[:, -1:] + SHRINK)
             prior = np.exp(model.bias)
             scaled = step / (prior * (1 - prior) + 0.02)  # a diagonal curvature
@@ -286,7 +454,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
         shared.unpersist()
         shared = spark.sparkContext.broadcast(model)
 
-    return (coded.select("id", "held_out", "n_tokens", "n_known", "base", "inside", "codes", "kinds")
-            .mapInArrow(_scored(shared), "id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    return model, shared, coded, packs.where("what = 'word'").unionByName(pairs.where("what = 'pair'")).unionByName(sums)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 10, held_out: int = 0) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
+
+    The model learns from rows whose crc32(id as text) mod ``mod`` is not ``held_out``
+    (null ids count as held out). Null and empty texts have one token, the end. Repeated
+    rows are all counted and all scored; other columns are not read; an empty table gives
+    no rows. Words are told apart by 64-bit hashes.
+    """
+    with _cleaned(docs.sparkSession):
+        model, shared, coded, found = _trained(docs, id_col, text_col, mod, held_out)
+    rows = coded.select("block", "id", "held_out", "n_tokens", "n_known", "base", "codes", "kinds")
+    return (rows.groupBy("block").cogroup(found.select("block", "what", "part", "keys", "n").groupBy("block")).applyInArrow(
+        _scored(shared), "id long, held_out boolean, n_tokens long, n_known long, base double, score double")
             .select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(int(model.total)).cast("long").alias("train_tokens"),
                     F.col("base").alias("base_score"), "score"))
