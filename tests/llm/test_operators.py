@@ -275,6 +275,15 @@ def test_grammar_weighs_context():
     assert weight("you idiot") > weight("an idiot") > weight("not an idiot") and weight("an idiot") > weight("he said idiot")
 
 
+def test_grammar_runs_over_whole_clauses():
+    base, far = toxicity.Matcher(toxicity._base_lexicon()), "wort " * 200
+    kinds = lambda t: [m[0] for m in base.matches(t)]
+    assert kinds(f"he said {far}idiot") == kinds(f"he said {far}. no: he said {far}idiot") == ["reported"]
+    assert kinds(f"an idiot {far}calling him scum") == ["insult", "reported"] and kinds(f"he said {far}. idiot") == ["insult"]
+    assert kinds("idiot" + " " * 396 + "yourself kill") == ["insult"]
+    assert kinds("stupid " + "x" * 391 + " kill you") == ["insult", "threat"]
+
+
 def test_toxicity_finds_planted_and_spares_clean(spark, tmp_path, words):
     rng, vocab = words
     texts = [" ".join([rng.choice(vocab) for _ in range(50)] + (["you", "stupid", "moron"] if k % 5 == 0 else [])) for k in range(200)] + ODD

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from trawl.llm.labelled import labelled_sample
 
-#: Most labelled documents used to fit, most learned words, characters of a clause around a hit.
-SAMPLE, LEARNED, CLAUSE = 20_000, 512, 400
+#: Most labelled documents used to fit, most learned words.
+SAMPLE, LEARNED = 20_000, 512
 #: A learned word needs this share of toxic sample documents, this precision, and 8 documents.
 SUPPORT, PRECISION, LEAST = 0.02, 0.9, 8
 
@@ -42,6 +42,7 @@ KINDS = ("insult", "targeted", "negated", "reported", "threat")
 
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”«»]")
 _BREAKS = ".!?;\n"
+_BREAK = re.compile(f"[{_BREAKS}]")
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = "o", "I", "T", "Y", "N", "R", "Q"
 SYMBOLS = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE)
 Arc = tuple[object, str, float]
@@ -148,8 +149,8 @@ class Matcher:
             a, b = last - size + 1, last + 1
             if a < done or a and low[a - 1].isalnum() or b < n and low[b].isalnum():
                 continue
-            start = max(done, a - CLAUSE, max(low.rfind(c, max(0, a - CLAUSE), a) for c in _BREAKS) + 1)
-            end = min([b + CLAUSE, n, *(p for c in _BREAKS if (p := low.find(c, b, b + CLAUSE)) >= 0)])
+            start = max(done, max(low.rfind(c, done, a) for c in _BREAKS) + 1)
+            end = m.start() if (m := _BREAK.search(low, b)) else n
             state, done = 0, end
             threat = 0.0
             for m in _TOKEN.finditer(low, start, end):
