@@ -333,6 +333,11 @@ def test_ibans_end_before_words_in_capitals():
     assert pii.redact(f"pay {code} EUR 500") == "pay [IBAN] EUR 500"
 
 
+def test_redaction_covers_overlapping_spans():
+    assert pii.redact("call +49 170-1234567-bob@x.com now") == "call [PHONE] now"
+    assert pii.redact("a.b@c.de, 10.0.0.1") == "[EMAIL], [IP]" and pii.redact("none") == "none"
+
+
 def test_pii_tables_keep_rows(spark, tmp_path):
     texts = [*ODD, "mail a.b@c.de now", "card 4111 1111 1111 1111", None]
     docs = frame(spark, tmp_path, texts)

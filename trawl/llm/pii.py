@@ -145,13 +145,13 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
 
 
 def redact(text: str) -> str:
-    """``text`` with every span replaced by its kind in brackets (overlaps: the earliest
-    span, of those the longest, is replaced)."""
+    """``text`` with every span replaced by its kind in brackets (overlapping spans: their
+    union is replaced by the kind of the earliest, of those the longest)."""
     parts, last = [], 0
     for kind, a, b, _ in sorted(find_spans(text), key=lambda s: (s[1], -s[2])):
         if a >= last:
             parts += [text[last:a], f"[{kind.upper()}]"]
-            last = b
+        last = max(last, b)
     return "".join([*parts, text[last:]]) if last else text
 
 
