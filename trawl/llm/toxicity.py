@@ -3,8 +3,8 @@
 A lexical transducer maps words to symbols; further transducers mark what is reported,
 what is negated and what is aimed at somebody, and an acceptor turns the marked symbols
 into weighted matches. Their composition is one table, run over every clause that holds an
-insult or a threat. Matches, not isolated words, are scored; the weights of words and of
-kinds of match are fitted on labelled documents.
+insult or a threat. Matches are scored, and an insult without a target is one too; the
+weights of words and of kinds of match are fitted on labelled documents.
 """
 
 from __future__ import annotations
