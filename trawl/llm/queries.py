@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import byte_bpe, huffman, maxent, near_dedup, neighbours, packing, pii, quality, tokens, toxicity
+from trawl.llm import byte_bpe, huffman, line_runs, maxent, near_dedup, neighbours, packing, pii, quality, resample, tokens, toxicity
 from trawl.llm import exact_dedup as exact
 from trawl.llm.labelled import id_remainder
 from trawl.session import scratch_dir
@@ -124,3 +124,58 @@ def pii_spans(spark, sf_dir):
     counts = [F.size(_of_kinds("spans", k)).cast("long").alias(f"n_{k}") for k in kinds]
     base = _of_kinds("spans", *kinds)
     return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+#: CRC-32 in SQL, four bits at a time, of the column ``s`` (fixed values of the checksum's table).
+_CRC_NIBBLES = """[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text expression's UTF-8 bytes."""
+    step = f"xor(%s >> 4, ({_CRC_NIBBLES})[(%s & 15) + 1])"
+    return (f"""xor(4294967295, list_reduce(
+    [4294967295::BIGINT] || CASE WHEN {text} = '' THEN []::BIGINT[] ELSE list_transform(range(octet_length(encode({text}))),
+      lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT) END,
+    lambda c, b: {step.replace("%s", "(" + step.replace("%s", "xor(c, b)") + ")")}))""")
+
+
+@query("op11_resample", rf"""
+WITH words AS (SELECT doc_id AS id, true AS corpus,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT item_id, false,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+places AS (SELECT id, corpus, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (SELECT id, corpus, w[i] AS f FROM places
+  UNION ALL SELECT id, corpus, w[i] || ' ' || w[i + 1] FROM places WHERE i + 1 <= len(w)
+  UNION ALL SELECT id, corpus, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM places WHERE i + 2 <= len(w)),
+per AS (SELECT id, corpus, f, count(*) AS n FROM grams GROUP BY ALL),
+hashed AS MATERIALIZED (SELECT f, {crc32_sql("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM per)),
+counts AS (SELECT bucket, coalesce(sum(n) FILTER (corpus), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT corpus), 0)::DOUBLE AS t
+  FROM per JOIN hashed USING (f) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts) + 10000) / ((s + 1) * ((SELECT sum(t) FROM counts) + 10000))))::BIGINT AS g FROM counts),
+weights AS (SELECT id AS doc_id, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight
+  FROM per JOIN hashed USING (f) JOIN gain USING (bucket) WHERE corpus GROUP BY id),
+scores AS (SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(len(w), 0) AS n_words,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM documents d LEFT JOIN weights USING (doc_id) LEFT JOIN words ON words.id = d.doc_id AND corpus),
+ranks AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scores WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank FROM scores LEFT JOIN ranks USING (doc_id)""")
+def resampled(spark, sf_dir):
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_line_runs", r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+keyed AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+repeated AS (SELECT key, max(doc_id) AS keep FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT k.*, keep IS NOT NULL AND keep <> doc_id AS gone FROM keyed k LEFT JOIN repeated USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""")
+def lines_kept(spark, sf_dir):
+    kept = line_runs.deduplicated(table(spark, sf_dir, "documents"))
+    return kept.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
