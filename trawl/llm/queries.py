@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import byte_bpe, huffman, line_runs, maxent, near_dedup, neighbours, packing, pii, quality, resample, tokens, toxicity
+from trawl.llm import byte_bpe, conversations, huffman, line_runs, maxent, near_dedup, neighbours, packing, pii, quality, resample, tokens, toxicity
 from trawl.llm import exact_dedup as exact
 from trawl.llm.labelled import id_remainder
 from trawl.session import scratch_dir
@@ -179,3 +179,57 @@ FROM marked GROUP BY doc_id""")
 def lines_kept(spark, sf_dir):
     kept = line_runs.deduplicated(table(spark, sf_dir, "documents"))
     return kept.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: One step of the repair in SQL: of a list of (cost, audit, rows) the least.
+def _least(*options: str) -> str:
+    return f"list_sort([{', '.join(options)}])[1]"
+
+
+def _edit(to: str, price: str, letter: str, row: str | None = None) -> str:
+    rest = f"list_prepend({row}, {to}.r)" if row else f"{to}.r"
+    return f"{{'c': {to}.c + {price}, 'a': '{letter}' || {to}.a, 'r': {rest}}}"
+
+
+_NO = "{'c': 1000000000::BIGINT, 'a': '', 'r': []::VARCHAR[]}"
+
+
+def _of(state: int) -> str:
+    """Least option of a state that takes the row f from the states r.s0 to r.s3 behind it."""
+    to, role = (3, "assistant") if state == 2 else (2, "user")
+    cut = "f.cut::BIGINT"
+    keep = {0: [("s", 1), ("u", 2)], 1: [("u", 2)], 2: [("a", 3)], 3: [("u", 2)]}[state]
+    kept = [f"CASE WHEN f.must OR f.ini <> '{i}' THEN {_NO} ELSE {_edit(f'r.s{q}', cut, 'K', 'f.line')} END" for i, q in keep]
+    given = f"CASE WHEN f.must THEN {_NO} ELSE {_edit(f'r.s{to}', f'2 + {cut}', 'R', f"'{role}:' || f.text")} END"
+    return _least(_edit(f"r.s{state}", "3", "D"), given, *kept)
+
+
+@query("op13_repair", rf"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS fate FROM conversations),
+changed AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM raw WHERE fate <> 0),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM changed),
+flaws AS (SELECT *, left(role, 1) AS ini, role || ':' || text AS line, blank OR again AS must,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prior FROM seen),
+steps AS (SELECT conv_id, max(i) + 1 AS i, {{'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]}} AS s0,
+    {{'c': 4::BIGINT, 'a': 'II', 'r': ['user:', 'assistant:']}} AS s1, {{'c': 2::BIGINT, 'a': 'I', 'r': ['assistant:']}} AS s2,
+    {{'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]}} AS s3 FROM flaws GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, {_least("b0", _edit("t2", "2", "I", "'user:'"))}, {_least("b1", _edit("t2", "2", "I", "'user:'"))}, t2, t3 FROM (
+    SELECT *, {_least("b2", _edit("b3", "2", "I", "'assistant:'"))} AS t2, {_least("b3", _edit("b2", "2", "I", "'user:'"))} AS t3 FROM (
+      SELECT f.conv_id, f.i, {_of(0)} AS b0, {_of(1)} AS b1, {_of(2)} AS b2, {_of(3)} AS b3
+      FROM steps r JOIN flaws f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i - 1))),
+faults AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT must) AS truncated,
+    count(*) FILTER (i > 1 AND prior || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM flaws GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(s0.c, 0) AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(array_to_string(s0.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN steps s ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.i = 1""")
+def repaired(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair_report(rows, conversations.damaged(rows))
