@@ -8,7 +8,6 @@ from trawl.operators import knn as K
 from trawl.operators.encoding import encode_texts, letter_counts
 from trawl.operators.lexical import containment_qrels
 from trawl.operators.triples import mix_sources
-from trawl.operators.util import rows_or_fail
 from trawl.plans import bindings as B
 from trawl.plans import evaluate as E
 from trawl.session import remove_dir, scratch_dir
@@ -76,13 +75,6 @@ def test_mixing_numbers_rows_that_tie_by_their_ids(spark):
     assert [(r.query_id, r.positive_id, r.negative_id) for r in mixed] == rows
 
 
-def test_no_rows_is_an_error_with_counts(spark):
-    report = spark.createDataFrame([(3, 0)], "total long, kept long")
-    with pytest.raises(ValueError, match="total = 3, kept = 0"):
-        rows_or_fail(spark.range(0), "resolving", report)
-    assert rows_or_fail(spark.range(2), "resolving").count() == 2
-
-
 def test_encoder_keeps_rows_and_feeds_the_join(spark):
     docs = spark.createDataFrame([(1, "tee"), (2, None), (3, "")], "id long, text string")
     vecs = {r.id: list(r.vec) for r in encode_texts(docs, letter_counts).collect()}

@@ -1,10 +1,11 @@
 """Nearest-neighbour joins over unit vectors (inner product = cosine).
 
-Neither join materialises query x passage pairs as rows. Both reduce to
-``blocked_topk``: queries and passages that share a grouping key (a constant for the
-exact join, an IVF cell for the approximate one) are split into bounded blocks by
-hashing their ids. Every (query block, passage block) pair meets in one cogroup task,
-which scores the block with one BLAS matrix product and emits only its local top-k
+Neither join materialises query x passage pairs as rows. Small exact joins use
+``blocked_topk``: queries and passages that share a grouping key are split into bounded
+blocks by hashing their ids. Large ones skip blocks by bounds (``knn_bounds``), and the
+approximate join looks into a few cells (``knn_tree``).
+
+In ``blocked_topk`` every (query block, passage block) pair meets in one grouped task, which scores the block with one BLAS matrix product and emits only its local top-k
 per query. A ``row_number() <= k`` window (planned as a partial + final
 WindowGroupLimit) then merges the local lists. Block sizes come from per-key counts,
 so a hot key (a cell holding a third of all vectors) is split like any other and no
@@ -22,6 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trawl.operators.knn_bounds import BoundedSearch
+from trawl.operators.knn_tree import Tree
+from trawl.operators.vector_stream import stream_topk
 from trawl.session import scratch_dir
 
 _SCORED_SCHEMA = "qid long, docid long, score double"
@@ -29,12 +33,10 @@ _SCORED_SCHEMA = "qid long, docid long, score double"
 _QUERY_CHUNK = 512
 _MIN_QUERY_BLOCK = 64
 _ROUND = 9
-# scores of one chunk of vectors against all centroids
-_ASSIGN_SCORES = 1 << 22
 #: The probed cells of a query hold at least this many times k passages.
-PROBE_ROWS = 32
-#: Most bytes of centroids that are broadcast.
-MAX_CENTROID_BYTES = 256 << 20
+PROBE_ROWS = 16
+#: Pairs of blocks up to which the exact join scores all of them without building bounds.
+FEW_PAIRS = 64
 
 
 def _local_topk(k: int, exclude_self: bool):
@@ -84,10 +86,10 @@ def _local_topk(k: int, exclude_self: bool):
 
 def blocked_topk(queries: DataFrame, passages: DataFrame, k: int, *, keys: list[str] | None = None,
                  exclude_self: bool = False, max_query_rows: int = 2048,
-                 max_passage_rows: int = 32768) -> DataFrame:
+                 max_passage_rows: int = 32768, counts: tuple[int, int] | None = None) -> DataFrame:
     """Top-k passages per query among passages sharing ``keys`` with the query.
 
-    queries: ``qid long, qvec array<float>`` (+ keys); passages: ``docid long,
+    ``counts``: rows of both sides, where the caller knows them. queries: ``qid long, qvec array<float>`` (+ keys); passages: ``docid long,
     dvec array<float>`` (+ keys). Returns ``qid, docid, score, rank`` (rank 1-based).
     """
     if k <= 0:
@@ -98,7 +100,7 @@ def blocked_topk(queries: DataFrame, passages: DataFrame, k: int, *, keys: list[
         # Blocks are bounded by the row limits, and queries are cut further (down to
         # _MIN_QUERY_BLOCK rows) until there are about two blocks per core, so small
         # inputs still use the whole cluster.
-        nq, npass = queries.count(), passages.count()
+        nq, npass = counts or (queries.count(), passages.count())
         target = 2 * queries.sparkSession.sparkContext.defaultParallelism
         qb = max(1, math.ceil(nq / max_query_rows), min(target, math.ceil(nq / _MIN_QUERY_BLOCK)))
         pb = max(1, math.ceil(npass / max_passage_rows))
@@ -148,10 +150,31 @@ def rank_topk(scored: DataFrame, k: int | None, *, part: str = "qid", order_id:
 
 
 def knn_join_exact(queries: DataFrame, passages: DataFrame, k: int, *, exclude_self: bool = False,
-                   max_query_rows: int = 2048, max_passage_rows: int = 32768) -> DataFrame:
-    """Exact inner-product top-k per query (flat index semantics)."""
-    return blocked_topk(queries, passages, k, exclude_self=exclude_self,
-                        max_query_rows=max_query_rows, max_passage_rows=max_passage_rows)
+                   max_query_rows: int = 2048, max_passage_rows: int = 32768, prune: bool | None = None) -> DataFrame:
+    """Exact inner-product top-k per query (flat index semantics).
+
+    Beyond FEW_PAIRS pairs of a query block and a passage block, or with ``prune``, blocks
+    are built of close vectors and skipped by their bounds (``knn_bounds``); passages are then
+    copied once per 131,072 queries, not once per query block. Both ways give the same rows.
+    """
+    counts = None
+    if prune is None:
+        counts = nq, n = queries.count(), passages.count()
+        prune = math.ceil(nq / max_query_rows) * math.ceil(n / max_passage_rows) > FEW_PAIRS
+    if not prune:
+        return blocked_topk(queries, passages, k, exclude_self=exclude_self,
+                            max_query_rows=max_query_rows, max_passage_rows=max_passage_rows, counts=counts)
+    if k <= 0:
+        raise ValueError("k must be positive")
+    spark = queries.sparkSession
+    search = BoundedSearch(queries, passages, k, exclude_self)
+    if search.empty:
+        return spark.createDataFrame([], "qid long, docid long, score double, rank long")
+    path = scratch_dir(spark, "homes")
+    rank_topk(search.first(), k).drop("rank").write.parquet(path)
+    found = spark.read.parquet(path)
+    more = stream_topk(search.survivors(found), search.blocks, k, exclude_self)
+    return rank_topk(found.unionByName(more), k)
 
 
 def ivf_params(n: int) -> tuple[int, int]:
@@ -161,85 +184,24 @@ def ivf_params(n: int) -> tuple[int, int]:
     return nlist, nprobe
 
 
-def train_centroids(passages: DataFrame, nlist: int, *, seed: int = 42, fraction: float = 1.0) -> np.ndarray:
-    """Coarse quantiser: Spark ML KMeans on all vectors, or on a seeded ``fraction`` of them
-    that the caller chooses (it does not depend on the number of rows).
-
-    Returns an ``(nlist', dim)`` matrix; nlist' <= nlist when there are fewer vectors.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    # deterministic sample and partition contents (a seeded hash of the id, range
-    # partitions by id), so the seeded KMeans gives the same centroids on every run
-    sample = passages if fraction >= 1.0 else passages.where(
-        F.pmod(F.xxhash64(F.col("docid"), F.lit(seed)), F.lit(1_000_000)) < F.lit(int(fraction * 1_000_000)))
-    n = sample.count()
-    parts = max(passages.sparkSession.sparkContext.defaultParallelism, math.ceil(n / 100_000))
-    sample = sample.repartitionByRange(parts, "docid").sortWithinPartitions("docid")
-    feats = sample.select(array_to_vector(F.col("dvec")).alias("features"))
-    km = KMeans(k=min(nlist, n), seed=seed, maxIter=20, initMode="k-means||")
-    model = km.fit(feats)
-    return np.asarray(model.clusterCenters(), dtype=np.float64)
-
-
-def _assign_cells(df: DataFrame, vec_col: str, id_col: str, shared, nprobe: int, least_rows: int = 0) -> DataFrame:
-    """Explode each vector to its best cells by inner product: ``nprobe`` of them, and more
-    until they hold ``least_rows`` passages. ``shared``: broadcast (centroids, cell sizes)."""
-
-    def run(it):
-        cents, sizes = shared.value
-        rows = max(1, _ASSIGN_SCORES // len(cents))
-        for pdf in it:
-            for start in range(0, len(pdf), rows):
-                part = pdf.iloc[start:start + rows]
-                s = np.stack(part[vec_col].to_numpy()).astype(np.float64) @ cents.T
-                best = np.argmax(s, axis=1)[:, None] if nprobe == 1 and not least_rows else np.argsort(-s, axis=1, kind="stable")
-                take = np.full(len(part), min(nprobe, best.shape[1]))
-                if least_rows:
-                    held = np.cumsum(sizes[best], axis=1)
-                    take = np.maximum(take, np.minimum((held < least_rows).sum(axis=1) + 1, best.shape[1]))
-                chosen = np.arange(best.shape[1]) < take[:, None]
-                yield pd.DataFrame({id_col: np.repeat(part[id_col].to_numpy(np.int64), take),
-                                    vec_col: np.repeat(part[vec_col].to_numpy(), take),
-                                    "cell": best[chosen].astype(np.int32)})
-
-    return df.select(id_col, vec_col).mapInPandas(run, f"{id_col} long, {vec_col} array<float>, cell int")
-
-
 def knn_join_ivf(queries: DataFrame, passages: DataFrame, k: int, *, exclude_self: bool = False,
-                 nlist: int | None = None, nprobe: int | None = None, seed: int = 42, fraction: float = 1.0,
-                 probe_rows: int | None = None, max_query_rows: int = 2048, max_passage_rows: int = 32768) -> DataFrame:
-    """Inverted-file approximate top-k.
-
-    Passages go to their best cell (written once to the scratch folder). Queries go to
-    their ``nprobe`` best cells, and to more until those hold ``probe_rows`` passages
-    (PROBE_ROWS * k unless given), so every query with k candidates gets k rows. Scoring is
-    exact inside the probed cells via :func:`blocked_topk` keyed by cell. The centroids,
-    which are broadcast, are kept to MAX_CENTROID_BYTES by using fewer, larger cells. No
-    passages: no rows.
+                 nlist: int | None = None, nprobe: int | None = None, seed: int = 42,
+                 probe_rows: int | None = None) -> DataFrame:
+    """Inverted-file approximate top-k over a tree of centroids (``knn_tree``).
+
+    Every passage is in one cell. Queries look into their ``nprobe`` best cells, and more
+    until those hold ``probe_rows`` passages (PROBE_ROWS * k unless given), so every query
+    with k candidates gets k rows; scores are exact. Centroids are fitted on bounded
+    samples. No passages: no rows.
     """
-    spark = passages.sparkSession
-    n = passages.count()
-    if n == 0:
-        return knn_join_exact(queries, passages, k, exclude_self=exclude_self)
+    n, nq = passages.count(), queries.count()
+    if n == 0 or nq == 0:
+        return passages.sparkSession.createDataFrame([], "qid long, docid long, score double, rank long")
     dn, dp = ivf_params(n)
-    dim = passages.select(F.size("dvec")).first()[0]
-    nlist = min(nlist or dn, max(1, MAX_CENTROID_BYTES // (8 * dim)))
-    nprobe = nprobe or dp
-    cents = train_centroids(passages, nlist, seed=seed, fraction=fraction)
-    path = scratch_dir(spark, "cells")
-    first = spark.sparkContext.broadcast((cents, None))
-    _assign_cells(passages, "dvec", "docid", first, 1).write.parquet(path)
-    pc = spark.read.parquet(path)
-    sizes = np.zeros(len(cents), np.int64)
-    for r in pc.groupBy("cell").count().collect():  # one number per centroid
-        sizes[r["cell"]] = r["count"]
-    probed = spark.sparkContext.broadcast((cents, sizes))
-    least = (PROBE_ROWS * k if probe_rows is None else probe_rows) + int(exclude_self)
-    qc = _assign_cells(queries, "qvec", "qid", probed, nprobe, least)
-    return blocked_topk(qc, pc, k, keys=["cell"], exclude_self=exclude_self,
-                        max_query_rows=max_query_rows, max_passage_rows=max_passage_rows)
+    tree = Tree(passages, nlist or dn, n, seed)
+    least = max(k, PROBE_ROWS * k if probe_rows is None else probe_rows) + int(exclude_self)
+    probes = tree.probes(queries, nprobe or dp, least)
+    return rank_topk(tree.search(queries, probes, k, exclude_self, nq), k)
 
 
 def knn_recall(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:

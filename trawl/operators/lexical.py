@@ -1,11 +1,10 @@
 """Lexical operators: tokenisation, BM25 first stage (R6), containment judgments.
 
-Tokens are maximal runs of Unicode letters/digits. Both operators are equi-joins on
-terms, never a nested loop over (query, document):
+Tokens are maximal runs of Unicode letters/digits. Neither operator is a nested loop over
+(query, document):
 
-* BM25 keeps only document tokens that occur in some query (broadcast hash join
-  against the query vocabulary when its size is checked small), aggregates tf per
-  (doc, term) inside the scan partition, then joins the per-query terms.
+* BM25 keeps only document tokens that occur in some query and scores blocks of
+  documents that can still change a query's top k (see ``bm25``).
 * Containment judgments pick one *interior* token of each item (a token with separators
   on both sides inside the item text). Any document that contains the item text must
   contain that token as a whole token, so an equi-join on it yields a superset of the
@@ -18,8 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trawl.operators import bm25
 from trawl.operators.knn import rank_topk
 from trawl.operators.util import broadcast_if_small
+from trawl.session import scratch_dir
 
 # fixed values: token pattern and BM25 parameters (Anserini defaults for MS MARCO runs)
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
@@ -39,58 +40,49 @@ def tokens(text: Column, lower: bool = True) -> Column:
     return F.array_remove(F.split(t, SEPARATOR_PATTERN), "")
 
 
+def _query_pairs(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``orig_qid, qid`` and ``qid, term, qtf``): queries of the same tokens share one id, so
+    that they are scored once."""
+    qtok = queries.select(F.col("id").cast("long").alias("orig_qid"), tokens(F.col("text")).alias("toks"))
+    qtok = qtok.withColumn("bag", F.array_join(F.array_sort("toks"), " "))
+    reps = qtok.groupBy("bag").agg(F.min("orig_qid").alias("qid"))
+    members = qtok.select("orig_qid", "bag").join(reps, "bag").select("orig_qid", "qid")
+    pairs = (reps.select("qid", F.explode(F.split("bag", " ")).alias("term")).where("term <> ''")
+             .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
+    return members, pairs
+
+
 def bm25_first_stage(queries: DataFrame, docs: DataFrame, top_k: int = 1000, *, k1: float = BM25_K1,
                      b: float = BM25_B, digits: int = 6, max_broadcast_terms: int = 2_000_000) -> DataFrame:
     """``qid, docid, score, rank`` — BM25 top-k per query over ``docs(id, text)``.
 
-    Queries with the same token multiset are scored once and their ranked list is
-    shared. Plan: the collection statistics (N, avgdl) are one global aggregate. Term hits are
-    restricted to the query vocabulary by a broadcast hash join before any shuffle, tf is
-    aggregated per (doc, term) with map-side partial aggregation and checkpointed (the
-    query-vocabulary postings), df is aggregated from it per term, and the per-(query,
-    doc) sum is partially aggregated before its shuffle. ``row_number() <=
-    top_k`` plans as a partial + final WindowGroupLimit.
+    Queries with the same token multiset are scored once and their ranked list is shared.
+    The collection is read once per ``bm25.PAIRS`` (query, term) pairs and scored with exact
+    block skipping (``bm25``). Null texts have no tokens. No query term or no document: no
+    rows.
     """
-    dtok = docs.select(F.col("id").alias("docid"), tokens(F.col("text")).alias("toks"))
-    dtok = dtok.select("docid", "toks", F.size("toks").alias("dl"))
-    # collection statistics: one global aggregate, two scalars to the driver
-    st = dtok.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    n_docs, avgdl = float(st["n"]), float(st["avgdl"] or 1.0)
-    # identical queries (same token multiset) are scored once: each distinct bag gets a
-    # representative id ("qid" below), results fan back out to every query id at the end
-    qtok = queries.select(F.col("id").alias("orig_qid"), tokens(F.col("text")).alias("toks"))
-    qtok = qtok.withColumn("bag", F.array_join(F.array_sort("toks"), " "))
-    reps = qtok.groupBy("bag").agg(F.min("orig_qid").alias("qid"), F.first("toks").alias("toks"))
-    members = qtok.select("orig_qid", "bag").join(reps.select("bag", "qid"), "bag").select("orig_qid", "qid")
-    qterms = (reps.select("qid", F.explode("toks").alias("term"))
-              .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
-    # weights and vocabulary have at most as many rows as (query, term) pairs: one cheap
-    # check on the query side bounds both broadcasts
-    small = qterms.limit(max_broadcast_terms + 1).count() <= max_broadcast_terms
-    bc = F.broadcast if small else (lambda x: x)
-    vocab = bc(qterms.select("term").distinct())
-    hits = dtok.select("docid", "dl", F.explode("toks").alias("term")).join(vocab, "term")
-    # postings of the query vocabulary, materialised once (shared checkpoint folder):
-    # both df and scoring read it, and lineage to the corpus scan is cut
-    postings = hits.groupBy("docid", "term", "dl").agg(F.count(F.lit(1)).alias("tf")).checkpoint(eager=True)
-    # scoring reads the postings partitioned by docid: the per-(query, doc) sum then
-    # aggregates in place (docid partitioning clusters (qid, docid)), so the fan-out of
-    # each posting to the queries that contain its term is never shuffled
-    tf = postings.repartition("docid")
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.lit(1.0) + (F.lit(n_docs) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    weights = qterms.join(df, "term").select("qid", "term", (F.col("qtf") * idf).alias("w"))
-    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
-    contrib = (bc(weights).join(tf, "term")
-               .select("qid", "docid", (F.col("w") * F.col("tf") * F.lit(k1 + 1.0)
-                                        / (F.col("tf") + norm)).alias("s")))
-    scored = contrib.groupBy("qid", "docid").agg(F.round(F.sum("s"), digits).alias("score"))
-    top = rank_topk(scored, top_k)
+    spark = docs.sparkSession
+    members, pairs = _query_pairs(queries)
+    path = scratch_dir(spark, "queries")
+    pairs.write.parquet(path)  # counted and then read group by group
+    scored = spark.createDataFrame([], "qid long, docid long, score double")
+    for group in bm25.passes(spark.read.parquet(path)):
+        scored = scored.unionByName(bm25.scored_pairs(group, docs, tokens(F.col("text")), top_k, k1, b))
+    top = rank_topk(scored.withColumn("score", F.round("score", digits)), top_k)
     # fan out: every query id receives its bag's ranked list (k rows per query id)
     return (broadcast_if_small(members, max_broadcast_terms).join(top, "qid")
             .select(F.col("orig_qid").alias("qid"), "docid", "score", "rank"))
 
 
+def bm25_postings_read(queries: DataFrame, docs: DataFrame, top_k: int = 1000) -> DataFrame:
+    """One row: ``read``, the postings of query terms that ``bm25_first_stage`` scores, and
+    ``postings``, all of them."""
+    out = docs.sparkSession.createDataFrame([(0, 0)], "read long, postings long")
+    for group in bm25.passes(_query_pairs(queries)[1]):
+        out = out.unionByName(bm25.scored_pairs(group, docs, tokens(F.col("text")), top_k, BM25_K1, BM25_B, report=True))
+    return out.agg(F.sum("read").alias("read"), F.sum("postings").alias("postings"))
+
+
 def _candidates_by_gram(short: DataFrame, d: DataFrame, n: int) -> DataFrame:
     """(qid, docid) of documents that hold the first ``n`` characters of a short item.
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions.hashing import hash_key
+from trawl.sources.sinks import sink_counted
 
 
 @dataclass(frozen=True)
@@ -119,6 +120,35 @@ def mining_skip_report(queries: DataFrame, candidates: DataFrame, positives: Dat
                  F.count_if(~no_qrel & ~off & ~small).alias("mined_queries"))
 
 
+def write_mined(queries: DataFrame, candidates: DataFrame, positives: DataFrame, collection_ids: DataFrame,
+                path: str, config: MiningConfig = MiningConfig()) -> dict[str, int]:
+    """M4 to a table, with M5 counted by the job that writes it.
+
+    Writes ``query_id, positive_id, negative_ids`` to ``path`` and returns ``rows`` (written),
+    ``mined_queries`` and the queries skipped by reason. ValueError with those counts if
+    nothing was mined. Every query of ``queries`` (``qid``) is counted once.
+    """
+    present = positives_in_collection(positives, collection_ids).select("qid", "docid").distinct()
+    cands = candidates.where(F.col("rank") <= config.top_k).join(present.select("qid").distinct(), "qid", "left_semi")
+    win = rank_window(exclude_positives(cands, positives), config.rank_min, config.rank_max)
+    negs = (sample_negatives(win, config.num_negatives, config.seed)
+            .groupBy("qid").agg(F.array_sort(F.collect_list("docid")).alias("negative_ids")))
+    status = (queries.select("qid").distinct()
+              .join(positives.select("qid").distinct().withColumn("_positive", F.lit(True)), "qid", "left")
+              .join(present.groupBy("qid").agg(F.min("docid").alias("_first")), "qid", "left")
+              .join(negs, "qid", "left"))
+    rows = status.join(present, "qid", "left").select(
+        F.col("qid").alias("query_id"), F.col("docid").alias("positive_id"), "negative_ids", "_positive", "_first")
+    none = F.col("_positive").isNull()
+    off = ~none & F.col("_first").isNull()
+    once = F.col("positive_id") == F.col("_first")  # of a query's positives one row counts
+    return sink_counted(rows, path, "mining", keep=F.col("negative_ids").isNotNull() & F.col("positive_id").isNotNull(),
+                        counts={"skipped_no_qrel": none, "skipped_positive_not_in_collection": off,
+                                "skipped_insufficient_pool": once & F.col("negative_ids").isNull(),
+                                "mined_queries": once & F.col("negative_ids").isNotNull()},
+                        drop=("_positive", "_first"))
+
+
 def synthetic_qrels(queries: DataFrame, collection: DataFrame, *, seed: int = 42, first_n: int = 1000) -> DataFrame:
     """M8: each query gets one seeded random passage among the first ``first_n`` ids.
 

@@ -103,31 +103,31 @@ def calibrate_scores(pairs: DataFrame, method: str = "isotonic") -> DataFrame:
     """Fit Platt (logistic) or isotonic calibration on ``score -> is_pos`` and apply it.
 
     Both are fitted on one weighted row per distinct score (its share of positives and its
-    count), which gives the same fit as the single rows.
+    count), which gives the same fit as the single rows. The isotonic fit pools range
+    partitions (``isotonic``). Rows of a null score or label take no part in a fit; a score that no
+    labelled row has gets null from the isotonic one.
     """
-    from pyspark.ml.feature import VectorAssembler
-
-    by_label = pairs.groupBy("score", F.col("is_pos").cast("double").alias("label")).agg(
+    known = pairs.where("score is not null and is_pos is not null")
+    by_label = known.groupBy("score", F.col("is_pos").cast("double").alias("label")).agg(
         F.count(F.lit(1)).cast("double").alias("weight"))
     by_score = by_label.groupBy("score").agg(
         (F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("label"), F.sum("weight").alias("weight"))
-    vectors = VectorAssembler(inputCols=["score"], outputCol="features")
     if method == "isotonic":
-        from pyspark.ml.regression import IsotonicRegression
+        from trawl.operators.isotonic import fitted_values, isotonic_blocks
 
-        model = IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(
-            vectors.transform(by_score))
-        out = model.transform(vectors.transform(pairs)).withColumnRenamed("prediction", "calibrated")
-    elif method == "platt":
+        path = scratch_dir(pairs.sparkSession, "scores")  # read by the fit and to apply it
+        by_score.write.parquet(path)
+        by_score = pairs.sparkSession.read.parquet(path)
+        return pairs.join(fitted_values(by_score.select("score"), isotonic_blocks(by_score)), "score", "left").select(*pairs.columns, "calibrated")
+    if method == "platt":
         from pyspark.ml.classification import LogisticRegression
-        from pyspark.ml.functions import vector_to_array
-
-        model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(
-            vectors.transform(by_label))
-        out = model.transform(vectors.transform(pairs)).withColumn("calibrated", vector_to_array("probability")[1])
-    else:
-        raise ValueError(f"unknown calibration method {method}")
-    return out.drop("features", "rawPrediction", "probability", "prediction")
+        from pyspark.ml.feature import VectorAssembler
+
+        points = VectorAssembler(inputCols=["score"], outputCol="features").transform(by_label)
+        model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(points)
+        slope, shift = float(model.coefficients[0]), float(model.intercept)
+        return pairs.withColumn("calibrated", 1.0 / (1.0 + F.exp(-(F.lit(slope) * F.col("score") + F.lit(shift)))))
+    raise ValueError(f"unknown calibration method {method}")
 
 
 def calibration_check(calibrated: DataFrame) -> DataFrame:

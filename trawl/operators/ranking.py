@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -29,12 +30,41 @@ def token_overlap(query: Column, passage: Column, digits: int = 6) -> Column:
     return F.round(F.size(F.array_intersect(q, p)) / F.greatest(F.size(q), F.lit(1)), digits)
 
 
-def score_pairs(pairs: DataFrame, scorer: Callable | None = None, *, batch: bool = False,
-                query_col: str = "query", passage_col: str = "passage") -> DataFrame:
+def pair_length(query_col: str = "query", passage_col: str = "passage") -> Column:
+    """Characters of a pair (null texts: none), which a batch is padded by."""
+    return F.coalesce(F.length(query_col), F.lit(0)) + F.coalesce(F.length(passage_col), F.lit(0))
+
+
+def by_length(pairs: DataFrame, query_col: str = "query", passage_col: str = "passage") -> DataFrame:
+    """``pairs`` range-partitioned and sorted by length, so that a batch holds pairs of like
+    length. Equal lengths are spread by a hash of the pair; a pair's columns travel with it."""
+    size, spread = pair_length(query_col, passage_col), F.xxhash64(query_col, passage_col)
+    return pairs.repartitionByRange(size, spread).sortWithinPartitions(size, spread)
+
+
+def padding(pairs: DataFrame, batch_rows: int, query_col: str = "query", passage_col: str = "passage") -> DataFrame:
+    """One row: ``characters`` of the pairs as they lie and ``padded``, what batches of
+    ``batch_rows`` hold once every pair is as long as its batch's longest."""
+    def run(it):
+        for pdf in it:
+            size = pdf["_size"].to_numpy()
+            for lo in range(0, len(size), batch_rows):
+                part = size[lo:lo + batch_rows]
+                yield pd.DataFrame({"characters": [int(part.sum())], "padded": [int(part.max()) * len(part)]})
+
+    sizes = pairs.select(pair_length(query_col, passage_col).alias("_size"))
+    return sizes.mapInPandas(run, "characters long, padded long").agg(
+        F.coalesce(F.sum("characters"), F.lit(0)).alias("characters"), F.coalesce(F.sum("padded"), F.lit(0)).alias("padded"))
+
+
+def score_pairs(pairs: DataFrame, scorer: Callable | None = None, *, batch: bool = False, batch_rows: int = 256,
+                sort_by_length: bool = True, query_col: str = "query", passage_col: str = "passage") -> DataFrame:
     """Add ``score`` to ``pairs``.
 
     ``batch=False``: ``scorer(query_col, passage_col) -> Column``.
-    ``batch=True``: ``scorer(list_of_pairs) -> scores``, applied per Arrow batch.
+    ``batch=True``: ``scorer(list_of_pairs) -> scores`` of up to ``batch_rows`` pairs at a
+    time, in order of length unless ``sort_by_length`` is off (one shuffle of the pairs, so
+    that a model pads little).
     """
     scorer = scorer or token_overlap
     if not batch:
@@ -43,12 +73,12 @@ def score_pairs(pairs: DataFrame, scorer: Callable | None = None, *, batch: bool
 
     def run(it):
         for pdf in it:
-            if pdf.empty:
-                continue
-            s = scorer(list(zip(pdf[query_col].tolist(), pdf[passage_col].tolist(), strict=True)))
-            yield pdf.assign(score=np.asarray(s, dtype=np.float64))
+            for lo in range(0, len(pdf), batch_rows):
+                part = pdf.iloc[lo:lo + batch_rows]
+                s = scorer(list(zip(part[query_col].tolist(), part[passage_col].tolist(), strict=True)))
+                yield part.assign(score=np.asarray(s, dtype=np.float64))
 
-    return pairs.mapInPandas(run, out_schema)
+    return (by_length(pairs, query_col, passage_col) if sort_by_length else pairs).mapInPandas(run, out_schema)
 
 
 def rerank(scored: DataFrame, top_n: int | None = None) -> DataFrame:

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.hashing import draw_index
+from trawl.operators.resample import Metric, is_counts_metric, original_metric, resampled_metric
 from trawl.operators.util import broadcast_if_small, dense_index, literal_row, scalars
 
 _DIGITS = 6
@@ -26,24 +27,41 @@ def _draws(spark, n: int, n_resamples: int, seed: int) -> DataFrame:
     return ids.select(b.alias("b"), draw_index(seed, n, b, j).alias("idx"))
 
 
-def bootstrap_ci(per_query: DataFrame, value: str, *, metric_fn: Callable[[Column], Column] = F.avg,
+def bootstrap_ci(per_query: DataFrame, value: str, *, metric_fn: Callable | Metric = F.avg,
                  n_resamples: int = 1000, confidence: float = 0.95, seed: int = 42,
                  max_broadcast_rows: int = 5_000_000) -> DataFrame:
-    """``mean, ci_low, ci_high, n_resamples, confidence`` (percentile CI)."""
+    """``mean, ci_low, ci_high, n_resamples, confidence`` (percentile CI).
+
+    ``metric_fn`` is an aggregate of one Column (``F.avg``, ``F.median``), a Python function of
+    (values, counts) or a ``resample.Metric``. The last two draw by ``resample``: other
+    draws than those of a Column, of the same distribution. Null values are left out of a
+    Python metric; without values it raises like an empty table.
+    """
     spark = per_query.sparkSession
     # one row per query: materialise once, every later step (count, index, mean) reads it
     vals = per_query.select("qid", F.col(value).cast("double").alias("v")).checkpoint(eager=True)
     n = vals.count()
     if n == 0:
         raise ValueError("no query to resample")
+    if is_counts_metric(metric_fn):
+        vals = vals.where(F.col("v").isNotNull())
+        n = vals.count()
+        if n == 0:
+            raise ValueError("no value to resample")
+        resampled = resampled_metric(vals, n, metric_fn, n_resamples, seed)
+        return _interval(spark, resampled, round(original_metric(vals, metric_fn), _DIGITS), n_resamples, confidence)
     indexed = dense_index(vals, "qid", "idx").select("idx", "v")
     resampled = (_draws(spark, n, n_resamples, seed).join(broadcast_if_small(indexed, max_broadcast_rows), "idx")
                  .groupBy("b").agg(metric_fn(F.col("v")).alias("m")))
+    mean = scalars(vals.agg(F.round(metric_fn(F.col("v")), _DIGITS).alias("mean")))
+    return _interval(spark, resampled, mean["mean"], n_resamples, confidence)
+
+
+def _interval(spark, resampled: DataFrame, mean: float, n_resamples: int, confidence: float) -> DataFrame:
     alpha = (1.0 - confidence) / 2.0
     ci = scalars(resampled.agg(F.round(F.percentile("m", alpha), _DIGITS).alias("ci_low"),
                                F.round(F.percentile("m", 1.0 - alpha), _DIGITS).alias("ci_high")))
-    mean = scalars(vals.agg(F.round(metric_fn(F.col("v")), _DIGITS).alias("mean")))
-    return literal_row(spark, {"mean": mean["mean"], "ci_low": ci["ci_low"], "ci_high": ci["ci_high"],
+    return literal_row(spark, {"mean": mean, "ci_low": ci["ci_low"], "ci_high": ci["ci_high"],
                                "n_resamples": n_resamples, "confidence": float(confidence)},
                        {"mean": "double", "ci_low": "double", "ci_high": "double", "n_resamples": "int"})
 

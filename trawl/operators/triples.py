@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trawl.operators.selection import first_rows
 from trawl.operators.util import dense_index, literal_row
+from trawl.session import scratch_dir
+from trawl.sources.sinks import sink_counted
 
 
 def explode_mined(mined: DataFrame) -> DataFrame:
@@ -67,22 +70,71 @@ def build_triples(official: DataFrame | None, mined: DataFrame | None, queries:
                   official_order: Column | str | None = None, mined_order: Column | str | None = None) -> DataFrame:
     """M7: mix -> resolve -> cap. Only resolved rows count towards ``max_triples``.
 
-    Returns ``query_id, query_text, positive_text, negative_text, source, mix_key``.
+    The cap is settled on ids: triples whose ids exist are written, the first
+    ``max_triples`` of them chosen, and texts joined to those alone. Ids of queries and
+    passages are unique. Returns ``query_id, query_text, positive_text, negative_text,
+    source, mix_key``.
     """
     mixed = mix_sources(official, mined, ratio_official, official_order, mined_order)
-    resolved = resolve_triples(mixed, queries, collection).select(
-        "query_id", "query_text", "positive_text", "negative_text", "source", "mix_key")
     if max_triples:
-        resolved = resolved.orderBy("mix_key", "source").limit(max_triples)
-    return resolved
+        path = scratch_dir(mixed.sparkSession, "resolvable")
+        resolvable_triples(mixed, queries, collection).write.parquet(path)
+        mixed = first_rows(mixed.sparkSession.read.parquet(path), ["mix_key", "source"], max_triples)
+    return resolve_triples(mixed, queries, collection).select(
+        "query_id", "query_text", "positive_text", "negative_text", "source", "mix_key")
+
+
+def resolvable_triples(triples: DataFrame, queries: DataFrame, collection: DataFrame) -> DataFrame:
+    """The rows of ``triples`` whose three ids exist (semi joins on ids; no text is read)."""
+    for ids, name in ((queries, "query_id"), (collection, "positive_id"), (collection, "negative_id")):
+        triples = triples.join(ids.select(F.col("id").alias(name)), name, "left_semi")
+    return triples
+
+
+def _flagged(triples: DataFrame, queries: DataFrame, collection: DataFrame, text: bool) -> DataFrame:
+    """``triples`` with ``known`` (all three ids exist) and, with ``text``, their texts."""
+    found = []
+    for ids, name in ((queries, "query"), (collection, "positive"), (collection, "negative")):
+        cols = [F.col("text").alias(f"{name}_text")] if text else []
+        side = ids.select(F.col("id").alias(f"{name}_id"), F.lit(True).alias(f"_has_{name}"), *cols)
+        triples = triples.join(side, f"{name}_id", "left")
+        found.append(F.col(f"_has_{name}").isNotNull())
+    return triples.withColumn("known", found[0] & found[1] & found[2]).drop("_has_query", "_has_positive", "_has_negative")
+
+
+def write_triples(official: DataFrame | None, mined: DataFrame | None, queries: DataFrame, collection: DataFrame,
+                  path: str, *, ratio_official: float = 0.5, max_triples: int | None = None,
+                  official_order: Column | str | None = None, mined_order: Column | str | None = None) -> dict[str, int]:
+    """M7 to a table: mix -> resolve -> cap, written to ``path`` as ``query_id, query_text,
+    positive_text, negative_text, source, mix_key``.
+
+    Returns ``rows`` (written), ``total`` (mixed) and ``dropped_unknown_ids``, counted by the
+    jobs that write (with a cap, by the one that writes ids). ValueError if no row is left.
+    Ids of queries and passages are unique; a null id is unknown.
+    """
+    mixed = mix_sources(official, mined, ratio_official, official_order, mined_order)
+    known = F.col("known")
+    report = {"total": F.lit(True), "dropped_unknown_ids": ~known}
+    if not max_triples:
+        return sink_counted(_flagged(mixed, queries, collection, True), path, "building triples", keep=known,
+                            counts=report, drop=("known", "positive_id", "negative_id"))
+    spark = mixed.sparkSession
+    ids = scratch_dir(spark, "resolvable")
+    counts = sink_counted(_flagged(mixed, queries, collection, False), ids, "building triples", keep=known,
+                          counts=report, drop=("known",))
+    capped = first_rows(spark.read.parquet(ids), ["mix_key", "source"], max_triples)
+    texts = resolve_triples(capped, queries, collection).drop("positive_id", "negative_id")
+    return counts | sink_counted(texts, path, "building triples")
 
 
 def resolve_drop_count(triples: DataFrame, queries: DataFrame, collection: DataFrame) -> DataFrame:
-    """J4 report: ``total, kept, dropped_unknown_ids`` (``util.rows_or_fail`` takes it as the report)."""
-    kept = resolve_triples(triples.select("query_id", "positive_id", "negative_id").withColumn("_k", F.lit(1)),
-                           queries, collection)
-    total, k = triples.count(), kept.count()
-    return literal_row(triples.sparkSession, {"total": total, "kept": k, "dropped_unknown_ids": total - k},
+    """J4 report: ``total, kept, dropped_unknown_ids``, counted by one job that writes the ids
+    that resolve. ValueError if none does."""
+    spark = triples.sparkSession
+    flagged = _flagged(triples.select("query_id", "positive_id", "negative_id"), queries, collection, False)
+    found = sink_counted(flagged, scratch_dir(spark, "resolved"), "resolving triples", keep=F.col("known"),
+                         counts={"total": F.lit(True), "dropped_unknown_ids": ~F.col("known")}, drop=("known",))
+    return literal_row(spark, {"total": found["total"], "kept": found["rows"], "dropped_unknown_ids": found["dropped_unknown_ids"]},
                        {"total": "long", "kept": "long", "dropped_unknown_ids": "long"})
 
 
@@ -103,8 +155,8 @@ def triples_to_triplets(text_triples: DataFrame) -> DataFrame:
 
 
 def cap_rows(df: DataFrame, n: int | None, id_col: str = "qid") -> DataFrame:
-    """First ``n`` rows by numeric id (a bounded top-n); all rows when ``n`` is None."""
-    return df.orderBy(F.col(id_col).cast("long")).limit(n) if n is not None else df
+    """First ``n`` rows by numeric id (see ``first_rows``); all rows when ``n`` is None."""
+    return first_rows(df, [F.col(id_col).cast("long")], n) if n is not None else df
 
 
 def filter_relevant(qrels: DataFrame) -> DataFrame:

@@ -98,12 +98,3 @@ def literal_row(spark, values: dict, types: dict | None = None) -> DataFrame:
     types = types or {}
     cols = [(F.lit(v).cast(types[k]) if k in types else F.lit(v)).alias(k) for k, v in values.items()]
     return spark.range(1).select(*cols)
-
-
-def rows_or_fail(df: DataFrame, what: str, report: DataFrame | None = None) -> DataFrame:
-    """``df``, or a ValueError that names the one-row ``report`` (skip or drop counts) when
-    it has no rows. Runs one job that stops at the first row."""
-    if df.isEmpty():
-        counts = ", ".join(f"{k} = {v}" for k, v in scalars(report).items()) if report is not None else ""
-        raise ValueError(f"{what} gave no rows" + (f" ({counts})" if counts else ""))
-    return df

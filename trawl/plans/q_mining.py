@@ -18,6 +18,7 @@ from trawl.operators import triples as TR
 from trawl.operators.knn import rank_topk
 from trawl.operators.lexical import bm25_first_stage
 from trawl.operators.ranking import overlap_rerank
+from trawl.operators.resume import run_in_buckets
 from trawl.plans import bindings as B
 from trawl.plans import evaluate as E
 from trawl.plans import fixtures as X
@@ -246,6 +247,23 @@ def mining_skip_report(spark, sf_dir):
     return MN.mining_skip_report(queries, cands, pos, coll, CFG)
 
 
+@register("write_mined", f"""WITH {SQL_T_IN}, {SQL_MINE},
+skips AS (SELECT b.item_id AS qid, b.item_id NOT IN (SELECT qid FROM pos) AS no_qrel,
+                 b.item_id IN (SELECT qid FROM pos) AND b.item_id NOT IN (SELECT qid FROM present) AS off,
+                 b.item_id IN (SELECT query_id FROM mined) AS done FROM benchmark b)
+SELECT (SELECT count(*) FROM mined) AS rows, count(*) FILTER (done) AS mined_queries,
+       count(*) FILTER (no_qrel) AS skipped_no_qrel, count(*) FILTER (off) AS skipped_positive_not_in_collection,
+       count(*) FILTER (NOT no_qrel AND NOT off AND NOT done) AS skipped_insufficient_pool,
+       (SELECT coalesce(sum(len(negative_ids)), 0)::BIGINT FROM mined) AS negatives FROM skips""")
+def write_mined(spark, sf_dir):
+    """M4 written with its report (M5) counted by the writing job; ``negatives`` is read back."""
+    cands, pos, coll = t_inputs(spark, sf_dir)
+    path = scratch_dir(spark, "mined")
+    found = MN.write_mined(B.t_queries(spark, sf_dir).select(F.col("id").alias("qid")), cands, pos, coll, path, CFG)
+    negatives = spark.read.parquet(path).agg(F.coalesce(F.sum(F.size("negative_ids").cast("long")), F.lit(0).cast("long")).alias("negatives"))
+    return negatives.select(*(F.lit(v).cast("long").alias(k) for k, v in found.items()), "negatives")
+
+
 @register("scan_mined_explode", f"""WITH {SQL_V_IN}, {SQL_MINE}, {SQL_EXPLODED}
 SELECT query_id, positive_id, neg_pos, negative_id FROM ex""")
 def scan_mined_explode(spark, sf_dir):
@@ -337,6 +355,32 @@ def resume_remaining(spark, sf_dir):
     return J.resume_remaining(prior, labels.select("qid"), compute)
 
 
+@register("mine_in_buckets", f"""WITH {SQL_V_IN}, {SQL_MINE}
+SELECT query_id, positive_id, negative_ids FROM mined""")
+def mine_in_buckets(spark, sf_dir):
+    """Mining flushed by query bucket; the first run is cut off, the second goes on."""
+    cands, pos, coll = (x.checkpoint(eager=True) for x in v_inputs(spark, sf_dir))
+    path = scratch_dir(spark, "mined-buckets")
+    queries = cands.select("qid").distinct()
+
+    def mined(todo):
+        return MN.mine_hard_negatives(cands.join(todo, "qid", "left_semi"), pos, coll, CFG)
+
+    flushed = []
+
+    def cut_off(todo):
+        if len(flushed) == 2:
+            raise InterruptedError("the driver went away")
+        flushed.append(todo)
+        return mined(todo)
+
+    try:
+        run_in_buckets(queries, cut_off, path, buckets=4)
+    except InterruptedError:
+        pass
+    return run_in_buckets(queries, mined, path, buckets=4)
+
+
 _HR = sql_hash_key(CFG.seed, "qid", "docid")
 
 
@@ -420,6 +464,25 @@ def build_triples(spark, sf_dir):
     return t_built(spark, sf_dir)
 
 
+@register("write_triples", f"""{SQL_T_ALL}, {SQL_RESOLVED},
+half AS (SELECT * FROM resolved QUALIFY row_number() OVER (ORDER BY mix_key, source) <= (SELECT count(*) // 2 FROM mix))
+SELECT h.*, (SELECT count(*) FROM mix) AS total, (SELECT count(*) FROM mix) - (SELECT count(*) FROM resolved) AS dropped_unknown_ids
+FROM half h""")
+def write_triples(spark, sf_dir):
+    """M7 written under a cap of half the mixed triples, with the counts of the writing jobs."""
+    run = t_run(spark, sf_dir)
+    mined = TR.explode_mined(t_mined(spark, sf_dir, run)).checkpoint(eager=True)
+    official = t_official(spark, sf_dir, run).checkpoint(eager=True)
+    path = scratch_dir(spark, "triples-table")
+    found = TR.write_triples(official, mined, B.t_queries(spark, sf_dir), B.t_collection(spark, sf_dir), path,
+                             ratio_official=MIX_RATIO, max_triples=(official.count() + mined.count()) // 2,
+                             official_order=F.struct("query_id", "positive_id"),
+                             mined_order=F.struct("query_id", "positive_id", "neg_pos"))
+    return spark.read.parquet(path).select(
+        "query_id", "query_text", "positive_text", "negative_text", "source", "mix_key",
+        F.lit(found["total"]).cast("long").alias("total"), F.lit(found["dropped_unknown_ids"]).cast("long").alias("dropped_unknown_ids"))
+
+
 @register("build_triples_capped", f"""{SQL_T_ALL}, {SQL_RESOLVED}, {SQL_CAPPED}
 SELECT query_id, query_text, positive_text, negative_text, source, mix_key FROM built""")
 def build_triples_capped(spark, sf_dir):

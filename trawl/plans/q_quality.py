@@ -12,6 +12,7 @@ from trawl.operators import quality as Q
 from trawl.operators import stats as S
 from trawl.operators.lexical import bm25_first_stage
 from trawl.operators.ranking import score_pairs, token_overlap, top1_per_query
+from trawl.operators.resample import MEAN
 from trawl.plans import bindings as B
 from trawl.plans import evaluate as E
 from trawl.plans import sqlgen as G
@@ -133,9 +134,17 @@ def score_histogram(spark, sf_dir):
     return Q.score_histogram(B.c_labelled_docs(spark, sf_dir))
 
 
-@register("calibrate_scores")
+@register("calibrate_scores", f"""WITH {B.SQL_C},
+pt AS (SELECT score, count(*) AS w, count(*) FILTER (is_pos) AS t, row_number() OVER (ORDER BY score) AS i FROM cdocs GROUP BY score),
+cu AS (SELECT i, score, sum(w) OVER (ORDER BY i) AS cw, sum(t) OVER (ORDER BY i) AS ct FROM pt),
+me AS (SELECT a.i AS j, b.i AS k, (b.ct - coalesce(p.ct, 0)) / (b.cw - coalesce(p.cw, 0)) AS m
+       FROM cu a JOIN cu b ON b.i >= a.i LEFT JOIN cu p ON p.i = a.i - 1),
+lo AS (SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS m FROM me),
+fi AS (SELECT k AS i, max(m) AS calibrated FROM lo GROUP BY k)
+SELECT c.doc_id, c.score, round(f.calibrated, 9) AS calibrated FROM cdocs c JOIN cu USING (score) JOIN fi f ON f.i = cu.i""")
 def calibrate_scores(spark, sf_dir):
-    return Q.calibrate_scores(B.c_labelled_docs(spark, sf_dir), "isotonic").select("doc_id", "score", "calibrated")
+    fitted = Q.calibrate_scores(B.c_labelled_docs(spark, sf_dir), "isotonic")
+    return fitted.select("doc_id", "score", F.round("calibrated", 9).alias("calibrated"))
 
 
 def _sql_check(method: str) -> str:
@@ -271,6 +280,12 @@ def bootstrap_ci_median(spark, sf_dir):
                           n_resamples=B_RESAMPLES, seed=SEED)
 
 
+@register("bootstrap_ci_counts")
+def bootstrap_ci_counts(spark, sf_dir):
+    """T1 with a Python metric whose states merge, over resamples kept as counts."""
+    return S.bootstrap_ci(E.v_per_query(spark, sf_dir), "mrr_at_10", metric_fn=MEAN, n_resamples=B_RESAMPLES, seed=SEED)
+
+
 _UPP = G.perturbations("query", SEED, ["conv_id", "turn"])
 SQL_DROPS = f"""{G.SQL_U_PAIRS},
 orig AS (SELECT conv_id, turn, {G.overlap('query', 'passage')} AS orig_score FROM up),

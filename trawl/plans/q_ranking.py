@@ -336,8 +336,9 @@ def knn_join_ivf_q(spark, sf_dir):
 def knn_recall_q(spark, sf_dir):
     q = B.v_queries(spark, sf_dir).select("qid", "qvec")
     p = B.v_passages(spark, sf_dir).select("docid", "dvec")
-    approx = knn_join_ivf(q, p, 100, exclude_self=True)
-    return knn_recall(approx, E.v_dense_run(spark, sf_dir, 100), 100)
+    # two fifths of the passages, in fewer than half of the cells: an approximate search
+    approx = knn_join_ivf(q, p, 10, exclude_self=True, probe_rows=p.count() * 2 // 5)
+    return knn_recall(approx, E.v_dense_run(spark, sf_dir, 10), 10)
 
 
 @register("knn_join_ivf_all_cells", f"""WITH {E.sql_v_knn(100)} SELECT qid, docid, rank FROM knn""")
@@ -427,7 +428,7 @@ def stream_score_pairs(spark, sf_dir):
     q, c = B.t_queries(spark, sf_dir), B.t_collection(spark, sf_dir)
     cands = J.candidate_pairs(bm25_first_stage(q, c, 100).select("qid", "docid"), q, c)
     base = scratch_dir(spark, "stream")
-    # candidate files land in chunks (by query hash), as a long scoring job would receive them
-    cands.repartition(4, "qid").write.mode("overwrite").parquet(f"{base}/candidates")
+    # candidate files land in chunks (by a hash of the pair, so no query is one file), as a long scoring job would receive them
+    cands.repartition("qid", "docid").write.mode("overwrite").parquet(f"{base}/candidates")
     return stream_score(spark, f"{base}/candidates", f"{base}/scores", f"{base}/checkpoint",
                         cands.schema, max_files_per_trigger=1)

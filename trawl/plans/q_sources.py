@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trawl.operators.lexical import bm25_first_stage
+from trawl.operators.selection import first_rows
 from trawl.plans import bindings as B
 from trawl.plans import evaluate as E
 from trawl.plans import fixtures as X
 from trawl.plans.registry import register
+from trawl.session import scratch_dir
 from trawl.sources import tables as TB
 from trawl.sources import textformats as TF
 
@@ -71,6 +73,40 @@ def slice_shards(spark, sf_dir):
             .select(F.col("doc_id").alias("id"), "text"))
 
 
+def _shards(spark, sf_dir, rows, kind):
+    """``rows`` of documents cut into three shards by doc_id, each a folder of files in id order."""
+    path = scratch_dir(spark, f"shards-{kind}")
+    for k in range(3):
+        shard = rows.where(F.col("doc_id") % 3 == k)
+        if kind == "text":
+            TF.write_lines(shard, F.concat_ws("\t", "doc_id", "n_chars"), ["doc_id"], f"{path}/{k}")
+        else:
+            shard.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{path}/{k}")
+    return [f"{path}/{k}" for k in range(3)]
+
+
+_THREE_FIFTHS = "QUALIFY row_number() OVER (ORDER BY doc_id % 3, doc_id) <= (SELECT count(*) * 3 // 5 FROM documents)"
+
+
+@register("slice_shards_in_order", f"SELECT doc_id, text FROM documents {_THREE_FIFTHS}")
+def slice_shards_in_order(spark, sf_dir):
+    docs = B.table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return TB.slice_in_order(spark, _shards(spark, sf_dir, docs, "parquet"), docs.count() * 3 // 5)
+
+
+@register("slice_line_shards", f"SELECT doc_id || chr(9) || n_chars AS value FROM documents {_THREE_FIFTHS}")
+def slice_line_shards(spark, sf_dir):
+    docs = B.table(spark, sf_dir, "documents", ["doc_id", "n_chars"])
+    return TB.slice_in_order(spark, _shards(spark, sf_dir, docs, "text"), docs.count() * 3 // 5, "text")
+
+
+@register("slice_shards_half", """SELECT doc_id, text FROM documents
+QUALIFY row_number() OVER (ORDER BY source, doc_id) <= (SELECT count(*) // 2 FROM documents)""")
+def slice_shards_half(spark, sf_dir):
+    docs = B.table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
+    return first_rows(docs, ["source", "doc_id"], docs.count() // 2).drop("source")
+
+
 def sql_bm25(qsrc: str = "SELECT item_id AS qid, text FROM benchmark", k: int = 1000, name: str = "bm") -> str:
     """DuckDB BM25 over ``documents`` for the queries of ``qsrc`` (``qid, text``); CTE ``name``."""
     tok = r"regexp_extract_all(lower({}), '([\p{{L}}\p{{N}}]+)', 1)"

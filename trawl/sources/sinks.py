@@ -6,7 +6,7 @@ job commits), which replaces the reference's temp-file-then-rename.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -22,6 +22,26 @@ def sink_parquet(df: DataFrame, path: str, *, mode: str = "overwrite", partition
     return path
 
 
+def sink_counted(rows: DataFrame, path: str, what: str, *, keep: Column | None = None,
+                 counts: dict[str, Column] | None = None, drop: tuple[str, ...] = (), mode: str = "overwrite") -> dict[str, int]:
+    """Write the rows that ``keep`` holds for, and count in the job that writes them.
+
+    ``counts`` are conditions counted over all of ``rows``, kept or not. They are observed in
+    the stage that writes, whose tasks count once however often they are tried. Returns
+    ``rows`` (written) and the other counts; ValueError with all of them if no row was
+    written (the empty table stays). ``drop`` names helper columns that are not written.
+    """
+    keep = F.lit(True) if keep is None else keep
+    seen = Observation()
+    conditions = {"rows": keep, **(counts or {})}
+    (rows.observe(seen, *(F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in conditions.items()))
+     .where(keep).drop(*drop).write.mode(mode).parquet(path))
+    found = {name: int(seen.get[name]) for name in conditions}
+    if not found["rows"]:
+        raise ValueError(f"{what} gave no rows (" + ", ".join(f"{k} = {v}" for k, v in found.items()) + ")")
+    return found
+
+
 def sink_json(df: DataFrame, path: str) -> str:
     """Small result (e.g. the one-row aggregate) as JSON lines."""
     df.coalesce(1).write.mode("overwrite").json(path)

@@ -105,13 +105,14 @@ def scan_passage_lines(texts: DataFrame, id_col: str = "id", text_col: str = "te
     return x.where(F.col("line") != "")
 
 
-def write_lines(df: DataFrame, line: Column, order: list[str], path: str, partitions: int = 4) -> str:
+def write_lines(df: DataFrame, line: Column, order: list[str], path: str) -> str:
     """Write one text line per row so that file order follows ``order``.
 
     Range partitioning puts key ranges in partition order and Spark names part files by
-    partition index, so (file name, position) reproduces the global order.
+    partition index, so (file name, position) reproduces the global order. The session's
+    shuffle partitions, merged by their bytes, give the number of files.
     """
     (df.select(*order, line.alias("value"))
-       .repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+       .repartitionByRange(*order).sortWithinPartitions(*order)
        .select("value").write.mode("overwrite").text(path))
     return path
