@@ -318,5 +318,44 @@ def test_ranked_paths_are_the_least_of_all_cheapest():
         assert audit == best(0, 0, 0)[1]
 
 
+# ---------------------------------------------------------------- shared parts
+
+def test_sized_joins_match_plain_ones_with_a_large_key(spark, tmp_path, monkeypatch):
+    from trawl.llm import skew
+
+    monkeypatch.setattr(skew, "LEAST", 20)
+    keys = [(1, 1)] * 500 + [(i % 40, 2) for i in range(400)]
+    rows = written(spark, tmp_path / "rows", [(*k, i) for i, k in enumerate(keys)], "a long, b long, row long")
+    table = written(spark, tmp_path / "table", [(*k, n, f"{k}") for k, n in Counter(keys).items()], "a long, b long, n long, name string")
+    got = skew.join_sized(rows, table, ["a", "b"], "n").select("a", "b", "row", "name").collect()
+    assert Counter(map(tuple, got)) == Counter((*k, i, f"{k}") for i, k in enumerate(keys))
+
+
+def test_dedup_keeps_columns_of_any_name(spark, tmp_path):
+    from trawl.llm import exact_dedup, near_dedup
+
+    text = "one two three four five six seven eight"
+    rows = [(i, text if i % 2 else f"{text} {i} " + "other words here " * i, i * 10, i, "d", f"r{i}") for i in range(12)]
+    docs = written(spark, tmp_path / "docs", rows, "doc_id long, text string, _row long, row_id long, doc string, kept string")
+    for out in (exact_dedup.exact_dedup(docs), near_dedup.near_dedup(docs)):
+        assert out.dtypes == docs.dtypes
+        kept = {r.doc_id: r for r in out.collect()}
+        assert all(tuple(r) == rows[i] for i, r in kept.items()) and 1 in kept and 3 not in kept
+
+
+def test_equal_blocks_of_many_rows_meet_without_their_places(spark, tmp_path):
+    from trawl.llm import exact_dedup
+
+    hot = "same block " * 900  # three blocks
+    rows = [(i, hot if i % 3 == 0 else f"{hot}{i % 5}" if i % 3 == 1 else None) for i in range(300)]
+    docs = written(spark, tmp_path / "docs", rows, "doc_id long, text string")
+    want = {}
+    for i, t in rows:
+        want.setdefault(t, []).append(i)
+    for r in exact_dedup.exact_groups(docs).collect():
+        mine = want[rows[r.doc_id][1]]
+        assert (r.keep_id, r.group_size, r.kept) == (min(mine), len(mine), r.doc_id == min(mine))
+
+
 def test_queries_are_registered():
     assert {"op11_resample", "op12_line_runs", "op13_repair"} <= set(queries.QUERIES) & set(queries.ORACLE)
