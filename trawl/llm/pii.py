@@ -13,7 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from trawl.llm.arrays import released
 
 KINDS = ("email", "ip", "card", "phone", "iban")
 #: Characters on each side of a span in which context words count.
@@ -155,14 +156,18 @@ def redact(text: str) -> str:
     return "".join([*parts, text[last:]]) if last else text
 
 
-_SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
-                                   T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
+_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
 
-@F.udf(_SPANS, useArrow=True)
-def spans_of(text):
-    """Column function: the spans of a text (null: none)."""
-    return [dict(zip(("kind", "start", "end", "score"), s)) for s in find_spans(text or "")]
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans, ends = [], [0]
+        for text in batch.column(1):
+            spans += find_spans(text.as_py() or "")
+            ends.append(len(spans))
+        columns = list(zip(*spans)) or [()] * 4
+        flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SPAN)], fields=list(_SPAN))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["doc_id", "spans"])
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,7 +176,9 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Null and empty texts have no spans; repeated rows and null ids stay; other columns are
     not read. Whole texts are scanned, in time linear in their length.
     """
-    return docs.select(F.col(id_col).alias("doc_id"), spans_of(F.col(text_col)).alias("spans"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(
+        released(_found), f"doc_id {kind}, spans array<struct<kind: string, start: long, end: long, score: double>>")
 
 
 def redacted(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -180,10 +187,10 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index(text_col)
-            texts = [t if t is None else redact(t) for t in batch.column(k).to_pylist()]
+            texts = [t if t is None else redact(t) for t in (x.as_py() for x in batch.column(k))]
             yield batch.set_column(k, text_col, pa.array(texts, pa.string()))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(released(run), docs.schema)
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return out.select(*docs.columns)
