@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trawl.operators.selection import first_rows
 from trawl.session import scratch_dir
 
 
@@ -21,10 +22,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, mod: int
     and labels are left out; an id labelled both ways counts as 1; of repeated documents
     one row is used.
     """
-    chosen = (labels.select("doc_id", F.col(label_col).cast("int").alias("label")).dropna()
-              .where(id_remainder("doc_id", mod) != held_out)
-              .groupBy("doc_id").agg(F.max("label").alias("label"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    known = (labels.select("doc_id", F.col(label_col).cast("int").alias("label")).dropna()
+             .where(id_remainder("doc_id", mod) != held_out)
+             .groupBy("doc_id").agg(F.max("label").alias("label")))
+    chosen = first_rows(known, [F.xxhash64("doc_id"), "doc_id"], most)
     found = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
              .join(F.broadcast(chosen), "doc_id")  # at most `most` rows of two numbers
              .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")))
