@@ -29,8 +29,9 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     path = scratch_dir(spark, "stars")
     cur = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    before = None
-    for turn in range(64):  # the number of rounds grows with the logarithm of the nodes
+    before, turn = None, -1
+    while True:  # to the end: the number of rounds grows with the logarithm of the nodes
+        turn += 1
         cur.write.parquet(f"{path}/{turn}")
         cur = spark.read.parquet(f"{path}/{turn}")
         mark = tuple(cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.arrays import binary_lists, mix, word_rows
+from trawl.llm.arrays import binary_lists, mix, released, word_rows
 from trawl.llm.components import components
-from trawl.llm.exact_dedup import with_rows
+from trawl.llm.exact_dedup import kept_rows, with_rows
 from trawl.session import scratch_dir
 
 #: Words of a shingle, least similarity in hundredths, permutations, and permutations of a band.
@@ -99,8 +99,8 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with their full sets, those similar enough."""
     for batch in batches:
         keep = []
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        for a, b in zip(batch.column(2), batch.column(3)):
+            a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
             both = np.concatenate([a, b])
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
@@ -192,7 +192,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     path = scratch_dir(spark, "near")
     rows = with_rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     rows.select("row_id", "id", "text").mapInArrow(
-        _signed, "row long, id long, n long, print1 long, print2 long, keys array<long>").write.parquet(f"{path}/signed")
+        released(_signed), "row long, id long, n long, print1 long, print2 long, keys array<long>").write.parquet(f"{path}/signed")
     signed = spark.read.parquet(f"{path}/signed")
     prints = ["n", "print1", "print2"]
     nodes = signed.where("n > 0").groupBy(*prints).agg(F.min_by(F.struct("row", "keys"), "row").alias("first"))
@@ -208,7 +208,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = spark.read.parquet(f"{path}/members")
     wanted = members.select("row").distinct()
     rows.select(F.col("row_id").alias("row"), "text").join(wanted, "row", "left_semi").mapInArrow(
-        _full_sets, "row long, shingles binary").write.parquet(f"{path}/sets")
+        released(_full_sets), "row long, shingles binary").write.parquet(f"{path}/sets")
     sets = spark.read.parquet(f"{path}/sets")
 
     pivots = members.groupBy("key").agg(F.max_by(F.struct("row", "n"), F.struct("degree", "row")).alias("p"))
@@ -216,7 +216,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.least("row", "p.row").alias("u"), F.greatest("row", "p.row").alias("v")).distinct()
     full = pairs.join(sets.select(F.col("row").alias("u"), F.col("shingles").alias("a")), "u").join(
         sets.select(F.col("row").alias("v"), F.col("shingles").alias("b")), "v")
-    full.select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long").write.parquet(f"{path}/links/0")
+    full.select("u", "v", "a", "b").mapInArrow(released(_linked), "u long, v long").write.parquet(f"{path}/links/0")
     first = components(spark.read.parquet(f"{path}/links/0"))
     _left_over(members, first, sets).write.parquet(f"{path}/links/1")
     components(spark.read.parquet(f"{path}/links/0", f"{path}/links/1")).write.parquet(f"{path}/joined")
@@ -232,5 +232,4 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns: of each group of near copies the kept one."""
-    keep = near_groups(docs, id_col, text_col).where("kept").select(F.col("row_id").alias("_row"))
-    return with_rows(docs, "_row").join(keep, "_row", "left_semi").drop("_row")
+    return kept_rows(docs, near_groups(docs, id_col, text_col))

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from trawl.llm.arrays import released
+
 #: Distinct chunks kept per task; the table is emptied when full (results do not change).
 CACHE = 500_000
 # fixed values: letters of Latin-1 in lower case, and the contractions of the file's split pattern
@@ -132,4 +134,4 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", end_id: int
 
     source = docs.select(*keep, text_col)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:len(keep)])
-    return source.mapInArrow(run, f"{types}, ids binary, n_tokens long")
+    return source.mapInArrow(released(run), f"{types}, ids binary, n_tokens long")

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trawl.llm.arrays import released
 from trawl.llm.labelled import labelled_sample
 
 #: Most labelled documents used to fit, most learned words.
@@ -223,12 +224,12 @@ def _featured(docs: DataFrame, lexicon: dict, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            feats = pa.array([matcher.features(t or "").tolist() for t in texts], pa.list_(pa.float64()))
+            texts = batch.column(batch.schema.get_field_index("text"))
+            feats = pa.array([matcher.features(t.as_py() or "").tolist() for t in texts], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)) for k in keep] + [feats], names=[*keep, "features"])
 
     types = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{types}, features array<double>")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(released(run), f"{types}, features array<double>")
 
 
 def toxicity_scores(docs: DataFrame, model: tuple[dict, np.ndarray]) -> DataFrame:
@@ -273,8 +274,8 @@ def without_toxic(docs: DataFrame, model: tuple[dict, np.ndarray], threshold: fl
         matcher = Matcher(shared.value)
         limit = math.log(threshold / (1 - threshold))
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            keep = [bool(w[0] + w[1:] @ matcher.features(t or "") < limit) for t in texts]
+            texts = batch.column(batch.schema.get_field_index("text"))
+            keep = [bool(w[0] + w[1:] @ matcher.features(t.as_py() or "") < limit) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
