@@ -99,9 +99,53 @@ def test_language_model_tells_words_of_a_class_by_the_last_word(spark, tmp_path)
 
 
 def test_language_model_grows_with_its_training_tokens():
-    small, large = maxent.Model(10**8, 1, [], np.ones(32), np.ones(32)), maxent.Model(64 * 10**8, 1, [], np.ones(32), np.ones(32))
-    assert small.bits == list(maxent.BITS) and large.bits == [b + 3 for b in maxent.BITS] and large.parts > 60 * small.parts
-    assert maxent._shape_classes(10**8) == maxent.SHAPES and maxent._shape_classes(64 * 10**8) == 4 * maxent.SHAPES
+    ones = np.ones((maxent.CLASSES, 16))
+    small, large, most = (maxent.Model(n * 10**8, 1, [], ones, ones) for n in (1, 4, 10**6))
+    assert (small.bits, large.bits, most.bits) == (maxent.BITS, maxent.BITS + 1, maxent.MOST_BITS)
+    assert [maxent.part_bits(n * 10**8) - maxent.PART_BITS for n in (1, 16, 10**6)] == [0, 1, 2]
+
+
+def _mix(x):
+    """The 64-bit finaliser on a plain number."""
+    return int(maxent.mix(np.array([x], np.uint64))[0])
+
+
+def _log10_of_word(model, codes, i, word, count, shape):
+    """log10 P(word | the codes before place i), one number at a time."""
+    one, two = (codes[i - 1] if i > 0 else 1), (codes[i - 2] if i > 1 else 1 if i == 1 else 2)
+    kind = int(maxent.kinds_of(np.array([word], np.uint64), np.array([shape]), np.array([count]), model.parts, model.singles)[0])
+    c, part = divmod(kind, model.parts)
+    keys = [one, _mix(one << 32 | two) >> 32, two]
+    step, shift = 1 << model.bits, 32 - model.bits
+    z0 = model.bias[0] + sum(model.weights[0][k * step + (key >> shift)] for k, key in enumerate(keys))
+    z1 = model.bias[1][c] + sum(model.weights[1][k * step + ((_mix((c + 1) << 32 | key) >> 32) >> shift)] for k, key in enumerate(keys))
+    out = sum((float(z[t]) - math.log(np.exp(z.astype(float)).sum())) / math.log(10) for z, t in ((z0, c), (z1, part)))
+    return out + (math.log10((count + 0.1) / model.sums[c, part]) if kind > maxent.UNKNOWN else 0.0)
+
+
+def test_language_model_scores_equal_a_plain_sum_and_words_sum_to_one(spark, tmp_path, words):
+    rng, vocab = words
+    texts = [" ".join(rng.choice(vocab[:90]) for _ in range(rng.randint(0, 40))) for _ in range(150)] + ["", None, "never seen anywhere"]
+    docs = frame(spark, tmp_path, texts)
+    model = maxent._trained(docs, "doc_id", "text", 10, 0)[0]
+    out = {r.doc_id: r for r in maxent.score(docs).collect()}
+
+    def tokens(text):
+        data, offsets = maxent.text_buffer(pa.array([text], pa.string()))
+        return maxent._with_ends(data, offsets)[0].tolist(), maxent._shapes(data, offsets).tolist()
+
+    split = [tokens(t) for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    count = Counter(h for (hs, _), x in zip(split, held) if not x for h in hs)
+    for i in range(0, len(texts), 7):
+        codes = [_mix(h) >> 32 for h in split[i][0]]
+        want = sum(_log10_of_word(model, codes, k, h, count[h], s) for k, (h, s) in enumerate(zip(*split[i])))
+        assert abs(out[i].score - want) < 1e-3 * max(1, len(codes)), i
+    shape = {h: s for hs, ss in split for h, s in zip(hs, ss)}
+    for codes in ([], [_mix(split[0][0][0]) >> 32], [7, 9]):
+        every = [_log10_of_word(model, codes, len(codes), h, n, shape[h]) for h, n in count.items()]
+        unseen = _log10_of_word(model, codes, len(codes), 12345, 0, 0)
+        assert abs(sum(10**x for x in every) + 10**unseen - 1) < 1e-4
 
 
 def test_byte_bpe_equals_tiktoken_and_round_trips(spark, tmp_path):
@@ -368,4 +412,4 @@ def test_every_operator_is_registered_once():
 
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
-    assert set(queries.ORACLE) == {"op7_exact_dedup"} and "pipeline" in __spark_entry__.queries()
+    assert set(queries.ORACLE) == {"op7_exact_dedup", "op11_resample", "op12_line_runs", "op13_repair"} and "pipeline" in __spark_entry__.queries()

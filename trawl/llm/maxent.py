@@ -1,16 +1,17 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-log P(text) sums, over words and one end, log P(class | history) + log P(word | class).
-Classes: the most frequent tokens alone, one class for words not seen in training, and
-classes of the other words by their last letters. The class softmax has hashed features
-of the last word, the last two words, and the word before the last (a skip); its weights
-are trained by gradients that all tasks sum, over all training rows in every round.
-Buckets and classes grow with the training tokens. Within a class a word's weight given
-the last word comes from the counts of all word pairs, discounted towards count + 0.1.
-
-Counts return to the words without a broadcast: scan tasks cut their rows into blocks,
-each distinct word of a block goes once to its count and back. Pairs travel likewise, as
-packed arrays; words in pairs and features are told apart by 32 bits of their hashes.
+log P(text) sums, over words and one end, log P(class | history) + log P(part | class,
+history) + log P(word | class, part). Class 0 holds the most frequent tokens, each a part of
+its own, and one part for words not seen in training; the other classes are words of like
+last letters, their parts a hash of the word. Both softmaxes have hashed features of the last
+word, the last two words, and the word before the last (a skip), for the parts joined with
+the class. Their weights are trained by gradients that all tasks sum, over all training rows
+in every round. Buckets and parts grow with the training tokens. Within a part a word's
+weight is its count + 0.1.
+
+Counts return to the words without a broadcast: scan tasks cut their rows into blocks, each
+distinct word of a block goes once to its count and back. Words in features are told apart by
+32 bits of their hashes; no other result of a text depends on its block.
 """
 
 from __future__ import annotations
@@ -25,21 +26,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.arrays import binary_lists, chunks, hashed_words, mix, row_sums, text_buffer
+from trawl.llm.arrays import binary_lists, chunks, hashed_words, mix, released, row_sums, text_buffer
 from trawl.llm.exact_dedup import with_rows
 from trawl.llm.labelled import id_remainder
 from trawl.session import remove_dir, scratch_dir
 
-#: Text bytes of a block of rows; least shape classes, classes of single frequent tokens.
-BLOCK_BYTES, SHAPES, SINGLES = 12 << 20, 16, 15
+#: Text bytes of a block of rows; classes; frequent tokens that are parts of their own.
+BLOCK_BYTES, CLASSES, SINGLES = 12 << 20, 16, 15
+#: The part of unseen words; marks a word that was seen once, which stands for unseen ones in training.
 UNKNOWN, ONCE = SINGLES, 1 << 15
-#: Rounds of training; gradient step; smoothing; discount of pairs.
-ROUNDS, STEP, SHRINK, ADD, DISCOUNT = 3, 1.0, 20.0, 0.1, 0.75
-#: Least bits of the features' hash buckets, in the order last word, last two words, skip;
-#: training tokens above which buckets grow (as their root) and shape classes (as the root of that).
-BITS, GROW = (14, 15, 14), 1e8
-#: About so many distinct pairs, and words, of all blocks are counted in one group.
-PART_PAIRS, PART_WORDS = 1 << 21, 1 << 20
+#: Rounds of training; gradient step; smoothing.
+ROUNDS, STEP, SHRINK, ADD = 3, 1.0, 20.0, 0.1
+#: Least bits of the features' hash buckets and of the parts of a class; training tokens above
+#: which buckets grow (as their root) and parts (as the root of that); the most bits of both,
+#: which bound the broadcast weights (3 * 2^18 rows of 16 + 64 numbers: 252 MB).
+BITS, PART_BITS, GROW = 16, 4, 1e8
+MOST_BITS, MOST_PART_BITS = 18, 6
+#: About so many distinct words of all blocks are counted in one group; tokens of a step.
+PART_WORDS, LOT = 1 << 20, 1 << 17
+#: Pieces that a level's gradients are summed in; log of the weight of parts without words.
+SLICES, NEVER = 32, -100.0
 END = 0x7F4A7C159E3779B9  # the end token's hash
 
 
@@ -101,28 +107,41 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block += 1
 
 
-def _shape_classes(tokens: int) -> int:
-    return SHAPES << max(0, math.ceil(math.log2(max(tokens, 1) / GROW) / 4))
+def part_bits(tokens: int) -> int:
+    return min(PART_BITS + max(0, math.ceil(math.log2(max(tokens, 1) / GROW) / 4)), MOST_PART_BITS)
 
 
 class Model:
-    """Class weights (bias first, then features) and what words need: totals and class sums."""
+    """Weights of both softmaxes (biases, then feature rows) and what words need."""
 
-    def __init__(self, total: int, distinct: int, singles: list[tuple[int, int]], class_counts: np.ndarray, class_sums: np.ndarray):
+    def __init__(self, total: int, distinct: int, singles: list[tuple[int, int]], counts: np.ndarray, sums: np.ndarray):
         self.total, self.distinct, self.singles = total, distinct, singles
-        self.class_sums = class_sums  # sum of (count + 0.1) over a class's words
-        self.classes = len(class_sums)
-        self.bits = [b + max(0, math.ceil(math.log2(max(total, 1) / GROW) / 2)) for b in BITS]
-        self.parts = -(-total // PART_PAIRS) + 1
-        prior = np.log((class_counts + 1.0) / (class_counts.sum() + self.classes))
-        self.bias = prior.astype(np.float32)
-        self.weights = np.zeros((sum(1 << b for b in self.bits), self.classes), np.float32)
+        self.sums = sums  # sum of (count + 0.1) over the words of a part; rows of counts and sums are classes
+        self.parts = counts.shape[1]
+        self.bits = min(BITS + max(0, math.ceil(math.log2(max(total, 1) / GROW) / 2)), MOST_BITS)
+        per_class = counts.sum(1)
+        self.bias = [np.log((per_class + 1.0) / (per_class.sum() + CLASSES)).astype(np.float32),
+                     np.log((counts + 1.0) / (per_class[:, None] + self.parts)).astype(np.float32)]
+        empty = sums == 0
+        empty[0, UNKNOWN] = False
+        self.bias[0][empty.all(1)] = self.bias[1][empty] = NEVER
+        self.weights = [np.zeros((3 << self.bits, n), np.float32) for n in (CLASSES, self.parts)]
 
     def base(self) -> float:
         """log10 of the base model's denominator."""
         return math.log10(self.total + ADD * (self.distinct + 1))
 
 
+def kinds_of(word: np.ndarray, shape: np.ndarray, count: np.ndarray, parts: int, singles: list[tuple[int, int]]) -> np.ndarray:
+    """Class and part of distinct words as one number, ``class * parts + part``."""
+    part = (mix(word) >> np.uint64(7)).astype(np.int64) % parts
+    kind = (1 + shape % (CLASSES - 1)) * parts + part
+    kind[count == 0] = UNKNOWN
+    for k, (single, _) in enumerate(singles):
+        kind[word.view(np.int64) == single] = k
+    return kind
+
+
 def _before(code: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the last word and the one before it, for each token."""
     heads = ptr[:-1][ptr[:-1] < len(code)]
@@ -134,21 +153,18 @@ def _before(code: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one, two
 
 
-def _features(model: Model, code: np.ndarray, ptr: np.ndarray) -> list[np.ndarray]:
-    """Rows of the weight table for each token, from the 32-bit codes of the tokens before."""
+def _features(model: Model, code: np.ndarray, ptr: np.ndarray, kind: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Rows of the weights of classes and of parts for each token, from the 32-bit codes of the
+    tokens before and, for parts, the token's class: three buckets each."""
     one, two = _before(code, ptr)
-    feats, first = [], 0
-    for bits, key in zip(model.bits, (one, mix(one << np.uint64(32) | two) >> np.uint64(32), two)):
-        feats.append((first + (key >> np.uint64(32 - bits)).astype(np.int64)))
-        first += 1 << bits
-    return feats
-
-
-def _pairs(code: np.ndarray, kind: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens whose class holds several words; for each the last word's code with its own, and with its class."""
-    at = np.flatnonzero(kind & (ONCE - 1) > UNKNOWN)
-    one = _before(code, ptr)[0][at] << np.uint64(32)
-    return at, one | code[at].astype(np.uint64), one | (kind[at] & (ONCE - 1)).astype(np.uint64)
+    own = ((kind // model.parts).astype(np.uint64) + np.uint64(1)) << np.uint64(32)
+    shift = np.uint64(32 - model.bits)
+    classes, parts = [], []
+    for key in (one, mix(one << np.uint64(32) | two) >> np.uint64(32), two):
+        classes.append(key >> shift)
+        parts.append(mix(own | key) >> np.uint64(32) >> shift)
+    kept = np.uint16 if model.bits <= 16 else np.int64  # short numbers sort faster
+    return [f.astype(kept) for f in classes], [f.astype(kept) for f in parts]
 
 
 def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,94 +230,55 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from (whole.slice(lo, 1 << 16) for lo in range(0, whole.num_rows, 1 << 16))
 
 
-def _counted_pairs(parts: int):
-    """Counts of a part's pairs back to their blocks, and per last word and class how many
-    pairs there are (in training) and how often."""
-    def run(table: pa.Table) -> pa.Table:
-        lists, blocks, part = _read(table, "keys", np.uint64), table.column("block").to_pylist(), table.column("part")[0].as_py()
-        keys, first, at = np.unique(np.concatenate(lists), return_index=True, return_inverse=True)
-        c = np.bincount(at, np.concatenate(_read(table, "n", np.uint32))).astype(np.uint32)
-        kinds = np.concatenate(_read(table, "kinds", np.uint16))[first]
-        back, ends = c[at], np.cumsum([0, *map(len, lists)])
-        own = [back[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
-        none = [b""] * len(blocks)
-        rows = [dict(zip(_PACK, (blocks, ["pair"] * len(blocks), [part] * len(blocks), none, none, own)))]
-        seen = c > 0
-        group, to = np.unique((keys[seen] >> np.uint64(32) << np.uint64(32)) | kinds[seen].astype(np.uint64), return_inverse=True)
-        sums = np.stack([np.bincount(to, c[seen], len(group)), np.bincount(to, minlength=len(group))], 1).astype(np.float64)
-        rows.append(_packed(-1, "sum", group, np.zeros(len(group), np.uint16), sums, parts))
-        return _pack_table(rows)
+def _by_kind(parts: int):
+    """Tokens seen in training to sums by class and part: count, words, words seen once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, CLASSES * parts), np.int64)
+        for batch in batches:
+            word, c, shape = (batch.column(k).to_numpy() for k in range(3))
+            kind = kinds_of(word.view(np.uint64), shape.astype(np.int64), c, parts, [])
+            for k, x in enumerate((c, np.ones(len(c)), c == 1)):
+                total[k] += np.bincount(kind, x, CLASSES * parts).astype(np.int64)
+        some = np.flatnonzero(total[1])
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(t[some]) for t in total)], names=["kind", "c", "v", "once"])
 
     return run
 
 
-def _counted_classes(table: pa.Table) -> pa.Table:
-    """Sums over (last word, class) of a part back to the blocks that ask for them."""
-    lists, blocks, n = _read(table, "keys", np.uint64), table.column("block").to_pylist(), _read(table, "n", np.float64)
-    keys, at = np.unique(np.concatenate(lists), return_inverse=True)
-    ends = np.cumsum([0, *map(len, lists)])
-    total = np.zeros((len(keys), 2))
-    for k, block in enumerate(blocks):
-        if block < 0:
-            total[at[ends[k]:ends[k + 1]]] += n[k].reshape(-1, 2)  # distinct within a row
-    part = table.column("part")[0].as_py()
-    asked = [k for k, block in enumerate(blocks) if block >= 0]
-    return _pack_table([dict(zip(_PACK, ([blocks[k] for k in asked], ["class"] * len(asked), [part] * len(asked), [b""] * len(asked),
-                                         [b""] * len(asked), [total[at[ends[k]:ends[k + 1]]].astype(np.float32).tobytes() for k in asked])))])
-
-
-def _class_logs(model: Model, feats: list[np.ndarray]) -> np.ndarray:
-    """log P(class | history) of all classes, a row per token."""
-    w, out = model.weights, np.empty((len(feats[0]), model.classes), np.float32)
-    for lo in range(0, len(out), 4096):  # stays in cache
-        one, both, skip = (f[lo:lo + 4096] for f in feats)
-        z = w[one]
-        z += w[both]
-        z += w[skip]
-        z += model.bias
-        z -= np.log(np.exp(z).sum(1, keepdims=True))  # weights are at most 3 a round: no overflow
-        out[lo:lo + 4096] = z
-    return out
+def _logits(model: Model, level: int, rows: list[np.ndarray], kind: np.ndarray) -> np.ndarray:
+    """log P of all classes (level 0), or of all parts of the token's class (level 1)."""
+    w, step = model.weights[level], 1 << model.bits
+    z = w[rows[0]]
+    for k in (1, 2):
+        z += w[k * step:(k + 1) * step][rows[k]]
+    z += model.bias[0] if level == 0 else model.bias[1][kind // model.parts]
+    z -= np.log(np.exp(z).sum(1, keepdims=True))  # weights are at most 3 a round: no overflow
+    return z
 
 
 def _joined(shared, parts: int):
-    """Rows of a block with its tokens' counts: per row the base sums and coded tokens."""
+    """Rows of a block with its tokens' counts: per row the base sums, the sum of the words'
+    weights within their parts, and coded tokens."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         model: Model = shared.value
         at = [np.frombuffer(x, np.uint32) for x in left.column("at").to_pylist()]
         ptr = np.cumsum([0, *map(len, at)])
         lines = right.sort_by("part").to_pylist()
         own = next(r for r in lines if r["what"] == "word")
-        block, word = own["block"], np.frombuffer(own["keys"], np.uint64)
+        word = np.frombuffer(own["keys"], np.uint64)
         shape = (np.frombuffer(own["n"], np.uint64) & np.uint64(255)).astype(np.int64)
         count = np.empty(len(word), np.int64)
         count[_dealt(word, parts)[0]] = np.frombuffer(b"".join(r["n"] for r in lines if r["what"] == "count"), np.int64)
-        kind = SINGLES + 1 + shape % (model.classes - SINGLES - 1)
-        kind[count == 0] = UNKNOWN
-        for k, (single, _) in enumerate(model.singles):
-            hit = word.view(np.int64) == single
-            kind[hit] = k
-        coded = kind | np.where(count == 1, ONCE, 0)  # a word seen once stands for unseen ones in training
+        kind = kinds_of(word, shape, count, model.parts, model.singles)
+        inside = np.where(kind > UNKNOWN, np.log10((count + ADD) / np.maximum(model.sums.reshape(-1)[kind], ADD)), 0.0)
+        coded = (kind | np.where(count == 1, ONCE, 0)).astype(np.uint16)
         code = (mix(word) >> np.uint64(32)).astype(np.uint32)
         flat = np.concatenate(at) if at else np.zeros(0, np.uint32)
-        codes, kinds = code[flat], coded[flat].astype(np.uint16)
-        del at
-        places, pairs, groups = _pairs(codes, kinds, ptr)
-        train = np.repeat(~left.column("held_out").to_numpy(), np.diff(ptr))[places]
-        keys, first, to = np.unique(pairs, return_index=True, return_inverse=True)
-        packs = [_packed(block, "pair", keys, kinds[places][first] & np.uint16(ONCE - 1), np.bincount(to[train], minlength=len(keys)).astype(np.uint32), model.parts)]
-        asks = np.unique(groups)
-        packs.append(_packed(block, "sum", asks, np.zeros(len(asks), np.uint16), np.zeros((len(asks), 0)), model.parts))
-        by = np.argsort(code, kind="stable")
-        packs.append(dict(zip(_PACK, ([block], ["word"], [0], [code[by].tobytes()], [b""], [count[by].tobytes()]))))
-        packs, n = _pack_table(packs), left.num_rows
-        rows = pa.table({
-            "block": left.column("block"), "row": left.column("row"), "id": left.column("id"), "held_out": left.column("held_out"), "n_tokens": pa.array(np.diff(ptr)),
+        return pa.table({
+            "row": left.column("row"), "id": left.column("id"), "held_out": left.column("held_out"), "n_tokens": pa.array(np.diff(ptr)),
             "n_known": pa.array(row_sums((count > 0)[flat], ptr).astype(np.int64)),
-            "base": pa.array(row_sums((np.log10(count + ADD) - model.base())[flat], ptr)),
-            "codes": binary_lists(codes, ptr), "what": pa.array(["row"] * n, pa.string()), "part": pa.nulls(n, pa.int64()), "keys": pa.nulls(n, pa.binary()),
-            "kinds": binary_lists(kinds, ptr), "n": pa.nulls(n, pa.binary())})
-        return pa.concat_tables([rows, packs], promote_options="default").select(rows.column_names)
+            "base": pa.array(row_sums((np.log10(count + ADD) - model.base())[flat], ptr)), "inside": pa.array(row_sums(inside[flat], ptr)),
+            "codes": binary_lists(code[flat], ptr), "kinds": binary_lists(coded[flat], ptr)})
 
     return run
 
@@ -316,28 +293,30 @@ def _tokens(batch: pa.RecordBatch, most: int = 1 << 16) -> Iterator[tuple[int, i
 
 
 def _gradients(shared):
-    """Summed gradients of all rows of a task, cut into slices of the weight table."""
+    """Summed gradients of all rows of a task, cut into slices of the weights."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        grad = np.zeros((model.classes + 1, len(model.weights) + 1), np.float32)  # last column: bias; last row: how often
+        step = 1 << model.bits
+        grads = [np.zeros((3 * step, w.shape[1] + 1), np.float32) for w in model.weights]  # last column: how often
         for batch in batches:
-            for _, _, code, kind, ptr in _tokens(batch, 2 << max(model.bits)):
-                feats = _features(model, code, ptr)
-                step = np.ascontiguousarray(-np.exp(_class_logs(model, feats)).T)
-                target = np.where(kind >= ONCE, UNKNOWN, kind).astype(np.int64)
-                step[target, np.arange(len(target))] += 1.0
-                grad[:-1, -1] += step.sum(1)
-                grad[-1, -1] += len(target)
-                first = 0
-                for f, bits in zip(feats, model.bits):
-                    end = first + (1 << bits)
-                    place = f - first
-                    for k, by in enumerate([*step, None]):
-                        grad[k, first:end] += np.bincount(place, by, 1 << bits)
-                    first = end
-        grad = np.ascontiguousarray(grad.T)
-        for k, part in enumerate(np.array_split(grad, 64)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "grad"])
+            for _, _, code, coded, ptr in _tokens(batch, LOT):
+                kind = np.where(coded >= ONCE, UNKNOWN, coded).astype(np.int64)
+                both = _features(model, code, ptr, kind)
+                targets = kind // model.parts, kind % model.parts
+                for level, rows in enumerate(both):
+                    g = np.exp(_logits(model, level, rows, kind))
+                    np.negative(g, out=g)
+                    g[np.arange(len(g)), targets[level]] += 1.0
+                    for k, row in enumerate(rows):
+                        order = np.argsort(row, kind="stable")
+                        row = row[order]
+                        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                        at = k * step + row[first].astype(np.int64)
+                        grads[level][at, :-1] += np.add.reduceat(g[order], first, axis=0)
+                        grads[level][at, -1] += np.diff(np.append(first, len(row)))
+        for level, grad in enumerate(grads):
+            for k, part in enumerate(np.array_split(grad, SLICES)):
+                yield pa.RecordBatch.from_arrays([pa.array([level * SLICES + k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "grad"])
 
     return run
 
@@ -347,35 +326,28 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table({"slice": table.column("slice")[:1], "grad": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
+def _stepped(model: Model, level: int, grad: np.ndarray) -> None:
+    """One update of a level's weights: mean gradients over a diagonal curvature."""
+    prior = np.exp(model.bias[0]) if level == 0 else np.full(model.parts, 1.0 / model.parts)
+    mean = STEP * grad[:, :-1] / (grad[:, -1:] + SHRINK)
+    model.weights[level] += np.clip(mean / (prior * (1 - prior) + 0.02) / 3, -3, 3).astype(np.float32)
+
+
 def _scored(shared):
-    """Scores of a block's rows, from the trained classes and the counts of its pairs."""
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Rows of a task to their scores: what is inside parts, and the trained classes and parts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        lines = right.sort_by("part").to_pylist()
-
-        def values(what: str, column: str, dtype) -> np.ndarray:
-            return np.frombuffer(b"".join(r[column] for r in lines if r["what"] == what), dtype)
-
-        words, often = values("word", "keys", np.uint32), values("word", "n", np.int64)
-        batch = left.combine_chunks().to_batches()[0]  # every block has rows
-        _, _, code, kind, ptr = next(_tokens(batch, 1 << 62))
-        places, pairs, groups = _pairs(code, kind, ptr)
-        keys, to = np.unique(pairs, return_inverse=True)
-        c = np.empty(len(keys))
-        c[_dealt(keys, model.parts)[0]] = values("pair", "n", np.uint32)
-        asks, group = np.unique(groups, return_inverse=True)
-        sums = np.empty((len(asks), 2))
-        sums[_dealt(asks, model.parts)[0]] = values("class", "n", np.float32).reshape(-1, 2)
-        low = (often[np.searchsorted(words, code[places])] + ADD) / model.class_sums[kind[places] & (ONCE - 1)]
-        seen, distinct = sums[group].T
-        given = (np.maximum(c[to] - DISCOUNT, 0) + DISCOUNT * distinct * low) / np.maximum(seen, 1)
-        inside = np.zeros(len(code))
-        inside[places] = np.log10(np.where(seen > 0, given, low))
-        out = row_sums(inside, ptr)
-        for lo, hi, part_code, part_kind, own in _tokens(batch):
-            logs = _class_logs(model, _features(model, part_code, own))
-            out[lo:hi] += row_sums(logs[np.arange(len(logs)), part_kind & (ONCE - 1)], own) / math.log(10)
-        return pa.table({**{k: left.column(k) for k in ("id", "held_out", "n_tokens", "n_known", "base")}, "score": pa.array(out)})
+        for batch in batches:
+            out = batch.column(batch.schema.get_field_index("inside")).to_numpy().copy()
+            for lo, hi, code, coded, ptr in _tokens(batch, LOT):
+                kind = (coded & (ONCE - 1)).astype(np.int64)
+                both = _features(model, code, ptr, kind)
+                logs = np.zeros(len(kind), np.float64)
+                for level, target in enumerate((kind // model.parts, kind % model.parts)):
+                    logs += _logits(model, level, both[level], kind)[np.arange(len(kind)), target]
+                out[lo:hi] += row_sums(logs, ptr) / math.log(10)
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("id", "held_out", "n_tokens", "n_known", "base")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out)], names=["id", "held_out", "n_tokens", "n_known", "base", "score"])
 
     return run
 
@@ -412,49 +384,41 @@ def _trained(docs: DataFrame, id_col: str, text_col: str, mod: int, held_out: in
     top = counts.orderBy(F.desc("c"), "word").limit(SINGLES).collect()
     singles = [(r.word, r.c) for r in top]
     tokens = counts.agg(F.sum("c")).first()[0] or 0
-    classes = SINGLES + 1 + _shape_classes(tokens)
+    parts_of = 1 << part_bits(tokens)
     rest = counts.where(~F.col("word").isin([w for w, _ in singles])) if singles else counts
-    sums = rest.groupBy((F.col("shape") % (classes - SINGLES - 1)).alias("shape")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once")).collect()
-    n, sizes = np.zeros(classes), np.zeros(classes)
+    found = rest.mapInArrow(_by_kind(parts_of), "kind long, c long, v long, once long").groupBy("kind").agg(
+        *(F.sum(c).alias(c) for c in ("c", "v", "once"))).collect()  # a row a part
+    n, sums = np.zeros(CLASSES * parts_of), np.zeros(CLASSES * parts_of)
     for k, (_, c) in enumerate(singles):
-        n[k], sizes[k] = c, c + ADD
-    for r in sums:
-        n[SINGLES + 1 + r["shape"]], sizes[SINGLES + 1 + r["shape"]] = r.c - r.once, r.c + ADD * r.v
+        n[k], sums[k] = c, c + ADD
+    for r in found:
+        n[r["kind"]], sums[r["kind"]] = r.c - r.once, r.c + ADD * r.v
         n[UNKNOWN] += r.once
-    model = Model(sum(c for _, c in singles) + sum(r.c for r in sums), len(singles) + sum(r.v for r in sums), singles, n, sizes)
+    model = Model(sum(c for _, c in singles) + sum(r.c for r in found), len(singles) + sum(r.v for r in found), singles,
+                  n.reshape(CLASSES, -1), sums.reshape(CLASSES, -1))
 
     shared = spark.sparkContext.broadcast(model)
     own = words.select("block", F.lit("word").alias("what"), F.lit(0).cast("long").alias("part"), F.col("words").alias("keys"), F.col("counts").alias("n"))
     back = own.unionByName(counted.where("what = 'count'").select(own.columns))
     texts = blocks.where("at is not null").select("block", "row", "id", "held_out", "at")
-    pack = _PACK_TYPE.split(", ", 1)[1]
-    written = _written(texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
-        _joined(shared, parts), f"block long, row long, id long, held_out boolean, n_tokens long, n_known long, base double, codes binary, {pack}"), f"{path}/coded", "what")
-    coded, packs = written.where("what = 'row'"), written.select(*_PACK)
+    coded = _written(texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
+        _joined(shared, parts), "row long, id long, held_out boolean, n_tokens long, n_known long, base double, inside double, codes binary, kinds binary"), f"{path}/coded")
     remove_dir(spark, f"{path}/blocks")  # only `coded` is read from here on
     remove_dir(spark, f"{path}/counts")
-    pairs = _written(packs.where("what = 'pair'").groupBy("part").applyInArrow(_counted_pairs(model.parts), _PACK_TYPE), f"{path}/pairs", "what")
-    sums = packs.where("what = 'sum'").unionByName(pairs.where("what = 'sum'")).groupBy("part").applyInArrow(_counted_classes, _PACK_TYPE)
-    sums = _written(sums, f"{path}/sums")
-    for done in ("coded/what=pair", "coded/what=sum", "pairs/what=sum"):
-        remove_dir(spark, f"{path}/{done}")
 
     for _ in range(ROUNDS):
-        # one sum of gradients (9 MB, more above GROW tokens) per core, however many files there are
+        # one sum of gradients per core, however many files there are
         slices = (coded.where(~F.col("held_out")).select("codes", "kinds")
-                  .coalesce(spark.sparkContext.defaultParallelism).mapInArrow(_gradients(shared), "slice int, grad binary").withColumn("lot", F.spark_partition_id() % 16))
+                  .coalesce(spark.sparkContext.defaultParallelism).mapInArrow(released(_gradients(shared)), "slice int, grad binary").withColumn("lot", F.spark_partition_id() % 16))
         slices = slices.groupBy("slice", "lot").applyInArrow(_added, "slice int, grad binary")
-        found = slices.groupBy("slice").applyInArrow(_added, "slice int, grad binary").orderBy("slice").collect()  # 64 rows, 9 MB
-        if found:
-            grad = np.concatenate([np.frombuffer(r.grad, np.float32) for r in found]).reshape(-1, model.classes + 1)
-            step = STEP * grad[:, :-1] / (grad[:, -1:] + SHRINK)
-            prior = np.exp(model.bias)
-            scaled = step / (prior * (1 - prior) + 0.02)  # a diagonal curvature
-            model.weights += np.clip(scaled[:-1] / 3, -3, 3)
+        sums = slices.groupBy("slice").applyInArrow(_added, "slice int, grad binary").orderBy("slice").collect()  # the size of the weights
+        for level in (0, 1) if sums else ():
+            grad = np.concatenate([np.frombuffer(r.grad, np.float32) for r in sums[level * SLICES:(level + 1) * SLICES]])
+            _stepped(model, level, grad.reshape(len(model.weights[level]), -1))
         shared.unpersist()
         shared = spark.sparkContext.broadcast(model)
 
-    return model, shared, coded, packs.where("what = 'word'").unionByName(pairs.where("what = 'pair'")).unionByName(sums)
+    return model, shared, coded
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 10, held_out: int = 0) -> DataFrame:
@@ -466,9 +430,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
     no rows. Words are told apart by 64-bit hashes.
     """
     with _cleaned(docs.sparkSession):
-        model, shared, coded, found = _trained(docs, id_col, text_col, mod, held_out)
-    rows = coded.select("block", "id", "held_out", "n_tokens", "n_known", "base", "codes", "kinds")
-    return (rows.groupBy("block").cogroup(found.select("block", "what", "part", "keys", "n").groupBy("block")).applyInArrow(
-        _scored(shared), "id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+        model, shared, coded = _trained(docs, id_col, text_col, mod, held_out)
+    return (coded.mapInArrow(released(_scored(shared)), "id long, held_out boolean, n_tokens long, n_known long, base double, score double")
             .select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(int(model.total)).cast("long").alias("train_tokens"),
                     F.col("base").alias("base_score"), "score"))
