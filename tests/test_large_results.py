@@ -16,6 +16,7 @@ from trawl.operators import quality as Q
 from trawl.operators import ranking as R
 from trawl.operators import stats as S
 from trawl.operators import triples as TR
+from trawl.operators.metrics import METRIC_COLUMNS, metrics_by_stratum
 from trawl.operators.resume import open_buckets, run_in_buckets
 from trawl.plans import bindings as B
 from trawl.session import scratch_dir
@@ -225,6 +226,23 @@ def test_python_metric_agrees_with_the_column_form(spark):
         S.bootstrap_ci(df.limit(0), "v", metric_fn=resample.MEAN)
 
 
+def test_paired_test_over_counts_agrees_with_the_draws(spark):
+    rng = random.Random(8)
+    b = [rng.random() * 0.5 for _ in range(150)]
+    for shift, spread in ((0.05, 0.0), (0.004, 0.1), (-0.1, 0.0)):
+        df = spark.createDataFrame([(i, x + shift + spread * (rng.random() - 0.5), x) for i, x in enumerate(b)], "qid long, a double, b double")
+        plain, counts = (S.paired_bootstrap(df, n_resamples=300, as_counts=c).first() for c in (False, True))
+        assert plain.observed_diff == counts.observed_diff and abs(plain.p_value - counts.p_value) < 0.12
+
+
+def test_a_null_stratum_is_not_the_overall_row(spark):
+    per_query = spark.createDataFrame([(q, q / 4) for q in range(4)], "qid long, v double")
+    per_query = per_query.select("qid", *(F.col("v").alias(c) for c in METRIC_COLUMNS))
+    strata = spark.createDataFrame([(0, "a"), (1, "a"), (2, None), (3, None)], "qid long, stratum string")
+    got = {(r.stratum, r.num_queries) for r in metrics_by_stratum(per_query, strata).collect()}
+    assert got == {("a", 2), (None, 2), ("all", 4)}
+
+
 # ------------------------------------------------------------------ isotonic
 
 @pytest.mark.parametrize("kind", ["rising", "falling", "noise", "steps", "one"])

@@ -125,11 +125,12 @@ def aggregate_metrics(per_query: DataFrame) -> DataFrame:
 
 
 def metrics_by_stratum(per_query: DataFrame, strata: DataFrame, stratum: str = "stratum") -> DataFrame:
-    """Means per stratum; ``rollup`` adds the overall row (stratum = 'all')."""
+    """Means per stratum; ``rollup`` adds the overall row (stratum = 'all'). Queries of a null
+    stratum are a stratum of their own, with a null name."""
     j = per_query.join(strata.select("qid", stratum), "qid")
     out = j.rollup(stratum).agg(*[F.round(F.avg(c), _DIGITS).alias(c) for c in METRIC_COLUMNS],
-                                F.count(F.lit(1)).alias("num_queries"))
-    return out.select(F.coalesce(F.col(stratum), F.lit("all")).alias(stratum),
+                                F.count(F.lit(1)).alias("num_queries"), F.grouping(stratum).alias("_all"))
+    return out.select(F.when(F.col("_all") == 1, "all").otherwise(F.col(stratum)).alias(stratum),
                       *METRIC_COLUMNS, "num_queries")
 
 

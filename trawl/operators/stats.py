@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.hashing import draw_index
-from trawl.operators.resample import Metric, is_counts_metric, original_metric, resampled_metric
+from trawl.operators.resample import MEAN, Metric, is_counts_metric, original_metric, resampled_metric
 from trawl.operators.util import broadcast_if_small, dense_index, literal_row, scalars
 
 _DIGITS = 6
@@ -67,12 +67,13 @@ def _interval(spark, resampled: DataFrame, mean: float, n_resamples: int, confid
 
 
 def paired_bootstrap(paired: DataFrame, *, n_resamples: int = 1000, seed: int = 42,
-                     max_broadcast_rows: int = 5_000_000) -> DataFrame:
+                     max_broadcast_rows: int = 5_000_000, as_counts: bool = False) -> DataFrame:
     """One-sided paired test that A beats B on ``qid, a, b`` rows.
 
     d = a - b; observed = mean(d); observed <= 0 gives p = 1.0; otherwise the centred
-    differences are resampled and p = (#{resample mean >= observed} + 1) / (B + 1).
-    Returns ``observed_diff, p_value, n_resamples, num_queries``.
+    differences are resampled and p = (#{resample mean >= observed} + 1) / (B + 1). With
+    ``as_counts`` resamples are counts (``resample``) in place of one row per draw: other
+    draws, and no more than B states leave a task. Returns ``observed_diff, p_value, n_resamples, num_queries``.
     """
     spark = paired.sparkSession
     d = paired.select("qid", (F.col("a").cast("double") - F.col("b").cast("double")).alias("d")).checkpoint(eager=True)
@@ -83,10 +84,13 @@ def paired_bootstrap(paired: DataFrame, *, n_resamples: int = 1000, seed: int =
     if obs <= 0:
         p = 1.0
     else:
-        indexed = dense_index(d, "qid", "idx").select("idx", "d")
-        centred = indexed.select("idx", (F.col("d") - F.lit(obs)).alias("c"))
-        means = (_draws(spark, n, n_resamples, seed).join(broadcast_if_small(centred, max_broadcast_rows), "idx")
-                 .groupBy("b").agg(F.avg("c").alias("m")))
+        if as_counts:
+            means = resampled_metric(d.select("qid", (F.col("d") - F.lit(obs)).alias("v")), n, MEAN, n_resamples, seed)
+        else:
+            indexed = dense_index(d, "qid", "idx").select("idx", "d")
+            centred = indexed.select("idx", (F.col("d") - F.lit(obs)).alias("c"))
+            means = (_draws(spark, n, n_resamples, seed).join(broadcast_if_small(centred, max_broadcast_rows), "idx")
+                     .groupBy("b").agg(F.avg("c").alias("m")))
         c = scalars(means.agg(F.count_if(F.col("m") >= F.lit(obs)).alias("c")))["c"]
         p = (c + 1) / float(n_resamples + 1)
     return literal_row(spark, {"observed_diff": round(obs, _DIGITS), "p_value": round(p, _DIGITS),

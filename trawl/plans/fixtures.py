@@ -30,10 +30,10 @@ def t_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment_qrels(B.t_queries(spark, sf_dir), B.t_collection(spark, sf_dir)).checkpoint(eager=True)
 
 
-def write_qrels_text(spark: SparkSession, sf_dir: str) -> str:
-    """Lines per judged pair: stale ``q 0 d 0`` then ``q\\t0\\td\\t1`` (last wins);
+def write_qrels_text(spark: SparkSession, sf_dir: str, qrels: DataFrame | None = None) -> str:
+    """Text of ``qrels`` (``t_qrels`` unless given). Lines per judged pair: stale ``q 0 d 0`` then ``q\\t0\\td\\t1`` (last wins);
     per item: a 2-field line (skipped) and a 5-field line ``q 0 q+OFFSET 2 x``."""
-    q = t_qrels(spark, sf_dir)
+    q = t_qrels(spark, sf_dir) if qrels is None else qrels
     items = B.t_queries(spark, sf_dir).select(F.col("id").alias("qid"))
     s = lambda c: F.col(c).cast("string")
     rows = (q.select("qid", "docid", F.lit(0).alias("seq"), F.concat_ws(" ", s("qid"), F.lit("0"), s("docid"), F.lit("0")).alias("l"))

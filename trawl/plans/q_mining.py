@@ -42,8 +42,8 @@ def v_inputs(spark, sf_dir):
     return lab.select("qid", "docid", "score", "rank"), pos, coll
 
 
-def t_graded(spark, sf_dir):
-    return TF.scan_qrels_graded(spark, X.write_qrels_text(spark, sf_dir))
+def t_graded(spark, sf_dir, qrels=None):
+    return TF.scan_qrels_graded(spark, X.write_qrels_text(spark, sf_dir, qrels))
 
 
 def t_run(spark, sf_dir, k=1000):
@@ -51,10 +51,10 @@ def t_run(spark, sf_dir, k=1000):
     return bm25_first_stage(B.t_queries(spark, sf_dir), B.t_collection(spark, sf_dir), k).checkpoint(eager=True)
 
 
-def t_inputs(spark, sf_dir, run=None):
+def t_inputs(spark, sf_dir, run=None, qrels=None):
     cands = (run.where(F.col("rank") <= CFG.top_k) if run is not None
              else bm25_first_stage(B.t_queries(spark, sf_dir), B.t_collection(spark, sf_dir), CFG.top_k))
-    pos = MN.positives_by_query(qrels=TR.filter_relevant(t_graded(spark, sf_dir)))
+    pos = MN.positives_by_query(qrels=TR.filter_relevant(t_graded(spark, sf_dir, qrels)))
     coll = B.t_collection(spark, sf_dir).select(F.col("id").alias("docid"))
     return cands, pos, coll
 
@@ -64,16 +64,16 @@ def v_mined(spark, sf_dir):
     return MN.mine_hard_negatives(cands, pos, coll, CFG)
 
 
-def t_mined(spark, sf_dir, run=None):
-    cands, pos, coll = t_inputs(spark, sf_dir, run)
+def t_mined(spark, sf_dir, run=None, qrels=None):
+    cands, pos, coll = t_inputs(spark, sf_dir, run, qrels)
     return MN.mine_hard_negatives(cands, pos, coll, CFG)
 
 
-def t_official(spark, sf_dir, run=None):
+def t_official(spark, sf_dir, run=None, qrels=None):
     """Official-style T id triples: each judged pair with the query's best BM25 non-positive,
     plus one row per item whose positive id is unknown (dropped when resolving)."""
     run = run if run is not None else bm25_first_stage(B.t_queries(spark, sf_dir), B.t_collection(spark, sf_dir), 1000)
-    q = X.t_qrels(spark, sf_dir).select("qid", "docid")
+    q = (X.t_qrels(spark, sf_dir) if qrels is None else qrels).select("qid", "docid")
     negs = (MN.exclude_positives(run, q).groupBy("qid")
             .agg(F.min_by("docid", "rank").alias("negative_id")))
     known = q.join(negs, "qid").select(F.col("qid").alias("query_id"), F.col("docid").alias("positive_id"),
@@ -83,18 +83,22 @@ def t_official(spark, sf_dir, run=None):
     return known.unionByName(unknown)
 
 
+def t_sources(spark, sf_dir):
+    """Official and mined T triples from one run and one table of judgments."""
+    run, qrels = t_run(spark, sf_dir), X.t_qrels(spark, sf_dir)
+    return t_official(spark, sf_dir, run, qrels), TR.explode_mined(t_mined(spark, sf_dir, run, qrels))
+
+
 def t_mixed(spark, sf_dir):
-    run = t_run(spark, sf_dir)
-    mined = TR.explode_mined(t_mined(spark, sf_dir, run))
-    return TR.mix_sources(t_official(spark, sf_dir, run), mined, MIX_RATIO,
+    official, mined = t_sources(spark, sf_dir)
+    return TR.mix_sources(official, mined, MIX_RATIO,
                           official_order=F.struct("query_id", "positive_id"),
                           mined_order=F.struct("query_id", "positive_id", "neg_pos"))
 
 
 def t_built(spark, sf_dir, cap=None):
-    run = t_run(spark, sf_dir)
-    mined = TR.explode_mined(t_mined(spark, sf_dir, run))
-    return TR.build_triples(t_official(spark, sf_dir, run), mined, B.t_queries(spark, sf_dir),
+    official, mined = t_sources(spark, sf_dir)
+    return TR.build_triples(official, mined, B.t_queries(spark, sf_dir),
                             B.t_collection(spark, sf_dir), ratio_official=MIX_RATIO, max_triples=cap,
                             official_order=F.struct("query_id", "positive_id"),
                             mined_order=F.struct("query_id", "positive_id", "neg_pos"))
@@ -470,9 +474,7 @@ SELECT h.*, (SELECT count(*) FROM mix) AS total, (SELECT count(*) FROM mix) - (S
 FROM half h""")
 def write_triples(spark, sf_dir):
     """M7 written under a cap of half the mixed triples, with the counts of the writing jobs."""
-    run = t_run(spark, sf_dir)
-    mined = TR.explode_mined(t_mined(spark, sf_dir, run)).checkpoint(eager=True)
-    official = t_official(spark, sf_dir, run).checkpoint(eager=True)
+    official, mined = (x.checkpoint(eager=True) for x in t_sources(spark, sf_dir))
     path = scratch_dir(spark, "triples-table")
     found = TR.write_triples(official, mined, B.t_queries(spark, sf_dir), B.t_collection(spark, sf_dir), path,
                              ratio_official=MIX_RATIO, max_triples=(official.count() + mined.count()) // 2,

@@ -211,13 +211,14 @@ def perturb_all(spark, sf_dir):
 @register("l2_normalize", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS nrm FROM v),
 u AS (SELECT vec_id, nrm, list_transform(e, lambda x: CASE WHEN nrm > 0 THEN x / nrm ELSE 0.0 END) AS u FROM n)
-SELECT vec_id, round(nrm, 6) AS norm_in, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS norm_out,
-       round(u[1], 6) AS x0 FROM u""")
+SELECT vec_id, norm_in, norm_out, pos, round(x, 6) AS x FROM (
+  SELECT vec_id, round(nrm, 6) AS norm_in, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS norm_out,
+         CAST(unnest(range(len(u))) AS INTEGER) AS pos, unnest(u) AS x FROM u)""")
 def l2_normalize(spark, sf_dir):
     v = B.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     u = v.select("vec_id", "embedding", VX.l2_normalize(F.col("embedding")).alias("u"))
-    return u.select("vec_id", F.round(VX.norm(F.col("embedding")), 6).alias("norm_in"),
-                    F.round(VX.norm(F.col("u")), 6).alias("norm_out"), F.round(F.col("u")[0], 6).alias("x0"))
+    return u.select("vec_id", F.round(VX.norm(F.col("embedding")), 6).alias("norm_in"), F.round(VX.norm(F.col("u")), 6).alias("norm_out"),
+                    F.posexplode("u").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
 @register("dot", f"""WITH {E.sql_v_knn(10)}

@@ -240,7 +240,7 @@ def metric_drop(spark, sf_dir):
     rel = qrels.select(F.col("qid").alias("base_qid"), "docid", F.lit(True).alias("_rel"))
     lab = (grid.join(run, ["base_qid", "k"], "left").join(rel, ["base_qid", "docid"], "left"))
     per = lab.groupBy("base_qid", "k").agg(
-        F.round(F.coalesce(F.lit(1.0) / F.min(F.when(F.col("_rel"), F.col("rank"))), F.lit(0.0)), 6).alias("m"))
+        F.round(F.coalesce(F.lit(1.0) / F.min(F.when(F.col("_rel"), F.col("rank"))), F.lit(0.0)), 6).alias("m")).checkpoint(eager=True)
     means = per.groupBy("k").agg(F.avg("m").alias("mm"))
     o = scalars(means.where(F.col("k") == 0).select(F.col("mm").alias("o")))["o"]
     name = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("k") + 1).cast("int"))
