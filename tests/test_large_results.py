@@ -55,6 +55,15 @@ def test_first_rows_match_a_sort(mixed_rows, n):
     assert as_counter(selection.first_rows(df, ["k"], n).collect()) == Counter(want)
 
 
+def test_first_rows_split_a_partition_of_many_keys(spark, monkeypatch):
+    monkeypatch.setattr(selection, "FEW_KEYS", 3)
+    path = scratch_dir(spark, "many")
+    spark.range(9000).select((F.col("id") * 7919 % 9001).alias("k")).write.parquet(path)
+    for n in (1001, 5000, 8999, 9000):
+        got = selection.first_rows(spark.read.parquet(path), ["k"], n)
+        assert sorted(r.k for r in got.collect()) == sorted(i * 7919 % 9001 for i in range(9000))[:n]
+
+
 @pytest.mark.parametrize("n", [1100, 2700])
 def test_first_rows_by_expressions_and_several_keys(mixed_rows, n):
     rows, df = mixed_rows

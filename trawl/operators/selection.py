@@ -17,6 +17,8 @@ from trawl.session import scratch_dir
 
 #: Up to this many rows Spark's own top-n is used: its last task sees so many rows a partition.
 TOP_N = 1000
+#: Keys that one task ranks in the end, and the partitions that more keys are split into.
+FEW_KEYS, SPLIT = 10_000, 64
 
 
 def _equal(key: Column, value: Column | None) -> Column:
@@ -42,31 +44,31 @@ def _before(keys: list[Column], cut: list[Column | None], equal: bool) -> Column
 def _cut(rows: DataFrame, keys: list[Column], n: int) -> tuple[list[Column | None], int, int] | None:
     """(key values, rows to keep of them, rows that have them) of the n-th row, None if there
     are at most n rows."""
-
-    def values(row) -> list[Column | None]:
-        return [None if row[c] is None else F.lit(row[c]).cast(counts.schema[c].dataType) for c in names]
-
     spark = rows.sparkSession
     names = [f"_key{i}" for i in range(len(keys))]
     path = scratch_dir(spark, "keys")
-    (rows.select(*(k.alias(c) for k, c in zip(keys, names))).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
-     .repartitionByRange(*names).sortWithinPartitions(*names).withColumn("_part", F.spark_partition_id())
-     .write.parquet(path))
-    counts = spark.read.parquet(path)
-    left = n
-    for part in counts.groupBy("_part").agg(F.sum("_n").alias("_n")).orderBy("_part").collect():  # one number a partition
-        if left < part["_n"]:
+    counts = rows.select(*(k.alias(c) for k, c in zip(keys, names))).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    left, turn = n, 0
+    while True:  # into the partition that holds the n-th row, until it holds few keys
+        parts = counts.repartitionByRange(SPLIT, *names) if turn else counts.repartitionByRange(*names)
+        parts.withColumn("_part", F.spark_partition_id()).write.parquet(f"{path}/{turn}")
+        counts = spark.read.parquet(f"{path}/{turn}")
+        sums = counts.groupBy("_part").agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_keys"))
+        for part in sums.orderBy("_part").collect():  # one row a partition
+            if left <= part["_n"]:
+                break
+            left -= part["_n"]
+        else:
+            return None
+        counts = counts.where(F.col("_part") == part["_part"]).drop("_part")
+        turn += 1
+        if part["_keys"] <= FEW_KEYS:
             break
-        left -= part["_n"]
-    else:
-        return None
-    here = counts.where(F.col("_part") == part["_part"])
-    end = F.sum("_n").over(Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, 0))
-    at = here.withColumn("_end", end).where(F.col("_end") > left - 1).orderBy(*names).limit(1).first() if left else None
-    if at is None:  # the rows wanted end where a partition ends: the last key before it
-        at = (counts.where(F.col("_part") < part["_part"]).orderBy(*(F.col(c).desc() for c in names)).limit(1).first())
-        return values(at), at["_n"], at["_n"]
-    return values(at), left - (at["_end"] - at["_n"]), at["_n"]
+    end = F.sum("_n").over(Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, 0))  # over FEW_KEYS rows at most
+    at = counts.withColumn("_end", end).where(F.col("_end") >= left).orderBy(*names).limit(1).first()
+    values = [None if at[c] is None else F.lit(at[c]).cast(counts.schema[c].dataType) for c in names]
+    need = left - (at["_end"] - at["_n"])
+    return values, need, at["_n"]
 
 
 def first_rows(rows: DataFrame, order: list[str | Column], n: int) -> DataFrame:
