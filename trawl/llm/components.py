@@ -22,12 +22,13 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, path: str | None = None) -> DataFrame:
     """(node, component) of every node that a link (u, v) names; component is the least
     node of its component. Repeated links, both directions and loops are allowed; nulls
-    are not. Each round is written to the shared folder, which cuts the lineage."""
+    are not. Each round is written to the shared folder (``path``, if given), which cuts the
+    lineage; the result reads the last one."""
     spark = links.sparkSession
-    path = scratch_dir(spark, "stars")
+    path = path or scratch_dir(spark, "stars")
     cur = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     before, turn = None, -1
     while True:  # to the end: the number of rounds grows with the logarithm of the nodes

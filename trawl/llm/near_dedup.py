@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from trawl.llm.arrays import binary_lists, mix, released, word_rows
 from trawl.llm.components import components
 from trawl.llm.exact_dedup import kept_rows, with_rows
-from trawl.session import scratch_dir
+from trawl.session import remove_dir, scratch_dir
 
 #: Words of a shingle, least similarity in hundredths, permutations, and permutations of a band.
 WORDS, SIMILARITY, PERMUTATIONS, BAND = 5, 75, 80, 2
@@ -136,7 +136,7 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def _left_over(members: DataFrame, joined: DataFrame, sets: DataFrame) -> DataFrame:
+def _left_over(members: DataFrame, joined: DataFrame, sets: DataFrame, path: str) -> DataFrame:
     """Links (u, v) among the rows of buckets that ``joined`` has not made one component.
 
     Rows outside the component of their bucket's pivot are put together with all rows of
@@ -150,9 +150,8 @@ def _left_over(members: DataFrame, joined: DataFrame, sets: DataFrame) -> DataFr
     # a bucket of two was compared as pivot and other
     open_buckets = buckets.where("a < b and size > 2").select("key", "home")
     rows = state.join(open_buckets, "key").select("home", "row", "comp", (F.col("comp") != F.col("home")).alias("out")).distinct()
-    path = scratch_dir(members.sparkSession, "left")
-    rows.write.parquet(f"{path}/rows")
-    rows = members.sparkSession.read.parquet(f"{path}/rows")
+    rows.write.parquet(f"{path}/left")
+    rows = members.sparkSession.read.parquet(f"{path}/left")
     size = rows.groupBy("home").agg(
         F.ceil(F.sum(F.col("out").cast("long")) / CHUNK).cast("int").alias("outs"),
         F.ceil(F.sum((~F.col("out")).cast("long")) / CHUNK).cast("int").alias("ins"))
@@ -217,9 +216,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     full = pairs.join(sets.select(F.col("row").alias("u"), F.col("shingles").alias("a")), "u").join(
         sets.select(F.col("row").alias("v"), F.col("shingles").alias("b")), "v")
     full.select("u", "v", "a", "b").mapInArrow(released(_linked), "u long, v long").write.parquet(f"{path}/links/0")
-    first = components(spark.read.parquet(f"{path}/links/0"))
-    _left_over(members, first, sets).write.parquet(f"{path}/links/1")
-    components(spark.read.parquet(f"{path}/links/0", f"{path}/links/1")).write.parquet(f"{path}/joined")
+    first = components(spark.read.parquet(f"{path}/links/0"), f"{path}/stars/0")
+    _left_over(members, first, sets, path).write.parquet(f"{path}/links/1")
+    components(spark.read.parquet(f"{path}/links/0", f"{path}/links/1"), f"{path}/stars/1").write.parquet(f"{path}/joined")
+    for done in ("shared", "members", "sets", "left", "links", "stars"):  # only signed, nodes and joined are read from here on
+        remove_dir(spark, f"{path}/{done}")
     joined = spark.read.parquet(f"{path}/joined")
 
     comps = nodes.join(joined, F.col("row") == F.col("node"), "left").select(*prints, F.coalesce("component", "row").alias("comp"))
