@@ -127,5 +127,10 @@ def quality_scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, mod: int = 3, held_out: int = 1, most: int = SAMPLE) -> DataFrame:
-    """Fit on labels outside the held-out remainder, then score every row of ``docs``."""
+    """Fit on labels outside the held-out remainder, then score every row of ``docs``.
+
+    Null and empty texts have no features and get the intercept's score; repeated rows and
+    null ids are scored each; without labels the model is the one before training; an empty
+    table gives no rows. Columns other than id and text are not read.
+    """
     return quality_scores(docs, fit(labelled_sample(docs, labels, "quality", mod, held_out, most)))

@@ -71,7 +71,9 @@ def packed(spark, sf_dir):
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    """Tokenise, close each document with id 1, pack; one row per piece."""
+    """Tokenise, close each document with id 1, pack; one row per piece. A null or empty text is
+    its end id; repeated rows are packed each; an empty table gives none. ``docs`` must come
+    straight from files."""
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     ids = tokens.encode(exact.with_rows(docs), vocabulary, end_id=1, keep=("doc_id", "row_id"))
     with open(vocabulary, encoding="utf-8") as f:

@@ -175,7 +175,8 @@ def learn_lexicon(sample: DataFrame) -> dict[str, tuple[str, float]]:
 
     A word's weight is its precision, smoothed towards 0.8 for listed insults. Other words
     come in with enough support and precision. Copies don't count as support: texts with
-    the same words in the same order are counted once, as toxic if one of them is.
+    the same words in the same order are counted once, as toxic if one of them is. Null texts
+    have no words; an empty sample gives the base lexicon.
     """
     words = F.split(F.lower("text"), r"[^\p{L}\p{N}'’]+")
     docs = (sample.select("label", words.alias("words"))
@@ -266,7 +267,8 @@ def fitted(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int = 0,
 
 
 def without_toxic(docs: DataFrame, model: tuple[dict, np.ndarray], threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores below ``threshold``."""
+    """The rows of ``docs``, all columns, whose text scores below ``threshold``. Null and empty
+    texts match nothing; repeated rows and null ids are judged each."""
     lexicon, w = model
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
