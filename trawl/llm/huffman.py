@@ -20,6 +20,8 @@ from trawl.llm.arrays import binary_lists
 
 #: Longest code, tokens between checkpoints, and tokens from which a block is closed.
 LIMIT, STEP, BLOCK = 16, 128, 1 << 17
+#: Bytes of ids of a part of the files.
+PART_BYTES = 8 << 20
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -154,7 +156,8 @@ def write_files(encoded: DataFrame, path: str, dtype: str, order: tuple[str, ...
 
     ``path``/code holds the code lengths, ``path``/blocks one row per block: part, block,
     start (tokens before it in its part), doc_ids, lengths, payload, checkpoints. Parts
-    ascend with the order. Null ids come first; repeated ids follow row_id; rows without
+    ascend with the order and hold about PART_BYTES of ids, unless ``partitions`` says how many
+    they are. Null ids come first; repeated ids follow row_id; rows without
     tokens are kept. ``encoded`` is read twice: pass a written table.
     """
     spark = encoded.sparkSession
@@ -193,7 +196,7 @@ def write_files(encoded: DataFrame, path: str, dtype: str, order: tuple[str, ...
         if rows:
             yield close()
 
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or -(-(encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 1) // PART_BYTES)
     (encoded.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids")
      .mapInArrow(run, f"part long, block long, start long, doc_ids array<{kind}>, lengths array<long>, payload binary, checkpoints binary")
      .write.parquet(f"{path}/blocks"))
