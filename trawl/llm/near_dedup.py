@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from trawl.llm.arrays import binary_lists, mix, released, word_rows
 from trawl.llm.components import components
 from trawl.llm.exact_dedup import kept_rows, with_rows
+from trawl.llm.skew import join_sized
 from trawl.session import remove_dir, scratch_dir
 
 #: Words of a shingle, least similarity in hundredths, permutations, and permutations of a band.
@@ -194,8 +195,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         released(_signed), "row long, id long, n long, print1 long, print2 long, keys array<long>").write.parquet(f"{path}/signed")
     signed = spark.read.parquet(f"{path}/signed")
     prints = ["n", "print1", "print2"]
-    nodes = signed.where("n > 0").groupBy(*prints).agg(F.min_by(F.struct("row", "keys"), "row").alias("first"))
-    nodes.select(*prints, "first.row", "first.keys").write.parquet(f"{path}/nodes")
+    nodes = signed.where("n > 0").groupBy(*prints).agg(F.min_by(F.struct("row", "keys"), "row").alias("first"), F.count(F.lit(1)).alias("copies"))
+    nodes.select(*prints, "copies", "first.row", "first.keys").write.parquet(f"{path}/nodes")
     nodes = spark.read.parquet(f"{path}/nodes")
 
     keyed = nodes.select("row", "n", F.explode("keys").alias("key"))
@@ -223,10 +224,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         remove_dir(spark, f"{path}/{done}")
     joined = spark.read.parquet(f"{path}/joined")
 
-    comps = nodes.join(joined, F.col("row") == F.col("node"), "left").select(*prints, F.coalesce("component", "row").alias("comp"))
-    labelled = signed.join(comps, prints, "left").select("row", "id", "n", F.coalesce("comp", "row").alias("comp"))
-    best = labelled.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
-    return labelled.join(best, "comp").select(
+    nodes.join(joined, F.col("row") == F.col("node"), "left").select(*prints, "copies", F.coalesce("component", "row").alias("comp")).write.parquet(f"{path}/comps")
+    labelled = join_sized(signed.where("n > 0").drop("keys"), spark.read.parquet(f"{path}/comps"), prints, "copies").select("row", "id", "n", "comp")
+    labelled.unionByName(signed.where("n = 0").select("row", "id", "n", F.col("row").alias("comp"))).write.parquet(f"{path}/labelled")
+    labelled = spark.read.parquet(f"{path}/labelled")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
+    labelled.groupBy("comp").agg(best, F.count(F.lit(1)).alias("size")).write.parquet(f"{path}/best")
+    return join_sized(labelled, spark.read.parquet(f"{path}/best"), ["comp"], "size").select(
         F.col("row").alias("row_id"), F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.col("best.id").alias("component_id"), (F.col("row") == F.col("best.row")).alias("kept"))
 
