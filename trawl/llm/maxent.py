@@ -35,15 +35,17 @@ from trawl.session import remove_dir, scratch_dir
 BLOCK_BYTES, CLASSES, SINGLES = 12 << 20, 16, 15
 #: The part of unseen words; marks a word that was seen once, which stands for unseen ones in training.
 UNKNOWN, ONCE = SINGLES, 1 << 15
-#: Rounds of training; gradient step; smoothing.
-ROUNDS, STEP, SHRINK, ADD = 3, 1.0, 20.0, 0.1
+#: Rounds of training; gradient step, which the features share; smoothing.
+ROUNDS, STEP, SHRINK, ADD = 2, 0.5, 20.0, 0.1
 #: Least bits of the features' hash buckets and of the parts of a class; training tokens above
 #: which buckets grow (as their root) and parts (as the root of that); the most bits of both,
 #: which bound the broadcast weights (3 * 2^18 rows of 16 + 64 numbers: 252 MB).
 BITS, PART_BITS, GROW = 16, 4, 1e8
 MOST_BITS, MOST_PART_BITS = 18, 6
-#: About so many distinct words of all blocks are counted in one group; tokens of a step.
-PART_WORDS, LOT = 1 << 20, 1 << 17
+#: About so many distinct words of all blocks are counted in one group; tokens of a sum.
+PART_WORDS, LOT = 1 << 20, 1 << 19
+#: Tokens whose weights stay in a core's cache.
+PIECE = 1 << 13
 #: Pieces that a level's gradients are summed in; log of the weight of parts without words.
 SLICES, NEVER = 32, -100.0
 END = 0x7F4A7C159E3779B9  # the end token's hash
@@ -245,15 +247,16 @@ def _by_kind(parts: int):
     return run
 
 
-def _logits(model: Model, level: int, rows: list[np.ndarray], kind: np.ndarray) -> np.ndarray:
-    """log P of all classes (level 0), or of all parts of the token's class (level 1)."""
+def _scores(model: Model, level: int, rows: list[np.ndarray], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the weights of all classes (level 0), or of all parts of the token's class (level
+    1), and their sums."""
     w, step = model.weights[level], 1 << model.bits
-    z = w[rows[0]]
+    z = w[:step].take(rows[0], axis=0)
     for k in (1, 2):
-        z += w[k * step:(k + 1) * step][rows[k]]
-    z += model.bias[0] if level == 0 else model.bias[1][kind // model.parts]
-    z -= np.log(np.exp(z).sum(1, keepdims=True))  # weights are at most 3 a round: no overflow
-    return z
+        z += w[k * step:(k + 1) * step].take(rows[k], axis=0)
+    z += model.bias[0] if level == 0 else model.bias[1].take(kind // model.parts, axis=0)
+    np.exp(z, out=z)  # weights are at most 3 a round: no overflow
+    return z, z @ np.ones(z.shape[1], np.float32)
 
 
 def _joined(shared, parts: int):
@@ -297,40 +300,61 @@ def _gradients(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         step = 1 << model.bits
-        grads = [np.zeros((3 * step, w.shape[1] + 1), np.float32) for w in model.weights]  # last column: how often
+        grads = [np.zeros((w.shape[1] + 1, 3 * step), np.float32) for w in model.weights]  # a row a class; last: how often
+
+        def learn(code, coded, ptr):
+            kind = np.where(coded >= ONCE, UNKNOWN, coded).astype(np.int64)
+            both = _features(model, code, ptr, kind)
+            for level, target in enumerate((kind // model.parts, kind % model.parts)):
+                grad, n = grads[level], model.weights[level].shape[1]
+                p = np.empty((n, len(kind)), np.float32)
+                for lo in range(0, len(kind), PIECE):
+                    z, total = _scores(model, level, [f[lo:lo + PIECE] for f in both[level]], kind[lo:lo + PIECE])
+                    z /= total[:, None]
+                    p[:, lo:lo + PIECE] = z.T
+                for k, row in enumerate(both[level]):
+                    own = grad[:, k * step:(k + 1) * step]
+                    row = row.astype(np.int64)
+                    own[-1] += np.bincount(row, minlength=step)
+                    own[:-1] += np.bincount(row * n + target, minlength=n * step).reshape(step, n).T
+                    for c in range(n):
+                        own[c] -= np.bincount(row, p[c], step)
+
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            for _, _, code, coded, ptr in _tokens(batch, LOT):
-                kind = np.where(coded >= ONCE, UNKNOWN, coded).astype(np.int64)
-                both = _features(model, code, ptr, kind)
-                targets = kind // model.parts, kind % model.parts
-                for level, rows in enumerate(both):
-                    g = np.exp(_logits(model, level, rows, kind))
-                    np.negative(g, out=g)
-                    g[np.arange(len(g)), targets[level]] += 1.0
-                    for k, row in enumerate(rows):
-                        order = np.argsort(row, kind="stable")
-                        row = row[order]
-                        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                        at = k * step + row[first].astype(np.int64)
-                        grads[level][at, :-1] += np.add.reduceat(g[order], first, axis=0)
-                        grads[level][at, -1] += np.diff(np.append(first, len(row)))
+            held.append(batch)
+            size += sum(batch.column(k).nbytes for k in (0, 1))
+            if size >= 6 * LOT:
+                for _, _, code, coded, ptr in _tokens(_one(held), LOT):
+                    learn(code, coded, ptr)
+                held, size = [], 0
+        if held:
+            for _, _, code, coded, ptr in _tokens(_one(held), LOT):
+                learn(code, coded, ptr)
         for level, grad in enumerate(grads):
-            for k, part in enumerate(np.array_split(grad, SLICES)):
+            for k, part in enumerate(np.array_split(np.ascontiguousarray(grad.T), SLICES)):
                 yield pa.RecordBatch.from_arrays([pa.array([level * SLICES + k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "grad"])
 
     return run
 
 
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def _added(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table.column("grad").to_pylist())
     return pa.table({"slice": table.column("slice")[:1], "grad": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def _stepped(model: Model, level: int, grad: np.ndarray) -> None:
-    """One update of a level's weights: mean gradients over a diagonal curvature."""
-    prior = np.exp(model.bias[0]) if level == 0 else np.full(model.parts, 1.0 / model.parts)
-    mean = STEP * grad[:, :-1] / (grad[:, -1:] + SHRINK)
-    model.weights[level] += np.clip(mean / (prior * (1 - prior) + 0.02) / 3, -3, 3).astype(np.float32)
+def _stepped(model: Model, level: int, k: int, grad: np.ndarray) -> None:
+    """One update of a slice of a level's weights: mean gradients over a diagonal curvature."""
+    grad = grad.reshape(-1, model.weights[level].shape[1] + 1)
+    prior = (np.exp(model.bias[0]) if level == 0 else np.full(model.parts, 1.0 / model.parts)).astype(np.float32)
+    mean = np.float32(STEP) * grad[:, :-1] / (grad[:, -1:] + np.float32(SHRINK))
+    own = np.array_split(model.weights[level], SLICES)[k]  # a view
+    own += np.clip(mean / (prior * (1 - prior) + np.float32(0.02)), -3, 3)
 
 
 def _scored(shared):
@@ -344,7 +368,10 @@ def _scored(shared):
                 both = _features(model, code, ptr, kind)
                 logs = np.zeros(len(kind), np.float64)
                 for level, target in enumerate((kind // model.parts, kind % model.parts)):
-                    logs += _logits(model, level, both[level], kind)[np.arange(len(kind)), target]
+                    for at in range(0, len(kind), PIECE):
+                        z, total = _scores(model, level, [f[at:at + PIECE] for f in both[level]], kind[at:at + PIECE])
+                        own = z[np.arange(len(z)), target[at:at + PIECE]]
+                        logs[at:at + PIECE] += np.log(np.maximum(own, np.float32(1e-38)) / total)
                 out[lo:hi] += row_sums(logs, ptr) / math.log(10)
             kept = [batch.column(batch.schema.get_field_index(c)) for c in ("id", "held_out", "n_tokens", "n_known", "base")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(out)], names=["id", "held_out", "n_tokens", "n_known", "base", "score"])
@@ -411,10 +438,9 @@ def _trained(docs: DataFrame, id_col: str, text_col: str, mod: int, held_out: in
         slices = (coded.where(~F.col("held_out")).select("codes", "kinds")
                   .coalesce(spark.sparkContext.defaultParallelism).mapInArrow(released(_gradients(shared)), "slice int, grad binary").withColumn("lot", F.spark_partition_id() % 16))
         slices = slices.groupBy("slice", "lot").applyInArrow(_added, "slice int, grad binary")
-        sums = slices.groupBy("slice").applyInArrow(_added, "slice int, grad binary").orderBy("slice").collect()  # the size of the weights
-        for level in (0, 1) if sums else ():
-            grad = np.concatenate([np.frombuffer(r.grad, np.float32) for r in sums[level * SLICES:(level + 1) * SLICES]])
-            _stepped(model, level, grad.reshape(len(model.weights[level]), -1))
+        for r in slices.groupBy("slice").applyInArrow(_added, "slice int, grad binary").toLocalIterator():  # the size of the weights, in pieces
+            level, k = divmod(r["slice"], SLICES)
+            _stepped(model, level, k, np.frombuffer(r["grad"], np.float32))
         shared.unpersist()
         shared = spark.sparkContext.broadcast(model)
 
