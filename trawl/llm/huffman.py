@@ -196,7 +196,8 @@ def write_files(encoded: DataFrame, path: str, dtype: str, order: tuple[str, ...
         if rows:
             yield close()
 
-    n = partitions or -(-(encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 1) // PART_BYTES)
+    size = F.col("n_tokens") * np.dtype(dtype).itemsize if "n_tokens" in encoded.columns else F.octet_length("ids")
+    n = partitions or -(-(encoded.agg(F.sum(size)).first()[0] or 1) // PART_BYTES)
     (encoded.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids")
      .mapInArrow(run, f"part long, block long, start long, doc_ids array<{kind}>, lengths array<long>, payload binary, checkpoints binary")
      .write.parquet(f"{path}/blocks"))
