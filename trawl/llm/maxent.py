@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.arrays import binary_lists, chunks, hashed_words, mix, released, row_sums, text_buffer
+from trawl.llm.arrays import binary_lists, chunks, hashed_words, mix, released, row_sums, text_buffer, trim
 from trawl.llm.exact_dedup import with_rows
 from trawl.llm.labelled import id_remainder
 from trawl.session import remove_dir, scratch_dir
@@ -43,7 +43,7 @@ ROUNDS, STEP, SHRINK, ADD = 2, 0.5, 20.0, 0.1
 BITS, PART_BITS, GROW = 16, 4, 1e8
 MOST_BITS, MOST_PART_BITS = 18, 6
 #: About so many distinct words of all blocks are counted in one group; tokens of a sum.
-PART_WORDS, LOT = 1 << 20, 1 << 19
+PART_WORDS, LOT = 1 << 20, 1 << 18
 #: Tokens whose weights stay in a core's cache.
 PIECE = 1 << 13
 #: Pieces that a level's gradients are summed in; log of the weight of parts without words.
@@ -263,6 +263,7 @@ def _joined(shared, parts: int):
     """Rows of a block with its tokens' counts: per row the base sums, the sum of the words'
     weights within their parts, and coded tokens."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()  # of the block before
         model: Model = shared.value
         at = [np.frombuffer(x, np.uint32) for x in left.column("at").to_pylist()]
         ptr = np.cumsum([0, *map(len, at)])
