@@ -352,6 +352,30 @@ def test_bm25_skips_blocks_that_cannot_gain():
     assert every == 50 * 60 and read < every / 2
 
 
+def test_bm25_looks_low_terms_up_and_keeps_scores_exact():
+    rng = np.random.default_rng(2)
+    best, plain, read, every = bm25._Best(4, 5), [], 0, 0
+    q, term = np.repeat(np.arange(4), 6), np.tile(np.arange(6), 4)
+    w = np.tile([0.02, 0.03, 0.05, 0.1, 1.0, 3.0], 4) * (1 + np.arange(24) / 100)
+    for b in range(30):
+        hold = rng.random((40, 6)) < [0.95, 0.9, 0.9, 0.8, 0.2, 0.05]  # heavy terms are rare
+        row, t = np.nonzero(hold)
+        impact = rng.random(len(row)) + 0.5
+        r, e = bm25._meet(bm25._Block(np.arange(40) + 40 * b, row, t, impact), term, q, w, best)
+        read, every = read + r, every + e
+        score = np.zeros((4, 40))
+        dense = np.zeros((40, 6))
+        dense[row, t] = impact
+        score = w.reshape(4, 6) @ dense.T
+        plain += [(a, 40 * b + d, score[a, d]) for a in range(4) for d in range(40) if score[a, d] > 0]
+    got = sorted(zip(*(x.tolist() for x in best.kept())))
+    for a in range(4):
+        want = sorted((x for x in plain if x[0] == a), key=lambda x: -x[2])[:5]
+        mine = sorted((x for x in got if x[0] == a), key=lambda x: -x[2])[:5]
+        assert [x[1] for x in mine] == [x[1] for x in want] and np.allclose([x[2] for x in mine], [x[2] for x in want])
+    assert read < every / 2
+
+
 def test_bm25_of_nothing(spark):
     some, none = spark.createDataFrame([(1, "a b")], TEXT), spark.createDataFrame([], TEXT)
     assert lexical.bm25_first_stage(some, none).count() == 0

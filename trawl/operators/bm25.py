@@ -3,7 +3,9 @@
 The collection is tokenised once and kept as one short row a document: the ids and counts of
 its query terms. Scoring goes through blocks of documents. A block knows the largest impact of
 each of its terms; a query whose impacts there cannot reach its k-th score so far skips the
-block, which is exact. Only a task's k best of a query leave it.
+block, and of the others the terms that cannot reach it together are only looked up for
+documents that hold another term and could still reach it. Both are exact. Only a task's k
+best of a query leave it.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from trawl.session import scratch_dir
 #: (query, term) pairs that one pass over the collection serves; their terms are broadcast.
 PAIRS = 4_000_000
 #: Documents of a block and queries of a chunk.
-BLOCK, CHUNK = 1024, 256
+BLOCK, CHUNK = 256, 256
+#: Share of a query's threshold that its low terms may reach together.
+LOW = 0.5
 _SLACK = 2e-6
 
 
@@ -84,15 +88,15 @@ class _Best:
     def __init__(self, n: int, k: int):
         self.k, self.least = k, np.full(n, -np.inf)
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size, self.limit = 0, 2 * k * n
+        self.size = self.limit = 0
 
     def add(self, q: np.ndarray, docid: np.ndarray, score: np.ndarray) -> None:
         self.parts.append((q, docid, score))
         self.size += len(q)
-        if self.size > self.limit:
+        if self.size > self.limit:  # thresholds rise whenever the scores have grown by a quarter
             self.parts = [self.kept()]
             self.size = len(self.parts[0][0])
-            self.limit = 2 * max(self.size, self.limit // 2)
+            self.limit = self.size * 5 // 4
 
     def kept(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The k best of each query and what may tie with the last of them after rounding."""
@@ -109,30 +113,67 @@ class _Best:
         return q[stay], docid[stay], score[stay]
 
 
+def _low(q: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which (query, term) pairs cannot lift a document to the query's threshold, not even all
+    together: the least reaching terms of each query."""
+    order = np.lexsort((most, q))
+    total = np.cumsum(most[order])
+    first = np.searchsorted(q[order], q[order])
+    low = np.empty(len(q), dtype=bool)
+    low[order] = total - total[first] + most[order][first] < LOW * least[q[order]] - _SLACK
+    return low
+
+
 def _meet(block: _Block, term: np.ndarray, q: np.ndarray, w: np.ndarray, best: _Best) -> tuple[int, int]:
     """Score a block for the queries (q, term, w) of a chunk that may gain from it; returns the
-    postings read and those there were."""
+    postings read and those there were.
+
+    A document must hold a term that is not low to reach the threshold, so only postings of
+    such terms are gone through; the low terms are looked up for the documents that, with all
+    of them, could reach it.
+    """
     if not len(block.terms) or not len(term):
         return 0, 0
     at = np.minimum(np.searchsorted(block.terms, term), len(block.terms) - 1)
     hit = np.flatnonzero(block.terms[at] == term)
     at, q, w = at[hit], q[hit], w[hit]
-    n = len(best.least)
+    n, docs = len(best.least), len(block.docids)
     size = block.ptr[at + 1] - block.ptr[at]
     every = int(size.sum())
-    reach = np.bincount(q, w * block.most[at], n)
-    live = (reach >= best.least - _SLACK)[q]
-    at, q, w, size = at[live], q[live], w[live], size[live]
-    read = int(size.sum())
-    if read:
-        pair = np.repeat(np.arange(len(at)), size)
-        posting = np.arange(read) - np.repeat(np.cumsum(size) - size, size) + block.ptr[at][pair]
-        docs = len(block.docids)
-        score = np.bincount(q[pair] * docs + block.row[posting], w[pair] * block.impact[posting], n * docs)
-        cell = np.flatnonzero(score)
-        asked, doc, found = cell // docs, cell % docs, score[cell]
-        stay = found >= best.least[asked] - _SLACK
-        best.add(asked[stay], block.docids[doc[stay]], found[stay])
+    most = w * block.most[at]
+    live = (np.bincount(q, most, n) >= best.least - _SLACK)[q]
+    at, q, w, size, most = at[live], q[live], w[live], size[live], most[live]
+    low = _low(q, most, best.least)
+    rest = np.bincount(q[low], most[low], n)
+    read = int(size[~low].sum())
+    if not read:
+        return 0, every
+
+    def postings(places, sizes):
+        """For each of the sizes' postings, which place it is of, and its own place."""
+        pair = np.repeat(np.arange(len(places)), sizes)
+        return pair, np.arange(len(pair)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + block.ptr[places][pair]
+
+    pair, posting = postings(at[~low], size[~low])
+    score = np.bincount(q[~low][pair] * docs + block.row[posting], w[~low][pair] * block.impact[posting], n * docs)
+    cell = np.flatnonzero(score)
+    asked, doc, found = cell // docs, cell % docs, score[cell]
+    stay = found + rest[asked] >= best.least[asked] - _SLACK
+    asked, doc, found = asked[stay], doc[stay], found[stay]
+    if low.any() and len(asked):
+        order = np.argsort(q[low], kind="stable")
+        lq, lw, lat = q[low][order], w[low][order], at[low][order]
+        used, place = np.unique(lat, return_inverse=True)
+        impact = np.zeros((len(used), docs))
+        pair, posting = postings(used, block.ptr[used + 1] - block.ptr[used])
+        impact[pair, block.row[posting]] = block.impact[posting]
+        first, count = np.searchsorted(lq, asked), np.searchsorted(lq, asked, "right") - np.searchsorted(lq, asked)
+        of = np.repeat(np.arange(len(asked)), count)
+        at_low = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + first[of]
+        found = found + np.bincount(of, lw[at_low] * impact[place[at_low], doc[of]], len(asked))
+        read += len(posting) + len(of)
+    stay = found >= best.least[asked] - _SLACK
+    best.add(asked[stay], block.docids[doc[stay]], found[stay])
     return read, every
 
 
