@@ -434,14 +434,17 @@ def _trained(docs: DataFrame, id_col: str, text_col: str, mod: int, held_out: in
     remove_dir(spark, f"{path}/blocks")  # only `coded` is read from here on
     remove_dir(spark, f"{path}/counts")
 
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         # one sum of gradients per core, however many files there are
         slices = (coded.where(~F.col("held_out")).select("codes", "kinds")
                   .coalesce(spark.sparkContext.defaultParallelism).mapInArrow(released(_gradients(shared)), "slice int, grad binary").withColumn("lot", F.spark_partition_id() % 16))
         slices = slices.groupBy("slice", "lot").applyInArrow(_added, "slice int, grad binary")
-        for r in slices.groupBy("slice").applyInArrow(_added, "slice int, grad binary").toLocalIterator():  # the size of the weights, in pieces
+        # written, so that shuffle files go; then read in pieces, together the size of the weights
+        slices.groupBy("slice").applyInArrow(_added, "slice int, grad binary").write.parquet(f"{path}/round-{turn}")
+        for r in spark.read.parquet(f"{path}/round-{turn}").toLocalIterator():
             level, k = divmod(r["slice"], SLICES)
             _stepped(model, level, k, np.frombuffer(r["grad"], np.float32))
+        remove_dir(spark, f"{path}/round-{turn}")
         shared.unpersist()
         shared = spark.sparkContext.broadcast(model)
 
