@@ -34,7 +34,7 @@ _QUERY_CHUNK = 512
 _MIN_QUERY_BLOCK = 64
 _ROUND = 9
 #: The probed cells of a query hold at least this many times k passages.
-PROBE_ROWS = 16
+PROBE_ROWS = 32
 #: Pairs of blocks up to which the exact join scores all of them without building bounds.
 FEW_PAIRS = 64
 
