@@ -7,10 +7,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from trawl.operators import bm25, isotonic, knn, knn_bounds, knn_tree, lexical, resample, selection
+from trawl.operators import bm25, isotonic, knn, knn_bounds, knn_tree, lexical, resample, selection, vector_stream
+from trawl.operators import metrics as M
 from trawl.operators import mining as MN
 from trawl.operators import quality as Q
 from trawl.operators import ranking as R
@@ -445,3 +448,73 @@ def test_tree_search_on_the_given_vectors_keeps_recall_in_few_cells(spark, sf001
     tree = knn_tree.Tree(p, nlist, n)
     probed = tree.probes(q, nprobe, 2 * n // 5 + 1).groupBy("qid").count()
     assert probed.agg(F.max("count")).first()[0] < tree.cells / 2
+
+
+def test_bounded_search_returns_no_more_than_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(knn_bounds, "LEAST_QUERIES", 20)
+    monkeypatch.setattr(vector_stream, "CHUNK", 16)
+    x = clustered(6, 600, 16, 20)
+    q, p = vectors(spark, x, "q"), vectors(spark, x, "d")
+    found, final = knn_bounds.BoundedSearch(q, p, 25, True, block_rows=16).ranked()
+    assert final and found.count() == 600 * 25
+    want = {tuple(r) for r in knn.knn_join_exact(q, p, 25, exclude_self=True, prune=False).collect()}
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_bounded_search_of_repeated_ids_and_long_vectors(spark, monkeypatch):
+    monkeypatch.setattr(knn_bounds, "LEAST_QUERIES", 5)
+    x = np.concatenate([clustered(7, 120, 8, 4), (30 * clustered(8, 20, 8, 4)), np.zeros((2, 8), np.float32)])
+    q, p = vectors(spark, x[:140], "q"), vectors(spark, x, "d")
+    q, p = q.unionByName(q.limit(30)), p.unionByName(p.where("docid < 10"))
+    for k in (1, 9, 500):
+        a, b = ({(r.qid, r.docid, r.rank) for r in knn.knn_join_exact(q, p, k, exclude_self=True, prune=x).collect()} for x in (False, True))
+        assert a == b
+
+
+def test_running_holds_few_scores_and_breaks_ties_by_id(monkeypatch):
+    monkeypatch.setattr(vector_stream, "CHUNK", 8)
+    rng = np.random.default_rng(9)
+    p = rng.integers(-2, 3, size=(500, 4)).astype(float)  # many equal scores
+    q = rng.integers(-2, 3, size=(30, 4)).astype(float)
+    best = vector_stream.Running(np.arange(30), q, 5, False)
+    ids = rng.permutation(500)
+    for lo in range(0, 500, 50):
+        best.meet(ids[lo:lo + 50], p[ids[lo:lo + 50]], np.arange(30))
+    assert best.score.shape == (30, 13)
+    out = pa.Table.from_batches(best.rows())
+    for i in range(30):
+        s = p @ q[i]
+        want = sorted(range(500), key=lambda d: (-s[d], d))[:5]
+        mine = out.filter(pc.equal(out["qid"], i))
+        assert mine["docid"].to_pylist() == want and mine["rank"].to_pylist() == [1, 2, 3, 4, 5]
+
+
+def test_labels_and_metrics_do_not_move_the_run(spark, tmp_path):
+    rows = [(q, d, d % 7 + 1) for q in range(40) for d in range(q % 5, 60)]
+    rows = [(q, d, sum(1 for x in rows if x[0] == q and x[1] < d) + 1) for q, d, _ in rows]
+    spark.createDataFrame(rows, "qid long, docid long, rank long").write.parquet(str(tmp_path / "run"))
+    spark.createDataFrame([(i, i % 3) for i in range(60)], "id long, cls int").write.parquet(str(tmp_path / "cls"))
+    run, cls = spark.read.parquet(str(tmp_path / "run")), spark.read.parquet(str(tmp_path / "cls"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lab = M.label_pairs_by_class(run, cls.withColumnRenamed("id", "qid"), cls.withColumnRenamed("id", "docid"))
+        assert "SortMergeJoin" not in plan(lab)
+        ideal = M.ideal_from_classes(cls.withColumnRenamed("id", "qid"), cls.withColumnRenamed("id", "docid"))
+        per = M.per_query_metrics(lab, ideal)
+        assert "Window" not in plan(per) and "Window" not in plan(M.average_precision(lab, ideal))
+        single = {r.qid: r.map for r in M.average_precision(lab, ideal).collect()}
+        for r in per.collect():
+            ranks = sorted(k for q, d, k in rows if q == r.qid and d % 3 == r.qid % 3)
+            assert r.map == single[r.qid] == pytest.approx(round(sum((i + 1) / k for i, k in enumerate(ranks)) / 19, 6), abs=2e-6)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_runs_read_more_than_once_are_written(spark, sf0001):
+    from trawl.plans import q_mining as QM
+
+    cands, pos, _ = QM.v_inputs(spark, sf0001)
+    a, b = QM.two_systems(spark, sf0001)
+    for df in (cands, pos, a, b):
+        assert "MapInArrow" not in plan(df) and "FlatMapGroups" not in plan(df) and "MapInPandas" not in plan(df)

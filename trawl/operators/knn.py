@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 
 from trawl.operators.knn_bounds import BoundedSearch
 from trawl.operators.knn_tree import Tree
-from trawl.operators.vector_stream import stream_topk
-from trawl.session import scratch_dir
 
 _SCORED_SCHEMA = "qid long, docid long, score double"
 # rows scored per BLAS call inside a task: 512 x block passages x 8 bytes
@@ -36,7 +34,7 @@ _ROUND = 9
 #: The probed cells of a query hold at least this many times k passages.
 PROBE_ROWS = 32
 #: Pairs of blocks up to which the exact join scores all of them without building bounds.
-FEW_PAIRS = 64
+FEW_PAIRS = 16
 
 
 def _local_topk(k: int, exclude_self: bool):
@@ -153,9 +151,9 @@ def knn_join_exact(queries: DataFrame, passages: DataFrame, k: int, *, exclude_s
                    max_query_rows: int = 2048, max_passage_rows: int = 32768, prune: bool | None = None) -> DataFrame:
     """Exact inner-product top-k per query (flat index semantics).
 
-    Beyond FEW_PAIRS pairs of a query block and a passage block, or with ``prune``, blocks
-    are built of close vectors and skipped by their bounds (``knn_bounds``); passages are then
-    copied once per 131,072 queries, not once per query block. Both ways give the same rows.
+    Beyond FEW_PAIRS pairs of a query block and a passage block, or with ``prune``, passages
+    lie in cells of close vectors that are skipped by their bounds (``knn_bounds``); a task holds
+    the k best of its queries, so only the result's rows leave it. Both ways give the same rows.
     """
     counts = None
     if prune is None:
@@ -167,14 +165,11 @@ def knn_join_exact(queries: DataFrame, passages: DataFrame, k: int, *, exclude_s
     if k <= 0:
         raise ValueError("k must be positive")
     spark = queries.sparkSession
-    search = BoundedSearch(queries, passages, k, exclude_self)
+    search = BoundedSearch(queries, passages, k, exclude_self, n_queries=counts and counts[0], n_passages=counts and counts[1])
     if search.empty:
         return spark.createDataFrame([], "qid long, docid long, score double, rank long")
-    path = scratch_dir(spark, "homes")
-    rank_topk(search.first(), k).drop("rank").write.parquet(path)
-    found = spark.read.parquet(path)
-    more = stream_topk(search.survivors(found), search.blocks, k, exclude_self)
-    return rank_topk(found.unionByName(more), k)
+    found, final = search.ranked()
+    return found if final else rank_topk(found.drop("rank"), k)
 
 
 def ivf_params(n: int) -> tuple[int, int]:

@@ -1,10 +1,10 @@
 """Exact nearest neighbours that skip blocks by their bounds.
 
 Passages lie in cells of close vectors, each with a centre and a radius. No passage of a cell
-can score more than q.centre + |q| * radius. A query first meets its best cells until they
-hold k passages; the k-th score found there is a threshold, and only cells whose bound
-reaches it are met afterwards. Centres come from a bounded sample, which the result does not
-depend on.
+can score more than q.centre + |q| * radius. Queries of close cells share a task, which holds
+the k best of each so far; passages come cell by cell, those of the queries' own cells first, and
+a query meets only cells whose bound reaches its k-th score. Centres come from a bounded sample,
+which the result does not depend on.
 """
 
 from __future__ import annotations
@@ -13,19 +13,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.operators.vector_stream import ROUND, blocks_of, kmeans, matrix, sampled, stream_topk
+from trawl.operators.vector_stream import CHUNK, ROUND, blocks_of, kmeans, matrix, ranked, sampled, stream_topk
 from trawl.session import scratch_dir
 
 #: Rows that centres are fitted on, and most cells; their centres are broadcast.
 SAMPLE, MOST_CELLS = 16_384, 1024
 #: Rows of a block, and queries that one copy of a block serves.
 BLOCK_ROWS, QUERY_ROWS = 8192, 131_072
+#: Bytes of the scores and ids that a task holds, and its queries at most and at least.
+STATE, MOST_QUERIES, LEAST_QUERIES = 200_000_000, 16_384, 256
 _SLACK = 10.0 ** -(ROUND - 1)
 
 
+def query_blocks(n: int, k: int, tasks: int) -> int:
+    """Into how many blocks ``n`` queries are dealt: each holds its state in memory, and there
+    is one for each of the ``tasks`` that run at once where queries suffice."""
+    rows = min(MOST_QUERIES, max(1, STATE // (16 * (k + CHUNK))))
+    least = max(1, -(-n // rows))
+    return max(least, min(-(-least // tasks) * tasks, n // LEAST_QUERIES))
+
+
+def numbered(queries: DataFrame) -> tuple[DataFrame, bool]:
+    """``qid, qvec, copy`` and whether every qid comes once; copies of a qid are numbered, so
+    that many are dealt over many blocks."""
+    if queries.groupBy("qid").count().where("count > 1").isEmpty():
+        return queries.select("qid", "qvec", F.lit(0).alias("copy")), True
+    return queries.select("qid", "qvec", F.row_number().over(Window.partitionBy("qid").orderBy(F.xxhash64("qvec"))).alias("copy")), False
+
+
+def _reached(shared):
+    """Which queries may gain from a cell, by its bound."""
+
+    def meets(cell: int, q: np.ndarray, least: np.ndarray) -> np.ndarray:
+        centres, radius, _ = shared.value
+        with np.errstate(over="ignore", invalid="ignore"):  # a bound that is no number skips nothing
+            return ~(q @ centres[cell] + np.sqrt((q * q).sum(1)) * radius[cell] * (1 + 1e-12) < least - _SLACK)
+
+    return meets
+
+
 def _cells(centres: np.ndarray):
     """(docid, dvec) to (docid, dvec, cell, far): the nearest centre and the distance to it."""
     half = (centres * centres).sum(1) / 2
@@ -92,6 +121,7 @@ class BoundedSearch:
         self.queries, self.k, self.exclude_self = queries.select("qid", "qvec"), k, exclude_self
         n = passages.count() if n_passages is None else n_passages
         nq = queries.count() if n_queries is None else n_queries
+        self.n, self.nq = n, nq
         self.empty = n == 0 or nq == 0
         if self.empty:
             return
@@ -101,7 +131,7 @@ class BoundedSearch:
         centres = kmeans(matrix(sample.column(0)), min(MOST_CELLS, blocks_of(n, block_rows) * 4), seed)
         path = scratch_dir(spark, "blocks")
         passages.select("docid", "dvec").mapInArrow(_cells(centres), "docid long, dvec array<float>, cell int, far double").write.parquet(path)
-        placed = spark.read.parquet(path)
+        self.placed = placed = spark.read.parquet(path)
         radius, rows = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
         for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():  # a row a cell
             radius[r["cell"]], rows[r["cell"]] = r["far"], r["n"]
@@ -117,6 +147,31 @@ class BoundedSearch:
         self.blocks = placed.join(F.broadcast(cells), "cell").select(block.alias("block"), "docid", "dvec", salt).select(
             (F.col("block") * self.salts + F.col("salt")).cast("long").alias("key"), "docid", "dvec")
 
+    def ranked(self) -> tuple[DataFrame, bool]:
+        """``qid, docid, score, rank`` of each query's k best, and whether ranks are final: of a
+        qid that comes more than once each copy has its own."""
+        spark = self.queries.sparkSession
+        k, (centres, _, rows) = min(self.k, self.n), self.shared.value
+        queries, once = numbered(self.queries)
+        path = scratch_dir(spark, "query-cells")
+        (queries.select(F.struct("qid", "copy").alias("docid"), F.col("qvec").alias("dvec"))
+         .mapInArrow(_cells(centres), "docid struct<qid:long,copy:int>, dvec array<float>, cell int, far double")
+         .select("docid.qid", "docid.copy", F.col("dvec").alias("qvec"), "cell").write.parquet(path))
+        placed = spark.read.parquet(path)
+        size = np.zeros(len(centres), np.int64)
+        for r in placed.groupBy("cell").count().collect():  # a row a cell
+            size[r["cell"]] = r["count"]
+        before = np.cumsum(size) - size
+        blocks = query_blocks(self.nq, k, spark.sparkContext.defaultParallelism)
+        cells = spark.createDataFrame(pa.table({"cell": np.arange(len(centres), dtype=np.int32), "before": before, "n": size}), "cell int, before long, n long")
+        at = F.col("before") + F.floor(F.pmod(F.xxhash64("qid", "copy"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n"))
+        mine = placed.join(F.broadcast(cells), "cell").select(F.floor(at * F.lit(blocks) / F.lit(self.nq)).cast("int").alias("key"), "qid", "qvec")
+        own = np.searchsorted(before, np.arange(blocks) * self.nq // blocks, "right") - 1  # the first cell of a block's queries
+        turns = spark.createDataFrame(pa.table({"key": np.arange(blocks, dtype=np.int32), "own": own.astype(np.int32)}), "key int, own int")
+        theirs = (self.placed.select("docid", "dvec", "cell", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("key"))
+                  .join(F.broadcast(turns), "key").select("key", F.pmod(F.col("cell") - F.col("own"), F.lit(len(centres))).alias("turn"), "cell", "docid", "dvec"))
+        return ranked(mine, theirs, blocks, k, self.exclude_self, _reached(self.shared)), once
+
     def _route(self, rows: DataFrame, bounded: bool) -> DataFrame:
         return rows.mapInArrow(_routed(self.shared, self.need, self.splits, self.salts, bounded), "key long, qid long, qvec array<float>")
 

@@ -18,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.operators.util import scalars
+from trawl.operators.util import broadcast_if_small, scalars
 
 _DIGITS = 6
+#: Classes (an id and a label each) that are joined to a run without moving its rows.
+CLASS_ROWS = 2_000_000
 METRIC_COLUMNS = ["map", "ndcg_at_10", "mrr_at_10", "recall_at_100", "recall_at_1000"]
 
 
@@ -38,9 +40,10 @@ def label_pairs(run: DataFrame, qrels: DataFrame) -> DataFrame:
 
 
 def label_pairs_by_class(run: DataFrame, query_classes: DataFrame, doc_classes: DataFrame) -> DataFrame:
-    """J7 for class judgments: relevant when query and document share a class."""
-    return (run.join(query_classes.select("qid", F.col("cls").alias("_qc")), "qid")
-            .join(doc_classes.select("docid", F.col("cls").alias("_dc")), "docid", "left")
+    """J7 for class judgments: relevant when query and document share a class. Classes of up to
+    CLASS_ROWS rows a side travel to the run, which is much longer."""
+    return (run.join(broadcast_if_small(query_classes.select("qid", F.col("cls").alias("_qc")), CLASS_ROWS), "qid")
+            .join(broadcast_if_small(doc_classes.select("docid", F.col("cls").alias("_dc")), CLASS_ROWS), "docid", "left")
             .withColumn("is_pos", F.coalesce(F.col("_qc") == F.col("_dc"), F.lit(False)))
             .withColumn("gain", F.col("is_pos").cast("double"))
             .drop("_qc", "_dc"))
@@ -81,16 +84,21 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.when(whole > 0, part / whole), F.lit(0.0))
 
 
+def _precisions(rel: Column) -> Column:
+    """Per query, the sum of precision at each relevant rank: the i-th relevant rank r adds i / r.
+    Relevant ranks are gathered before the shuffle, so the run itself is not moved or sorted by rank."""
+    ranks = F.sort_array(F.collect_list(F.when(rel, F.col("rank"))))
+    parts = F.transform(ranks, lambda rank, i: (i + F.lit(1)) / rank)
+    return F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)
+
+
 def per_query_metrics(ranked: DataFrame, ideal: DataFrame) -> DataFrame:
     """``qid, map, ndcg_at_10, mrr_at_10, recall_at_100, recall_at_1000``."""
-    w = (Window.partitionBy("qid").orderBy("rank")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rel = F.col("gain") > 0
-    x = ranked.withColumn("_cum", F.sum(rel.cast("int")).over(w))
-    per = x.groupBy("qid").agg(
+    per = ranked.groupBy("qid").agg(
         F.min(F.when(rel & (F.col("rank") <= 10), F.col("rank"))).alias("_first"),
         F.sum(F.when(F.col("rank") <= 10, F.col("gain") / _discount(F.col("rank")))).alias("_dcg"),
-        F.sum(F.when(rel, F.col("_cum") / F.col("rank"))).alias("_ap"),
+        _precisions(rel).alias("_ap"),
         F.count_if(rel & (F.col("rank") <= 100)).alias("_h100"),
         F.count_if(rel & (F.col("rank") <= 1000)).alias("_h1000"),
     )
@@ -166,11 +174,7 @@ def ndcg_at_k(ranked: DataFrame, ideal: DataFrame, k: int = 10) -> DataFrame:
 
 def average_precision(ranked: DataFrame, ideal: DataFrame) -> DataFrame:
     """E3 alone: ``qid, map`` — sum of precision at each relevant rank over the judged relevant count."""
-    w = (Window.partitionBy("qid").orderBy("rank")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rel = F.col("gain") > 0
-    x = ranked.withColumn("_cum", F.sum(rel.cast("int")).over(w))
-    per = x.groupBy("qid").agg(F.sum(F.when(rel, F.col("_cum") / F.col("rank"))).alias("_ap"))
+    per = ranked.groupBy("qid").agg(_precisions(F.col("gain") > 0).alias("_ap"))
     return per.join(ideal, "qid").select(
         "qid", F.round(_share(F.col("_ap"), F.col("num_rel")), _DIGITS).alias("map"))
 

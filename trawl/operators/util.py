@@ -21,6 +21,14 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared scratch folder and read back, for readers that would
+    each compute it again."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
 

@@ -3,6 +3,10 @@
 Passages and queries that share a block key meet in one sorted partition, passages first. A
 task holds one block of passages; the queries of that block go past it in Arrow batches, one
 matrix product a chunk. So passages are shuffled once, however many queries there are.
+
+``ranked`` turns this round: a task holds queries with their k best so far, and all passages go
+past them. Its rows are n x k, however many blocks there are, but passages are copied once a
+block of queries.
 """
 
 from __future__ import annotations
@@ -18,6 +22,9 @@ from pyspark.sql import functions as F
 #: Scores are ranked after rounding to this many decimals.
 ROUND = 9
 _CHUNK_SCORES = 1 << 24
+#: Passages that queries which hold their best meet at once, and scores of one such product.
+CHUNK, _MEET_SCORES = 512, 1 << 21
+_HITS = 1 << 14
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -81,6 +88,140 @@ def _streamed(k: int, exclude_self: bool):
     return run
 
 
+class Running:
+    """The k best passages so far of some queries, ties to smaller ids.
+
+    Products are taken in single precision first; only what may reach a query's k-th score,
+    rounding errors included, is scored in double precision.
+    """
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, exclude_self: bool):
+        self.ids, self.q, self.k, self.exclude_self = ids, q, k, exclude_self
+        self.q32, self.size = q.astype(np.float32), np.sqrt((q * q).sum(1))
+        self.least, self.held = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
+        self.score, self.docid = np.empty((len(ids), k + CHUNK)), np.empty((len(ids), k + CHUNK), np.int64)
+
+    def meet(self, dids: np.ndarray, p: np.ndarray, live: np.ndarray) -> None:
+        """The queries at ``live`` meet passages."""
+        rows = max(1, _MEET_SCORES // CHUNK)
+        for a in range(0, len(dids), CHUNK):
+            these, vectors = dids[a:a + CHUNK], p[a:a + CHUNK]
+            for b in range(0, len(live), rows):
+                self._meet(these, vectors, live[b:b + rows])
+
+    def _meet(self, dids: np.ndarray, p: np.ndarray, at: np.ndarray) -> None:
+        with np.errstate(over="ignore", invalid="ignore"):
+            error = (p.shape[1] + 8) * 2.0 ** -23 * self.size[at] * np.sqrt((p * p).sum(1)).max()
+            bound = self.least[at] - error - 10.0 ** -(ROUND - 1)
+            s = self.q32[at] @ p.astype(np.float32).T
+            hits = np.flatnonzero(~(s < bound[:, None].astype(np.float32)))  # also what is no number in single precision
+            r, c = np.divmod(hits, len(dids))
+            score = np.round(self._exact(p, at, r, c, hits), ROUND)
+        of, docid = at[r], dids[c]
+        stay = np.isfinite(score) & (score >= self.least[of])
+        if self.exclude_self:
+            stay &= self.ids[of] != docid
+        score, of, docid = score[stay], of[stay], docid[stay]
+        more = np.bincount(of, minlength=len(self.ids))
+        full = np.flatnonzero(self.held + more > self.k + CHUNK)
+        if len(full):
+            self._cut(full)
+        place = self.held[of] + np.arange(len(of)) - np.searchsorted(of, of)
+        self.score[of, place], self.docid[of, place] = score, docid
+        self.held += more
+        self._cut(at[(self.held[at] >= self.k) & (self.least[at] == -np.inf)])
+
+    def _exact(self, p: np.ndarray, at: np.ndarray, r: np.ndarray, c: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """Products in double precision: all of them where many are asked for."""
+        if len(hits) > len(at) * len(p) // 8:
+            return (self.q[at] @ p.T).ravel()[hits]
+        exact = np.empty(len(hits))
+        for lo in range(0, len(hits), _HITS):
+            part = slice(lo, lo + _HITS)
+            exact[part] = np.einsum("ij,ij->i", self.q[at[r[part]]], p[c[part]])
+        return exact
+
+    def _cut(self, rows: np.ndarray) -> None:
+        """Only their k best are held of the queries ``rows``, which hold as many."""
+        k = self.k
+        step = max(1, _MEET_SCORES // (k + CHUNK))
+        for lo in range(0, len(rows), step):
+            part = rows[lo:lo + step]
+            width = int(self.held[part].max())
+            score, docid = self.score[part, :width], self.docid[part, :width]
+            score[np.arange(width) >= self.held[part][:, None]] = -np.inf
+            kth = np.partition(score, width - k, axis=1)[:, width - k]
+            stay, tie = score > kth[:, None], score == kth[:, None]
+            need = k - stay.sum(1)
+            many = tie.sum(1) > need
+            stay |= tie & ~many[:, None]
+            for i in np.flatnonzero(many):
+                tied = np.flatnonzero(tie[i])
+                stay[i, tied[np.argsort(docid[i, tied], kind="stable")[:need[i]]]] = True
+            self.score[part, :k], self.docid[part, :k] = score[stay].reshape(-1, k), docid[stay].reshape(-1, k)
+            self.held[part], self.least[part] = k, kth
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """(qid, docid, score, rank), query by query."""
+        step = max(1, _MEET_SCORES // (8 * (self.k + CHUNK)))
+        for lo in range(0, len(self.ids), step):
+            held = self.held[lo:lo + step]
+            r = np.repeat(np.arange(len(held)), held)
+            rank = np.arange(len(r)) - np.repeat(np.cumsum(held) - held, held)
+            score, docid = self.score[lo + r, rank], self.docid[lo + r, rank]
+            by = np.lexsort((docid, -score, r))
+            best = rank < self.k
+            by = by[best]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(self.ids[lo + r[best]], pa.int64()), pa.array(docid[by], pa.int64()), pa.array(score[by], pa.float64()),
+                 pa.array(rank[best] + 1, pa.int64())], names=["qid", "docid", "score", "rank"])
+
+
+def _ranked(k: int, exclude_self: bool, meets):
+    """Rows (key, side, turn, cell, id, vec), of a key queries first, to (qid, docid, score, rank).
+    ``meets(cell, queries, least)`` tells which queries may gain from a cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, rows, best = None, [], [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, side, cell, these = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 3, 4))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (side[1:] != side[:-1]) | (side[1:] & (cell[1:] != cell[:-1]))) + 1
+            bounds = [0, *cuts.tolist(), len(key)]
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                if key[a] != now:
+                    if best is not None:
+                        yield from best.rows()
+                    now, ids, rows, best = key[a], [], [], None
+                vectors = matrix(batch.column(5).slice(a, b - a))
+                if not side[a]:
+                    ids.append(these[a:b])
+                    rows.append(vectors)
+                    continue
+                if best is None and ids:
+                    best = Running(np.concatenate(ids), np.concatenate(rows), k, exclude_self)
+                    ids, rows = [], []
+                if best is not None:
+                    best.meet(these[a:b], vectors, np.flatnonzero(meets(int(cell[a]), best.q, best.least)))
+        if best is not None:
+            yield from best.rows()
+
+    return run
+
+
+def ranked(queries: DataFrame, passages: DataFrame, blocks: int, k: int, exclude_self: bool, meets) -> DataFrame:
+    """``qid, docid, score, rank``: the k best passages (``key, turn, cell, docid, dvec``) of
+    every query (``key, qid, qvec``) of their key, keys 0 to ``blocks`` - 1, a task each. Passages
+    come by ``turn``; those of one ``cell`` have one turn."""
+    both = (queries.select("key", F.lit(False).alias("side"), F.lit(0).alias("turn"), F.lit(0).alias("cell"),
+                           F.col("qid").alias("id"), F.col("qvec").alias("vec"))
+            .unionByName(passages.select("key", F.lit(True).alias("side"), F.col("turn").cast("int").alias("turn"), F.col("cell").cast("int").alias("cell"),
+                                         F.col("docid").alias("id"), F.col("dvec").alias("vec"))))
+    return (both.repartitionById(blocks, F.col("key").cast("int")).sortWithinPartitions("key", "side", "turn")
+            .mapInArrow(_ranked(k, exclude_self, meets), "qid long, docid long, score double, rank long"))
+
+
 def dealt(rows: DataFrame) -> DataFrame:
     """Rows of (key, side, ...) so that a key is in one partition, its sides in order."""
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
