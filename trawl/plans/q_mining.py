@@ -19,6 +19,7 @@ from trawl.operators.knn import rank_topk
 from trawl.operators.lexical import bm25_first_stage
 from trawl.operators.ranking import overlap_rerank
 from trawl.operators.resume import run_in_buckets
+from trawl.operators.util import written
 from trawl.plans import bindings as B
 from trawl.plans import evaluate as E
 from trawl.plans import fixtures as X
@@ -35,11 +36,12 @@ MAX_TRIPLES = 50
 
 
 def v_inputs(spark, sf_dir):
-    lab = E.v_labelled_run(spark, sf_dir, CFG.top_k)
+    """Candidates, positives and collection; the run and the positives are computed once and written."""
+    lab = written(E.v_labelled_run(spark, sf_dir, CFG.top_k).select("qid", "docid", "score", "rank", "is_pos"), "labelled-run")
     trip = X.v_id_triples(spark, sf_dir, lab=lab)
     pos = MN.positives_by_query(triples=trip.select(F.col("qid").alias("query_id"), F.col("pos").alias("positive_id")))
     coll = B.v_passages(spark, sf_dir).select("docid")
-    return lab.select("qid", "docid", "score", "rank"), pos, coll
+    return lab.select("qid", "docid", "score", "rank"), written(pos, "positives"), coll
 
 
 def t_graded(spark, sf_dir, qrels=None):
@@ -363,9 +365,9 @@ def resume_remaining(spark, sf_dir):
 SELECT query_id, positive_id, negative_ids FROM mined""")
 def mine_in_buckets(spark, sf_dir):
     """Mining flushed by query bucket; the first run is cut off, the second goes on."""
-    cands, pos, coll = (x.checkpoint(eager=True) for x in v_inputs(spark, sf_dir))
+    cands, pos, coll = v_inputs(spark, sf_dir)
     path = scratch_dir(spark, "mined-buckets")
-    queries = cands.select("qid").distinct()
+    queries = written(cands.select("qid").distinct(), "queries")
 
     def mined(todo):
         return MN.mine_hard_negatives(cands.join(todo, "qid", "left_semi"), pos, coll, CFG)
@@ -409,11 +411,11 @@ def two_systems(spark, sf_dir):
     """Per-query MRR@10 of dense ranking (A) and of the same top-100 reranked by an md5 key (B)."""
     from trawl.functions.hashing import hash_key
 
-    lab = E.v_labelled_run(spark, sf_dir, 100)
+    lab = written(E.v_labelled_run(spark, sf_dir, 100).select("qid", "docid", "rank", "is_pos", "gain"), "labelled-run")
     a = M.mrr_at_k(lab, 10)
     rnd = lab.withColumn("score", hash_key(CFG.seed, F.col("qid"), F.col("docid"))).drop("rank")
     b = M.mrr_at_k(rank_topk(rnd, None), 10)
-    return a, b
+    return written(a, "system"), written(b, "system")
 
 
 @register("qrels_coverage", f"""WITH {X.SQL_T_QRELS}
