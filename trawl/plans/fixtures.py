@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.operators.lexical import containment_qrels
+from trawl.operators.util import written
 from trawl.plans import bindings as B
 from trawl.plans import evaluate as E
 from trawl.session import scratch_dir
@@ -61,7 +62,7 @@ def v_id_triples(spark: SparkSession, sf_dir: str, k: int = 100, lab: DataFrame
 
 def write_triples_text(spark: SparkSession, sf_dir: str) -> str:
     """``q\\tpos\\tneg`` per query plus 2-field, 4-field and space-separated lines (skipped)."""
-    t = v_id_triples(spark, sf_dir)
+    t = written(v_id_triples(spark, sf_dir), "id-triples")  # read for each kind of line
     s = lambda c: F.col(c).cast("string")
     rows = (t.select("qid", F.lit(0).alias("seq"), F.concat_ws("\t", s("qid"), s("pos"), s("neg")).alias("l"))
             .unionByName(t.select("qid", F.lit(1).alias("seq"), F.concat_ws("\t", s("qid"), s("pos")).alias("l")))
@@ -73,7 +74,7 @@ def write_triples_text(spark: SparkSession, sf_dir: str) -> str:
 
 def write_run_text(spark: SparkSession, sf_dir: str, k: int = 100) -> str:
     """V top-k run: 6-column lines for even docids, 3-column for odd, one 4-column line per query."""
-    run = E.v_dense_run(spark, sf_dir, k)
+    run = written(E.v_dense_run(spark, sf_dir, k), "dense-run")  # read for each kind of line, and to find ranges
     s = lambda c: F.col(c).cast("string")
     six = F.concat_ws(" ", s("qid"), F.lit("Q0"), s("docid"), s("rank"), s("score"), F.lit("dense"))
     three = F.concat_ws(" ", s("qid"), s("docid"), s("rank"))
