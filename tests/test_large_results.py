@@ -379,6 +379,50 @@ def test_bm25_looks_low_terms_up_and_keeps_scores_exact():
     assert read < every / 2
 
 
+def test_bm25_tasks_hold_few_postings(monkeypatch):
+    monkeypatch.setattr(bm25, "HELD", 60)
+    monkeypatch.setattr(bm25, "BLOCK", 10)
+    rng, n = np.random.default_rng(12), 400
+    docs = [sorted(rng.choice(6, rng.integers(1, 5), replace=False).tolist()) for _ in range(n)]
+
+    def batches(most):
+        for lo in range(0, n, 37):
+            part = docs[lo:lo + 37]
+            held = [len(x) for b in held_now for x in [b.row]]
+            most.append(sum(held))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(lo, lo + len(part))), pa.array([len(d) + i % 9 for i, d in enumerate(part)], pa.int32()),
+                 pa.array(part, pa.list_(pa.int32())), pa.array([[1 + i % 3 for i, _ in enumerate(d)] for d in part], pa.list_(pa.int32()))],
+                names=["docid", "dl", "ids", "tfs"])
+
+    held_now, plain = [], bm25._parts
+
+    def parts(blocks):
+        for part in plain(blocks):
+            assert sum(len(b.row) for b in part) < 60 + 10 * 6
+            held_now[:] = part
+            yield part
+            assert not part  # given back before the next is read
+            held_now.clear()
+
+    monkeypatch.setattr(bm25, "_parts", parts)
+
+    class Shared:
+        value = np.array([5, 9]), np.array([0, 1, 2, 1, 5]), np.array([0, 0, 0, 1, 1]), np.array([1.0, 2.0, 0.5, 1.0, 3.0])
+
+    def best(held, kept):
+        monkeypatch.setattr(bm25, "HELD", held)
+        monkeypatch.setattr(bm25, "KEPT", kept)
+        out = [(q, -s, d) for b in bm25._scored(Shared, 7, 0.9, 0.4, 5.0, False)(batches([])) for q, d, s in zip(*(c.to_pylist() for c in b.columns))]
+        return len(out), {q: sorted(x for x in out if x[0] == q)[:7] for q in (5, 9)}
+
+    (rows, few), (least, kept) = best(60, 0), best(60, 10**6)
+    monkeypatch.setattr(bm25, "_parts", plain)
+    same, whole = best(10**9, 0)
+    assert few == kept == whole and all(len(x) == 7 for x in few.values())
+    assert least == same and rows < 400  # thresholds go from part to part
+
+
 def test_bm25_of_nothing(spark):
     some, none = spark.createDataFrame([(1, "a b")], TEXT), spark.createDataFrame([], TEXT)
     assert lexical.bm25_first_stage(some, none).count() == 0

@@ -4,8 +4,9 @@ The collection is tokenised once and kept as one short row a document: the ids a
 its query terms. Scoring goes through blocks of documents. A block knows the largest impact of
 each of its terms; a query whose impacts there cannot reach its k-th score so far skips the
 block, and of the others the terms that cannot reach it together are only looked up for
-documents that hold another term and could still reach it. Both are exact. Only a task's k
-best of a query leave it.
+documents that hold another term and could still reach it. Both are exact. A task holds a
+bounded number of postings at a time and keeps the best scores from one such part to the next, or,
+where queries are many, only their thresholds; only a query's k best of what is kept leave it.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from trawl.session import scratch_dir
 PAIRS = 4_000_000
 #: Documents of a block and queries of a chunk.
 BLOCK, CHUNK = 256, 256
+#: Postings that a task holds at once, and documents whose tokens it looks up at once.
+HELD, LOOKED_UP = 2_000_000, 512
+#: Scores that a task keeps from one part of its postings to the next; beyond that only thresholds.
+KEPT = 2_000_000
 #: Share of a query's threshold that its low terms may reach together.
 LOW = 0.5
 _SLACK = 2e-6
@@ -35,7 +40,7 @@ def _postings(vocabulary):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = pa.array(vocabulary.value, pa.string())
-        for batch in batches:
+        for batch in (whole.slice(lo, LOOKED_UP) for whole in batches for lo in range(0, len(whole), LOOKED_UP)):
             tokens = batch.column(1)
             if pa.types.is_large_list(tokens.type):
                 tokens = tokens.cast(pa.list_(pa.string()))
@@ -76,7 +81,7 @@ class _Block:
 
     def __init__(self, docids: np.ndarray, row: np.ndarray, term: np.ndarray, impact: np.ndarray):
         order = np.argsort(term, kind="stable")
-        self.docids, self.row, self.impact = docids, row[order], impact[order]
+        self.docids, self.row, self.impact = docids, row[order].astype(np.int32), impact[order]
         self.terms, first = np.unique(term[order], return_index=True)
         self.ptr = np.append(first, len(order))
         self.most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
@@ -108,7 +113,7 @@ class _Best:
         first = np.searchsorted(q, np.arange(len(self.least)))
         kth = first + self.k - 1
         has = (kth < len(q)) & (q[np.minimum(kth, len(q) - 1)] == np.arange(len(self.least)))
-        self.least = np.where(has, score[np.minimum(kth, len(q) - 1)], -np.inf)
+        self.least = np.maximum(self.least, np.where(has, score[np.minimum(kth, len(q) - 1)], -np.inf))
         stay = score >= self.least[q] - _SLACK
         return q[stay], docid[stay], score[stay]
 
@@ -177,11 +182,10 @@ def _meet(block: _Block, term: np.ndarray, q: np.ndarray, w: np.ndarray, best: _
     return read, every
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], k1: float, b: float, mean_length: float) -> list[_Block]:
+def _blocks(batches: Iterator[pa.RecordBatch], k1: float, b: float, mean_length: float) -> Iterator[_Block]:
     held: list[pa.RecordBatch] = []
-    out = []
 
-    def flush():
+    def flush() -> _Block:
         table = pa.Table.from_batches(held).combine_chunks()
         held.clear()
         dl = table.column("dl").to_numpy().astype(np.float64)
@@ -189,16 +193,28 @@ def _blocks(batches: Iterator[pa.RecordBatch], k1: float, b: float, mean_length:
         size = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
         row, tf = np.repeat(np.arange(len(dl)), size), tfs.flatten().to_numpy().astype(np.float64)
         norm = k1 * (1.0 - b + b * dl / mean_length)
-        out.append(_Block(table.column("docid").to_numpy(), row, ids.flatten().to_numpy(), tf * (k1 + 1.0) / (tf + norm[row])))
+        return _Block(table.column("docid").to_numpy(), row, ids.flatten().to_numpy(), tf * (k1 + 1.0) / (tf + norm[row]))
 
     for batch in batches:
         for lo in range(0, len(batch), BLOCK):
             held.append(batch.slice(lo, BLOCK))
             if sum(map(len, held)) >= BLOCK:
-                flush()
+                yield flush()
+    if held:
+        yield flush()
+
+
+def _parts(blocks: Iterator[_Block]) -> Iterator[list[_Block]]:
+    """Blocks in lists of about HELD postings."""
+    held, size = [], 0
+    for block in blocks:
+        held.append(block)
+        size += len(block.row)
+        if size >= HELD:
+            yield held
+            held, size = [], 0
     if held:
-        flush()
-    return out
+        yield held
 
 
 def _scored(shared, k: int, k1: float, b: float, mean_length: float, report: bool):
@@ -206,17 +222,30 @@ def _scored(shared, k: int, k1: float, b: float, mean_length: float, report: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, term, q, w = shared.value  # pairs in the order of q
-        blocks = _blocks(batches, k1, b, mean_length)
         read = every = 0
-        for lo in range(0, len(qids) if blocks else 0, CHUNK):
-            a, z = np.searchsorted(q, (lo, lo + CHUNK))
-            best = _Best(min(CHUNK, len(qids) - lo), k)
-            for block in blocks:
-                r, e = _meet(block, term[a:z], q[a:z] - lo, w[a:z], best)
-                read, every = read + r, every + e
+        least, kept = np.full(len(qids), -np.inf), {}
+
+        def out(lo: int, best: _Best) -> Iterator[pa.RecordBatch]:
             at, docid, score = best.kept()
+            least[lo:lo + CHUNK] = best.least
             if not report and len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(qids[lo + at]), pa.array(docid), pa.array(score)], names=["qid", "docid", "score"])
+
+        for blocks in _parts(_blocks(batches, k1, b, mean_length)):
+            for lo in range(0, len(qids), CHUNK):
+                a, z = np.searchsorted(q, (lo, lo + CHUNK))
+                best = kept.get(lo) or _Best(min(CHUNK, len(qids) - lo), k)
+                best.least = np.maximum(best.least, least[lo:lo + CHUNK])
+                for block in blocks:
+                    r, e = _meet(block, term[a:z], q[a:z] - lo, w[a:z], best)
+                    read, every = read + r, every + e
+                if len(qids) * k <= KEPT:
+                    kept[lo] = best
+                else:
+                    yield from out(lo, best)
+            blocks.clear()  # before the next ones are read
+        for lo, best in kept.items():
+            yield from out(lo, best)
         if report:
             yield pa.RecordBatch.from_arrays([pa.array([read]), pa.array([every])], names=["read", "postings"])
 
