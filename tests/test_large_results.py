@@ -533,6 +533,25 @@ def test_running_holds_few_scores_and_breaks_ties_by_id(monkeypatch):
         assert mine["docid"].to_pylist() == want and mine["rank"].to_pylist() == [1, 2, 3, 4, 5]
 
 
+def test_tree_search_with_held_queries_finds_the_same(spark):
+    x = clustered(10, 900, 16, 12)
+    q, p = vectors(spark, x[::2], "q"), vectors(spark, x, "d")
+    tree = knn_tree.Tree(p, 40, 900)
+    probes = tree.probes(q, 9, 300).localCheckpoint()
+    a = {tuple(r) for r in knn.rank_topk(tree.search(q, probes, 7, True, 450), 7).collect()}
+    held = tree.search_held(q, probes, 7, True, 5)
+    assert {tuple(r) for r in knn.rank_topk(held, 7).collect()} == a and held.count() == 450 * 7 == len(a)
+
+
+def test_many_probed_cells_do_not_copy_queries(spark, monkeypatch):
+    x = clustered(11, 600, 8, 12)
+    q, p = vectors(spark, x, "q"), vectors(spark, x, "d")
+    usual = {tuple(r) for r in knn.knn_join_ivf(q, p, 5, exclude_self=True, nlist=30, probe_rows=300).collect()}
+    monkeypatch.setattr(knn, "HELD_PAIRS", 0)
+    monkeypatch.setattr(knn_tree.Tree, "search", None)
+    assert {tuple(r) for r in knn.knn_join_ivf(q, p, 5, exclude_self=True, nlist=30, probe_rows=300).collect()} == usual
+
+
 def test_labels_and_metrics_do_not_move_the_run(spark, tmp_path):
     rows = [(q, d, d % 7 + 1) for q in range(40) for d in range(q % 5, 60)]
     rows = [(q, d, sum(1 for x in rows if x[0] == q and x[1] < d) + 1) for q, d, _ in rows]

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.operators.knn_bounds import BoundedSearch
+from trawl.operators.knn_bounds import BoundedSearch, query_blocks
 from trawl.operators.knn_tree import Tree
 
 _SCORED_SCHEMA = "qid long, docid long, score double"
@@ -35,6 +35,8 @@ _ROUND = 9
 PROBE_ROWS = 32
 #: Pairs of blocks up to which the exact join scores all of them without building bounds.
 FEW_PAIRS = 16
+#: Pairs of a query and a cell up to which queries travel to cells.
+HELD_PAIRS = 1_000_000
 
 
 def _local_topk(k: int, exclude_self: bool):
@@ -196,6 +198,10 @@ def knn_join_ivf(queries: DataFrame, passages: DataFrame, k: int, *, exclude_sel
     tree = Tree(passages, nlist or dn, n, seed)
     least = max(k, PROBE_ROWS * k if probe_rows is None else probe_rows) + int(exclude_self)
     probes = tree.probes(queries, nprobe or dp, least)
+    looks = max(nprobe or dp, math.ceil(least * tree.cells / n))  # cells that a query looks into, about
+    blocks = query_blocks(nq, min(k, n), passages.sparkSession.sparkContext.defaultParallelism)
+    if nq * looks > HELD_PAIRS and nq * looks > n * blocks:
+        return rank_topk(tree.search_held(queries, probes, min(k, n), exclude_self, blocks), k)
     return rank_topk(tree.search(queries, probes, k, exclude_self, nq), k)
 
 

@@ -47,12 +47,12 @@ def numbered(queries: DataFrame) -> tuple[DataFrame, bool]:
 def _reached(shared):
     """Which queries may gain from a cell, by its bound."""
 
-    def meets(cell: int, q: np.ndarray, least: np.ndarray) -> np.ndarray:
+    def reached(cell: int, q: np.ndarray, least: np.ndarray) -> np.ndarray:
         centres, radius, _ = shared.value
         with np.errstate(over="ignore", invalid="ignore"):  # a bound that is no number skips nothing
             return ~(q @ centres[cell] + np.sqrt((q * q).sum(1)) * radius[cell] * (1 + 1e-12) < least - _SLACK)
 
-    return meets
+    return lambda lists: reached
 
 
 def _cells(centres: np.ndarray):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.operators.vector_stream import blocks_of, dealt, kmeans, matrix, nearest, sampled, stream_topk
+from trawl.operators.vector_stream import blocks_of, dealt, kmeans, listed, matrix, nearest, ranked, sampled, stream_topk
 from trawl.session import scratch_dir
 
 #: Rows that roots are fitted on (on the driver), that all leaves are fitted on, and of one root.
@@ -209,3 +209,12 @@ class Tree:
         key = (F.col("block") * salts).cast("long")
         return stream_topk(meets.select((key + F.pmod(F.xxhash64("qid"), F.lit(salts))).alias("key"), "qid", "qvec"),
                            blocks.select((key + F.col("salt")).alias("key"), "docid", "dvec"), k, exclude_self)
+
+    def search_held(self, queries: DataFrame, probes: DataFrame, k: int, exclude_self: bool, blocks: int) -> DataFrame:
+        """What ``search`` gives, where queries look into many cells: ``blocks`` tasks hold the k best
+        of their queries so far, and all passages go past each. A query travels once, with its cells."""
+        asked = probes.groupBy("qid").agg(F.collect_list(F.col("cell").cast("int")).alias("cells"))
+        copy = F.pmod(F.xxhash64("qid", "qvec"), F.lit(blocks)).cast("int")
+        mine = queries.select("qid", "qvec").join(asked, "qid").select(copy.alias("key"), "qid", "qvec", "cells")
+        theirs = self.placed.select("docid", "dvec", "cell", F.col("cell").alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("key"))
+        return ranked(mine, theirs, blocks, k, exclude_self, listed(self.cells)).drop("rank")

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,12 +178,28 @@ class Running:
                  pa.array(rank[best] + 1, pa.int64())], names=["qid", "docid", "score", "rank"])
 
 
+def listed(cells: int):
+    """Which queries list a cell, from their lists."""
+
+    def prepared(lists: list[pa.Array]):
+        n = [pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists]
+        asked = np.zeros((sum(map(len, n)), -(-cells // 8)), np.uint8)
+        first = 0
+        for x, size in zip(lists, n):
+            at, cell = np.repeat(np.arange(len(x)), size) + first, x.flatten().to_numpy()
+            np.bitwise_or.at(asked, (at, cell >> 3), (1 << (cell & 7)).astype(np.uint8))
+            first += len(x)
+        return lambda cell, q, least: asked[:, cell >> 3] & (1 << (cell & 7))
+
+    return prepared
+
+
 def _ranked(k: int, exclude_self: bool, meets):
-    """Rows (key, side, turn, cell, id, vec), of a key queries first, to (qid, docid, score, rank).
-    ``meets(cell, queries, least)`` tells which queries may gain from a cell."""
+    """Rows (key, side, turn, cell, id, vec, cells), of a key queries first, to (qid, docid, score, rank).
+    ``meets(lists)(cell, queries, least)`` tells which queries, of these lists of cells, may gain from a cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, rows, best = None, [], [], None
+        now, ids, rows, lists, best, gain = None, [], [], [], None, None
         for batch in batches:
             if not len(batch):
                 continue
@@ -193,17 +210,18 @@ def _ranked(k: int, exclude_self: bool, meets):
                 if key[a] != now:
                     if best is not None:
                         yield from best.rows()
-                    now, ids, rows, best = key[a], [], [], None
+                    now, ids, rows, lists, best = key[a], [], [], [], None
                 vectors = matrix(batch.column(5).slice(a, b - a))
                 if not side[a]:
                     ids.append(these[a:b])
                     rows.append(vectors)
+                    lists.append(batch.column(6).slice(a, b - a))
                     continue
                 if best is None and ids:
-                    best = Running(np.concatenate(ids), np.concatenate(rows), k, exclude_self)
-                    ids, rows = [], []
+                    best, gain = Running(np.concatenate(ids), np.concatenate(rows), k, exclude_self), meets(lists)
+                    ids, rows, lists = [], [], []
                 if best is not None:
-                    best.meet(these[a:b], vectors, np.flatnonzero(meets(int(cell[a]), best.q, best.least)))
+                    best.meet(these[a:b], vectors, np.flatnonzero(gain(int(cell[a]), best.q, best.least)))
         if best is not None:
             yield from best.rows()
 
@@ -212,12 +230,13 @@ def _ranked(k: int, exclude_self: bool, meets):
 
 def ranked(queries: DataFrame, passages: DataFrame, blocks: int, k: int, exclude_self: bool, meets) -> DataFrame:
     """``qid, docid, score, rank``: the k best passages (``key, turn, cell, docid, dvec``) of
-    every query (``key, qid, qvec``) of their key, keys 0 to ``blocks`` - 1, a task each. Passages
-    come by ``turn``; those of one ``cell`` have one turn."""
+    every query (``key, qid, qvec`` and perhaps ``cells``) of their key, keys 0 to ``blocks`` - 1, a
+    task each. Passages come by ``turn``; those of one ``cell`` have one turn."""
+    none = F.lit(None).cast("array<int>").alias("cells")
     both = (queries.select("key", F.lit(False).alias("side"), F.lit(0).alias("turn"), F.lit(0).alias("cell"),
-                           F.col("qid").alias("id"), F.col("qvec").alias("vec"))
+                           F.col("qid").alias("id"), F.col("qvec").alias("vec"), F.col("cells") if "cells" in queries.columns else none)
             .unionByName(passages.select("key", F.lit(True).alias("side"), F.col("turn").cast("int").alias("turn"), F.col("cell").cast("int").alias("cell"),
-                                         F.col("docid").alias("id"), F.col("dvec").alias("vec"))))
+                                         F.col("docid").alias("id"), F.col("dvec").alias("vec"), none)))
     return (both.repartitionById(blocks, F.col("key").cast("int")).sortWithinPartitions("key", "side", "turn")
             .mapInArrow(_ranked(k, exclude_self, meets), "qid long, docid long, score double, rank long"))
 
