@@ -413,3 +413,61 @@ def test_every_operator_is_registered_once():
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(queries.ORACLE) == {"op7_exact_dedup", "op11_resample", "op12_line_runs", "op13_repair"} and "pipeline" in __spark_entry__.queries()
+
+
+def test_new_pretokens_are_encoded_by_one_call(monkeypatch):
+    import public_tokenizers as P
+    import sentencepiece
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = byte_bpe.read_ranks(f.read())
+    calls, encode = [], sentencepiece.SentencePieceProcessor.encode
+
+    def counted(self, *args, **kwargs):
+        calls.append(1)
+        return encode(self, *args, **kwargs)
+
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "encode", counted)
+    byte_bpe.encoder.cache_clear()
+    fn = byte_bpe.encoder(byte_bpe.serialise(ranks), ranks, P.PATTERN)
+    texts = ["zyxquu, wvtsrq. qqzzxx", "", "ab!, c... d.\ne é, ü. ×, it's,", " lead x", "a\x00b, c", "x ,y  z."]
+    found = fn(texts)
+    assert len(calls) == 1
+    byte_bpe.encoder.cache_clear()
+    import regex
+
+    engine, chars = sentencepiece.SentencePieceProcessor(model_proto=byte_bpe.serialise(ranks)), tokens.byte_characters()
+    rank = {t: k for k, t in enumerate(ranks)}
+    for text, ids in zip(texts, found):
+        want = []
+        for p in regex.findall(P.PATTERN, text):
+            raw = p.encode()
+            want += [rank[raw]] if raw in rank else encode(engine, "".join(chars[b] for b in raw))
+        assert np.frombuffer(ids, "<u4").tolist() == want
+
+
+def test_marks_and_capitals_share_the_ids_of_a_word():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = f.read()
+    whole = Tokenizer.from_str(vocabulary)
+    whole.encode_special_tokens = True
+    tokens.encoder.cache_clear()
+    fn = tokens.encoder(vocabulary, "<u2")
+    words = fn.__closure__[[c for c in fn.__code__.co_freevars].index("words")].cell_contents
+    fn(b"Zyxquu, zyxquu. ZYXQUU zyxquu,\nzyxquu ")
+    assert set(words) == {b"zyxquu", b",", b"."}
+    for text in ("A!, b... c.\nd é, Ü. ×, ÷. it's, x", "H̱, Ḱ. İ, K", "_, 1. (a), ,", "ÀB, é. ab\x1c, \xa0.", ". , ."):
+        assert np.frombuffer(fn(text.encode()), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_are_counted_many_rows_at_once(spark):
+    rows = [(i, np.array([i % 7, 40_000] if i % 3 else [], "<u2").tobytes()) for i in range(1000)]
+    frame_ = spark.createDataFrame(rows, "doc_id long, ids binary")
+    counts = huffman.count_ids(frame_, "<u2")
+    want = np.bincount([x for _, ids in rows for x in np.frombuffer(ids, "<u2").tolist()])
+    assert counts.tolist() == want.tolist()
+    assert 1 < huffman.COUNTED < 5000

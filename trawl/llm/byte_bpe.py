@@ -9,9 +9,11 @@ ids back to bytes.
 from __future__ import annotations
 
 import base64
+import re
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,15 @@ from pyspark.sql import DataFrame
 
 from trawl.llm.tokens import byte_characters
 
-#: Distinct chunks kept per task; emptied when full.
-CACHE = 500_000
+#: Distinct chunks and pre-tokens kept per task; emptied when full. Characters of texts that are encoded at once.
+CACHE, TEXTS = 500_000, 1 << 18
+
+
+#: The pattern for which commas and stops are cut off without it (that of GPT-2).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# white space but blank and newline; a comma or stop before the end of a chunk that follows no letter or digit of Latin-1
+_OTHER = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+_JOINED = re.compile("[.,](?<![A-Za-z0-9À-ÖØ-öø-ÿ].)\x00").search
 
 
 def read_ranks(content: bytes) -> tuple[bytes, ...]:
@@ -61,12 +70,13 @@ def serialise(tokens: tuple[bytes, ...]) -> bytes:
 
 
 @lru_cache(maxsize=2)  # a Python worker keeps it from task to task
-def encoder(model: bytes, tokens: tuple[bytes, ...], pattern: str) -> Callable[[str], bytes]:
-    """A function from text to ids (little-endian unsigned 32-bit).
+def encoder(model: bytes, tokens: tuple[bytes, ...], pattern: str) -> Callable[[list[str]], list[bytes]]:
+    """A function from texts to their ids (little-endian unsigned 32-bit).
 
     A text of words with single blanks between them is encoded chunk by chunk (blank and
     word), as the pattern never matches across such a blank; other texts are cut by the
-    pattern as a whole.
+    pattern as a whole. Commas and stops that follow a letter or digit and end a chunk are
+    pre-tokens of their own. Pre-tokens that are new to all the texts are encoded by one call.
     """
     import regex
     import sentencepiece
@@ -74,32 +84,82 @@ def encoder(model: bytes, tokens: tuple[bytes, ...], pattern: str) -> Callable[[
     engine = sentencepiece.SentencePieceProcessor(model_proto=model)
     cut = regex.compile(pattern).findall
     odd = regex.compile(r"\s[ ]|[ ]\s|^\s|\s$").search
+    plain = pattern == PATTERN
     mapping = dict(enumerate(byte_characters()))
     whole = {t: struct.pack("<I", k) for k, t in enumerate(tokens)}
-    known: dict[str, bytes] = {}
+    known: dict[str, bytes] = {}  # of chunks and of pre-tokens, which the pattern cuts no further
+
+    def learn(new: list[str]) -> None:
+        """Enter the ids of chunks in ``known``."""
+        cuts = list(map(cut, new))
+        todo = []
+        for p in {p for ps in cuts for p in ps if p not in known}:
+            raw = p.encode()
+            if raw in whole:
+                known[p] = whole[raw]
+            else:
+                todo.append((p, raw.decode("latin-1").translate(mapping)))
+        if todo:
+            found = engine.encode([t for _, t in todo], num_threads=1)
+            ends = np.cumsum([0, *map(len, found)]) * 4
+            ids = np.fromiter(chain.from_iterable(found), "<u4", ends[-1] // 4).tobytes()
+            for (p, _), a, b in zip(todo, ends[:-1].tolist(), ends[1:].tolist()):
+                known[p] = ids[a:b]
+        for c, ps in zip(new, cuts):
+            if c not in known:
+                known[c] = b"".join(map(known.__getitem__, ps))
+
+    def chunks(t: str) -> list[str]:
+        if not t:
+            return []
+        if "\x00" in t:
+            return cut(t)
+        if _OTHER(t):
+            if odd(t):
+                return cut(t)
+        elif t[0] in " \n" or t[-1] in " \n" or "  " in t or " \n" in t or "\n " in t:
+            return cut(t)
+        t = t.replace(" ", "\x00 ")
+        if plain and not _JOINED(t):
+            t = t.replace(",\x00", "\x00,\x00").replace(".\x00", "\x00.\x00")
+        return t.split("\x00")
+
+    def encode(texts: list[str]) -> list[bytes]:
+        parts = list(map(chunks, texts))
+        ids = [list(map(known.get, p)) for p in parts]
+        holes = [list(_holes(found)) for found in ids]
+        new = {p[k] for p, at in zip(parts, holes) for k in at}
+        if new:
+            if len(known) + 2 * len(new) > CACHE:
+                known.clear()
+            learn(list(new))
+            for p, found, at in zip(parts, ids, holes):
+                for k in at:
+                    found[k] = known[p[k]]
+        return list(map(b"".join, ids))
 
-    def pretoken(p: str) -> bytes:
-        raw = p.encode()
-        return whole.get(raw) or np.array(engine.encode(raw.decode("latin-1").translate(mapping)), "<u4").tobytes()
+    return encode
 
-    def chunk(c: str) -> bytes:
-        return b"".join(map(pretoken, cut(c)))
 
-    def encode(text: str) -> bytes:
-        parts = cut(text) if odd(text) else text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else [text]
-        ids = list(map(known.get, parts))
-        if None in ids:
-            if len(known) + len(parts) > CACHE:
-                known.clear()
-            for k, found in enumerate(ids):
-                if found is None:
-                    p = parts[k]
-                    if p not in known:
-                        known[p] = chunk(p)
-                    ids[k] = known[p]
-        return b"".join(ids)
+def _holes(found: list[bytes | None]) -> Iterator[int]:
+    """Where ``found`` is None."""
+    k = -1
+    for _ in range(found.count(None)):
+        k = found.index(None, k + 1)
+        yield k
 
-    return encode
+
+def _slices(texts: list[str | None]) -> Iterator[list[str]]:
+    """Runs of texts (null: empty) of about TEXTS characters; a longer text stands alone."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t or "") > TEXTS:
+            yield run
+            run, size = [], 0
+        run.append(t or "")
+        size += len(t or "")
+    if run:
+        yield run
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -118,7 +178,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ke
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                ids = [fn(t) if t else b"" for t in part.column(len(keep)).to_pylist()]
+                ids = [x for texts in _slices(part.column(len(keep)).to_pylist()) for x in fn(texts)]
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], pa.ListArray.from_arrays(pa.array(ends), values)], names=[*keep, "ids"])

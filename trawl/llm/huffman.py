@@ -20,8 +20,8 @@ from trawl.llm.arrays import binary_lists
 
 #: Longest code, tokens between checkpoints, and tokens from which a block is closed.
 LIMIT, STEP, BLOCK = 16, 128, 1 << 17
-#: Bytes of ids of a part of the files.
-PART_BYTES = 8 << 20
+#: Bytes of ids of a part of the files, and rows whose ids are counted at once.
+PART_BYTES, COUNTED = 8 << 20, 200
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -135,8 +135,8 @@ def count_ids(encoded: DataFrame, dtype: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                found = np.bincount(np.frombuffer(ids, dtype))
+            for lo in range(0, batch.num_rows, COUNTED):  # a count of all ids costs as much for one row
+                found = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(lo, COUNTED).to_pylist()), dtype))
                 if len(found) > len(total):
                     total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
                 total[:len(found)] += found
