@@ -581,3 +581,13 @@ def test_runs_read_more_than_once_are_written(spark, sf0001):
     a, b = QM.two_systems(spark, sf0001)
     for df in (cands, pos, a, b):
         assert "MapInArrow" not in plan(df) and "FlatMapGroups" not in plan(df) and "MapInPandas" not in plan(df)
+
+
+def test_draws_of_a_task_are_bounded(spark, monkeypatch):
+    from trawl.operators import stats
+
+    monkeypatch.setattr(stats, "DRAWS", 100)
+    draws = stats._draws(spark, 50, 90, 1)
+    assert draws.count() == 4500 and draws.select("b", "idx").distinct().where("idx < 0 or idx >= 50 or b >= 90").isEmpty()
+    sizes = draws.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert max(sizes) <= 100 and sum(sizes) == 4500

@@ -18,10 +18,12 @@ from trawl.operators.resample import MEAN, Metric, is_counts_metric, original_me
 from trawl.operators.util import broadcast_if_small, dense_index, literal_row, scalars
 
 _DIGITS = 6
+#: Draws of a task at most: a median keeps every value that a resample drew in memory.
+DRAWS = 4_000_000
 
 
 def _draws(spark, n: int, n_resamples: int, seed: int) -> DataFrame:
-    ids = spark.range(0, n_resamples * n)
+    ids = spark.range(0, n_resamples * n, 1, max(spark.sparkContext.defaultParallelism, -(-n_resamples * n // DRAWS)))
     b = F.floor(F.col("id") / F.lit(n)).cast("long")
     j = F.pmod(F.col("id"), F.lit(n))
     return ids.select(b.alias("b"), draw_index(seed, n, b, j).alias("idx"))
