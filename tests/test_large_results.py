@@ -591,3 +591,26 @@ def test_draws_of_a_task_are_bounded(spark, monkeypatch):
     assert draws.count() == 4500 and draws.select("b", "idx").distinct().where("idx < 0 or idx >= 50 or b >= 90").isEmpty()
     sizes = draws.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert max(sizes) <= 100 and sum(sizes) == 4500
+
+
+def test_metrics_collect_relevant_ranks_alone(spark):
+    """Rows of a query lie in several partitions, twice or with null gains or a null query."""
+    rnd = random.Random(3)
+    rows = [(None if q == 0 else q, rank, rnd.choice([None, 0.0, 0.0, 1.0, 2.0]) if q != 7 else 0.0) for q in range(300) for rank in range(1, 41)]
+    rows += [r for r in rows if r[0] == 5]
+    rnd.shuffle(rows)
+    run = spark.createDataFrame(rows, "qid long, rank long, gain double").repartition(3)
+    ideal = spark.range(300).selectExpr("id AS qid", "20L AS num_rel", "3.0D AS idcg_10")
+    per, single = M.per_query_metrics(run, ideal), M.average_precision(run, ideal)
+    for df in (per, single):  # what Spark collects, and may have to sort, are sums of the run's rows
+        assert "partial_count" in plan(df)[plan(df).rindex("partial_collect_list"):]
+    maps = {r.qid: r.map for r in single.collect()}
+    found = {r.qid: r for r in per.collect()}
+    assert set(found) == set(maps) == set(range(1, 300))
+    for q, r in found.items():
+        mine = sorted((rank, gain or 0.0) for x, rank, gain in rows if x == q)
+        ranks = [rank for rank, gain in mine if gain > 0]
+        assert r.map == maps[q] == pytest.approx(sum((i + 1) / rank for i, rank in enumerate(ranks)) / 20, abs=2e-6)
+        assert r.ndcg_at_10 == pytest.approx(sum(gain / math.log2(rank + 1) for rank, gain in mine if rank <= 10) / 3, abs=2e-6)
+        assert r.mrr_at_10 == pytest.approx(round(1 / ranks[0], 6) if ranks and ranks[0] <= 10 else 0.0)
+        assert r.recall_at_100 == r.recall_at_1000 == pytest.approx(len(ranks) / 20, abs=2e-6)

@@ -84,24 +84,31 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.when(whole > 0, part / whole), F.lit(0.0))
 
 
-def _precisions(rel: Column) -> Column:
-    """Per query, the sum of precision at each relevant rank: the i-th relevant rank r adds i / r.
-    Relevant ranks are gathered before the shuffle, so the run itself is not moved or sorted by rank."""
-    ranks = F.sort_array(F.collect_list(F.when(rel, F.col("rank"))))
+def _by_relevant_rank(ranked: DataFrame, cutoff: int = 10) -> DataFrame:
+    """``qid, _rank, _n, _dcg``: a row a query and relevant rank, how often it comes and its part of the
+    DCG; a query's other rows are one, of a null rank. Sums alone are held, so the run is neither moved nor sorted."""
+    part = F.when(F.col("rank") <= cutoff, F.col("gain") / _discount(F.col("rank")))
+    return (ranked.select("qid", F.when(F.col("gain") > 0, F.col("rank")).alias("_rank"), part.alias("_part"))
+            .groupBy("qid", "_rank").agg(F.count(F.lit(1)).alias("_n"), F.sum("_part").alias("_dcg")))
+
+
+def _precisions() -> Column:
+    """Per query of ``_by_relevant_rank``, the sum of precision at each relevant rank: the i-th relevant
+    rank r adds i / r."""
+    found = F.sort_array(F.collect_list(F.when(F.col("_rank").isNotNull(), F.struct("_rank", "_n"))))
+    ranks = F.flatten(F.transform(found, lambda x: F.array_repeat(x["_rank"], x["_n"].cast("int"))))
     parts = F.transform(ranks, lambda rank, i: (i + F.lit(1)) / rank)
     return F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def per_query_metrics(ranked: DataFrame, ideal: DataFrame) -> DataFrame:
     """``qid, map, ndcg_at_10, mrr_at_10, recall_at_100, recall_at_1000``."""
-    rel = F.col("gain") > 0
-    per = ranked.groupBy("qid").agg(
-        F.min(F.when(rel & (F.col("rank") <= 10), F.col("rank"))).alias("_first"),
-        F.sum(F.when(F.col("rank") <= 10, F.col("gain") / _discount(F.col("rank")))).alias("_dcg"),
-        _precisions(rel).alias("_ap"),
-        F.count_if(rel & (F.col("rank") <= 100)).alias("_h100"),
-        F.count_if(rel & (F.col("rank") <= 1000)).alias("_h1000"),
-    )
+    def within(k: int) -> Column:
+        return F.sum(F.when(F.col("_rank") <= k, F.col("_n")).otherwise(0))
+
+    per = _by_relevant_rank(ranked).groupBy("qid").agg(
+        F.min(F.when(F.col("_rank") <= 10, F.col("_rank"))).alias("_first"), F.sum("_dcg").alias("_dcg"),
+        _precisions().alias("_ap"), within(100).alias("_h100"), within(1000).alias("_h1000"))
     j = per.join(ideal, "qid")
     n = F.col("num_rel").cast("double")
 
@@ -174,7 +181,7 @@ def ndcg_at_k(ranked: DataFrame, ideal: DataFrame, k: int = 10) -> DataFrame:
 
 def average_precision(ranked: DataFrame, ideal: DataFrame) -> DataFrame:
     """E3 alone: ``qid, map`` — sum of precision at each relevant rank over the judged relevant count."""
-    per = ranked.groupBy("qid").agg(_precisions(F.col("gain") > 0).alias("_ap"))
+    per = _by_relevant_rank(ranked).groupBy("qid").agg(_precisions().alias("_ap"))
     return per.join(ideal, "qid").select(
         "qid", F.round(_share(F.col("_ap"), F.col("num_rel")), _DIGITS).alias("map"))
 
