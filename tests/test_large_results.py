@@ -614,3 +614,37 @@ def test_metrics_collect_relevant_ranks_alone(spark):
         assert r.ndcg_at_10 == pytest.approx(sum(gain / math.log2(rank + 1) for rank, gain in mine if rank <= 10) / 3, abs=2e-6)
         assert r.mrr_at_10 == pytest.approx(round(1 / ranks[0], 6) if ranks and ranks[0] <= 10 else 0.0)
         assert r.recall_at_100 == r.recall_at_1000 == pytest.approx(len(ranks) / 20, abs=2e-6)
+
+
+def dealt_rows(node, column):
+    """How often a plan's rows that hold ``column`` are moved."""
+    def items(seq):
+        return [seq.apply(i) for i in range(seq.size())]
+
+    moved = "Exchange" in node.nodeName() and any(a.name() == column for a in items(node.output()))
+    return moved + sum(dealt_rows(child, column) for child in items(node.children()))
+
+
+def test_mining_deals_candidates_by_query_once(spark, tmp_path):
+    rows = [(q, (q + r) % 50, r) for q in range(50) for r in range(1, 31)]
+    spark.createDataFrame(rows, "qid long, docid long, rank long").write.parquet(str(tmp_path / "run"))
+    positives = [(q, (q + 3) % 50) for q in range(0, 50, 2)] + [(1, 99), (4, 77)]  # 99 and 77 are not in the collection
+    spark.createDataFrame(positives, "qid long, docid long").write.parquet(str(tmp_path / "positives"))
+    run, pos = spark.read.parquet(str(tmp_path / "run")), spark.read.parquet(str(tmp_path / "positives"))
+    config = MN.MiningConfig(top_k=25, num_negatives=4, rank_min=2, rank_max=20, seed=1)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        mined = MN.mine_hard_negatives(run, pos, spark.range(50).withColumnRenamed("id", "docid"), config)
+        # once by query and passage, to lose positives, and once by query
+        assert dealt_rows(mined._jdf.queryExecution().executedPlan(), "rank") == 2
+        found = {r.query_id: r for r in mined.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert set(found) == set(range(0, 50, 2))
+    for q, r in found.items():
+        pool = [d for x, d, rank in rows if x == q and rank <= 25 and (q, d) not in positives][2:20]
+        assert r.positive_id == (q + 3) % 50 and len(set(r.negative_ids)) == 4 and set(r.negative_ids) <= set(pool)

@@ -83,6 +83,13 @@ def sample_negatives(window: DataFrame, n: int, seed: int) -> DataFrame:
     return s.where((F.col("_n") >= n) & (F.col("_s") <= n)).drop("_n", "_s")
 
 
+def _pool(candidates: DataFrame, positives: DataFrame, present: DataFrame, top_k: int) -> DataFrame:
+    """Candidates without positives, of the queries that may emit rows only. These are picked after
+    the positives are gone: so rows are dealt by query once, for this and for the windows that follow."""
+    return (exclude_positives(candidates.where(F.col("rank") <= top_k), positives)
+            .join(present.select("qid").distinct(), "qid", "left_semi"))
+
+
 def mine_hard_negatives(candidates: DataFrame, positives: DataFrame, collection_ids: DataFrame,
                         config: MiningConfig = MiningConfig()) -> DataFrame:
     """M4: ``query_id, positive_id, negative_ids array<long>`` (negatives sorted by id).
@@ -90,11 +97,7 @@ def mine_hard_negatives(candidates: DataFrame, positives: DataFrame, collection_
     ``candidates`` must already be the first stage's top ``config.top_k`` per query.
     """
     present = positives_in_collection(positives, collection_ids)
-    # only queries that will emit rows are worth scanning
-    cands = candidates.where(F.col("rank") <= config.top_k).join(present.select("qid").distinct(), "qid",
-                                                                  "left_semi")
-    pool = exclude_positives(cands, positives)
-    win = rank_window(pool, config.rank_min, config.rank_max)
+    win = rank_window(_pool(candidates, positives, present, config.top_k), config.rank_min, config.rank_max)
     negs = (sample_negatives(win, config.num_negatives, config.seed)
             .groupBy("qid").agg(F.array_sort(F.collect_list("docid")).alias("negative_ids")))
     return present.join(negs, "qid").select(F.col("qid").alias("query_id"), F.col("docid").alias("positive_id"),
@@ -129,8 +132,7 @@ def write_mined(queries: DataFrame, candidates: DataFrame, positives: DataFrame,
     nothing was mined. Every query of ``queries`` (``qid``) is counted once.
     """
     present = positives_in_collection(positives, collection_ids).select("qid", "docid").distinct()
-    cands = candidates.where(F.col("rank") <= config.top_k).join(present.select("qid").distinct(), "qid", "left_semi")
-    win = rank_window(exclude_positives(cands, positives), config.rank_min, config.rank_max)
+    win = rank_window(_pool(candidates, positives, present, config.top_k), config.rank_min, config.rank_max)
     negs = (sample_negatives(win, config.num_negatives, config.seed)
             .groupBy("qid").agg(F.array_sort(F.collect_list("docid")).alias("negative_ids")))
     status = (queries.select("qid").distinct()
