@@ -648,3 +648,11 @@ def test_mining_deals_candidates_by_query_once(spark, tmp_path):
     for q, r in found.items():
         pool = [d for x, d, rank in rows if x == q and rank <= 25 and (q, d) not in positives][2:20]
         assert r.positive_id == (q + 3) % 50 and len(set(r.negative_ids)) == 4 and set(r.negative_ids) <= set(pool)
+
+
+def test_query_blocks_are_few_and_bounded():
+    for n, k, dims in ((615_384, 200, 64), (615_384, 100, 64), (615_384, 1000, 64), (100_000, 10, 4096), (5, 3, 2)):
+        blocks = knn_bounds.query_blocks(n, k, 12, dims)
+        assert n / blocks * (16 * (k + vector_stream.CHUNK) + 12 * dims) <= knn_bounds.STATE and n / blocks <= knn_bounds.MOST_QUERIES
+        assert blocks <= max(1, n // knn_bounds.LEAST_QUERIES)
+    assert knn_bounds.query_blocks(615_384, 200, 12, 64) == 36  # 48 with a wider margin of scores

@@ -199,7 +199,7 @@ def knn_join_ivf(queries: DataFrame, passages: DataFrame, k: int, *, exclude_sel
     least = max(k, PROBE_ROWS * k if probe_rows is None else probe_rows) + int(exclude_self)
     probes = tree.probes(queries, nprobe or dp, least)
     looks = max(nprobe or dp, math.ceil(least * tree.cells / n))  # cells that a query looks into, about
-    blocks = query_blocks(nq, min(k, n), passages.sparkSession.sparkContext.defaultParallelism)
+    blocks = query_blocks(nq, min(k, n), passages.sparkSession.sparkContext.defaultParallelism, tree.roots.shape[1])
     if nq * looks > HELD_PAIRS and nq * looks > n * blocks:
         return rank_topk(tree.search_held(queries, probes, min(k, n), exclude_self, blocks), k)
     return rank_topk(tree.search(queries, probes, k, exclude_self, nq), k)

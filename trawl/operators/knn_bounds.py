@@ -23,15 +23,15 @@ from trawl.session import scratch_dir
 SAMPLE, MOST_CELLS = 16_384, 1024
 #: Rows of a block, and queries that one copy of a block serves.
 BLOCK_ROWS, QUERY_ROWS = 8192, 131_072
-#: Bytes of the scores and ids that a task holds, and its queries at most and at least.
-STATE, MOST_QUERIES, LEAST_QUERIES = 200_000_000, 16_384, 256
+#: Bytes of the queries, scores and ids that a task holds, and its queries at most and at least.
+STATE, MOST_QUERIES, LEAST_QUERIES = 200_000_000, 32_768, 256
 _SLACK = 10.0 ** -(ROUND - 1)
 
 
-def query_blocks(n: int, k: int, tasks: int) -> int:
-    """Into how many blocks ``n`` queries are dealt: each holds its state in memory, and there
-    is one for each of the ``tasks`` that run at once where queries suffice."""
-    rows = min(MOST_QUERIES, max(1, STATE // (16 * (k + CHUNK))))
+def query_blocks(n: int, k: int, tasks: int, dims: int) -> int:
+    """Into how many blocks ``n`` queries of ``dims`` components are dealt: each holds its state in
+    memory, and there is one for each of the ``tasks`` that run at once where queries suffice."""
+    rows = min(MOST_QUERIES, max(1, STATE // (16 * (k + CHUNK) + 12 * dims)))
     least = max(1, -(-n // rows))
     return max(least, min(-(-least // tasks) * tasks, n // LEAST_QUERIES))
 
@@ -162,7 +162,7 @@ class BoundedSearch:
         for r in placed.groupBy("cell").count().collect():  # a row a cell
             size[r["cell"]] = r["count"]
         before = np.cumsum(size) - size
-        blocks = query_blocks(self.nq, k, spark.sparkContext.defaultParallelism)
+        blocks = query_blocks(self.nq, k, spark.sparkContext.defaultParallelism, centres.shape[1])
         cells = spark.createDataFrame(pa.table({"cell": np.arange(len(centres), dtype=np.int32), "before": before, "n": size}), "cell int, before long, n long")
         at = F.col("before") + F.floor(F.pmod(F.xxhash64("qid", "copy"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n"))
         mine = placed.join(F.broadcast(cells), "cell").select(F.floor(at * F.lit(blocks) / F.lit(self.nq)).cast("int").alias("key"), "qid", "qvec")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 ROUND = 9
 _CHUNK_SCORES = 1 << 24
 #: Passages that queries which hold their best meet at once, and scores of one such product.
-CHUNK, _MEET_SCORES = 512, 1 << 21
+CHUNK, _MEET_SCORES = 256, 1 << 21
 _HITS = 1 << 14
 
 
